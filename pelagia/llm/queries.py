@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_topk, html_text, language_id, packing, quality_rules, secret_scan, source_mixing, token_file
+from . import exact_topk, html_text, jaccard_join, language_id, packing, quality_rules, secret_scan, source_mixing, token_file
 
-MODULES = [exact_topk, html_text, language_id, packing, quality_rules, secret_scan, source_mixing, token_file]
+MODULES = [exact_topk, html_text, jaccard_join, language_id, packing, quality_rules, secret_scan, source_mixing, token_file]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -229,3 +229,14 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+#: Rows of an id table that may be broadcast: 8 bytes each, counted before.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(df: DataFrame, ids: DataFrame, how: str, column: str = "doc_id") -> DataFrame:
+    """``left_semi`` or ``left_anti`` join with a written table of ids; it is broadcast only if a count shows it to be small."""
+    from pyspark.sql import functions as F
+
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, how)
