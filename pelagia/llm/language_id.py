@@ -178,10 +178,11 @@ def train(spark: SparkSession, labelled: DataFrame, held_back: DataFrame, per_la
 def predict(docs: DataFrame, model: dict | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns, lang_pred and score of each row of ``docs`` (text)."""
     fields = [docs.schema[c] for c in keep]
+    column = "text" if "text" in keep else "__text"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text", 1 << 20):
-            texts = texts_of(batch, "__text")
+        for batch in slices(batches, column, 1 << 20):
+            texts = texts_of(batch, column)
             known = has_letter(texts) if model else np.zeros(batch.num_rows, bool)
             lang, p = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
             if known.any():
@@ -196,7 +197,7 @@ def predict(docs: DataFrame, model: dict | None, keep: tuple[str, ...] = ("doc_i
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     schema = StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(score, schema)
+    return docs.select(*keep, *([F.col("text").alias(column)] if column not in keep else [])).mapInArrow(score, schema)
 
 
 def fold() -> Column:
@@ -209,6 +210,13 @@ def language_model(spark: SparkSession, docs: DataFrame) -> dict | None:
     return train(spark, rows.where(fold() == 0), rows.where(fold() == 2))
 
 
+def reject(spark: SparkSession, docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """``docs`` without texts of no language, and those whose language is less likely than ``least``."""
+    names = docs.columns
+    got = predict(docs, language_model(spark, docs), tuple(names))
+    return got.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*names)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     got = predict(docs, language_model(spark, docs))

@@ -82,7 +82,9 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, text: str = "text", owner
     judged = judged.where(F.col("live") | (F.col("span.rank") < len(BASE)))
     rows = judged.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("span.start", "span.rank", "span.end", "live", "n_owners", "n_repositories"))).alias("__spans"))
     none = F.array().cast("array<struct<start:long,rank:int,end:long,live:boolean,n_owners:long,n_repositories:long>>")
-    return found.join(rows, "__row", "left").select(*keep, F.col("__base").alias("base"), F.coalesce("__spans", none).alias("spans"))
+    some = F.size("__base") + F.size("__wide") > 0  # only these rows move
+    hit = found.where(some).join(rows, "__row", "left").select(*keep, F.col("__base").alias("base"), F.coalesce("__spans", none).alias("spans"))
+    return found.where(~some).select(*keep, F.col("__base").alias("base"), none.alias("spans")).unionByName(hit)
 
 
 def _told(spans: Column) -> Column:
