@@ -213,8 +213,9 @@ def language_model(spark: SparkSession, docs: DataFrame) -> dict | None:
 def reject(spark: SparkSession, docs: DataFrame, least: float = 0.5) -> DataFrame:
     """``docs`` without texts of no language, and those whose language is less likely than ``least``."""
     names = docs.columns
-    got = predict(docs, language_model(spark, docs), tuple(names))
-    return got.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*names)
+    own = [c if c == "text" else f"__c{k}" for k, c in enumerate(names)]  # no column of docs can clash with ours
+    got = predict(docs.toDF(*own), language_model(spark, docs), tuple(own))
+    return got.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*own).toDF(*names)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,20 +95,22 @@ def _told(spans: Column) -> Column:
 def redact(spark: SparkSession, docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     """``docs`` with each live-looking secret replaced by ``mark``; examples stay, and rows are all kept."""
     names = docs.columns
-    spans = scan_secrets(spark, docs, keep=tuple(names))
+    own = {c: f"__c{k}" for k, c in enumerate(names)}  # no column of docs can clash with ours
+    text = F.col(own["text"])
+    spans = scan_secrets(spark, docs.toDF(*own.values()), own["text"], own["source"], own["doc_id"], tuple(own.values()))
     live = F.filter("spans", lambda s: s["live"])
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        cut = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        cut = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
         return F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], cut, F.lit(mark)).alias("out")))
 
     done = F.aggregate(live, start, step)
-    text = F.when(F.size(live) > 0, F.concat(done["out"], F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.length("text")))).otherwise(F.col("text"))
-    changed = {"text": text}
+    new = F.when(F.size(live) > 0, F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))).otherwise(text)
+    changed = {"text": new}
     if "n_chars" in names:
-        changed["n_chars"] = F.when(F.size(live) > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return spans.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in names))
+        changed["n_chars"] = F.when(F.size(live) > 0, F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(own["n_chars"]))
+    return spans.select(*(changed.get(c, F.col(own[c])).alias(c) for c in names))
 
 
 def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,7 +81,8 @@ def cuts(rows: DataFrame, budgets: DataFrame, seed: int) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights: dict[str, dict[str, float]], share_of_supply: float = 0.8, epochs: int = 2, seed: int = 11) -> DataFrame:
-    """``docs`` (doc_id, text, lang, source, domain) with ``epoch`` and ``leaf_budget``, a row for each time that a document is taken."""
+    """``docs`` (doc_id, text, lang, source, domain) with ``epoch`` and ``leaf_budget`` (instead of any of its own), a row for each time that a document is taken."""
+    docs = docs.drop("epoch", "leaf_budget")
     levels = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in LEVELS]
     tokens = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN), F.lit(0))).cast("long").alias("tokens")
     scratch = Scratch(spark, "mixing")
@@ -89,12 +90,12 @@ def mix(spark: SparkSession, docs: DataFrame, weights: dict[str, dict[str, float
     leaves = scratch.table(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("supply")), "leaves")
     total = leaves.agg(F.sum("supply")).first()[0] or 0
     budgets = scratch.table(leaf_budgets(leaves, weights, total * share_of_supply, epochs), "budgets")
-    plan = scratch.table(cuts(rows, budgets, seed), "cuts").select(*(F.col(c).alias(f"__{c}") for c in LEVELS), "budget", "whole", "cut")
+    plan = scratch.table(cuts(rows, budgets, seed), "cuts").select(*(F.col(c).alias(f"__{c}") for c in (*LEVELS, "budget", "whole", "cut")))
     on = [F.coalesce(docs[c].cast("string"), F.lit("")) == plan[f"__{c}"] for c in LEVELS]
-    partial = F.when(key(seed, F.col("whole")) <= F.col("cut"), F.array(F.col("whole"))).otherwise(F.array().cast("array<int>"))
-    whole = F.when(F.col("whole") > 0, F.sequence(F.lit(0), F.col("whole") - 1)).otherwise(F.array().cast("array<int>"))
-    taken = docs.join(plan, on).withColumn("epoch", F.explode(F.concat(whole, F.when(F.col("whole") < epochs, partial).otherwise(F.array().cast("array<int>")))))
-    return taken.select(*docs.columns, "epoch", F.col("budget").alias("leaf_budget"))
+    whole, none = F.col("__whole"), F.array().cast("array<int>")
+    partial = F.when((whole < epochs) & (key(seed, whole) <= F.col("__cut")), F.array(whole)).otherwise(none)
+    before = F.when(whole > 0, F.sequence(F.lit(0), whole - 1)).otherwise(none)
+    return docs.join(plan, on).select(*docs.columns, F.explode(F.concat(before, partial)).alias("epoch"), F.col("__budget").alias("leaf_budget"))
 
 
 #: The example tree: sources of one and of two digits are two domains.
