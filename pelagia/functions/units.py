@@ -21,7 +21,7 @@ def number(text: Column) -> Column:
 def discharge_m3_s(value: Column, unit: Column) -> Column:
     """F13, P13. An unknown unit is an error even where the value is missing; negative values are missing."""
     factor = F.when(unit.isin(*CUBIC_FEET), M3_PER_FT3).when(unit.isin(*CUBIC_METRES), 1.0).otherwise(F.raise_error(F.concat(F.lit("unknown unit: "), F.coalesce(unit, F.lit("null")))).cast("double"))
-    return non_negative(value * factor) + F.when(factor.isNotNull(), 0.0)
+    return F.when(factor.isNotNull(), non_negative(value * factor))  # the condition looks at the unit whatever the value
 
 
 def checked(value: Column, **expected: tuple[Column, Column]) -> Column:
