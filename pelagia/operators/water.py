@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import covers_segment, nearest_on
+
 #: Edges of a model area that go to every task, at most.
 MAX_EDGES = 5_000_000
 
@@ -59,6 +61,29 @@ def nearest_nodes(seeds: DataFrame, nodes: DataFrame, k: int = 30, limit_km: flo
     return met.withColumn("choice", order).where(F.col("choice") <= k).drop("__gx", "__gy", "__x", "__y")
 
 
+def snap_seeds(seeds: DataFrame, nodes: DataFrame, coast: DataFrame, limit_km: float = 8.0, tolerance_m: float = 100.0, k: int = 30) -> DataFrame:
+    """A.6, J13, J14: (seed, cell, connector_km, status). seeds: seed, x, y, coast_limit_m; coast: seed, water (WKB of the water around it).
+
+    A seed starts at the nearest water point if that is within its limit, and takes the first of its ``k`` nearest
+    nodes whose straight connector stays in the water widened by the tolerance; else it is ``unmapped``.
+    """
+    shore = seeds.join(coast, "seed", "left").withColumn("__at", nearest_on("water", "x", "y"))
+    close = F.col("__at.distance") <= F.col("coast_limit_m")
+    start = shore.select("seed", F.when(close, F.col("__at.x")).otherwise(F.col("x")).alias("x"), F.when(close, F.col("__at.y")).otherwise(F.col("y")).alias("y"), F.col("__at.distance").alias("coast_m"), "water", F.coalesce(close, F.lit(False)).alias("close"))
+    tried = nearest_nodes(start.where("close"), nodes, k, limit_km).join(nodes.select("cell", F.col("x").alias("__nx"), F.col("y").alias("__ny")), "cell")
+    good = tried.where(covers_segment("water", "x", "y", "__nx", "__ny", F.lit(float(tolerance_m))))
+    best = good.groupBy("seed").agg(F.min_by(F.struct("cell", (F.col("snap_km") + F.col("coast_m") / 1000.0).alias("connector_km")), "choice").alias("b"))
+    return start.select("seed").join(best, "seed", "left").select("seed", "b.cell", "b.connector_km", F.when(F.col("b").isNotNull(), "mapped").otherwise("unmapped").alias("status"))
+
+
+def dissolve(cells: DataFrame, parent: str, ring: str = "ring") -> DataFrame:
+    """Outline segments of each parent. Cells that touch share segments with equal ends; those that two cells have lie inside.
+    ``ring``: array of (x, y) structs, first point repeated at the end."""
+    pairs = F.arrays_zip(F.slice(ring, F.lit(1), F.size(ring) - 1).alias("a"), F.slice(ring, F.lit(2), F.size(ring) - 1).alias("b"))
+    each = cells.select(parent, F.explode(pairs).alias("s")).select(parent, F.least("s.a", "s.b").alias("a"), F.greatest("s.a", "s.b").alias("b"))
+    return each.groupBy(parent, "a", "b").agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+
+
 def water_distances(edges: DataFrame, starts: DataFrame, connectors: DataFrame | None = None, cutoff_km: float | None = None) -> DataFrame:
     """(seed, cell, distance) of every reachable cell: Dijkstra from each seed's node plus its connector length.
 
