@@ -5,8 +5,8 @@ a run of one name becomes a name of its own, then a name on the left side of a (
 all names joins a neighbour on the right side. As names depend on nothing but what they cover,
 equal passages get equal names in all texts, but for a few at their edges; each name
 carries the words that it depends on. So two equal windows of ``window`` words hold the same names
-among those that depend on nothing outside, and the one with the smallest hash, the window's
-anchor, is the same in both. Windows without such a name (inside long runs) are their own anchor.
+among those that depend on nothing outside, and the one with the smallest hash (of all that it
+depends on), the window's anchor, is the same in both. Windows without such a name (inside long runs) are their own anchor.
 
 1. Each text gives the hash of all its words and its distinct anchors. Later copies of whole
    texts are settled by that hash.
@@ -95,6 +95,15 @@ class Names:
         self._merge(joins, name_of)
 
 
+def spans(hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Hashes of the words [low, high), from sums of place-weighted hashes before each place."""
+    inverse = np.uint64(pow(int(BASE), -1, 2**64))
+    up, down = np.full(len(hashes), BASE), np.full(len(hashes) + 1, inverse)
+    up[:1], down[0] = 1, 1
+    total = np.concatenate([[np.uint64(0)], np.cumsum(hashes * np.cumprod(up))])
+    return mix((total[high] - total[low]) * np.cumprod(down)[low] + (high - low).astype(np.uint64))
+
+
 def anchors(hashes: np.ndarray, off: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every full window, in order: its first word, its anchor's hash and an id of the anchor's place (windows that share one share the id)."""
     count = np.diff(off)
@@ -110,7 +119,8 @@ def anchors(hashes: np.ndarray, off: np.ndarray, window: int = WINDOW, rounds: i
     high = np.where(names.high > off[-1], off[names.text + 1] + 1, names.high)
     first, end = np.searchsorted(low, start, side="left"), np.searchsorted(high, start + window, side="right")
     size = end - first
-    key = mix(names.name ^ BASE)
+    # What tells a name from others is all that it depends on; one that reaches over an edge is never an anchor.
+    key = mix(names.name ^ spans(hashes, np.clip(names.low, 0, len(hashes)), np.clip(names.high, 0, len(hashes))))
     hit = size > 0
     place = np.full(len(start), -1)
     if hit.any():
@@ -215,8 +225,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, t
     """doc_id, n_words, n_removed, kept_sha256 of each row of ``docs`` (doc_id, text); with ``texts`` also the kept words."""
     scratch = Scratch(spark, "substrings")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = scratch.table(docs.mapInArrow(first_pass(window), FIRST), "first")
-    full = rows.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
+    first = scratch.table(docs.mapInArrow(first_pass(window), FIRST), "first")
+    rows = scratch.table(first.drop("anchors"), "rows")
+    full = first.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
     firsts = full.groupBy("sha", "n_words").agg(F.min("doc_id").alias("doc"))
     copies = scratch.table(full.select("doc_id", "sha", "n_words").join(firsts, ["sha", "n_words"]).where("doc_id > doc").select("doc_id").distinct(), "copies")
 
@@ -224,13 +235,16 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, t
     twice = own.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
     again = scratch.table(own.join(twice, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("again")), "again")
     ids = scratch.table(again.select("doc_id"), "again-ids")
+    scratch.drop("first")
     suspects = scratch.table(by_ids(docs, ids, "left_semi").join(again, "doc_id"), "suspects")
 
     windows = scratch.table(suspects.mapInArrow(marked_windows(window), "w1 long, w2 long, doc_id long, start long"), "windows")
     first_at = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     marks = windows.join(first_at, ["w1", "w2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_list("start").alias("marks"))
     kept = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
-    done = suspects.select("doc_id", "text").join(scratch.table(marks, "marks"), "doc_id", "left").mapInArrow(drop_words(window), kept)
+    marks = scratch.table(marks, "marks")
+    scratch.drop("windows")
+    done = suspects.select("doc_id", "text").join(marks, "doc_id", "left").mapInArrow(drop_words(window), kept)
 
     settled = scratch.table(copies.unionByName(ids).distinct(), "settled")
     nothing = hashlib.sha256(b"").hexdigest()
@@ -251,5 +265,12 @@ def op8_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark, read_table(spark, sf_dir, "documents"))
 
 
+SQL = """with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') w from documents),
+h as (select doc_id, s, md5(array_to_string(w[s:s + 19], ' ')) k from (select doc_id, w, unnest(range(1, len(w) - 18)) s from d where len(w) >= 20)),
+m as (select doc_id, s from (select *, row_number() over (partition by k order by doc_id, s) r from h) where r > 1),
+c as (select distinct doc_id, unnest(range(s, s + 20)) i from m),
+k as (select p.doc_id, string_agg(word, ' ' order by i) t, count(*) n from (select doc_id, unnest(w) word, generate_subscripts(w, 1) i from d) p anti join c on c.doc_id = p.doc_id and c.i = p.i group by p.doc_id)
+select d.doc_id, cast(len(w) as bigint) n_words, cast(len(w) - coalesce(n, 0) as bigint) n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join k using (doc_id)"""
+
 QUERIES = {"op8_recompression_dedup": op8_recompression_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_recompression_dedup": SQL}
