@@ -151,7 +151,7 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def train(spark: SparkSession, labelled: DataFrame, held_back: DataFrame, per_lang: int = 1000, epochs: int = 3) -> dict | None:
+def train(spark: SparkSession, labelled: DataFrame, held_back: DataFrame, per_lang: int = 600, epochs: int = 3) -> dict | None:
     """Model from rows (doc_id, text, lang): ``labelled`` teach it, ``held_back`` set its temperature."""
     counts = [{r.lang: r["count"] for r in rows.groupBy("lang").count().collect()} for rows in (labelled, held_back)]
     langs = sorted(counts[0] or counts[1])

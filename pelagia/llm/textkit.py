@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one step inside a task handles at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: ASCII white space of the word rule `[^\x20\x09-\x0D]+`.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -38,6 +38,7 @@ class Scratch:
         if not base:
             base = f"file://{os.path.join(tempfile.gettempdir(), 'pelagia-scratch')}"
             spark.conf.set("spark.checkpoint.dir", base)
+        bound_batches(spark)
         self.spark = spark
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -57,7 +58,19 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Bytes of an Arrow batch between Spark and Python; rows may hold long texts.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches end at BATCH_BYTES unless the session asks for less, in plain bytes."""
+    told = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    if not told.rstrip("bB").isdigit() or not 0 < int(told.rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -157,7 +170,7 @@ class WordEncoder:
     tokenizer's model at once, all others through the whole tokenizer.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
