@@ -78,7 +78,8 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, text: str = "text", owner
                           .select(*keep, "__row", "__owner", "__repo", "__base", "__wide"), "found")
     each = found.where(F.size("__base") + F.size("__wide") > 0).select("__row", F.col("__owner").alias("owner"), F.col("__repo").alias("repo"), F.explode(F.concat("__base", "__wide")).alias("span"))
     each = each.select("__row", "owner", "repo", "span", F.col("span.hash").alias("hash"))
-    judged = each.join(ownership(each.select("hash", "owner", "repo")), "hash").select("__row", "span", "n_owners", "n_repositories", (F.col("n_owners") <= max_owners).alias("live"))
+    owned = scratch.table(ownership(each.select("hash", "owner", "repo")), "owned")  # written, so that Spark can split a hot value's join
+    judged = each.join(owned, "hash").select("__row", "span", "n_owners", "n_repositories", (F.col("n_owners") <= max_owners).alias("live"))
     judged = judged.where(F.col("live") | (F.col("span.rank") < len(BASE)))
     rows = judged.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("span.start", "span.rank", "span.end", "live", "n_owners", "n_repositories"))).alias("__spans"))
     none = F.array().cast("array<struct<start:long,rank:int,end:long,live:boolean,n_owners:long,n_repositories:long>>")

@@ -148,7 +148,8 @@ def joined(texts: pa.Array) -> list[bytes]:
     return pc.binary_join(pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts)), " ").cast(pa.binary()).to_pylist()
 
 
-FIRST = "doc_id long, n_words long, sha string, anchors array<long>"
+#: anchors: each once; inner: those that the text has at two places or more.
+FIRST = "doc_id long, n_words long, sha string, anchors array<long>, inner array<long>"
 
 
 def first_pass(window: int):
@@ -159,9 +160,15 @@ def first_pass(window: int):
             start, anchor, place = anchors(word_hashes(words), off, window)
             new = np.append(True, place[1:] != place[:-1])[: len(place)]
             text = np.searchsorted(off, start[new], side="right") - 1
-            ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=batch.num_rows))])
+            tagged = anchor[new] + mix(np.arange(batch.num_rows, dtype=np.uint64) + np.uint64(1))[text]
+            _, at, times = np.unique(tagged, return_index=True, return_counts=True)
+
+            def lists(at: np.ndarray) -> pa.Array:
+                at = np.sort(at)  # noqa: B023
+                return list_array(signed(anchor[new][at]), np.concatenate([[0], np.cumsum(np.bincount(text[at], minlength=batch.num_rows))]), pa.int64())  # noqa: B023
+
             sha = [hashlib.sha256(x).hexdigest() for x in joined(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(off), pa.int64()), pa.array(sha, pa.string()), list_array(signed(anchor[new]), ends, pa.int64())], ["doc_id", "n_words", "sha", "anchors"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(off), pa.int64()), pa.array(sha, pa.string()), lists(at), lists(at[times > 1])], ["doc_id", "n_words", "sha", "anchors", "inner"])
 
     return run
 
@@ -226,20 +233,21 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, t
     scratch = Scratch(spark, "substrings")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = scratch.table(docs.mapInArrow(first_pass(window), FIRST), "first")
-    rows = scratch.table(first.drop("anchors"), "rows")
+    rows = scratch.table(first.drop("anchors", "inner"), "rows")
     full = first.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
     firsts = full.groupBy("sha", "n_words").agg(F.min("doc_id").alias("doc"))
     copies = scratch.table(full.select("doc_id", "sha", "n_words").join(firsts, ["sha", "n_words"]).where("doc_id > doc").select("doc_id").distinct(), "copies")
 
-    own = by_ids(full.select("doc_id", "anchors"), copies, "left_anti").select("doc_id", F.explode("anchors").alias("anchor"))
-    twice = own.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
+    own = by_ids(full.select("doc_id", "anchors", "inner"), copies, "left_anti").select("doc_id", F.explode(F.concat("anchors", "inner")).alias("anchor"))
+    # Written before the join: Spark splits hot keys only where both sides come straight from a shuffle.
+    twice = scratch.table(own.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor"), "twice")
     again = scratch.table(own.join(twice, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("again")), "again")
     ids = scratch.table(again.select("doc_id"), "again-ids")
     scratch.drop("first")
     suspects = scratch.table(by_ids(docs, ids, "left_semi").join(again, "doc_id"), "suspects")
 
     windows = scratch.table(suspects.mapInArrow(marked_windows(window), "w1 long, w2 long, doc_id long, start long"), "windows")
-    first_at = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    first_at = scratch.table(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "first-at")
     marks = windows.join(first_at, ["w1", "w2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_list("start").alias("marks"))
     kept = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
     marks = scratch.table(marks, "marks")
