@@ -30,14 +30,14 @@ class Scratch:
     """Tables of one run, written below ``spark.checkpoint.dir`` (shared by driver and executors).
 
     A written table cuts lineage: a lost executor costs only the tasks that it ran.
-    Where the setting is absent (local tests) a temporary folder of the driver is set.
+    Where the setting is absent (local tests) a temporary folder of the driver takes its place.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             base = f"file://{os.path.join(tempfile.gettempdir(), 'pelagia-scratch')}"
-            spark.conf.set("spark.checkpoint.dir", base)
+            spark.sparkContext.setCheckpointDir(base)
         bound_batches(spark)
         self.spark = spark
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
