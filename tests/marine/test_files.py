@@ -187,6 +187,15 @@ def test_entry(spark):
     assert e.entry(spark).columns == ["p_partkey", "input_pixel_count", "valid_pixels", "mean_x"]
 
 
+def test_entry_without_the_corpus_operators():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['pelagia.llm'] = sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert not [q for q in e.queries() if q[:2] == 'op' or q == 'pipeline']; print(len(e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True)
+    assert int(out.stdout) > 30, out.stderr
+
+
 @pytest.mark.parametrize("name", sorted(__import__("pelagia.plans.queries", fromlist=["x"]).QUERIES))
 def test_oracle(spark, name):
     """Each query against DuckDB on the smallest tables."""
