@@ -13,7 +13,7 @@ for epoch 1, and so on, until one more would pass the budget. The last, partial
 cut at one key: token sums by 4,096 ranges of the key tell the range, and only that range
 is summed row by row. So no task sees a whole leaf.
 
-Null levels are values of their own; null texts have no tokens and go with the prefix; rows of
+Null levels count as the empty name; null texts have no tokens and go with the prefix; rows of
 one doc_id are taken together; children of weight 0 get nothing; an empty table gives no rows;
 other columns stay as they are.
 """
