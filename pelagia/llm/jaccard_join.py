@@ -282,6 +282,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, size: int = 5, percent: in
     known = scratch.table(components(links, scratch, "stars"), "components")
     far = match.where(F.col("df") > run).join(known.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     sums = far.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("k", "component")).alias("main")).where("parts > 1")
+    sums = scratch.table(sums, "runs")
     far = far.join(sums, "key").withColumn("stray", F.col("component") != F.col("main"))
     home = F.pmod(F.xxhash64("doc"), blocks)
     seats = F.array(F.struct(home.alias("block"), F.lit(False).alias("visits")))
