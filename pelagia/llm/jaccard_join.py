@@ -10,8 +10,10 @@ candidates verified, which fall with the matches required) to its minimum.
 
 Runs of up to ``run`` postings of a token give their pairs at once. In longer runs neighbours of
 random orders are linked first; then sets outside the run's largest component meet all sets of the
-run in blocks, so no link between components is missed and none inside is looked for. Candidates
-are verified on their whole sets. Components come from alternating stars.
+run in blocks, so no link between components is missed and none inside is looked for. That is done
+twice: first each set takes its best candidate of every other component in a block, which brings
+most of a group together; then those that are still apart take all. Candidates are verified on
+their whole sets. Components come from alternating stars.
 
 Null and empty texts have no shingles and link with nothing; rows with null doc_id get no
 component; rows that share a doc_id are one node; an empty table gives no rows; other
@@ -223,8 +225,11 @@ def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, size: int,
     return scratch.table(both.mapInArrow(compare, "x long, y long").distinct(), f"{name}-links")
 
 
-def strays_meet(percent: int):
-    """In one block of a long run: visitors against residents of other components that share enough prefix tokens, at the first token that they share."""
+def strays_meet(percent: int, best: bool):
+    """In one block of a long run: visitors against residents of other components that share enough prefix tokens, at the first token that they share.
+
+    ``best``: a visitor takes, of each other component, only the resident that shares most beyond what is required.
+    """
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         own = key[0].as_py()
@@ -241,8 +246,14 @@ def strays_meet(percent: int):
             g = guest[at : at + 256]
             need = required(n[g][:, None], p[g][:, None], n[home][None, :], p[home][None, :], percent)
             good = (need > 0) & (comp[g][:, None] != comp[home][None, :]) & (~stray[home][None, :] | (doc[g][:, None] < doc[home][None, :]))
-            good &= (has[g] @ has[home].T >= need) & (has[g][:, before] @ has[home][:, before].T == 0)
+            both = has[g] @ has[home].T
+            good &= (both >= need) & (has[g][:, before] @ has[home][:, before].T == 0)
             i, j = np.nonzero(good)
+            if best:
+                order = np.lexsort((need[i, j] - both[i, j], comp[home[j]], i))
+                i, j = i[order], j[order]
+                new = np.append(True, (np.diff(i) != 0) | (np.diff(comp[home[j]]) != 0))[: len(i)]
+                i, j = i[new], j[new]
             xs.append(np.minimum(doc[g[i]], doc[home[j]]))
             ys.append(np.maximum(doc[g[i]], doc[home[j]]))
         return pa.table({"x": np.concatenate(xs), "y": np.concatenate(ys)})
@@ -250,6 +261,18 @@ def strays_meet(percent: int):
     return run
 
 
+def long_runs(match: DataFrame, known: DataFrame, percent: int, best: bool, scratch: Scratch, name: str) -> DataFrame:
+    """Candidates (x < y) across the components ``known`` (node, component) in runs of ``match``."""
+    blocks = F.ceil(F.col("df") / BLOCK)
+    far = match.join(known.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    sums = far.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("k", "component")).alias("main")).where("parts > 1")
+    far = far.join(scratch.table(sums, f"{name}-runs"), "key").withColumn("stray", F.col("component") != F.col("main"))
+    seats = F.array(F.struct(F.pmod(F.xxhash64("doc"), blocks).alias("block"), F.lit(False).alias("visits")))
+    tour = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda b: F.struct(b.alias("block"), F.lit(True).alias("visits")))
+    meet = far.withColumn("seat", F.explode(F.when(F.col("stray"), F.concat(seats, tour)).otherwise(seats))).select("key", "seat.block", "doc", "n", "p", "keys", "component", "stray", "seat.visits")
+    return meet.groupBy("key", "block").applyInArrow(strays_meet(percent, best), "x long, y long").distinct()
+
+
 def near_groups(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80, run: int = RUN) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs`` (doc_id, text): sets link at a Jaccard similarity of percent / 100 or more."""
     scratch = Scratch(spark, "jaccard")
@@ -279,17 +302,11 @@ def near_groups(spark: SparkSession, docs: DataFrame, size: int = 5, percent: in
     pairs = near.repartition("key", "salt").sortWithinPartitions("key", "salt", "order").mapInArrow(run_pairs(percent), "x long, y long").distinct()
     links = verified(spark, docs, scratch.table(pairs, "pairs"), size, percent, scratch, "near")
 
-    known = scratch.table(components(links, scratch, "stars"), "components")
-    far = match.where(F.col("df") > run).join(known.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    sums = far.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("k", "component")).alias("main")).where("parts > 1")
-    sums = scratch.table(sums, "runs")
-    far = far.join(sums, "key").withColumn("stray", F.col("component") != F.col("main"))
-    home = F.pmod(F.xxhash64("doc"), blocks)
-    seats = F.array(F.struct(home.alias("block"), F.lit(False).alias("visits")))
-    tour = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda b: F.struct(b.alias("block"), F.lit(True).alias("visits")))
-    meet = far.withColumn("seat", F.explode(F.when(F.col("stray"), F.concat(seats, tour)).otherwise(seats))).select("key", "seat.block", "doc", "n", "p", "keys", "component", "stray", "seat.visits")
-    more = meet.groupBy("key", "block").applyInArrow(strays_meet(percent), "x long, y long").distinct()
-    links = links.unionByName(verified(spark, docs, scratch.table(more, "far-pairs"), size, percent, scratch, "far"))
+    for name, best in (("best", True), ("far", False)):
+        known = scratch.table(components(links, scratch, f"{name}-stars"), f"{name}-components")
+        met = scratch.table(long_runs(match.where(F.col("df") > run), known, percent, best, scratch, name), f"{name}-pairs")
+        if not met.isEmpty():
+            links = links.unionByName(verified(spark, docs, met, size, percent, scratch, name))
     groups = scratch.table(components(links, scratch, "all-stars").select(F.col("node").alias("doc"), "component"), "groups")
     of = members.join(groups, "doc", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "doc")).alias("component_id"))
     return rows.join(of, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
