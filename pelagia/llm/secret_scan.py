@@ -4,7 +4,8 @@ Patterns give candidate spans of each whole text. The hash of every candidate's
 counted over the corpus by distinct repositories and owners: a value that many owners hold is
 a widely copied example, one that few hold is a live-looking credential. Spans of the base
 patterns always stay; spans of the wider patterns (``opaque``, ``pem``) are added where the
-counts speak for a live credential and no base span overlaps.
+counts speak for a live credential and no base span overlaps; a private key is one span with its
+body, whatever lies inside it, and is counted by its body. The SQL knows heads of keys only.
 
 Sums go by (value, owner, repository), then (value, owner), then value, each combined in the
 map tasks first, so a value in a third of all rows moves one row a task. Null and empty texts
@@ -23,11 +24,16 @@ from .textkit import Scratch, read_table
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-#: Wider patterns: long words that mix digits, upper and lower case; heads of private keys.
+#: Wider patterns: long words that mix digits, upper and lower case; whole private keys, told apart by their bodies.
 OPAQUE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?=[0-9a-z_-]*[A-Z])(?=[0-9A-Z_-]*[a-z])[A-Za-z0-9_-]{24,}"
-PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
-KINDS = {"assign": (ASSIGN, 2, 8), "access": (ACCESS, 0, 16), "hex": (HEX, 0, 32), "opaque": (OPAQUE, 0, 24), "pem": (PEM, 0, 1)}
+HEAD, FOOT = r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----END [A-Z ]*PRIVATE KEY-----"
+#: A body of a key ends at its END line; without one, after the last of the lines (or long words) of base64 and the header lines of encrypted keys. Possessive loops: Java runs them without recursion.
+_BREAK = r"(?:\\[nr]|\s)"
+_LOOSE = rf"(?:{_BREAK}*+(?:Proc-Type|DEK-Info|Comment):[^\r\n\\]*+)*+(?:{_BREAK}*+(?:[A-Za-z0-9+/=]{{32,}}+|[A-Za-z0-9+/=]++(?=[\x20\t]*+(?:\\[nr]|[\r\n]|\z))))*+"
+PEM = rf"{HEAD}([^-]*+(?:-(?!----)[^-]*+)*+(?={FOOT})|{_LOOSE})(?:{FOOT})?"
+KINDS = {"assign": (ASSIGN, 2, 8), "access": (ACCESS, 0, 16), "hex": (HEX, 0, 32), "opaque": (OPAQUE, 0, 24), "pem": (PEM, 1, 0)}
 BASE = ("assign", "access", "hex")
+PEM_RANK = list(KINDS).index("pem")
 #: A value with more distinct owners than this is a widely copied example.
 MAX_OWNERS = 2
 
@@ -46,8 +52,8 @@ def spans_of(text: Column, kind: str) -> Column:
     def step(acc: Column, x: Column) -> Column:
         at = acc["at"] + F.length(x["gap"])
         end = at + F.coalesce(F.length(x["found"]), F.lit(0))
-        span = F.struct(at.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.sha2(x["value"], 256).alias("hash"))
-        keep = F.coalesce(F.length(x["value"]), F.lit(0)) >= least
+        span = F.struct(at.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.sha2(F.regexp_replace(x["value"], _BREAK, "") if kind == "pem" else x["value"], 256).alias("hash"))
+        keep = F.coalesce(F.length(x["value"]), F.lit(-1)) >= least
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     return F.when(text.rlike(pattern), F.aggregate(parts, start, step)["out"]).otherwise(F.array().cast(f"array<{SPAN}>"))
@@ -59,7 +65,8 @@ def scan(docs: DataFrame, text: str, owner: str, repository: str) -> DataFrame:
     rows = docs.withColumns({"__row": F.monotonically_increasing_id(), "__owner": F.col(owner).cast("string"), "__repo": F.col(repository).cast("string"),
                              "__base": F.concat(*(spans_of(whole, k) for k in BASE)),
                              "__wide": F.concat(*(spans_of(whole, k) for k in KINDS if k not in BASE))})
-    clear = F.filter("__wide", lambda w: ~F.exists("__base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+    keys = F.filter("__wide", lambda w: w["rank"] == PEM_RANK)
+    clear = F.filter("__wide", lambda w: (w["rank"] == PEM_RANK) | ~F.exists(F.concat("__base", keys), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
     return rows.withColumns({"__base": F.array_sort("__base"), "__wide": clear})
 
 
@@ -124,7 +131,7 @@ def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _found_sql(kind: str) -> str:
     """DuckDB: matches of one kind with their places. RE2 has no look-around, so an `opaque` is a maximal run, tested for its classes."""
-    pattern, group, least = KINDS[kind]
+    pattern, group, least = (HEAD, 0, 1) if kind == "pem" else KINDS[kind]
     if kind == "opaque":
         pattern = "[A-Za-z0-9_-]{24,}"
     pattern = pattern.replace("'", "''")

@@ -49,6 +49,19 @@ def test_secrets(spark):
     assert secret_scan.scan_secrets(spark, docs.limit(0)).count() == 0
 
 
+def test_private_keys_are_told_apart_by_their_bodies(spark):
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    bodies = ["\n".join(hashlib.sha512(f"{k}/{j}".encode()).hexdigest().upper()[:64] for j in range(5)) for k in range(8)]
+    texts = [f"see\n{head}\n{b}\n{foot}\nbye-bye" for b in bodies[:4]]
+    texts += [f"{head}\n{bodies[4]}\nabc=\nplain words follow", f'secret="{head}\\n{bodies[5][:64]}\\n{foot}" x', f"{head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'0a' * 16}\n\n{bodies[6]}\n{foot}"]
+    texts += [f"{head}\r\n" + bodies[7].replace("\n", end) + f"\n{foot}" for end in ("\n", "\r\n", "\n")]  # one key, three owners
+    docs = spark.createDataFrame([(k, t, f"o{k}") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    masked = {r.doc_id: r.text for r in secret_scan.redact(spark, docs).collect()}
+    assert [masked[k] for k in range(4)] == ["see\n<secret>\nbye-bye"] * 4
+    assert masked[4] == "<secret>\nplain words follow" and masked[5] == '<secret><secret>" x' and masked[6].startswith("<secret>") and bodies[6][:64] not in masked[6]
+    assert [masked[k] for k in (7, 8, 9)] == texts[7:]
+
+
 # ---- languages
 
 
