@@ -1,11 +1,11 @@
 """Operator 2, secret scans with corpus-wide ownership frequency, in DataFrame functions only.
 
 Patterns give candidate spans of each whole text. The hash of every candidate's value is
-counted over the corpus by distinct repositories and owners: a value that many owners hold is
-a widely copied example, one that few hold is a live-looking credential. Spans of the base
+counted over the corpus by distinct repositories and owners: a value that many owners hold, or few
+owners in many repositories each, is a widely copied example; any other is a live-looking credential. Spans of the base
 patterns always stay; spans of the wider patterns (``opaque``, ``pem``) are added where the
 counts speak for a live credential and no base span overlaps; a private key is one span with its
-body, whatever lies inside it, and is counted by its body. The SQL knows heads of keys only.
+body, whatever lies inside it, and is counted by its body. The SQL knows heads of keys and owners only.
 
 Sums go by (value, owner, repository), then (value, owner), then value, each combined in the
 map tasks first, so a value in a third of all rows moves one row a task. Null and empty texts
@@ -36,6 +36,8 @@ BASE = ("assign", "access", "hex")
 PEM_RANK = list(KINDS).index("pem")
 #: A value with more distinct owners than this is a widely copied example.
 MAX_OWNERS = 2
+#: So is one with more distinct repositories than this for each of its owners.
+MAX_PER_OWNER = 8
 
 SPAN = "struct<start:long,rank:int,end:long,hash:string>"
 
@@ -78,15 +80,16 @@ def ownership(spans: DataFrame) -> DataFrame:
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id",
-                 keep: tuple[str, ...] = ("doc_id",), max_owners: int = MAX_OWNERS) -> DataFrame:
-    """The ``keep`` columns and, per row, base (array of spans) and spans (base and added ones, each with live: boolean)."""
+                 keep: tuple[str, ...] = ("doc_id",), max_owners: int = MAX_OWNERS, max_per_owner: int = MAX_PER_OWNER) -> DataFrame:
+    """The ``keep`` columns and, per row, base (array of spans) and spans (base and added ones, each with live: boolean and both counts)."""
     scratch = Scratch(spark, "secrets")
     found = scratch.table(scan(docs.select(*dict.fromkeys((*keep, text, owner, repository))), text, owner, repository)
                           .select(*keep, "__row", "__owner", "__repo", "__base", "__wide"), "found")
     each = found.where(F.size("__base") + F.size("__wide") > 0).select("__row", F.col("__owner").alias("owner"), F.col("__repo").alias("repo"), F.explode(F.concat("__base", "__wide")).alias("span"))
     each = each.select("__row", "owner", "repo", "span", F.col("span.hash").alias("hash"))
     owned = scratch.table(ownership(each.select("hash", "owner", "repo")), "owned")  # written, so that Spark can split a hot value's join
-    judged = each.join(owned, "hash").select("__row", "span", "n_owners", "n_repositories", (F.col("n_owners") <= max_owners).alias("live"))
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_per_owner * F.col("n_owners"))
+    judged = each.join(owned, "hash").select("__row", "span", "n_owners", "n_repositories", live.alias("live"))
     judged = judged.where(F.col("live") | (F.col("span.rank") < len(BASE)))
     rows = judged.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("span.start", "span.rank", "span.end", "live", "n_owners", "n_repositories"))).alias("__spans"))
     none = F.array().cast("array<struct<start:long,rank:int,end:long,live:boolean,n_owners:long,n_repositories:long>>")

@@ -62,6 +62,17 @@ def test_private_keys_are_told_apart_by_their_bodies(spark):
     assert [masked[k] for k in (7, 8, 9)] == texts[7:]
 
 
+def test_values_in_many_repositories_of_one_owner_are_examples(spark):
+    sample, few = "Sample1Token2In3Many4Documents5", "Live1Token2In3Few4Documents5"
+    rows = [(k, f"token={sample} {sample}x", "hot") for k in range(20)] + [(20 + k, few, "hot") for k in range(8)]
+    rows += [(30 + k, "password=q1w2e3r4t5", "hot") for _ in range(9) for k in range(2)]  # repeated rows are one repository
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secret_scan.scan_secrets(spark, docs).select("doc_id", "spans").collect()
+    assert {(r.doc_id >= 20, r.doc_id >= 30, s.live, s.n_owners, s.n_repositories) for r in got for s in r.spans} == {(False, False, False, 1, 20), (True, False, True, 1, 8), (True, True, True, 1, 2)}
+    assert {len(r.spans) for r in got} == {1}  # opaque examples have no span
+    assert {(r.doc_id < 20, r.text) for r in secret_scan.redact(spark, docs).collect()} == {(True, rows[0][1]), (False, "<secret>")}
+
+
 # ---- languages
 
 
