@@ -6,7 +6,8 @@ trained on labelled pages and decoded by Viterbi, picks the blocks of the articl
 The labelled pages come from ``labelled_pages``: seeded layouts (menus, adverts, notices,
 sidebars, forms, comments, footers around an article) whose blocks are labelled as they are made.
 
-Scripts, styles, heads, comments and other markup are no blocks; character references are
+Scripts, styles, titles, comments and other markup are no blocks; a head ends at the first thing that can't be
+in one, and skipped markup without an end tag at the next block or the enclosing block's end; character references are
 decoded; white space in a block becomes one space. Null and empty html, and pages without an
 article, give the empty text; unclosed and stray tags are borne; repeated rows are read each;
 an empty table gives no rows; other columns are not read.
@@ -17,6 +18,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,11 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from .textkit import read_table, slices
 
 # Element names of HTML.
-SKIPPED = frozenset("script style head noscript template iframe svg math object canvas audio video select textarea title".split())
+SKIPPED = frozenset("script style noscript template iframe svg math object canvas audio video select textarea title".split())
+#: Those of SKIPPED whose content is no markup: without an end tag they hold the rest of the page, as in browsers.
+RAW = frozenset("script style iframe textarea title".split())
+#: Elements that can't be inside an unclosed one of SKIPPED.
+BREAKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table td th tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br input".split())
 CLOSED_BY_BLOCK = frozenset(["p"])
@@ -36,11 +42,48 @@ CLOSED_BY_SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
-_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in SKIPPED}
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
 Block = tuple[str, tuple[str, ...], int]  # text, features of the ancestors, characters inside links
 
 
+def skipped_ends(page: str) -> dict[int, int]:
+    """Where each skipped element of markup ends, by its start: after its end tag or, if the enclosing block ends first, at the first block inside it or else there."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    opened: Counter = Counter()
+    whole: list[int] = []  # open skipped elements with no block inside so far
+    pos = 0
+    while m := _TOKEN.search(page, pos):
+        pos, name = m.end(), (m[2] or "").lower()
+        if not name or name in INLINE or name in VOID and name not in BREAKS or name == "head":
+            continue
+        if m[1]:
+            while opened[name]:
+                own, at = stack.pop()
+                opened[own] -= 1
+                if own in SKIPPED:
+                    ends[at] = m.end() if own == name else ends.get(at, m.start())
+                if own == name:
+                    break
+            continue
+        if name in RAW:
+            end = _END[name].search(page, pos)
+            if not m[3].endswith("/") and (end or not opened["svg"]):
+                pos = end.end() if end else len(page)
+            continue
+        if name in BREAKS:
+            for at in whole:
+                ends.setdefault(at, m.start())
+            whole.clear()
+        if name not in VOID and not m[3].endswith("/"):
+            stack.append((name, m.start()))
+            opened[name] += 1
+            if name in SKIPPED:
+                whole.append(m.start())
+    return {at: len(page) for own, at in stack if own in SKIPPED} | ends
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order."""
     out: list[Block] = []
@@ -48,6 +91,7 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     linked = 0
     pos = 0
+    ends: dict[int, int] | None = None
 
     def flush() -> None:
         nonlocal linked
@@ -85,9 +129,17 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in SKIPPED:
             flush()
-            end = _END[name].search(page, pos)
-            if not m[3].endswith("/"):
+            if m[3].endswith("/"):
+                continue
+            if name in RAW:
+                end = _END[name].search(page, pos)
                 pos = end.end() if end else len(page)
+            else:
+                ends = skipped_ends(page) if ends is None else ends
+                pos = max(pos, ends.get(m.start(), pos))
+            continue
+        if name == "head":  # what can be in a head is skipped anyway; anything else ends it
+            flush()
             continue
         if name == "br":
             parts.append(" ")

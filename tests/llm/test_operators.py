@@ -250,6 +250,19 @@ def test_unseen_layouts(chain):
     assert right / total > 0.985
 
 
+@pytest.mark.parametrize("stray", ["", "<svg><path d='m'>", "<select><option>no", "<object data='x'>", "<noscript>", "<template>", "<video src='x'>no", "<math>", "<canvas>"])
+@pytest.mark.parametrize("head", ["<head><title>no</title><meta charset=utf-8>", "<head><title>no</title></head>", "<head><script>'</head>'</script><noscript><link></noscript>"])
+def test_missing_end_tags(head, stray):
+    body = f"<article>{stray}<h1>A</h1><p>One.</p><p>Two {stray}</p><div>Three<svg><text>no<svg></svg></text></svg> four</div>{stray}</article><p>Five.</p>{stray}<p>Six.</p>"
+    for page in (f"<html>{head}<body>{body}</body></html>", f"<html>{head}{body}"):
+        text = " ".join(b[0] for b in html_text.blocks(page))
+        assert text == "A One. Two Three four Five. Six."
+
+
+def test_many_unclosed_elements():
+    assert len(html_text.blocks("<svg><p>a" * 20_000)) == 20_000
+
+
 def test_page(spark, chain):
     page = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body>
       <nav><ul><li><a href="/">Home</a></li><li><a href="/x">More</a></li></ul></nav><!-- note --><div class="cookie notice">We use cookies.</div>
