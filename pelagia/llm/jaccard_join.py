@@ -10,7 +10,7 @@ candidates verified, which fall with the matches required) to its minimum.
 
 Runs of up to ``run`` postings of a token give their pairs at once. In longer runs neighbours of
 random orders are linked first; then sets outside the run's largest component meet all sets of the
-run in blocks, so no link between components is missed and none inside is looked for. That is done
+run, block by block on both sides, so no link between components is missed and none inside is looked for. That is done
 twice: first each set takes its best candidate of every other component in a block, which brings
 most of a group together; then those that are still apart take all. Candidates are verified on
 their whole sets. Components come from alternating stars.
@@ -225,6 +225,21 @@ def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, size: int,
     return scratch.table(both.mapInArrow(compare, "x long, y long").distinct(), f"{name}-links")
 
 
+def shared_keys(guest: np.ndarray, code: np.ndarray, held: np.ndarray, first: np.ndarray, guests: int, homes: int, before: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that each guest shares with each resident, and how many of them have a code below ``before``; ``held[first[c]:first[c + 1]]`` are the residents with key c."""
+    both, early = np.zeros(guests * homes, np.int64), np.zeros(guests * homes, np.int64)
+    count = first[code + 1] - first[code]
+    part = np.cumsum(count) // CHUNK
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(code)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        k = count[a:b]
+        at = np.arange(int(k.sum())) + np.repeat(first[code[a:b]] - (np.cumsum(k) - k), k)
+        pair = np.repeat(guest[a:b] * homes, k) + held[at]
+        both += np.bincount(pair, minlength=len(both))
+        early += np.bincount(pair[np.repeat(code[a:b] < before, k)], minlength=len(both))
+    return both.reshape(guests, homes), early.reshape(guests, homes)
+
+
 def strays_meet(percent: int, best: bool):
     """In one block of a long run: visitors against residents of other components that share enough prefix tokens, at the first token that they share.
 
@@ -237,17 +252,22 @@ def strays_meet(percent: int, best: bool):
         lists = t["keys"].combine_chunks()
         flat, off = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
         names, code = np.unique(flat, return_inverse=True)
-        has = np.zeros((len(doc), len(names)), np.float32)
-        has[np.repeat(np.arange(len(doc)), np.diff(off)), code] = 1
+        row, place = np.repeat(np.arange(len(doc)), np.diff(off)), np.cumsum(visits) - 1
         guest, home = np.flatnonzero(visits), np.flatnonzero(~visits)
-        before = names < own
+        in_home = ~visits[row]
+        order = np.argsort(code[in_home], kind="stable")
+        held = (np.arange(len(doc)) - place - 1)[row[in_home][order]]  # residents by key
+        first = np.searchsorted(code[in_home][order], np.arange(len(names) + 1))
+        row, code = row[~in_home], code[~in_home]  # by guest
+        before = np.searchsorted(names, own)
         xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at in range(0, len(guest), 256):
             g = guest[at : at + 256]
             need = required(n[g][:, None], p[g][:, None], n[home][None, :], p[home][None, :], percent)
             good = (need > 0) & (comp[g][:, None] != comp[home][None, :]) & (~stray[home][None, :] | (doc[g][:, None] < doc[home][None, :]))
-            both = has[g] @ has[home].T
-            good &= (both >= need) & (has[g][:, before] @ has[home][:, before].T == 0)
+            mine = slice(*np.searchsorted(row, [g[0], g[-1] + 1]))
+            both, early = shared_keys(place[row[mine]] - at, code[mine], held, first, len(g), len(home), before)
+            good &= (both >= need) & (early == 0)
             i, j = np.nonzero(good)
             if best:
                 order = np.lexsort((need[i, j] - both[i, j], comp[home[j]], i))
@@ -261,16 +281,22 @@ def strays_meet(percent: int, best: bool):
     return run
 
 
-def long_runs(match: DataFrame, known: DataFrame, percent: int, best: bool, scratch: Scratch, name: str) -> DataFrame:
-    """Candidates (x < y) across the components ``known`` (node, component) in runs of ``match``."""
-    blocks = F.ceil(F.col("df") / BLOCK)
+def seated(match: DataFrame, known: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Rows of long runs in (key, block, guests): every block of residents with every block of strays that visit it, so a group is bounded by two blocks."""
+    blocks = lambda rows: F.ceil(rows / BLOCK)
     far = match.join(known.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    sums = far.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("k", "component")).alias("main")).where("parts > 1")
+    sums = far.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("k", "component")).alias("main"), (F.sum("k") - F.max("k")).alias("strays")).where("parts > 1")
     far = far.join(scratch.table(sums, f"{name}-runs"), "key").withColumn("stray", F.col("component") != F.col("main"))
-    seats = F.array(F.struct(F.pmod(F.xxhash64("doc"), blocks).alias("block"), F.lit(False).alias("visits")))
-    tour = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda b: F.struct(b.alias("block"), F.lit(True).alias("visits")))
-    meet = far.withColumn("seat", F.explode(F.when(F.col("stray"), F.concat(seats, tour)).otherwise(seats))).select("key", "seat.block", "doc", "n", "p", "keys", "component", "stray", "seat.visits")
-    return meet.groupBy("key", "block").applyInArrow(strays_meet(percent, best), "x long, y long").distinct()
+    own = lambda rows: F.pmod(F.xxhash64("doc"), blocks(rows))
+    every = lambda rows: F.sequence(F.lit(0).cast("long"), blocks(rows) - 1)
+    seats = F.transform(every(F.col("strays")), lambda b: F.struct(own(F.col("df")).alias("block"), b.alias("guests"), F.lit(False).alias("visits")))
+    tour = F.transform(every(F.col("df")), lambda b: F.struct(b.alias("block"), own(F.col("strays")).alias("guests"), F.lit(True).alias("visits")))
+    return far.withColumn("seat", F.explode(F.when(F.col("stray"), F.concat(seats, tour)).otherwise(seats))).select("key", "seat.block", "seat.guests", "doc", "n", "p", "keys", "component", "stray", "seat.visits")
+
+
+def long_runs(match: DataFrame, known: DataFrame, percent: int, best: bool, scratch: Scratch, name: str) -> DataFrame:
+    """Candidates (x < y) across the components ``known`` (node, component) in runs of ``match``."""
+    return seated(match, known, scratch, name).groupBy("key", "block", "guests").applyInArrow(strays_meet(percent, best), "x long, y long").distinct()
 
 
 def near_groups(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80, run: int = RUN) -> DataFrame:

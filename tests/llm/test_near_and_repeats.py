@@ -129,3 +129,24 @@ def test_equal_windows_have_equal_anchors(passage, left, right):
     for s, a in zip(start.tolist(), anchor.tolist()):
         assert by.setdefault(tuple(names[s:s + 20]), a) == a
     assert len(start) == int(np.maximum(0, np.diff(off) - 19).sum()) == len(place)
+
+
+def test_groups_of_long_runs_are_bounded(spark, monkeypatch):
+    """A run of strays only: every Spark group holds about two blocks, and all pairs that share enough still meet."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 32)
+    rng = random.Random(3)
+    sets = {d: sorted({7, *rng.sample(range(20), 9)}) for d in range(300)}
+    rows = [(d, 10, 6, keys, at, key, 300, len(keys) - at - 1) for d, keys in sets.items() for at, key in enumerate(keys) if key == 7]
+    match = spark.createDataFrame(rows, "doc long, n long, p long, keys array<long>, at int, key long, df long, rest long")
+    known = spark.createDataFrame([(d, d // 3 * 3) for d in range(300)], "node long, component long")
+    scratch = Scratch(spark, "bounded")
+    sizes = [r["count"] for r in jaccard_join.seated(match, known, scratch, "sizes").groupBy("key", "block", "guests").count().collect()]
+    assert max(sizes) <= 4 * 32 and len(sizes) == 100
+    want = set()
+    for x in sets:
+        for y in range(x + 1, 300):
+            both = set(sets[x]) & set(sets[y])
+            if x // 3 != y // 3 and len(both) >= jaccard_join.required(np.array(10), np.array(6), np.array(10), np.array(6), 85) and min(both) == 7:
+                want.add((x, y))
+    got = sorted(map(tuple, jaccard_join.long_runs(match, known, 85, False, scratch, "pairs").collect()))
+    assert want and got == sorted(want)
