@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
+import tempfile
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import covers_segment, nearest_on
 
-#: Edges of a model area that go to every task, at most.
-MAX_EDGES = 5_000_000
-
-
 def canonical_edges(edges: DataFrame, support: DataFrame | None = None) -> DataFrame:
     """Passable edges with both ends in the support, once each, with the least length in km."""
     out = edges.where("passable")
@@ -85,36 +78,25 @@ def dissolve(cells: DataFrame, parent: str, ring: str = "ring") -> DataFrame:
 
 
 def water_distances(edges: DataFrame, starts: DataFrame, connectors: DataFrame | None = None, cutoff_km: float | None = None) -> DataFrame:
-    """(seed, cell, distance) of every reachable cell: Dijkstra from each seed's node plus its connector length.
+    """(seed, cell, distance) of every reachable cell: the shortest way from the seed's nodes plus their connector lengths.
 
-    ``edges`` (a, b, km), ``starts`` (seed, cell, connector_km). A model area's graph is bounded (MAX_EDGES, checked) and goes to
-    every task once; seeds are spread over tasks. ``connectors`` (cell, target, connector_km) override the graph distance by one hop (J15).
+    ``edges`` (a, b, km), ``starts`` (seed, cell, connector_km). Each round joins the cells that came nearer with their edges; it is written
+    below ``spark.checkpoint.dir``, and the last is the one that brings none nearer. ``connectors`` (cell, target, connector_km) override the graph distance by one hop (J15).
     """
-    if (n := edges.count()) > MAX_EDGES:
-        raise ValueError(f"{n} edges; split the area")
-    table = edges.select("a", "b", "km").toArrow()
-    beside: dict = defaultdict(list)
-    for a, b, km in zip(*(table[c].to_pylist() for c in ("a", "b", "km")), strict=True):
-        beside[a].append((b, km))
-        beside[b].append((a, km))
-    shared = edges.sparkSession.sparkContext.broadcast(dict(beside))
-    kind = dict(edges.dtypes)["a"]
-
-    def reach(batches):
-        for batch in batches:
-            for seed, cell, first in zip(*(batch.column(c).to_pylist() for c in ("seed", "cell", "connector_km")), strict=True):
-                best, heap = {cell: first or 0.0}, [(first or 0.0, cell)]
-                while heap:
-                    d, at = heapq.heappop(heap)
-                    if d > best[at]:
-                        continue
-                    for to, km in shared.value.get(at, ()):
-                        if (e := d + km) < best.get(to, np.inf) and (cutoff_km is None or e <= cutoff_km):
-                            best[to] = e
-                            heapq.heappush(heap, (e, to))
-                yield pa.RecordBatch.from_pydict({"seed": [seed] * len(best), "cell": list(best), "distance": list(best.values())})
-
-    found = starts.select("seed", "cell", "connector_km").repartition("seed").mapInArrow(reach, f"seed {dict(starts.dtypes)['seed']}, cell {kind}, distance double")
+    context = edges.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pelagia-water-"))
+    ways = edges.select("a", "b", "km").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "km")).withColumnRenamed("a", "cell").checkpoint()
+    first = F.coalesce(F.col("connector_km").cast("double"), F.lit(0.0))
+    found = starts.select("seed", "cell", first.alias("distance")).groupBy("seed", "cell").agg(F.min("distance").alias("distance")).checkpoint()
+    nearer = found
+    while not nearer.isEmpty():
+        step = nearer.join(ways, "cell").select("seed", F.col("b").alias("cell"), (F.col("distance") + F.col("km")).alias("distance"))
+        step = step.where(F.col("distance").isNotNull() if cutoff_km is None else F.col("distance") <= cutoff_km)
+        both = found.withColumn("old", F.col("distance")).unionByName(step.withColumn("old", F.lit(None).cast("double")))
+        both = both.groupBy("seed", "cell").agg(F.min("distance").alias("distance"), F.min("old").alias("old")).checkpoint()
+        found = both.drop("old")
+        nearer = both.where(F.col("old").isNull() | (F.col("distance") < F.col("old"))).drop("old")
     if connectors is None:
         return found
     hop = connectors.select(F.col("cell").alias("__end"), F.col("target").alias("cell"), F.col("connector_km").alias("__km"))

@@ -253,3 +253,26 @@ def test_rosters(spark):
     assert {r.v for r in rosters.lookup(roster, inventory, "station", "v", 0.5).collect()} == {1.0, 0.5}
     both = rosters.bag_union([roster, inventory], "kind", ["r", "i"])
     assert both.count() == 3 and both.where("kind = 'r' and v is null").count() == 2
+
+
+def test_water_distances_without_a_cap_on_edges(spark, monkeypatch):
+    import random
+
+    from pelagia.operators import water
+
+    monkeypatch.setattr(water, "MAX_EDGES", 3, raising=False)
+    rng = random.Random(4)
+    edges = [(a, b, float(rng.randint(1, 9))) for a in range(12) for b in range(a + 1, 12) if rng.random() < 0.25] + [(20, 21, 1.0)]
+    starts = [(1, 0, 0.5), (2, 3, None), (3, 20, 9.0), (4, 99, 1.0)]
+    for cutoff in (None, 8.0):
+        want = {}
+        for seed, cell, first in starts:
+            best = {cell: first or 0.0}
+            for _ in range(30):
+                for a, b, km in edges:
+                    for x, y in ((a, b), (b, a)):
+                        if x in best and best[x] + km < best.get(y, 1e9) and (cutoff is None or best[x] + km <= cutoff):
+                            best[y] = best[x] + km
+            want |= {(seed, c): d for c, d in best.items()}
+        got = water.water_distances(spark.createDataFrame(edges, "a long, b long, km double"), spark.createDataFrame(starts, "seed long, cell long, connector_km double"), cutoff_km=cutoff).collect()
+        assert {(r.seed, r.cell): r.distance for r in got} == want and len(got) == len(want)
