@@ -7,10 +7,12 @@ decide how Spark partitions the work.
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import unicodedata
 import uuid
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -29,24 +31,31 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 class Scratch:
     """Tables of one run, written below ``spark.checkpoint.dir`` (shared by driver and executors).
 
-    A written table cuts lineage: a lost executor costs only the tasks that it ran.
-    Where the setting is absent (local tests) a temporary folder of the driver takes its place.
+    A written table cuts lineage: a lost executor costs only the tasks that it ran. Tables go when Spark ends.
+    Where the setting is absent a local session uses a temporary folder of its own; a cluster has to name a shared one.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = f"file://{os.path.join(tempfile.gettempdir(), 'pelagia-scratch')}"
             spark.sparkContext.setCheckpointDir(base)
         bound_batches(spark)
         self.spark = spark
-        self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.root, self.tables = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it again."""
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path)
-        self.spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop shuffle files of finished jobs
+        jvm = self.spark.sparkContext._jvm
+        jvm.System.gc()  # Spark's cleaner drops shuffle files of finished jobs only once the driver has let go of them
+        if not self.tables:
+            root = jvm.org.apache.hadoop.fs.Path(self.root)
+            root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(root)
+        self.tables += 1
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -156,8 +165,14 @@ def list_array(values: np.ndarray, off: np.ndarray, kind: pa.DataType) -> pa.Arr
 
 #: A letter with a symbol after it: always an end of a pre-token, apart from apostrophes.
 _EDGE = r"(\pL)([^\s\pL\pN'])"
-#: Texts with marks (which may compose with letters) or with the tokenizer's special strings are left as they are.
-_ODD = r"\pM|<\||\|>"
+
+
+@cache
+def _odd() -> str:
+    """Texts that are left whole between blanks: those with marks (which may compose with letters), with letters that the
+    tokenizer's normalisation (NFC, lower case) turns into letters and marks, or with its special strings."""
+    change = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha() and any(unicodedata.category(x)[0] == "M" for x in unicodedata.normalize("NFC", c).lower())]
+    return rf"\pM|<\||\|>|[{''.join(change)}]"
 
 
 class WordEncoder:
@@ -184,7 +199,7 @@ class WordEncoder:
 
     @staticmethod
     def pieces(texts: pa.Array) -> pa.ListArray:
-        if not pc.any(pc.match_substring_regex(texts, _ODD)).as_py():
+        if not pc.any(pc.match_substring_regex(texts, _odd())).as_py():
             texts = pc.replace_substring_regex(pc.ascii_lower(texts), pattern=_EDGE, replacement=r"\1 \2")
         return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
 

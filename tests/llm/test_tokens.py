@@ -7,9 +7,11 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pelagia.llm import textkit
 from pelagia.llm.packing import pack_documents, pack_sizes
 from pelagia.llm.textkit import Scratch, encoder, tokenizer_path
 from pelagia.llm.token_file import WaveletMatrix, load, read_documents, token_shards
@@ -38,6 +40,18 @@ def test_encoder_equals_tokenizer(texts):
         assert ids[off[k]:off[k + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_letters_with_symbols_after_them(tok):
+    """All letters below U+20000, some of which turn into letters and marks before they are cut."""
+    texts = [a + b + "x" for a in map(chr, range(0x20000)) if a.isalpha() for b in ",'"]
+    odd = pc.match_substring_regex(pa.array(texts), textkit._odd()).to_pylist()
+    for flag in (False, True):  # one odd text in a batch leaves all of it whole
+        part = [t for t, o in zip(texts, odd) if o == flag]
+        ids, off = encoder(tokenizer_path())(pa.array(part))
+        ids = ids.tolist()
+        assert [ids[a:b] for a, b in zip(off[:-1], off[1:])] == [e.ids for e in tok.encode_batch(part, add_special_tokens=False)]
+    assert "İ,x" in [t for t, o in zip(texts, odd) if o]
+
+
 def test_pieces_and_places(spark, tok):
     for shard_rows in (50_000, 2):
         got = pack_documents(spark, spark.createDataFrame(ROWS, SCHEMA).repartition(3), tokenizer_path(), shard_rows=shard_rows).collect()
@@ -80,7 +94,8 @@ def brute_step(counts, size, capacity):
 
 
 def test_rule_is_sum_of_squares():
-    from pelagia.llm.packing import SumOfSquares
+    from pelagia.llm import textkit
+from pelagia.llm.packing import SumOfSquares
 
     packer, counts = SumOfSquares(30), np.zeros(31, np.int64)
     for size in np.random.default_rng(0).integers(1, 31, 400).tolist():
