@@ -1,15 +1,15 @@
 """Operator 7, quality rules with risk-controlled thresholds.
 
-Each rule compares one signal of a text with a cutoff from a fixed ladder, mildest first. On
-labelled good documents (the holdout) the number that a cutoff would reject is tested against
-the exact binomial distribution: the cutoff holds if so few rejections have a probability of
-at most delta were the true rate of false rejection at the rule's limit or above. Cutoffs of
-a ladder are tested in order until one fails, which needs no correction; delta is shared by all
-ladders of all strata (Bonferroni) and the limit by the rules of a stratum (union bound). So with
-probability 1 - delta no stratum loses more than ``max_false`` of its good documents. A
-stratum with too few labels gets no cutoffs and rejects nothing.
-
-Null texts have no words and fail the base rules; a null stratum is a stratum; documents that
+Rules compare signals of a text with cutoffs. A fixed path of joint cutoffs leads from mild to
+strict; at each step all rules together reject some of a stratum's labelled good documents (the
+holdout), and that number is tested against the exact binomial distribution: a step holds if so
+few rejections have a probability of at most delta were the true rate of false rejection at
+``max_false`` or above. Steps are tested in order until one fails, which needs no correction
+within a stratum; delta is shared by the strata (Bonferroni). So with probability 1 - delta no
+stratum loses more than ``max_false`` of its good documents to the rules. A stratum with too few labels
+(fewer than log(delta / strata) / log(1 - max_false)) holds no step and rejects nothing.
+
+Null texts have no words and fail the base rules; null and empty strata are one stratum; documents that
 have both labels count as bad; repeated rows are judged each; empty tables give no rows, or
 no cutoffs; other columns are not read.
 """
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import Scratch, mix, read_table, slices, split_words, texts_of, window_hashes, word_hashes
+from .textkit import BROADCAST_IDS, Scratch, mix, read_table, slices, split_words, texts_of, window_hashes, word_hashes
 
 REPEAT = 8
 SYMBOLS = b"#*$%&|<>"
@@ -74,15 +74,26 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(np.asarray(x, np.int64)) for x in columns], names)
 
 
-#: Rules: a signal (SQL over SIGNALS, null where it says nothing), the side that is rejected, a ladder from mild to strict.
-RULES: dict[str, tuple[str, str, list[float]]] = {
-    "few_words": ("cast(n_words as double)", "<", [22, 25, 30, 35, 40, 50]),
-    "short_words": ("word_chars / nullif(cast(n_words as double), 0)", "<", [2.0, 2.5, 3.0, 3.25, 3.5]),
-    "long_words": ("word_chars / nullif(cast(n_words as double), 0)", ">", [20, 15, 12, 11, 10, 9, 8.5]),
-    "symbols": ("n_symbols / nullif(cast(n_words as double), 0)", ">", [2, 1, 0.5, 0.3, 0.2, 0.15, 0.1, 0.05]),
-    "same_lines": ("n_dup_lines / nullif(cast(n_lines as double), 0)", ">", [0.8, 0.6, 0.5, 0.4, 0.3, 0.2]),
-    "same_words": ("n_repeat_words / nullif(cast(n_words as double), 0)", ">", [0.28, 0.25, 0.22, 0.2, 0.15]),
+#: Rules: a signal (SQL over SIGNALS, null where it says nothing) and the side that is rejected.
+RULES: dict[str, tuple[str, str]] = {
+    "symbols": ("n_symbols / nullif(cast(n_words as double), 0)", ">"),
+    "long_words": ("word_chars / nullif(cast(n_words as double), 0)", ">"),
+    "short_words": ("word_chars / nullif(cast(n_words as double), 0)", "<"),
+    "same_lines": ("n_dup_lines / nullif(cast(n_lines as double), 0)", ">"),
+    "same_words": ("n_repeat_words / nullif(cast(n_words as double), 0)", ">"),
+    "few_words": ("cast(n_words as double)", "<"),
 }
+#: The path: cutoffs in force at each step, each at least as strict as the one before.
+PATH: list[dict[str, float]] = [
+    {"symbols": 2},
+    {"symbols": 1, "long_words": 20, "short_words": 1.5},
+    {"symbols": 0.5, "long_words": 15, "short_words": 2, "same_lines": 0.8},
+    {"symbols": 0.3, "long_words": 12, "short_words": 2.5, "same_lines": 0.6},
+    {"symbols": 0.2, "long_words": 10, "short_words": 3, "same_lines": 0.5, "same_words": 0.28},
+    {"symbols": 0.1, "long_words": 9, "short_words": 3.25, "same_lines": 0.4, "same_words": 0.25, "few_words": 22},
+    {"symbols": 0.05, "long_words": 8.5, "short_words": 3.5, "same_lines": 0.3, "same_words": 0.2, "few_words": 25},
+    {"symbols": 0.02, "long_words": 8, "short_words": 3.75, "same_lines": 0.2, "same_words": 0.15, "few_words": 30},
+]
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -91,49 +102,53 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 
 
 def choose(rejected: list[int], n: int, limit: float, delta: float) -> int:
-    """How many cutoffs of a ladder hold, given how many of n good documents each rejects."""
-    for level, k in enumerate(rejected):
+    """How many steps of the path hold, given how many of n good documents each rejects."""
+    for step, k in enumerate(rejected):
         if n == 0 or k / n >= limit or binomial_tail(k, n, limit) > delta:
-            return level
+            return step
     return len(rejected)
 
 
-def _level(name: str) -> Column:
-    """From which cutoff of its ladder on a rule rejects a row; as many as there are if none does."""
-    signal, side, ladder = RULES[name]
-    value, out = F.expr(signal), F.lit(len(ladder))
-    for k in reversed(range(len(ladder))):
-        out = F.when(value < ladder[k] if side == "<" else value > ladder[k], k).otherwise(out)
+def step_of(rule: str) -> Column:
+    """The first step at which a rule rejects a row; as many as there are if none does."""
+    signal, side = RULES[rule]
+    value, out = F.expr(signal), F.lit(len(PATH))
+    for k in reversed(range(len(PATH))):
+        if rule in PATH[k]:
+            out = F.when(value < PATH[k][rule] if side == "<" else value > PATH[k][rule], k).otherwise(out)
     return out
 
 
-def thresholds(signals: DataFrame, labels: DataFrame, max_false: float, delta: float) -> list[tuple]:
-    """(stratum, rule, level): a rule rejects rows of the stratum whose level is below. The counts that come to the driver are as many as strata, rules and cutoffs."""
+def base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
+def thresholds(signals: DataFrame, labels: DataFrame, max_false: float, delta: float) -> DataFrame:
+    """(own, held): how many steps of the path hold in each stratum that has labels, by counts over its good documents."""
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    held = signals.where("n_words >= 20 and 100 * n_repeat_words <= 30 * n_words").join(good, "doc_id", "left_semi")
-    each = held.select(F.coalesce("stratum", F.lit("")).alias("stratum"), F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), _level(r).alias("level")) for r in RULES))).alias("x"))
-    counts: dict[tuple[str, str], dict[int, int]] = {}
-    for r in each.groupBy("stratum", "x.rule", "x.level").count().collect():
-        counts.setdefault((r.stratum, r.rule), {})[r.level] = r["count"]
-    out = []
-    for (stratum, rule), by in sorted(counts.items()):
-        ladder = RULES[rule][2]
-        rejected = np.cumsum([by.get(k, 0) for k in range(len(ladder))]).tolist()
-        out.append((stratum, rule, choose(rejected, sum(by.values()), max_false / len(RULES), delta / len(counts))))
-    return out
+    tested = signals.where(~base_failed()).join(good, "doc_id", "left_semi")
+    counts = tested.groupBy(F.coalesce("stratum", F.lit("")).alias("own"), F.least(*(step_of(r) for r in RULES)).alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    strata = tested.agg(F.count_distinct(F.coalesce("stratum", F.lit(""))).alias("strata"))  # one row
+
+    def test(group: pa.Table) -> pa.Table:
+        by = dict(zip(group["step"].to_pylist(), group["n"].to_pylist(), strict=True))
+        rejected = np.cumsum([by.get(k, 0) for k in range(len(PATH))]).tolist()
+        held = choose(rejected, sum(by.values()), max_false, delta / group["strata"][0].as_py())
+        return pa.table({"own": group["own"][:1], "held": pa.array([held], pa.int32())})
+
+    return counts.join(F.broadcast(strata)).groupBy("own").applyInArrow(test, "own string, held int")
 
 
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, stratum: str = "lang", max_false: float = 0.02, delta: float = 0.05) -> DataFrame:
     """Signals of each row, base_failed, kept and the rules against it."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), "text")
-    signals = Scratch(spark, "quality").table(rows.mapInArrow(measure, SIGNALS), "signals")
-    limits = thresholds(signals, labels, max_false, delta)
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    own = F.coalesce("stratum", F.lit(""))
-    against = F.array_compact(F.array(*(
-        F.when(F.lit(False) if not (held := [(s, n) for s, x, n in limits if x == r and n]) else
-               _level(r) < F.coalesce(F.create_map(*(F.lit(v) for pair in held for v in pair))[own], F.lit(0)), F.lit(r)) for r in RULES)))
-    return signals.withColumn("base_failed", base).withColumn("against", against).withColumn("kept", ~base & (F.size("against") == 0))
+    scratch = Scratch(spark, "quality")
+    signals = scratch.table(rows.mapInArrow(measure, SIGNALS), "signals")
+    limits = scratch.table(thresholds(signals, labels, max_false, delta), "limits")
+    held = F.coalesce("held", F.lit(0))
+    against = F.array_compact(F.array(*(F.when(step_of(r) < held, F.lit(r)) for r in RULES)))
+    judged = signals.withColumn("own", F.coalesce("stratum", F.lit(""))).join(F.broadcast(limits) if limits.count() <= BROADCAST_IDS else limits, "own", "left")
+    return judged.withColumns({"base_failed": base_failed(), "against": against}).withColumn("kept", ~F.col("base_failed") & (F.size("against") == 0)).drop("own", "held")
 
 
 def op7_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,16 +130,53 @@ def test_quality_signals(spark, documents, corpus):
     assert quality_rules.judge(spark, documents.limit(0), labels.limit(0)).count() == 0
 
 
+def verdicts(rows, labels, max_false, delta):
+    """kept of each (doc_id, text, stratum), step by step: exact binomial sums in rational numbers."""
+    from fractions import Fraction
+    from math import comb
+
+    def rejects(t, step):
+        n, chars, signs, dup, rep, _ = signals(t)
+        lines = sum(bool(WORD.search(x)) for x in (t or "").split("\n"))
+        value = {"symbols": signs / n, "long_words": chars / n, "short_words": chars / n, "same_lines": dup / lines, "same_words": rep / n, "few_words": n}
+        return any(value[r] < c if r in ("short_words", "few_words") else value[r] > c for r, c in quality_rules.PATH[step].items())
+
+    bad, good = {d for d, q in labels if q == 0}, {d for d, q in labels if q == 1}
+    held = collections.defaultdict(list)
+    for d, t, s in rows:
+        if d in good - bad and not signals(t)[5]:
+            held[s or ""].append(t)
+    steps = collections.defaultdict(int)
+    p = Fraction(max_false)
+    for s, texts in held.items():
+        for step in range(len(quality_rules.PATH)):
+            k, n = sum(rejects(t, step) for t in texts), len(texts)
+            if k >= p * n or sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) > Fraction(delta) / len(held):
+                break
+            steps[s] = step + 1
+    return sorted((d, not signals(t)[5] and not (steps[s or ""] and rejects(t, steps[s or ""] - 1))) for d, t, s in rows), steps
+
+
 def test_risk_is_held(spark):
     rng = np.random.default_rng(3)
-    rows = [(k, " ".join(["word"[: rng.integers(2, 5)] + str(rng.integers(0, 10**6)) + ("#" * 3 if k % 4 == 0 else "") for _ in range(40)]), "xx" if k % 2 else "yy") for k in range(1600)]
+    rows = []
+    for k in range(1200):
+        kind = rng.random() if k % 3 == 0 else 0
+        tail = "###" if kind > 0.5 else "ssssssssss" if kind > 0.3 else ""
+        rows.append((k, " ".join("word"[: rng.integers(2, 5)] + str(rng.integers(0, 10**6)) + tail for _ in range(rng.integers(18, 60))), ["xx", "yy", "xx", None][k % 4]))
+    labels = [(k, int(k % 3 != 0)) for k in range(1200) if k % 4 != 3 or k < 200] + [(4, 0), (4, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(k, int(k % 4 != 0)) for k in range(1600)], "doc_id long, quality int")
-    got = quality_rules.judge(spark, docs, labels, max_false=0.12).collect()
-    good = [r for r in got if r.doc_id % 4]
-    assert sum(not r.kept for r in good) <= 0.12 * len(good)
-    junk = [r for r in got if r.doc_id % 4 == 0]
-    assert sum(not r.kept for r in junk) > 0.9 * len(junk)  # all in stratum yy, where good ones are few but enough
+    got = quality_rules.judge(spark, docs, spark.createDataFrame(labels, "doc_id long, quality int"), max_false=0.03).collect()
+    want, steps = verdicts(rows, labels, 0.03, 0.05)
+    assert sorted((r.doc_id, r.kept) for r in got) == want
+    assert steps["xx"] > 2 and steps["yy"] > 2 and steps[""] == 0  # the last has too few labels
+    assert any(r.against for r in got) and not any(r.against for r in got if r.stratum is None)
+    assert sum(bool(r.against) for r in got if r.doc_id % 3) <= 0.03 * 800
+
+
+def test_path_gets_stricter():
+    for a, b in zip(quality_rules.PATH, quality_rules.PATH[1:]):
+        assert all(b[r] >= c if quality_rules.RULES[r][1] == "<" else b[r] <= c for r, c in a.items())
 
 
 def test_binomial_bound():
