@@ -1,14 +1,16 @@
 """Operator 10, exact top-k by inner product with pivot-table elimination.
 
-Vectors become integers floor(1024 x). A table holds each vector's distances to ``pivots``
-vectors, picked farthest-first from a bounded sample. For a query q and a candidate x,
-max_p |d(q,p) - d(x,p)| bounds d(q,x) from below, and so
-(|q|^2 + |x|^2 - bound^2) / 2 bounds their inner product from above. Candidates are scored in
-falling order of that bound until it is under the k-th best score found; each query starts from
-its k-th best score in the sample.
-
-Queries and candidates meet in blocks: candidates are dealt to cells, queries to blocks, and one
-task sees one cell and one block, both bounded. Ties go to the smaller vec_id.
+Vectors become integers floor(1024 x). A table holds each vector's squared distances to ``pivots``
+vectors, picked farthest-first from a bounded sample; they are whole numbers, so nothing is lost. For a query q and
+a candidate x every pivot p bounds d(q,x) from below by |d(q,p) - d(x,p)|; together they tell where q and x
+lie in the span of the pivots and how far off it, and so give the largest lower bound that follows from them:
+d(q,x)^2 >= |q' - x'|^2 + (|q - q'|  - |x - x'|)^2, with q' and x' the projections. That bounds the inner product
+(|q|^2 + |x|^2 - d^2) / 2 from above by q'.x' + |q - q'| |x - x'|. Candidates are scored in falling order of the
+bound until it is under the k-th best score found.
+
+The table is dealt to files of ``CELL_ROWS`` vectors; queries come in batches of at most ``BATCH_QUERIES``, each
+broadcast to the tasks that read the files, so vectors move once whatever the number of queries, and a task gives
+k rows a query at most. Ties go to the smaller vec_id.
 Null vectors, and those with null or non-finite components, take no part; shorter vectors count
 as padded with zeros; of rows that share a query's vec_id none is its candidate, and they are
 one query (the smallest vector); repeated candidates count each; an empty table gives no rows.
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .textkit import Scratch, read_table
 
-CELL_ROWS, LEAST_CELLS, BLOCK_QUERIES = 1 << 16, 16, 4096
-STEP = 256
+CELL_ROWS, LEAST_CELLS, BATCH_QUERIES = 1 << 18, 12, 1 << 14
+#: Candidates scored first, and then at a time; bounds held at once.
+FIRST, STEP, CHUNK = 32, 32, 1 << 20
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -38,9 +41,9 @@ def matrix(column: pa.ChunkedArray | pa.Array, width: int, kind: type) -> np.nda
 
 
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Of integer rows to integer pivots; squares are exact below 2^53."""
+    """Squared, of integer rows to integer pivots; exact below 2^53."""
     x, pivots = x.astype(float), pivots.astype(float)
-    return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * (x @ pivots.T)))
+    return np.maximum(0, (x * x).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * (x @ pivots.T))
 
 
 def farthest_first(x: np.ndarray, m: int) -> np.ndarray:
@@ -57,70 +60,105 @@ def _score(x: np.ndarray, q: np.ndarray, exact: bool) -> np.ndarray:
     return (x.astype(float) @ q.astype(float)).astype(np.int64) if exact else x @ q
 
 
-def search(ids: np.ndarray, x: np.ndarray, dx: np.ndarray, qid: int, q: np.ndarray, dq: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """The k best (ids, scores) of one block for one query that reach ``least``, and how many candidates were scored."""
+class Span:
+    """Places in the span of the pivots, from squared distances to them."""
+
+    def __init__(self, pivots: np.ndarray):
+        p = pivots.astype(float)
+        self.norms = (p * p).sum(1)
+        u, s, _ = np.linalg.svd(p, full_matrices=False)
+        held = s > 1e-6 * s.max(initial=0)
+        self.to = u[:, held] / s[held]
+
+    def place(self, squares: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Coordinates in the span and the distance from it, given squared distances and squared lengths."""
+        inside = ((norms[:, None] + self.norms - squares) / 2) @ self.to
+        return inside, np.sqrt(np.maximum(0, norms - (inside * inside).sum(1)))
+
+
+def squared(x: np.ndarray) -> np.ndarray:
+    return (x.astype(float) ** 2).sum(1)
+
+
+def search(span: Span, ids: np.ndarray, x: np.ndarray, dx: np.ndarray, qids: np.ndarray, q: np.ndarray, dq: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query ids, candidate ids, scores) of the k best of ``x`` for each query, and how many candidates were scored."""
+    out, scored = [[], [], []], 0
     small = len(x) == 0 or float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, x.shape[1]) < 2**52
-    bound = np.abs(dx - dq).max(1, initial=0)
-    norm = (x.astype(float) ** 2).sum(1) + (q.astype(float) ** 2).sum()
-    upper = (norm - np.maximum(0, bound * (1 - 1e-9) - 1e-6) ** 2) / 2 + 1e-3  # rounding is on the safe side
-    upper[ids == qid] = -np.inf
-    order = np.flatnonzero(upper >= least)
-    order = order[np.argsort(-upper[order], kind="stable")]
-    got_id, got = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    done = 0
-    while done < len(order) and upper[order[done]] >= least:
-        at = order[done : done + STEP]
-        done += len(at)
-        got_id, got = np.append(got_id, ids[at]), np.append(got, _score(x[at], q, small))
-        best = np.lexsort((got_id, -got))[:k]
-        got_id, got = got_id[best], got[best]
-        if len(got) == k:
-            least = max(least, float(got[-1]))
-    keep = got_id != qid
-    return got_id[keep], got[keep], done
-
-
-def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 32, sample: int = 2000) -> DataFrame:
+    nx, nq = squared(x), squared(q)
+    (ax, bx), (aq, bq) = span.place(dx, nx), span.place(dq, nq)
+    slack = 1e-9 * np.sqrt(nx.max(initial=0) * nq) + 1e-3  # rounding is on the safe side
+    step = max(1, CHUNK // max(1, len(x)))
+    self_at = np.flatnonzero(np.isin(ids, qids))
+    self_of = ids[self_at]
+    for lo in range(0, len(q) if len(x) else 0, step):
+        upper = aq[lo : lo + step] @ ax.T + bq[lo : lo + step, None] * bx + slack[lo : lo + step, None]
+        for i, bound in enumerate(upper, lo):
+            bound[self_at[self_of == qids[i]]] = -np.inf
+            n = len(bound)
+            order = np.argpartition(bound, n - FIRST)[n - FIRST :] if n > FIRST else np.arange(n)
+            got_id, got, done, size = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, STEP
+            while True:
+                order = order[bound[order] > -np.inf]
+                scored += len(order)
+                got_id, got = np.append(got_id, ids[order]), np.append(got, _score(x[order], q[i], small))
+                best = np.lexsort((got_id, -got))[:k]
+                got_id, got = got_id[best], got[best]
+                least = got[-1] if len(got) == k else -1e300
+                if not done:  # all that can still be among the best, once, in falling order of their bounds
+                    bound[order] = -np.inf
+                    rest = np.flatnonzero(bound >= least)
+                    rest = rest[np.argsort(-bound[rest], kind="stable")]
+                    value, done = bound[rest], 1
+                at = done - 1
+                order = rest[at : at + size]
+                order = order[value[at : at + size] >= least]
+                if not len(order):
+                    break
+                done, size = done + size, 2 * size
+            for to, v in zip(out, (np.full(len(got), qids[i]), got_id, got), strict=True):
+                to.append(v)
+    return *(np.concatenate(v) if v else np.zeros(0, np.int64) for v in out), scored
+
+
+def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 56, sample: int = 2000) -> DataFrame:
     """query_id, rank, vec_id, score. Both inputs: vec_id, vec (array<long>)."""
     scratch = Scratch(spark, "top-k")
     rows = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("w")).first()
     width, cells = max(1, rows.w or 0), max(LEAST_CELLS, -(-rows.n // CELL_ROWS))
     drawn = vectors.orderBy(F.xxhash64(F.lit(5), F.col("vec_id")), "vec_id").limit(sample).toArrow()
-    seed_id, seed = drawn["vec_id"].to_numpy(), matrix(drawn["vec"], width, np.int64)
-    pivot = farthest_first(seed, pivots)
+    pivot = farthest_first(matrix(drawn["vec"], width, np.int64), pivots)
 
-    def table(batches):
+    def measure(batches):
         for b in batches:
             d = distances(matrix(b.column("vec"), width, np.int64), pivot)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("vec"), pa.array(list(d), pa.list_(pa.float64()))], ["vec_id", "vec", "dist"])
-
-    def first_guess(batches):
-        for b in batches:
-            q = matrix(b.column("vec"), width, np.int64)
-            d = distances(q, pivot)
-            least = []
-            for i, v in zip(b.column("vec_id").to_pylist(), q, strict=True):
-                s = np.sort(_score(seed, v, False)[seed_id != i])
-                least.append(float(s[-k]) if len(s) >= k else float("-inf"))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("vec"), pa.array(list(d), pa.list_(pa.float64())), pa.array(least, pa.float64())], ["vec_id", "vec", "dist", "least"])
-
-    asked = scratch.table(queries.groupBy("vec_id").agg(F.min("vec").alias("vec")).mapInArrow(first_guess, "vec_id long, vec array<long>, dist array<double>, least double"), "queries")
-    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-    held = vectors.mapInArrow(table, "vec_id long, vec array<long>, dist array<double>")
-    held = held.withColumn("cell", F.pmod(F.xxhash64(F.lit(1), F.col("vec_id")), F.lit(cells))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(2), F.col("vec_id")), F.lit(blocks))).withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [[], [], []]
-        if left.num_rows and right.num_rows:
-            ids, x, dx = left["vec_id"].to_numpy(), matrix(left["vec"], width, np.int64), matrix(left["dist"], len(pivot), float)
-            for qid, q, dq, least in zip(right["vec_id"].to_pylist(), matrix(right["vec"], width, np.int64), matrix(right["dist"], len(pivot), float), right["least"].to_pylist(), strict=True):
-                found, score, _ = search(ids, x, dx, qid, q, dq, k, least)
-                for to, v in zip(out, (np.full(len(found), qid), found, score), strict=True):
-                    to.append(v)
-        return pa.table({c: pa.array(np.concatenate(v) if v else [], pa.int64()) for c, v in zip(("query_id", "vec_id", "score"), out, strict=True)})
-
-    found = held.groupBy("cell", "block").cogroup(asked.groupBy("cell", "block")).applyInArrow(meet, FOUND)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(d.ravel().astype(np.int64)), d.shape[1]).cast(pa.list_(pa.int64())) if d.size else pa.array([[]] * len(d), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("vec"), lists], ["vec_id", "vec", "squares"])
+
+    table = "vec_id long, vec array<long>, squares array<long>"
+    held = scratch.table(vectors.repartition(cells, "vec_id").mapInArrow(measure, table), "pivot-table")
+    asked = queries.groupBy("vec_id").agg(F.min("vec").alias("vec")).mapInArrow(measure, table)
+    batches = max(1, -(-asked.count() // BATCH_QUERIES)) if rows.n else 1
+    asked = scratch.table(asked.withColumn("batch", F.pmod(F.xxhash64(F.lit(2), F.col("vec_id")), F.lit(batches))), "queries")
+    span = Span(pivot)
+
+    def ask(shared):
+        def run(read):
+            qids, q, dq = shared.value
+            read = [b for b in read if b.num_rows]
+            if read:
+                t = pa.Table.from_batches(read)
+                *found, _ = search(span, t["vec_id"].to_numpy(), matrix(t["vec"], width, np.int64), matrix(t["squares"], len(pivot), float), qids, q, dq, k)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], ["query_id", "vec_id", "score"])
+
+        return run
+
+    found = None
+    for batch in range(batches):  # each is bounded: about BATCH_QUERIES rows
+        own = asked.where(F.col("batch") == batch).toArrow()
+        shared = spark.sparkContext.broadcast((own["vec_id"].to_numpy(), matrix(own["vec"], width, np.int64), matrix(own["squares"], len(pivot), float)))
+        got = scratch.table(held.mapInArrow(ask(shared), FOUND), f"found-{batch}")
+        shared.destroy()
+        found = got if found is None else found.unionByName(got)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

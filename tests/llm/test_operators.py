@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pelagia.llm import exact_topk, html_text, language_id, quality_rules, secret_scan, source_mixing
 from pelagia.llm.textkit import split_words, word_hashes
@@ -260,14 +261,38 @@ def test_topk(spark):
     assert sorted(tuple(r)[:3] for r in exact_topk.top_k(spark, two, two).collect()) == [(100, 1, 200), (200, 1, 100)]
 
 
+def test_batches_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    vectors = spark.createDataFrame([(int(k), rng.integers(-900, 900, 8).tolist()) for k in range(300)], "vec_id long, vec array<long>")
+    asked = vectors.where("vec_id % 10 = 0")
+    want = sorted(map(tuple, exact_topk.top_k(spark, vectors, asked, k=3).collect()))
+    monkeypatch.setattr(exact_topk, "BATCH_QUERIES", 7)
+    assert sorted(map(tuple, exact_topk.top_k(spark, vectors, asked, k=3).collect())) == want and len(want) == 90
+
+
+def scored_share(x, queries, pivots=56):
+    """The share of candidates scored; results are held against the plain product."""
+    pivot = exact_topk.farthest_first(x[:2000], pivots)
+    d, ids, at = exact_topk.distances(x, pivot), np.arange(len(x)), np.arange(0, len(x), len(x) // queries)
+    qid, found, score, scored = exact_topk.search(exact_topk.Span(pivot), ids, x, d, at, x[at], d[at], 10)
+    for q in at:
+        best = sorted((-int(s), i) for i, s in enumerate(x @ x[q]) if i != q)[:10]
+        assert sorted(zip((-score[qid == q]).tolist(), found[qid == q].tolist())) == best
+    return scored / (len(at) * len(x))
+
+
 def test_bounds_spare_candidates():
     rng = np.random.default_rng(5)
-    x = (np.repeat(rng.normal(size=(20, 16)), 200, 0) * 900 + rng.normal(size=(4000, 16)) * 20).astype(int)
-    pivot = exact_topk.farthest_first(x[::7], 16)
-    d = exact_topk.distances(x, pivot)
-    ids, score, scored = exact_topk.search(np.arange(4000), x, d, 0, x[0], d[0], 10, float("-inf"))
-    best = sorted((-int(x[0] @ v), i) for i, v in enumerate(x) if i)[:10]
-    assert [(-s, i) for s, i in zip(score.tolist(), ids.tolist())] == best and scored < 3000
+    groups = (np.repeat(rng.normal(size=(20, 16)), 200, 0) * 900 + rng.normal(size=(4000, 16)) * 20).astype(int)
+    assert scored_share(groups, 40, 12) < 0.2
+    assert scored_share((rng.normal(size=(5000, 64)) * 128).astype(int), 50) < 0.15  # no structure at all
+    assert scored_share(np.repeat(rng.integers(-900, 900, (5, 6)), 300, 0), 20) <= 1  # copies, and pivots that depend on each other
+
+
+def test_bounds_spare_candidates_of_the_tables():
+    rows = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")["embedding"].to_pylist()
+    x = np.floor(1024 * np.array([r for r in rows if r is not None and None not in r], float)).astype(np.int64)
+    assert scored_share(x, 20) < 0.15
 
 
 # ---- pages
