@@ -3,8 +3,8 @@
 A shard file holds documents in ascending doc_id order: their ids (with an end id each) as a
 wavelet matrix, that is one bit-plane for each bit of an id, most significant first, where
 each plane's stable partition into zeros and ones gives the order of the next. Counts of
-ones before each block of 512 bits make rank constant-time and select a binary search, so one
-file answers access, count and locate without being unpacked. Spark writes the files as
+ones before each block of 512 bits are in the file too; they make rank constant-time and select a binary search,
+so one file answers access, count and locate without being unpacked or scanned. Spark writes the files as
 Parquet rows (payload, zstd) through its committer, so they can lie in any store and a lost
 task leaves nothing half-written.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .textkit import Scratch, encoder, read_table, slices, texts_of, tokenizer_path
 
-MAGIC = b"WVMX0001"
+MAGIC = b"WVMX0002"
 HEAD = struct.Struct("<8sQQI")
 BLOCK = 512
 #: Tokens of a shard at least, but for the last of a partition; a longer document makes it longer.
@@ -36,12 +36,10 @@ SHARD_TOKENS = 1 << 20
 class WaveletMatrix:
     """Succinct sequence of unsigned ids; all answers come from the bit-planes."""
 
-    def __init__(self, n: int, planes: np.ndarray):
-        self.n, self.planes = n, planes  # planes: [levels, bytes], little bit order
+    def __init__(self, n: int, planes: np.ndarray, before: np.ndarray):
+        self.n, self.planes, self.before = n, planes, before  # planes: [levels, bytes], little bit order; before: ones before each block, and all
         self.levels = len(planes)
-        ones = np.bitwise_count(planes.reshape(self.levels, -1, BLOCK // 8)).sum(2, dtype=np.int64)
-        self.before = np.concatenate([np.zeros((self.levels, 1), np.int64), np.cumsum(ones, 1)], 1)
-        self.zeros = n - self.before[:, -1]
+        self.zeros = n - before[:, -1].astype(np.int64)
 
     @classmethod
     def build(cls, ids: np.ndarray, levels: int) -> WaveletMatrix:
@@ -52,7 +50,8 @@ class WaveletMatrix:
             packed = np.packbits(bit, bitorder="little")
             planes[k, : len(packed)] = packed
             ids = np.concatenate([ids[~bit], ids[bit]])
-        return cls(len(ids), planes)
+        ones = np.bitwise_count(planes.reshape(levels, -1, BLOCK // 8)).sum(2, dtype=np.uint64)
+        return cls(len(ids), planes, np.concatenate([np.zeros((levels, 1), np.uint64), np.cumsum(ones, 1, dtype=np.uint64)], 1).astype("<u4" if len(ids) < 2**32 else "<u8"))
 
     def _bits(self, k: int) -> np.ndarray:
         return np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
@@ -77,7 +76,8 @@ class WaveletMatrix:
 
     def select(self, k: int, bit: int, j: int) -> int:
         """Place of the j-th (from 0) ``bit`` of plane k."""
-        count = self.before[k] if bit else np.arange(self.before.shape[1]) * BLOCK - self.before[k]
+        ones = self.before[k].astype(np.int64)
+        count = ones if bit else np.arange(len(ones)) * BLOCK - ones
         block = int(np.searchsorted(count, j, side="right")) - 1
         piece = np.unpackbits(self.planes[k, block * BLOCK // 8 : (block + 1) * BLOCK // 8], bitorder="little")
         return block * BLOCK + int(np.flatnonzero(piece == bit)[j - count[block]])
@@ -120,7 +120,7 @@ def dump(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray, levels:
     matrix = WaveletMatrix.build(ids, levels)
     known = np.array([d is not None for d in doc_ids], np.uint8)
     docs = np.array([d or 0 for d in doc_ids], "<i8")
-    return b"".join((HEAD.pack(MAGIC, len(ids), len(docs), levels), docs.tobytes(), known.tobytes(), sizes.astype("<i8").tobytes(), matrix.planes.tobytes()))
+    return b"".join((HEAD.pack(MAGIC, len(ids), len(docs), levels), docs.tobytes(), known.tobytes(), sizes.astype("<i8").tobytes(), matrix.before.tobytes(), matrix.planes.tobytes()))
 
 
 def load(payload: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
@@ -132,8 +132,10 @@ def load(payload: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
     ids = np.frombuffer(payload, "<i8", docs, at)
     known = np.frombuffer(payload, np.uint8, docs, at := at + 8 * docs)
     sizes = np.frombuffer(payload, "<i8", docs, at := at + docs)
-    planes = np.frombuffer(payload, np.uint8, offset=at + 8 * docs).reshape(levels, -1)
-    return [int(d) if k else None for d, k in zip(ids, known, strict=True)], np.concatenate([[0], np.cumsum(sizes)]), WaveletMatrix(n, planes)
+    width, kind = -(-n // BLOCK) + 1, np.dtype("<u4" if n < 2**32 else "<u8")
+    before = np.frombuffer(payload, kind, levels * width, at := at + 8 * docs).reshape(levels, width)
+    planes = np.frombuffer(payload, np.uint8, offset=at + before.nbytes).reshape(levels, -1)
+    return [int(d) if k else None for d, k in zip(ids, known, strict=True)], np.concatenate([[0], np.cumsum(sizes)]), WaveletMatrix(n, planes, before)
 
 
 SHARDS = "part int, seq int, n_docs long, n_tokens long, payload binary"
@@ -163,7 +165,9 @@ def token_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, levels: int =
         if docs:
             yield shard()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # As many ranges as the input has splits, so a range is about a split's bytes whatever the session's setting.
+    ranges = max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(build, SHARDS)
 
 

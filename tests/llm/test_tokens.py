@@ -124,7 +124,11 @@ def test_files_round_trip(spark, tok):
 def test_wavelet_answers(values):
     ids = np.array(values, np.uint16)
     m = WaveletMatrix.build(ids, 6)
-    assert m.decode().tolist() == values
+    from pelagia.llm.token_file import dump
+
+    _, _, read = load(dump([1], np.array([len(ids)]), ids, 6))
+    assert read.before.tolist() == m.before.tolist() and read.decode().tolist() == values
+    m = read
     for i in {0, len(values) - 1, len(values) // 2}:
         assert m.access(i) == values[i]
         assert m.count(values[i], i) == values[:i].count(values[i])
