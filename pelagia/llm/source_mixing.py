@@ -15,15 +15,20 @@ is summed row by row. So no task sees a whole leaf.
 
 Null levels count as the empty name; null texts have no tokens and go with the prefix; rows of
 one doc_id are taken together; children of weight 0 get nothing; an empty table gives no rows;
-other columns stay as they are.
+columns of docs stay as they are, whatever their names. Tokens are words, so that SQL can count them, unless a tokenizer is given.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .textkit import WORD_PATTERN, Scratch, read_table
+from .textkit import WORD_PATTERN, Scratch, encoder, read_table, slices, texts_of
 
 LEVELS = ("domain", "lang", "source")
 DIGITS = 3
@@ -80,22 +85,44 @@ def cuts(rows: DataFrame, budgets: DataFrame, seed: int) -> DataFrame:
         *LEVELS, "budget", "whole", F.coalesce("key", "range", F.when(F.col("rest") >= F.col("supply"), "~").otherwise("")).alias("cut"))
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights: dict[str, dict[str, float]], share_of_supply: float = 0.8, epochs: int = 2, seed: int = 11) -> DataFrame:
-    """``docs`` (doc_id, text, lang, source, domain) with ``epoch`` and ``leaf_budget`` (instead of any of its own), a row for each time that a document is taken."""
-    docs = docs.drop("epoch", "leaf_budget")
-    levels = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in LEVELS]
-    tokens = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN), F.lit(0))).cast("long").alias("tokens")
+def counted(rows: DataFrame, tokenizer: str | None) -> DataFrame:
+    """``rows`` with ``tokens`` instead of ``text``: words by the word rule, or ids of the tokenizer."""
+    if tokenizer is None:
+        return rows.withColumn("tokens", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN), F.lit(0))).cast("long")).drop("text")
+    names = [c for c in rows.columns if c != "text"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            _, off = encoder(tokenizer)(texts_of(batch))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.diff(off))], [*names, "tokens"])
+
+    return rows.mapInArrow(count, StructType([*(rows.schema[c] for c in names), StructField("tokens", LongType())]))
+
+
+def mix(spark: SparkSession, docs: DataFrame, weights: dict[str, dict[str, float]], share_of_supply: float = 0.8, epochs: int = 2, seed: int = 11,
+        levels: dict[str, str] | None = None, tokenizer: str | None = None, own: tuple[str, str] = ("epoch", "leaf_budget")) -> DataFrame:
+    """``docs`` (doc_id, text, and what ``levels`` read) with two columns named ``own``, a row for each time that a document is taken.
+
+    ``levels``: SQL for domain, lang and source (columns of these names by default). A column of docs that has one of the ``own`` names
+    stays as it is, and the operator's gets ``mix_`` before its name.
+    """
+    names = docs.columns
+    told = [f"mix_{c}" if c in names else c for c in own]
+    mine = {c: f"c{k}" for k, c in enumerate(names)}  # no column of docs can clash with ours
+    tree = [F.coalesce(F.expr((levels or {}).get(c, c)).cast("string"), F.lit("")).alias(f"__{c}") for c in LEVELS]
+    held = docs.select("*", *tree).toDF(*mine.values(), *(f"at_{c}" for c in LEVELS))
     scratch = Scratch(spark, "mixing")
-    rows = scratch.table(docs.select("doc_id", *levels, tokens), "rows")
+    rows = held.select(F.col(mine["doc_id"]).alias("doc_id"), F.col(mine["text"]).alias("text"), *(F.col(f"at_{c}").alias(c) for c in LEVELS))
+    rows = scratch.table(counted(rows, tokenizer), "rows")
     leaves = scratch.table(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("supply")), "leaves")
     total = leaves.agg(F.sum("supply")).first()[0] or 0
     budgets = scratch.table(leaf_budgets(leaves, weights, total * share_of_supply, epochs), "budgets")
-    plan = scratch.table(cuts(rows, budgets, seed), "cuts").select(*(F.col(c).alias(f"__{c}") for c in (*LEVELS, "budget", "whole", "cut")))
-    on = [F.coalesce(docs[c].cast("string"), F.lit("")) == plan[f"__{c}"] for c in LEVELS]
-    whole, none = F.col("__whole"), F.array().cast("array<int>")
-    partial = F.when((whole < epochs) & (key(seed, whole) <= F.col("__cut")), F.array(whole)).otherwise(none)
+    plan = scratch.table(cuts(rows, budgets, seed), "cuts").select(*(F.col(c).alias(f"at_{c}") for c in LEVELS), "budget", "whole", "cut")
+    whole, none = F.col("whole"), F.array().cast("array<int>")
+    partial = F.when((whole < epochs) & (key(seed, whole, mine["doc_id"]) <= F.col("cut")), F.array(whole)).otherwise(none)
     before = F.when(whole > 0, F.sequence(F.lit(0), whole - 1)).otherwise(none)
-    return docs.join(plan, on).select(*docs.columns, F.explode(F.concat(before, partial)).alias("epoch"), F.col("__budget").alias("leaf_budget"))
+    taken = held.join(plan, [f"at_{c}" for c in LEVELS])
+    return taken.select(*(F.col(m).alias(c) for c, m in mine.items()), F.explode(F.concat(before, partial)).alias(told[0]), F.col("budget").alias(told[1]))
 
 
 #: The example tree: sources of one and of two digits are two domains.
@@ -104,9 +131,9 @@ WEIGHTS = {"domain": {"short": 0.6, "long": 0.4}, "lang": {"en": 0.4, "fr": 0.3,
 
 
 def op4_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").withColumn("domain", F.expr(DOMAIN))
-    got = mix(spark, docs.select("doc_id", "text", "lang", "source", "domain"), WEIGHTS)
-    return got.select("doc_id", "epoch", "domain", "lang", "source", "leaf_budget")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    got = mix(spark, docs, WEIGHTS, levels={"domain": DOMAIN})
+    return got.select("doc_id", "epoch", F.expr(DOMAIN).alias("domain"), "lang", "source", "leaf_budget")
 
 
 def _share_sql(name: str, above: list[str], level: str, weight: str) -> str:

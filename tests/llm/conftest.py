@@ -37,7 +37,7 @@ def documents(spark, corpus):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(corpus, DOCS).repartition(3)
-    return df.withColumns({c: F.lit("clash") for c in ("n", "key", "hash", "stratum", "component", "spans", "rank", "tokens", "epoch_", "part")}).cache()
+    return df.withColumns({c: F.lit("clash") for c in ("n", "key", "hash", "stratum", "component", "spans", "rank", "tokens", "epoch", "leaf_budget", "domain", "__cut", "budget", "whole", "part")}).cache()
 
 
 @pytest.fixture(scope="session")

@@ -13,7 +13,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pelagia.llm import exact_topk, html_text, language_id, quality_rules, secret_scan, source_mixing
-from pelagia.llm.textkit import split_words, word_hashes
+from pelagia.llm.textkit import split_words, tokenizer_path, word_hashes
+from tokenizers import Tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -212,8 +213,11 @@ def spread(budget, capacity, weight):
 
 def test_mixing(spark, documents, corpus):
     weights, epochs, seed = {"domain": {"d1": 3.0, "d2": 1.0}, "lang": {"fr": 5.0}}, 2, 11
-    docs = documents.withColumn("domain", source_mixing.F.expr("case when doc_id < 50 then 'd1' when doc_id < 90 then 'd2' end"))
-    got = source_mixing.mix(spark, docs, weights, 0.9, epochs, seed).select("doc_id", "domain", "lang", "source", "epoch", "leaf_budget").collect()
+    docs = documents
+    levels = {"domain": "case when doc_id < 50 then 'd1' when doc_id < 90 then 'd2' end"}
+    full = source_mixing.mix(spark, docs, weights, 0.9, epochs, seed, levels)
+    assert full.columns == [*docs.columns, "mix_epoch", "mix_leaf_budget"] and {tuple(r) for r in full.select("epoch", "leaf_budget", "domain", "__cut", "budget", "whole").collect()} == {("clash",) * 6}
+    got = full.select("doc_id", "lang", "source", full.mix_epoch.alias("epoch"), full.mix_leaf_budget.alias("leaf_budget")).collect()
     leaf, tokens = {}, collections.defaultdict(list)
     for d, t, lang, s, _ in corpus:
         leaf[d] = ("d1" if d < 50 else "d2" if d < 90 else "", lang or "", s or "")
@@ -239,6 +243,9 @@ def test_mixing(spark, documents, corpus):
                     want += [(d, e, b)] * len(by[d])
     assert sorted((r.doc_id, r.epoch, r.leaf_budget) for r in got) == sorted(want)
     assert source_mixing.mix(spark, docs.limit(0), weights).count() == 0
+    ids = source_mixing.counted(docs.select("doc_id", "text"), tokenizer_path()).collect()
+    tok = Tokenizer.from_file(tokenizer_path())
+    assert sorted(map(tuple, ids)) == sorted((r[0], len(tok.encode(r[1] or "", add_special_tokens=False).ids)) for r in corpus)
 
 
 # ---- top-k
@@ -374,7 +381,7 @@ def test_gradient_is_that_of_the_likelihood():
 def test_pipeline(spark, documents, tmp_path):
     import corpus_pipeline
 
-    docs = documents.select("doc_id", "text", "lang", "source", "n_chars")
+    docs = documents.select("doc_id", "text", "lang", "source", "n_chars", "epoch", "leaf_budget", "domain", "__cut", "key", "n")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     spans = collections.defaultdict(list)
