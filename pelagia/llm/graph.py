@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textkit import Scratch
 
 
-def _star(edges: DataFrame, smaller_too: bool) -> DataFrame:
-    """Links every neighbour to the smallest one around each node. The minimum is summed in the map tasks first, so hubs cost one row a task."""
+#: From this many links on, minima are written before they are joined.
+MANY = 1 << 20
+
+
+def _star(edges: DataFrame, smaller_too: bool, written: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Links every neighbour to the smallest one around each node. The minimum is summed in the map tasks first, so hubs cost one row
+    a task. ``written`` minima let Spark split a hub's rows in the join, as both sides then come straight from a shuffle."""
     if smaller_too:  # small star: each node and its smaller neighbours
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(edges.groupBy("a").agg(F.min("b").alias("m")), "min-small")
         moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))  # large star: each node's larger neighbours
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "min-large")
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
@@ -23,13 +30,21 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, component) of every node of ``links`` (x, y); the component is its smallest node."""
     edges = links.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     edges = scratch.table(edges, f"{name}-0")
-    before, k = None, 0
+    before, k, links = None, 0, edges.count()
     while True:
         k += 1
-        edges = scratch.table(_star(_star(edges, False), True), f"{name}-{k}")
-        scratch.drop(f"{name}-{k - 1}")
+        parts: list[str] = []
+
+        def written(df: DataFrame, part: str) -> DataFrame:
+            if links < MANY:
+                return df
+            parts.append(f"{name}-{k}-{part}")  # noqa: B023
+            return scratch.table(df, parts[-1])  # noqa: B023
+
+        edges = scratch.table(_star(written(_star(edges, False, written), "large"), True, written), f"{name}-{k}")
+        scratch.drop(f"{name}-{k - 1}", *parts)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, links = now, now[0]
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

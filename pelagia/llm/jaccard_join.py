@@ -16,7 +16,7 @@ most of a group together; then those that are still apart take all. Candidates a
 their whole sets. Components come from alternating stars.
 
 Null and empty texts have no shingles and link with nothing; rows with null doc_id get no
-component; rows that share a doc_id are one node; an empty table gives no rows; other
+component; rows that share a doc_id are one node with all their texts; an empty table gives no rows; other
 columns are not read.
 """
 
@@ -310,7 +310,11 @@ def near_groups(spark: SparkSession, docs: DataFrame, size: int = 5, percent: in
     # Sums are written before they are joined: Spark splits hot keys only where both sides come straight from a shuffle.
     classes = scratch.table(full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("doc")), "classes")
     members = scratch.table(full.join(classes, ["n", "f1", "f2"]).select("doc_id", "doc"), "members")
-    copies = scratch.table(members.where("doc_id <> doc").select("doc_id").distinct(), "copies")
+    # Rows that share a doc_id are one node even where their texts differ: such a node is in several classes, and links them.
+    nodes = scratch.table(members.groupBy("doc_id").agg(F.min("doc").alias("low"), F.max("doc").alias("high")), "nodes")
+    copies = scratch.table(nodes.where("low < doc_id and high < doc_id").select("doc_id"), "copies")
+    several = scratch.table(nodes.where("low < high").select("doc_id"), "several")
+    bridges = by_ids(members, several, "left_semi").where("doc_id <> doc").select(F.least("doc_id", "doc").alias("x"), F.greatest("doc_id", "doc").alias("y")).distinct()
 
     posted = scratch.table(by_ids(docs.where("doc_id is not null"), copies, "left_anti").mapInArrow(prefixes(size, percent, often), "doc long, n long, p long, keys array<long>").where("n > 0"), "prefixes")
     each = posted.select("doc", "n", "p", F.explode("keys").alias("key"))
@@ -326,7 +330,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, size: int = 5, percent: in
         "key", F.when(F.col("df") > run, F.pmod(F.xxhash64("key", "doc"), blocks)).otherwise(0).cast("long").alias("salt"), F.xxhash64("doc", "key").alias("order"),
         "doc", "n", "p", "rest", F.when(F.col("df") > run, 2).otherwise(run).cast("long").alias("reach"))
     pairs = near.repartition("key", "salt").sortWithinPartitions("key", "salt", "order").mapInArrow(run_pairs(percent), "x long, y long").distinct()
-    links = verified(spark, docs, scratch.table(pairs, "pairs"), size, percent, scratch, "near")
+    links = verified(spark, docs, scratch.table(pairs, "pairs"), size, percent, scratch, "near").unionByName(scratch.table(bridges, "bridges"))
 
     for name, best in (("best", True), ("far", False)):
         known = scratch.table(components(links, scratch, f"{name}-stars"), f"{name}-components")
@@ -339,7 +343,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, size: int = 5, percent: in
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that have a smaller doc_id in their group; rows that repeat a doc_id and text stay once."""
+    """``docs`` without the documents that have a smaller doc_id in their group. Rows that share a doc_id are one document, with all its texts; those that repeat its text too stay once."""
     scratch = Scratch(spark, "one-of-each")
     groups = scratch.table(near_groups(spark, docs, size, percent), "groups")
     gone = scratch.table(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
@@ -347,7 +351,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, size: int = 5, percent: in
     left = by_ids(docs, gone, "left_anti")
     if twice.isEmpty():
         return left
-    return by_ids(left, twice, "left_anti").unionByName(by_ids(left, twice, "left_semi").dropDuplicates(["doc_id"]))
+    return by_ids(left, twice, "left_anti").unionByName(by_ids(left, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op5_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import sys
 import tempfile
+import time
 import unicodedata
 import uuid
 from collections.abc import Iterator
@@ -35,6 +36,8 @@ class Scratch:
     Where the setting is absent a local session uses a temporary folder of its own; a cluster has to name a shared one.
     """
 
+    cleaned = 0.0
+
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
@@ -51,7 +54,9 @@ class Scratch:
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path)
         jvm = self.spark.sparkContext._jvm
-        jvm.System.gc()  # Spark's cleaner drops shuffle files of finished jobs only once the driver has let go of them
+        if time.monotonic() - Scratch.cleaned > 5:  # Spark's cleaner drops shuffle files of finished jobs only once the driver has let go of them
+            jvm.System.gc()
+            Scratch.cleaned = time.monotonic()
         if not self.tables:
             root = jvm.org.apache.hadoop.fs.Path(self.root)
             root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(root)

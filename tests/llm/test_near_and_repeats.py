@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pelagia.llm import jaccard_join, substring_dedup
+from pelagia.llm import graph, jaccard_join, substring_dedup
 from pelagia.llm.graph import components
 from pelagia.llm.textkit import Scratch, split_words, word_hashes
 
@@ -25,7 +25,7 @@ def shingles(text, size):
 
 
 def groups_of(rows, size, percent):
-    sets, parent = [(r[0], shingles(r[1], size)) for r in rows], {r[0]: r[0] for r in rows}
+    sets, parent = [(r[0], shingles(r[1], size)) for r in rows], {r[0]: r[0] for r in rows}  # rows of one id are one node
 
     def find(x):
         while parent[x] != x:
@@ -72,7 +72,19 @@ def test_one_of_each(spark, documents, corpus):
     assert sorted(r[0] for r in left) == sorted(want)
 
 
-def test_components_of_a_long_path(spark):
+def test_one_id_with_two_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (5, b), (7, a), (7, b + " tail"), (8, c), (9, c), (9, "quite another text of six"), (3, "lone words of another kind here"), (3, "lone words of another kind here"), (3, c + " and more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, jaccard_join.near_groups(spark, docs, 4, 85).collect()))
+    assert got == groups_of(rows, 4, 85)
+    left = sorted(map(tuple, jaccard_join.one_of_each(spark, docs, 4, 85).collect()))
+    assert left == sorted({r for r in rows if dict((i, k) for i, _, k in groups_of(rows, 4, 85))[r[0]] == r[0]})
+
+
+@pytest.mark.parametrize("many", [1 << 20, 0])
+def test_components_of_a_long_path(spark, monkeypatch, many):
+    monkeypatch.setattr(graph, "MANY", many)
     n = 40
     links = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(100, 101), (101, 100)], "x long, y long")
     got = {r.node: r.component for r in components(links, Scratch(spark, "t"), "c").collect()}
