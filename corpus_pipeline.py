@@ -9,7 +9,6 @@ from __future__ import annotations
 from pelagia.llm import jaccard_join, language_id, packing, secret_scan, source_mixing
 from pelagia.llm.textkit import Scratch, read_table, tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +27,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes four fifths of the words by the target weights of domain, language and source, each document once at most."""
-    names = docs.columns
-    return source_mixing.mix(spark, docs.withColumn("domain", F.expr(source_mixing.DOMAIN)), source_mixing.WEIGHTS, share_of_supply=0.8, epochs=1).select(*names)
+    """Takes four fifths of the tokens by the target weights of domain, language and source, each document once at most."""
+    taken = source_mixing.mix(spark, docs, source_mixing.WEIGHTS, share_of_supply=0.8, epochs=1, levels={"domain": source_mixing.DOMAIN}, tokenizer=tokenizer_path())
+    return taken.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
