@@ -6,10 +6,12 @@ trained on labelled pages and decoded by Viterbi, picks the blocks of the articl
 The labelled pages come from ``labelled_pages``: seeded layouts (menus, adverts, notices,
 sidebars, forms, comments, footers around an article) whose blocks are labelled as they are made.
 
-Scripts, styles, titles, comments and other markup are no blocks; a head ends at the first thing that can't be
-in one, and skipped markup without an end tag at the next block or the enclosing block's end; character references are
-decoded; white space in a block becomes one space. Null and empty html, and pages without an
-article, give the empty text; unclosed and stray tags are borne; repeated rows are read each;
+Pages are read as browsers read them: scripts, styles, titles, comments and what stands in for media that can't be shown
+(inside canvas, video, object, ...) are no text and no edges of blocks; a head ends at the first thing that can't be
+in one, and skipped markup without an end tag at the next block or the enclosing block's end; a page that ends inside
+a tag, a comment or a script ends before it; formulas are text; character references are
+decoded; white space in a block becomes one space. Reading takes time in proportion to the page. Null and empty html, and
+pages without an article, give the empty text; unclosed and stray tags are borne; repeated rows are read each;
 an empty table gives no rows; other columns are not read.
 """
 
@@ -19,7 +21,7 @@ import html
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,78 +31,149 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from .textkit import read_table, slices
 
 # Element names of HTML.
-SKIPPED = frozenset("script style noscript template iframe svg math object canvas audio video select textarea title".split())
+SKIPPED = frozenset("script style noscript template iframe svg object canvas audio video select textarea title".split())
 #: Those of SKIPPED whose content is no markup: without an end tag they hold the rest of the page, as in browsers.
 RAW = frozenset("script style iframe textarea title".split())
 #: Elements that can't be inside an unclosed one of SKIPPED.
 BREAKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table td th tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br input".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br input ruby rt rp "
+                   "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts semantics".split())
 CLOSED_BY_BLOCK = frozenset(["p"])
 CLOSED_BY_SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: A whole tag with plain attributes; all others are read attribute by attribute.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:\s++[a-zA-Z][\w:.-]*+(?:=(?:\"[^\"<>]*+\"|'[^'<>]*+'))?+)*+)([\s/]*+)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_GAP = re.compile(r"[\s/]*+")
+_KEY = re.compile(r"([^\s/>][^\s/>=]*+)(\s*+=\s*+)?+")
+_BARE = re.compile(r"[^\s>]*+")
+_COMMENT_END = re.compile(r"--!?>")
+_ATTR = re.compile(r"([a-zA-Z][\w:.-]*+)=(?:\"([^\"]*+)\"|'([^']*+)')")
 _WORD = re.compile(r"[a-z]+")
-_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+#: Attributes that say what an element is for.
+_TELLING = frozenset(["class", "id", "role", "itemprop"])
 
 Block = tuple[str, tuple[str, ...], int]  # text, features of the ancestors, characters inside links
+Tag = tuple[int, int, bool, str, str, bool]  # start, end, closing, name, what telling attributes say, closed at once
+
+
+def _tag_by_attribute(page: str, at: int) -> Tag | None:
+    """The tag at ``at`` by the rules of HTML: unquoted values end at a blank or ``>``. None if the page ends first."""
+    m = _NAME.match(page, at)
+    pos, told = m.end(), []
+    while True:
+        pos = _GAP.match(page, pos).end()
+        if pos >= len(page):
+            return None
+        if page[pos] == ">":
+            return at, pos + 1, bool(m[1]), m[2].lower(), " ".join(told), page[pos - 1] == "/"
+        k = _KEY.match(page, pos)
+        pos, value = k.end(), ""
+        if k[2]:
+            quote = page[pos : pos + 1]
+            if quote in ('"', "'"):
+                end = page.find(quote, pos + 1)
+                if end < 0:
+                    return None
+                value, pos = page[pos + 1 : end], end + 1
+            else:
+                v = _BARE.match(page, pos)
+                value, pos = v[0], v.end()
+        if k[1].lower() in _TELLING:
+            told.append(value)
+
+
+def tags(page: str) -> list[Tag]:
+    """Tags, comments (no name) and raw elements (one tag each, closed at once) in page order; the rest is text."""
+    out: list[Tag] = []
+    at, svg, endless = page.find("<"), 0, set()
+    n = len(page)
+    while 0 <= at < n:
+        m = _TAG.match(page, at)
+        if m:
+            told = " ".join(v for key, *values in _ATTR.findall(m[3]) if key.lower() in _TELLING for v in values if v) if m[3] else ""
+            tag: Tag | None = (at, m.end(), bool(m[1]), m[2].lower(), told, "/" in m[4])
+        elif _NAME.match(page, at):
+            tag = _tag_by_attribute(page, at)
+        elif page.startswith("<!--", at):
+            end = at + 5 if page.startswith(">", at + 4) else at + 6 if page.startswith("->", at + 4) else (c.end() if (c := _COMMENT_END.search(page, at + 4)) else n)
+            tag = (at, end, False, "", "", True)
+        elif page[at + 1 : at + 2] in ("!", "?", "/") and at + 2 < n:
+            end = page.find(">", at + 2) + 1
+            tag = (at, end or n, False, "", "", True)
+        else:
+            at = page.find("<", at + 1)
+            continue
+        if tag is None:
+            out.append((at, n, False, "", "", True))
+            break
+        _, end, closing, name, _, empty = tag
+        if name == "svg" and not empty:
+            svg = max(0, svg - 1) if closing else svg + 1
+        if name in RAW and not closing:
+            close = None if name in endless or empty and svg else _END[name].search(page, end)
+            if close:
+                tag = (at, page.find(">", close.end()) + 1 or n, False, name, "", True)
+            elif svg:
+                endless |= set() if empty else {name}
+                tag = (at, end, False, "", "", True)
+            else:
+                tag = (at, n, False, name, "", True)
+        out.append(tag)
+        at = page.find("<", tag[1])
+    return out
 
 
-def skipped_ends(page: str) -> dict[int, int]:
+def skipped_ends(found: list[Tag], n: int) -> dict[int, int]:
     """Where each skipped element of markup ends, by its start: after its end tag or, if the enclosing block ends first, at the first block inside it or else there."""
     ends: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
     opened: Counter = Counter()
     whole: list[int] = []  # open skipped elements with no block inside so far
-    pos = 0
-    while m := _TOKEN.search(page, pos):
-        pos, name = m.end(), (m[2] or "").lower()
-        if not name or name in INLINE or name in VOID and name not in BREAKS or name == "head":
+    for start, end, closing, name, _, empty in found:
+        if not name or name in INLINE or name in VOID and name not in BREAKS or name == "head" or name in RAW:
             continue
-        if m[1]:
+        if closing:
             while opened[name]:
                 own, at = stack.pop()
                 opened[own] -= 1
                 if own in SKIPPED:
-                    ends[at] = m.end() if own == name else ends.get(at, m.start())
+                    ends[at] = end if own == name else ends.get(at, start)
                 if own == name:
                     break
             continue
-        if name in RAW:
-            end = _END[name].search(page, pos)
-            if not m[3].endswith("/") and (end or not opened["svg"]):
-                pos = end.end() if end else len(page)
-            continue
         if name in BREAKS:
             for at in whole:
-                ends.setdefault(at, m.start())
+                ends.setdefault(at, start)
             whole.clear()
-        if name not in VOID and not m[3].endswith("/"):
-            stack.append((name, m.start()))
+        if name not in VOID and not empty:
+            stack.append((name, start))
             opened[name] += 1
             if name in SKIPPED:
-                whole.append(m.start())
-    return {at: len(page) for own, at in stack if own in SKIPPED} | ends
+                whole.append(start)
+    return {at: n for own, at in stack if own in SKIPPED} | ends
 
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order."""
+def blocks(page: str, known: Container[str] | None = None) -> list[Block]:
+    """Leaf blocks in page order, with those features of their ancestors that are ``known`` (all by default)."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, list[str], int]] = []  # name, features, nearest element at or above that is not inline
+    opened: Counter = Counter()
+    active: Counter = Counter()  # features of all open elements
     parts: list[str] = []
     linked = 0
-    pos = 0
-    ends: dict[int, int] | None = None
+    found = tags(page)
+    ends = skipped_ends(found, len(page)) if any(t[3] in SKIPPED and t[3] not in RAW for t in found) else {}
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                path = [f for _, own in stack for f in own]
-                leaf = next((name for name, _ in reversed(stack) if name not in INLINE), "")
-                out.append((text, (*dict.fromkeys(path), f"leaf={leaf}"), linked))
+                at = stack[-1][2] if stack else -1
+                out.append((text, (*active, f"leaf={stack[at][0] if at >= 0 else ''}"), linked))
             parts.clear()
         linked = 0
 
@@ -109,34 +182,34 @@ def blocks(page: str) -> list[Block]:
         if raw:
             text = html.unescape(raw)
             parts.append(text)
-            if any(name == "a" for name, _ in stack):
+            if opened["a"]:
                 linked += len(text.strip())
 
-    while m := _TOKEN.search(page, pos):
-        add(page[pos : m.start()])
-        pos = m.end()
-        name = (m[2] or "").lower()
+    def pop() -> str:
+        name, own, _ = stack.pop()
+        opened[name] -= 1
+        for f in own:
+            active[f] -= 1
+            if not active[f]:
+                del active[f]
+        return name
+
+    pos = 0
+    for start, end, closing, name, told, empty in found:
+        if start < pos:  # inside something skipped
+            continue
+        add(page[pos:start])
+        pos = end
         if not name:
-            if m[0].startswith("<![CDATA["):
-                add(html.escape(m[0][9:].removesuffix("]]>")))
             continue
-        if m[1]:
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+        if closing:
             if name not in INLINE:
                 flush()
-            if at is not None:
-                del stack[at:]
+            while opened[name] and pop() != name:
+                pass
             continue
         if name in SKIPPED:
-            flush()
-            if m[3].endswith("/"):
-                continue
-            if name in RAW:
-                end = _END[name].search(page, pos)
-                pos = end.end() if end else len(page)
-            else:
-                ends = skipped_ends(page) if ends is None else ends
-                pos = max(pos, ends.get(m.start(), pos))
+            pos = end if empty else max(end, ends.get(start, end))
             continue
         if name == "head":  # what can be in a head is skipped anyway; anything else ends it
             flush()
@@ -145,13 +218,18 @@ def blocks(page: str) -> list[Block]:
             parts.append(" ")
         if name not in INLINE:
             flush()
-            closes = CLOSED_BY_BLOCK | CLOSED_BY_SELF.get(name, frozenset())
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in closes), None)
-            if at is not None and all(n in INLINE or n in closes for n, _ in stack[at:]):
-                del stack[at:]
-        if name not in VOID and not m[3].endswith("/"):
-            named = _WORD.findall(" ".join(filter(None, (x for groups in _ATTR.findall(m[3]) for x in groups))).lower()) if m[3] else ()
-            stack.append((name, (f"in={name}", *(f"is={w}" for w in named))))
+            closes = CLOSED_BY_SELF.get(name, frozenset()) | CLOSED_BY_BLOCK
+            at, cut = stack[-1][2] if stack else -1, None
+            while at >= 0 and stack[at][0] in closes:
+                cut = at
+                at = stack[at - 1][2] if at else -1
+            while cut is not None and len(stack) > cut:
+                pop()
+        if name not in VOID and not empty:
+            own = [f for f in (f"in={name}", *(f"is={w}" for w in dict.fromkeys(_WORD.findall(told.lower())))) if known is None or f in known]
+            stack.append((name, own, len(stack) if name not in INLINE else stack[-1][2] if stack else -1))
+            opened[name] += 1
+            active.update(own)
     add(page[pos:])
     flush()
     return out
@@ -207,7 +285,9 @@ def labelled_pages(n: int, seed: int = 17) -> Iterator[tuple[str, list[int]]]:
 
         def extra(role: str) -> None:
             tag, name = rng.choice(_ROLES[role])
-            marked = f' {rng.choice(["class", "id"])}="{name}"' if name else ""
+            if name and rng.random() < 0.5:  # names say more than tags
+                tag = rng.choice(("div", "section", "aside"))
+            marked = f' {rng.choice(["class", "id"])}="{rng.choice(['', '', 'site ', 'page '])}{name}"' if name else ""
             out.append(f"<{tag}{marked}>")  # noqa: B023
             if role in ("menu", "side") and rng.random() < 0.7:
                 out.append("<ul>")  # noqa: B023
@@ -339,7 +419,7 @@ def train(pages: Iterator[tuple[str, list[int]]], epochs: int = 8, rate: float =
 
 
 def main_text(page: str | None, chain: Chain) -> str:
-    found = blocks(page or "")
+    found = blocks(page or "", chain.names)
     return "\n".join(b[0] for b, keep in zip(found, chain.decode(features(found)), strict=True) if keep)
 
 

@@ -6,7 +6,9 @@ import collections
 import hashlib
 import html
 import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -328,10 +330,78 @@ def test_missing_end_tags(head, stray):
         assert text == "A One. Two Three four Five. Six."
 
 
+def seen(page):
+    return " ".join(b[0] for b in html_text.blocks(page))
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<p title=it's>One <b class=a\"b>two</b></p><p>three's</p>", "One two three's"), ("<!-->One<!--->two<!-- a --!>three<!-- > -->four", "Onetwothreefour"),
+    ("a < b && c > d <3 </> </ x> e", "a < b && c > d <3 e"), ("<p a='>'>One</p><p b=\">\">two</p>", "One two"), ("<p>Area <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here", "Area x=2 here"),
+    ("<p>one<script>no</script>two <svg><title>no</title></svg>three", "onetwo three"), ("<p>one<!-- never ends <p>no", "one"), ("<p>one<b no", "one"), ("<p>one</p><script>no", "one"),
+    ("<p>one<a href=x/>two</a><br/>three", "onetwo three"), ("<P CLASS=x>One<P>two</P>", "One two"), ("<script>'</script >'</script>", "'"), ("<?xml x?><!doctype html>one", "one"), ("<p a = 'x' b>one</p>", "one")])
+def test_odd_markup(page, text):
+    assert seen(page) == text
+
+
 def test_many_unclosed_elements():
     assert len(html_text.blocks("<svg><p>a" * 20_000)) == 20_000
 
 
+@pytest.mark.parametrize("part", ["<a ", '<a "', "<div class=k{}><p>x", "</x>", "<svg><title>", "<b><p></p>", "<!--", "<p a='", "<", "&amp", "<td><b>x", "<!-->", "<script></script x"])
+def test_time_grows_with_the_page(part, chain):
+    def seconds(n):
+        page = "".join(part.replace("{}", str(k)) for k in range(n))
+        start = time.perf_counter()
+        html_text.main_text(page, chain)
+        return time.perf_counter() - start
+
+    assert seconds(16_000) < 4 * max(seconds(8_000), 0.25)  # a quadratic reader takes minutes here
+
+
+def test_a_layout_of_another_kind(chain):
+    """Not one of ``labelled_pages``: nested wrappers, a table of contents, captions, a pull quote, quoted code."""
+    page = """<html lang=en><meta charset=utf-8><title>no</title><body class="home page"><div id=wrapper><div class="site-header"><a href=/>The Paper</a></div>
+      <div class=navbar><a href=/a>News</a> <a href=/b>Sports</a></div><div class="cookie consent">We use cookies. <button>OK</button></div>
+      <main id=main><article class="post entry"><h1>Rain over the bay</h1><p>It rained for two days, and the river rose by a metre.</p>
+      <h2>What comes next</h2><p>More of it &mdash; so says the office. <a href=/c>Read the report</a> for all its figures, please.</p>
+      <blockquote><p>We have seen nothing like this in years.</p></blockquote>
+      <div class="advertisement">Buy boots now!</div><p>The road stays closed until Monday.</p></article></main>
+      <div class=sidebar><h3>Most read</h3><ul><li><a href=/1>Boats</a><li><a href=/2>Tides</a></ul></div>
+      <div id=comments class=comments><h3>2 comments</h3><div class=comment>Stay safe out there!</div></div></div><div class="site-footer">&copy; The Paper</div>"""
+    assert html_text.main_text(page, chain).split("\n") == ["Rain over the bay", "It rained for two days, and the river rose by a metre.", "What comes next", "More of it — so says the office. Read the report for all its figures, please.",
+                                                           "We have seen nothing like this in years.", "The road stays closed until Monday."]
+
+
+def test_pages_of_the_tables(spark):
+    """The text of each page's article, read by the standard library's parser."""
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.out = 0, [[]]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            self.out += [[]] if tag in ("p", "h1", "h2", "h3", "li", "article", "div", "blockquote") else []
+            self.out[-1] += [" "] if tag == "br" else []
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            self.out += [[]] if tag in ("p", "h1", "h2", "h3", "li", "article", "div", "blockquote") else []
+
+        def handle_data(self, data):
+            self.out[-1] += [data] if self.inside else []
+
+    def want(page):
+        a = Article()
+        a.feed(page)
+        a.close()
+        return "\n".join(filter(None, (" ".join("".join(x).split()) for x in a.out)))
+
+    got = html_text.op3_html_crf(spark, "/root/testdata/sf0.01").collect()
+    pages = {r["page_id"]: want(r["html"]) for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()}
+    assert {r.page_id: r.text for r in got} == pages and all(r.n_chars == len(r.text) for r in got)
+
+
 def test_page(spark, chain):
     page = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body>
       <nav><ul><li><a href="/">Home</a></li><li><a href="/x">More</a></li></ul></nav><!-- note --><div class="cookie notice">We use cookies.</div>
