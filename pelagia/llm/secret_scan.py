@@ -5,9 +5,10 @@ counted over the corpus by distinct repositories and owners: a value that many o
 owners in many repositories each, is a widely copied example; any other is a live-looking credential. Spans of the base
 patterns always stay; spans of the wider patterns (``opaque``, ``pem``) are added where the
 counts speak for a live credential and no base span overlaps; a private key is one span with its
-body, whatever lies inside it, and is counted by its body. The SQL knows heads of keys and owners only.
+body, whatever lies inside it, and is counted by its body. The SQL knows only the heads of keys.
 
-Sums go by (value, owner, repository), then (value, owner), then value, each combined in the
+A text's matches become rows; places are running sums over them, and what overlaps is told from running extremes, so
+the work of a text grows with its length and matches, not with their square. Sums go by (value, owner, repository), then (value, owner), then value, each combined in the
 map tasks first, so a value in a third of all rows moves one row a task. Null and empty texts
 have no spans; a null owner counts as one owner of its own; repeated rows are scanned each; an
 empty table gives no rows; other columns are kept out of the way by names of our own.
@@ -15,7 +16,7 @@ empty table gives no rows; other columns are kept out of the way by names of our
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .textkit import Scratch, read_table
@@ -39,37 +40,37 @@ MAX_OWNERS = 2
 #: So is one with more distinct repositories than this for each of its owners.
 MAX_PER_OWNER = 8
 
-SPAN = "struct<start:long,rank:int,end:long,hash:string>"
+#: Code points of the blocks that a text is cut into before parts of it are taken.
+CUT = 1024
 
 
-def spans_of(text: Column, kind: str) -> Column:
-    """Spans (code points, end exclusive) of one kind. The text between matches gives their places."""
+def matches(text: Column, kind: str) -> Column:
+    """Matches of one kind in order: code points since the match before, its own, and its value's hash (null if the value is too short)."""
     pattern, group, least = KINDS[kind]
-    rank = list(KINDS).index(kind)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("found"), values.alias("value"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["gap"])
-        end = at + F.coalesce(F.length(x["found"]), F.lit(0))
-        span = F.struct(at.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.sha2(F.regexp_replace(x["value"], _BREAK, "") if kind == "pem" else x["value"], 256).alias("hash"))
-        keep = F.coalesce(F.length(x["value"]), F.lit(-1)) >= least
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def told(x: Column, at: Column) -> Column:
+        value = F.sha2(F.regexp_replace(x["value"], _BREAK, "") if kind == "pem" else x["value"], 256)
+        return F.struct(F.lit(list(KINDS).index(kind)).alias("rank"), at.alias("at"), F.length(x["gap"]).cast("long").alias("gap"),
+                        F.length(x["found"]).cast("long").alias("size"), F.when(F.length(x["value"]) >= least, value).alias("hash"))
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step)["out"]).otherwise(F.array().cast(f"array<{SPAN}>"))
+    none = F.array().cast("array<struct<rank:int,at:int,gap:bigint,size:bigint,hash:string>>")
+    return F.when(text.rlike(pattern), F.transform(F.filter(parts, lambda x: x["found"].isNotNull()), told)).otherwise(none)
 
 
-def scan(docs: DataFrame, text: str, owner: str, repository: str) -> DataFrame:
-    """row_id, the columns of docs, base and wider spans of each row. row_id holds within what is written of this."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumns({"__row": F.monotonically_increasing_id(), "__owner": F.col(owner).cast("string"), "__repo": F.col(repository).cast("string"),
-                             "__base": F.concat(*(spans_of(whole, k) for k in BASE)),
-                             "__wide": F.concat(*(spans_of(whole, k) for k in KINDS if k not in BASE))})
-    keys = F.filter("__wide", lambda w: w["rank"] == PEM_RANK)
-    clear = F.filter("__wide", lambda w: (w["rank"] == PEM_RANK) | ~F.exists(F.concat("__base", keys), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return rows.withColumns({"__base": F.array_sort("__base"), "__wide": clear})
+def placed(found: DataFrame) -> DataFrame:
+    """(row, owner, repo, rank, start, end, hash) of the matches of ``found``: start and end in code points, wider spans only where nothing of the base patterns and no private key overlaps them."""
+    each = found.where(F.size("__found") > 0).select(F.col("__row").alias("row"), F.col("__owner").alias("owner"), F.col("__repo").alias("repo"), F.inline("__found")).repartition("row")
+    upto = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row", "rank").orderBy("at"))
+    spans = each.withColumn("end", upto).withColumn("start", F.col("end") - F.col("size")).where("hash is not null")
+    firm = (F.col("rank") < len(BASE)) | (F.col("rank") == PEM_RANK)
+    own, sofar = Window.partitionBy("row"), (Window.unboundedPreceding, Window.currentRow)  # peers are part of a range
+    before = F.max(F.when(firm, F.col("end"))).over(own.orderBy(F.asc("start")).rangeBetween(*sofar))
+    after = F.min(F.when(firm, F.col("start"))).over(own.orderBy(F.desc("start")).rangeBetween(*sofar))
+    clear = (F.coalesce(before, F.lit(-1)) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end"))
+    return spans.withColumn("clear", firm | clear).where("clear").select("row", "owner", "repo", "rank", "start", "end", "hash")
 
 
 def ownership(spans: DataFrame) -> DataFrame:
@@ -81,21 +82,23 @@ def ownership(spans: DataFrame) -> DataFrame:
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id",
                  keep: tuple[str, ...] = ("doc_id",), max_owners: int = MAX_OWNERS, max_per_owner: int = MAX_PER_OWNER) -> DataFrame:
-    """The ``keep`` columns and, per row, base (array of spans) and spans (base and added ones, each with live: boolean and both counts)."""
+    """The ``keep`` columns and, per row, base and spans (base and added ones): arrays of spans, each with live: boolean, both counts and where the live ones before it end."""
     scratch = Scratch(spark, "secrets")
-    found = scratch.table(scan(docs.select(*dict.fromkeys((*keep, text, owner, repository))), text, owner, repository)
-                          .select(*keep, "__row", "__owner", "__repo", "__base", "__wide"), "found")
-    each = found.where(F.size("__base") + F.size("__wide") > 0).select("__row", F.col("__owner").alias("owner"), F.col("__repo").alias("repo"), F.explode(F.concat("__base", "__wide")).alias("span"))
-    each = each.select("__row", "owner", "repo", "span", F.col("span.hash").alias("hash"))
-    owned = scratch.table(ownership(each.select("hash", "owner", "repo")), "owned")  # written, so that Spark can split a hot value's join
+    whole = F.coalesce(F.col(text), F.lit(""))
+    found = docs.select(*dict.fromkeys((*keep, text, owner, repository))).withColumns({
+        "__row": F.monotonically_increasing_id(), "__owner": F.col(owner).cast("string"), "__repo": F.col(repository).cast("string"), "__found": F.concat(*(matches(whole, k) for k in KINDS))})
+    found = scratch.table(found.select(*keep, "__row", "__owner", "__repo", "__found"), "found")
+    spans = scratch.table(placed(found), "spans")
+    owned = scratch.table(ownership(spans.select("hash", "owner", "repo")), "owned")  # written, so that Spark can split a hot value's join
     live = (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_per_owner * F.col("n_owners"))
-    judged = each.join(owned, "hash").select("__row", "span", "n_owners", "n_repositories", live.alias("live"))
-    judged = judged.where(F.col("live") | (F.col("span.rank") < len(BASE)))
-    rows = judged.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("span.start", "span.rank", "span.end", "live", "n_owners", "n_repositories"))).alias("__spans"))
-    none = F.array().cast("array<struct<start:long,rank:int,end:long,live:boolean,n_owners:long,n_repositories:long>>")
-    some = F.size("__base") + F.size("__wide") > 0  # only these rows move
-    hit = found.where(some).join(rows, "__row", "left").select(*keep, F.col("__base").alias("base"), F.coalesce("__spans", none).alias("spans"))
-    return found.where(~some).select(*keep, F.col("__base").alias("base"), none.alias("spans")).unionByName(hit)
+    judged = spans.join(owned, "hash").withColumn("live", live).where(F.col("live") | (F.col("rank") < len(BASE)))
+    before = F.max(F.when(F.col("live"), F.col("end"))).over(Window.partitionBy("row").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1))
+    rows = judged.withColumn("before", F.coalesce(before, F.lit(0))).groupBy(F.col("row").alias("__row")).agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "live", "n_owners", "n_repositories", "before"))).alias("__spans"))
+    none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,live:boolean,n_owners:bigint,n_repositories:bigint,before:bigint>>")
+    some = F.size("__found") > 0  # only these rows move
+    hit = found.where(some).join(rows, "__row", "left").select(*keep, F.coalesce("__spans", none).alias("spans"))
+    both = found.where(~some).select(*keep, none.alias("spans")).unionByName(hit)
+    return both.select(*keep, F.filter("spans", lambda s: s["rank"] < len(BASE)).alias("base"), "spans")
 
 
 def _told(spans: Column) -> Column:
@@ -109,15 +112,21 @@ def redact(spark: SparkSession, docs: DataFrame, mark: str = "<secret>") -> Data
     own = {c: f"__c{k}" for k, c in enumerate(names)}  # no column of docs can clash with ours
     text = F.col(own["text"])
     spans = scan_secrets(spark, docs.toDF(*own.values()), own["text"], own["source"], own["doc_id"], tuple(own.values()))
-    live = F.filter("spans", lambda s: s["live"])
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    live = F.filter("spans", lambda s: s["live"] & (s["end"] > s["before"]))
+
+    def part(blocks: Column, at: Column, n: Column) -> Column:
+        """``n`` code points from ``at`` on, from the blocks that hold them."""
+        first = F.floor(at / CUT)
+        held = F.array_join(F.slice(blocks, (first + 1).cast("int"), (F.floor((at + n - 1) / CUT) - first + 1).cast("int")), "")
+        return F.when(n > 0, F.substring(held, (at - first * CUT + 1).cast("int"), n.cast("int"))).otherwise("")
 
-    def step(acc: Column, s: Column) -> Column:
-        cut = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        return F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], cut, F.lit(mark)).alias("out")))
+    def masked(z: Column) -> Column:
+        pieces = F.transform(z["live"], lambda s: F.concat(part(z["blocks"], s["before"], s["start"] - s["before"]), F.lit(mark)))
+        return F.concat(F.array_join(pieces, ""), part(z["blocks"], z["last"], z["size"] - z["last"]))
 
-    done = F.aggregate(live, start, step)
-    new = F.when(F.size(live) > 0, F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))).otherwise(text)
+    # A variable of a lambda is evaluated once, however many parts are taken from it.
+    cut = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)).alias("blocks"), live.alias("live"), F.array_max(F.transform(live, lambda s: s["end"])).alias("last"), F.length(text).cast("long").alias("size"))
+    new = F.when(F.size(live) > 0, F.transform(F.array(cut), masked)[0]).otherwise(text)
     changed = {"text": new}
     if "n_chars" in names:
         changed["n_chars"] = F.when(F.size(live) > 0, F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(own["n_chars"]))
@@ -149,7 +158,7 @@ def _found_sql(kind: str) -> str:
 SQL = f"""with d as (select row_number() over () rid, doc_id, source, coalesce(text, '') t from documents),
 e as ({" union all ".join(_found_sql(k) for k in KINDS)}),
 c as (select * from e where rank < {len(BASE)} or not exists (select 1 from e b where b.rid = e.rid and b.rank < {len(BASE)} and b.st < e.en and e.st < b.en)),
-f as (select h, count(distinct coalesce('=' || source, '')) <= {MAX_OWNERS} live from c group by h),
+f as (select h, count(distinct coalesce('=' || source, '')) owners, count(distinct coalesce('=' || source, '') || '/' || coalesce(cast(doc_id as varchar), '')) repos, owners <= {MAX_OWNERS} and repos <= {MAX_PER_OWNER} * owners live from c group by h),
 j as (select c.*, f.live from c join f using (h) where f.live or c.rank < {len(BASE)}),
 g as (select rid, {", ".join(f"count(*) filter (kind = '{k}') n_{k}" for k in BASE)},
       string_agg(kind || ':' || cast(st as bigint) || ':' || cast(en as bigint), ',' order by st, rank) filter (rank < {len(BASE)}) base,

@@ -66,6 +66,25 @@ def test_private_keys_are_told_apart_by_their_bodies(spark):
     assert [masked[k] for k in (7, 8, 9)] == texts[7:]
 
 
+def test_many_matches_in_one_text(spark):
+    """Twice the matches take about twice the time, and every span is where brute force finds it."""
+    def text(n):
+        return "é " + " ".join(f"token=abc{k:07d} {hashlib.sha256(str(k).encode()).hexdigest()} Aa1{'x' * 24}{k}" for k in range(n))
+
+    def seconds(n):
+        docs = spark.createDataFrame([(1, text(n), "a")], "doc_id long, text string, source string")
+        start = time.perf_counter()
+        got = secret_scan.redact(spark, docs).first().text
+        assert got == "é " + " ".join(["<secret>"] * 3 * n)
+        return time.perf_counter() - start
+
+    seconds(10)
+    assert seconds(16_000) < 4 * max(seconds(4_000), 2.5)
+    docs = spark.createDataFrame([(1, text(2000), "a")], "doc_id long, text string, source string")
+    got = secret_scan.scan_secrets(spark, docs).select(secret_scan._told(secret_scan.F.col("base")).alias("base"), secret_scan.F.size("spans").alias("n")).first()
+    assert got.base == base_spans(text(2000)) and got.n == 6000
+
+
 def test_values_in_many_repositories_of_one_owner_are_examples(spark):
     sample, few = "Sample1Token2In3Many4Documents5", "Live1Token2In3Few4Documents5"
     rows = [(k, f"token={sample} {sample}x", "hot") for k in range(20)] + [(20 + k, few, "hot") for k in range(8)]
