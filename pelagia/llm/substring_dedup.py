@@ -1,24 +1,24 @@
 """Operator 8, substring removal by recompression.
 
-Words of all texts are named by hashes, and rounds of recompression name runs and pairs of names:
-a run of one name becomes a name of its own, then a name on the left side of a (hashed) split of
-all names joins a neighbour on the right side. As names depend on nothing but what they cover,
-equal passages get equal names in all texts, but for a few at their edges; each name
-carries the words that it depends on. So two equal windows of ``window`` words hold the same names
-among those that depend on nothing outside, and the one with the smallest hash (of all that it
-depends on), the window's anchor, is the same in both. Windows without such a name (inside long runs) are their own anchor.
-
-1. Each text gives the hash of all its words and its distinct anchors. Later copies of whole
-   texts are settled by that hash.
-2. Anchors that occur once in the corpus clear their windows. Texts with others are read again
-   and give the 128-bit hashes of the windows behind these anchors; the first place of each window
-   in the corpus (smallest doc_id, then start) keeps its words, all others are marked.
-3. Marked texts are read once more to drop the words.
-
-Counts and first places are combined in the map tasks before rows move, and joins on window or
-anchor have one row a key on one side, so Spark can split hot keys. Null texts have no words;
-rows with null doc_id neither remove nor are removed; rows that share a doc_id count as one
-place; an empty table gives no rows; other columns are not read.
+Rounds of recompression name runs and pairs of names: a run of one name becomes a name of its own, then a name on the left
+side of a (hashed) split of all names joins a neighbour on the right side. A name's id is a hash of what it joins, so all
+tasks give equal passages equal names without an exchange, but for a few at their edges; each name carries the words that
+it depends on. Two rounds run inside the tasks that read the texts: there every word would have to move twice a round.
+The rounds after them are Spark's, on what is left:
+
+1. Of every window of ``window`` words the name with the smallest hash among those that depend on nothing outside is its
+   anchor, the same in equal windows (windows without one, inside long runs, are their own). Spark counts the anchors of all
+   texts; those that occur once take part no longer. Whole copies of texts are settled by a hash of all their words before.
+2. What an anchor's neighbouring windows reach together is its passage. Spark names passages globally, a table of (anchor, 128 bits
+   of all words) with the first place of each. Any later place of a passage is a verified repeat of all of it, however
+   many windows it has.
+3. Equal windows have equal anchors, so only the passages of an anchor that has several can still share windows: their first
+   places alone give a row a window, and the first place of each window keeps its words.
+
+Texts with such repeats are read once more to drop the words. Counts and first places are combined in the map tasks before
+rows move, and joins have one row a key on one side, so Spark can split hot keys. Words are compared by 128-bit hashes of
+passages and windows. Null texts have no words; rows with null doc_id neither remove nor are removed; of rows that share a
+doc_id none is earlier than another at the same start; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -173,51 +173,76 @@ def first_pass(window: int):
     return run
 
 
-def marked_windows(window: int):
-    """Of texts with their repeated anchors: the distinct windows behind these, each with its first start."""
+def text_tags(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A hash of all words of each text: rows of one doc_id may hold different texts."""
+    return signed(spans(h, off[:-1], off[1:]))
+
+
+def in_text(off: np.ndarray, rows: np.ndarray, tags: np.ndarray, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(first word in the batch, number of windows) of the spans of each row's own text."""
+    flat = lists.flatten()
+    own = np.repeat(rows, pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False))
+    start, n, tag = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+    mine = tag == tags[own]
+    return (start + off[own])[mine], n[mine]
+
+
+PASSAGES = "anchor long, c1 long, c2 long, doc_id long, start int, n int, tag long"
+
+
+def passages(window: int):
+    """Of texts with their repeated anchors: each place of such an anchor with a name for all that its ``n`` windows from ``start`` on hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             words, off = split_words(texts_of(batch))
             h = word_hashes(words)
-            start, anchor, _ = anchors(h, off, window)
+            start, anchor, place = anchors(h, off, window)
+            head = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)])
+            n = np.diff(np.append(head, len(place)))
+            start, anchor = start[head], anchor[head]
             text = np.searchsorted(off, start, side="right") - 1
             lists = batch.column("again")
             again, rows = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
             tag = mix(np.arange(batch.num_rows, dtype=np.uint64) + np.uint64(1))
             keep = np.isin(anchor + tag[text], again.view(np.uint64) + tag[rows])
-            start, text = start[keep], text[keep]
+            start, anchor, n, text = start[keep], anchor[keep], n[keep], text[keep]
+            end = start + n + window - 1
+            c1, c2 = spans(h, start, end), spans(mix(h ^ RUN_SALT), start, end)
+            columns = [*(pa.array(signed(x)) for x in (anchor, c1, c2)), batch.column("doc_id").take(pa.array(text)), pa.array(start - off[text], pa.int32()), pa.array(n, pa.int32()), pa.array(text_tags(h, off)[text])]
+            yield pa.RecordBatch.from_arrays(columns, [x.strip().split(" ")[0] for x in PASSAGES.split(",")])
+
+    return run
+
+
+def windows_of(window: int):
+    """Of texts with the places of passages: each window in them, with its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            words, off = split_words(texts_of(batch))
+            h = word_hashes(words)
+            tags = text_tags(h, off)
+            first, n = in_text(off, np.arange(batch.num_rows), tags, batch.column("places"))
+            start = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+            text = np.searchsorted(off, start, side="right") - 1
             w1, w2 = window_hashes(h, window)[start], window_hashes(mix(h ^ RUN_SALT), window)[start]
-            _, at = np.unique(w1 + tag[text], return_index=True)
-            doc = batch.column("doc_id").take(pa.array(text[at]))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(w1[at])), pa.array(signed(w2[at])), doc, pa.array(start[at] - off[text[at]])], ["w1", "w2", "doc_id", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(w1)), pa.array(signed(w2)), batch.column("doc_id").take(pa.array(text)), pa.array(start - off[text], pa.int32()), pa.array(tags[text])], ["w1", "w2", "doc_id", "start", "tag"])
 
     return run
 
 
 def drop_words(window: int):
-    """Of texts with the starts of windows that begin earlier elsewhere: what is kept. Windows that repeat inside a text are found here."""
+    """Of texts with the spans of windows that begin earlier elsewhere: what is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             words, off = split_words(texts_of(batch))
             n, h = np.diff(off), word_hashes(words)
             edge = np.zeros(len(h) + 1, np.int64)
-            lists = batch.column("marks")
-            size = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
-            marks = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(off[:-1], size)
-            text = np.repeat(np.arange(batch.num_rows), n)
-            w = window_hashes(h, window)
-            inside = np.flatnonzero(np.arange(len(w)) + window <= off[1:][text[: len(w)]])
-            tag = mix(np.arange(batch.num_rows, dtype=np.uint64) + np.uint64(1))
-            own = w[inside] + tag[text[inside]]
-            _, at, group = np.unique(own, return_index=True, return_inverse=True)
-            seen = at[group]  # the first window of each kind
-            later = inside[seen != np.arange(len(inside))]
-            gone = np.isin(own, own[np.searchsorted(inside, marks)]) if len(marks) else np.zeros(len(inside), bool)
-            for s in (later, inside[gone]):
-                np.add.at(edge, s, 1)
-                np.add.at(edge, s + window, -1)
+            first, many = in_text(off, np.arange(batch.num_rows), text_tags(h, off), batch.column("marks"))
+            np.add.at(edge, first, 1)
+            np.add.at(edge, first + many + window - 1, -1)
             removed = np.cumsum(edge)[:-1] > 0
             kept = words.filter(pa.array(~removed))
             total = np.concatenate([[0], np.cumsum(~removed)])[off]
@@ -235,23 +260,32 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, t
     first = scratch.table(docs.mapInArrow(first_pass(window), FIRST), "first")
     rows = scratch.table(first.drop("anchors", "inner"), "rows")
     full = first.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
-    firsts = full.groupBy("sha", "n_words").agg(F.min("doc_id").alias("doc"))
+    # Minima and counts are written before they are joined: Spark splits hot keys only where both sides come straight from a shuffle.
+    firsts = scratch.table(full.groupBy("sha", "n_words").agg(F.min("doc_id").alias("doc")), "firsts")
     copies = scratch.table(full.select("doc_id", "sha", "n_words").join(firsts, ["sha", "n_words"]).where("doc_id > doc").select("doc_id").distinct(), "copies")
 
     own = by_ids(full.select("doc_id", "anchors", "inner"), copies, "left_anti").select("doc_id", F.explode(F.concat("anchors", "inner")).alias("anchor"))
-    # Written before the join: Spark splits hot keys only where both sides come straight from a shuffle.
     twice = scratch.table(own.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor"), "twice")
     again = scratch.table(own.join(twice, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("again")), "again")
     ids = scratch.table(again.select("doc_id"), "again-ids")
     scratch.drop("first")
     suspects = scratch.table(by_ids(docs, ids, "left_semi").join(again, "doc_id"), "suspects")
 
-    windows = scratch.table(suspects.mapInArrow(marked_windows(window), "w1 long, w2 long, doc_id long, start long"), "windows")
-    first_at = scratch.table(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "first-at")
-    marks = windows.join(first_at, ["w1", "w2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_list("start").alias("marks"))
+    held = scratch.table(suspects.mapInArrow(passages(window), PASSAGES), "passages")
+    key, place = ["anchor", "c1", "c2"], F.struct("doc_id", "start", "n", "tag")
+    named = scratch.table(held.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("k")), "named")
+    again = held.join(named.where("k > 1").select(*key, "first.doc_id", "first.start").toDF(*key, "__doc", "__start"), key)
+    later = again.where("doc_id > __doc or doc_id = __doc and start > __start").select("doc_id", "start", "n", "tag")
+
+    several = scratch.table(named.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor"), "several")
+    open_ = named.select("anchor", "first.*").join(several, "anchor").groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "tag")).alias("places"))
+    windows = suspects.select("doc_id", "text").join(scratch.table(open_, "open"), "doc_id")
+    windows = scratch.table(windows.mapInArrow(windows_of(window), "w1 long, w2 long, doc_id long, start int, tag long"), "windows")
+    first_at = scratch.table(windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("w1", "w2", "first"), "first-at")
+    single = windows.join(first_at, ["w1", "w2"]).where("doc_id > first.doc_id or doc_id = first.doc_id and start > first.start").select("doc_id", "start", F.lit(1).alias("n"), "tag")
+    marks = scratch.table(later.unionByName(single).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "tag")).alias("marks")), "marks")
+    scratch.drop("windows", "passages", "named")
     kept = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
-    marks = scratch.table(marks, "marks")
-    scratch.drop("windows")
     done = suspects.select("doc_id", "text").join(marks, "doc_id", "left").mapInArrow(drop_words(window), kept)
 
     settled = scratch.table(copies.unionByName(ids).distinct(), "settled")

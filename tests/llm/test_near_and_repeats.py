@@ -126,6 +126,22 @@ def test_repeats_of_few_words(spark):
     assert sorted(map(tuple, got)) == removed(rows)
 
 
+def test_passages_with_other_words_around_them(spark):
+    """One passage between many neighbours, shifted, cut short, twice in a text, and under one id with two texts."""
+    rng = random.Random(11)
+    passage = [f"p{k}" for k in range(70)]
+    rows = []
+    for d in range(60):
+        a, b = sorted((rng.randrange(70), rng.randrange(71)))
+        around = [f"w{rng.randrange(40)}" for _ in range(rng.randint(0, 30))]
+        rows.append((d, " ".join([*around, *passage[a:b], *around[::-1], *(passage[b:] if d % 7 == 0 else passage[a:b] if d % 5 == 0 else [])])))
+    got = substring_dedup.remove_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == removed(rows)
+    two = [(1, " ".join(passage)), (4, "x y z " + " ".join(passage[:40])), (4, " ".join(f"q{k}" for k in range(50)))]
+    got = substring_dedup.remove_repeats(spark, spark.createDataFrame(two, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 70, 0), (4, 43, 40), (4, 50, 0)]
+
+
 def test_no_rows_to_cut(spark, nothing):
     assert substring_dedup.remove_repeats(spark, nothing).count() == 0
 
