@@ -48,3 +48,8 @@ def station_range(samples: DataFrame, keys: list[str], value: str, minimum: int)
     """Peak to peak, given at least ``minimum`` samples."""
     x = F.col(value)
     return samples.groupBy(*keys).agg(F.count(value).alias("sample_count"), F.when(F.count(value) >= minimum, F.max(x) - F.min(x)).alias("value_range"))
+
+
+def on_day(samples: DataFrame, day: str, name: str = "ts") -> DataFrame:
+    """Samples of one day; no other day stands in."""
+    return samples.where(F.to_date(F.col(name)) == F.to_date(F.lit(day)))

@@ -13,6 +13,11 @@ def weighted_mean(x: Column, w: Column) -> Column:
     return F.try_divide(F.sum(w * x), F.sum(F.when(x.isNotNull(), w)))
 
 
+def wet(support: DataFrame, overlap: str = "has_water_overlap") -> DataFrame:
+    """Cells that touch water; where that is not known, they don't."""
+    return support.where(F.coalesce(F.col(overlap), F.lit(False)))
+
+
 def aggregate_pixels(pixels: DataFrame, support: DataFrame, metrics: list[str], cell: str = "cell", weight: Column | None = None) -> DataFrame:
     """Each support row with pixel counts and, per metric, the weighted mean and the count of valid pixels.
 

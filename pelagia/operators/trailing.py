@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,11 @@ def date_spine(spark, start: str, end: str, name: str = "day") -> DataFrame:
     return spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)))).alias(name))
 
 
+def compact_day(day: Column) -> Column:
+    """20240701, as providers want it in requests."""
+    return F.date_format(day, "yyyyMMdd")
+
+
 def trailing_composite(daily: DataFrame, calendar: DataFrame, cell: str, day: str, value: str, window: int = 7, minimum: int = 1) -> DataFrame:
     """Equal-weight mean of the positive values of the last ``window`` days per cell, with its log, the variant from two days on,
     the days used and the ages of the newest and oldest. One shuffle by cell; the range frame ends today."""

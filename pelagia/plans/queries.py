@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells, masks, units
 from ..operators import comparison, grid, harmonics, kernel, quality, rosters, spatial, trailing, water
+from ..sinks import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,10 +46,10 @@ def r4(c: Column) -> Column:
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:
     price = F.when(F.col("l_discount").between(0.02, 0.08), F.col("l_extendedprice"))
-    return t(spark, d, "lineitem").where("l_partkey % 3 = 0").select(F.col("l_partkey").alias("cell"), (F.col("l_suppkey") % 80).cast("double").alias("lat"), price.alias("x"))
+    return t(spark, d, "lineitem").select(F.col("l_partkey").alias("cell"), (F.col("l_suppkey") % 80).cast("double").alias("lat"), price.alias("x"))
 
 
-PX = """with px as (select l_partkey k, cos(radians(cast(l_suppkey % 80 as double))) w, case when l_discount between 0.02 and 0.08 then l_extendedprice end x from lineitem where l_partkey % 3 = 0)"""
+PX = """with px as (select l_partkey k, cos(radians(cast(l_suppkey % 80 as double))) w, case when l_discount between 0.02 and 0.08 then l_extendedprice end x from lineitem)"""
 
 
 @query(PX + """, a as (select k, count(*) n, count(x) nv, sum(w * x) / nullif(sum(case when x is not null then w end), 0) m from px group by k)
@@ -85,8 +86,9 @@ def children(spark, d):
 
 @query(CHILDREN + """ select r, round(sum(a) + 3e-6, 4) + 0.0 area, count(*) nations from (select r, n, sum(area) a from ch group by r, n) group by r""")
 def hierarchy_rollup(spark, d):
-    level = children(spark, d).groupBy("r", "n").agg(F.sum("area").alias("area"))
-    return level.groupBy("r").agg(r4(F.sum("area")).alias("area"), F.count(F.lit(1)).alias("nations"))
+    key = F.struct("r", "n").alias("key")
+    level = spatial.roll_up(children(spark, d).select(key, "area"), "key").select("key.*", "area")
+    return spatial.roll_up(level, "r").join(level.groupBy("r").agg(F.count(F.lit(1)).alias("nations")), "r").select("r", r4(F.col("area")).alias("area"), "nations")
 
 
 @query(CHILDREN + """, g as (select r, sum(area) area, coalesce(sum(case when m is not null then area end), 0) va, sum(m * area) ma, bool_or(miss) miss from ch group by r)
@@ -117,15 +119,15 @@ def trailing_composite(spark, d):
     return out.select("u", text("dt"), r6(F.col("trailing_mean")).alias("mean7"), r6(F.col("trailing_log_mean")).alias("log7"), r6(F.col("trailing_2plus_mean")).alias("mean2p"), "valid_days", F.col("newest_age").cast("double").alias("newest"), F.col("oldest_age").cast("double").alias("oldest"))
 
 
-KERNEL = """with se as (select cast(n_nationkey * 2 as double) pos, case when n_nationkey <> 4 then cast(n_nationkey + 1 as double) end v from nation where n_nationkey <= 10),
+KERNEL = """with se as (select cast(n_nationkey * 2 as double) pos, case when n_nationkey <> 4 then cast(n_nationkey + 1 as double) end v from nation),
 j as (select p_partkey c, abs(p_size - pos) dd, v from part cross join se where abs(p_size - pos) <= 6),
 g as (select c, count(*) e, count(v) o, sum(v * exp(-dd / 2)) s, sum(exp(-dd / 2)) tw, min(dd) nearest from j group by c)"""
 
 
 def seeds_and_distances(spark, d):
-    seeds = t(spark, d, "nation").where("n_nationkey <= 10").select(F.col("n_nationkey").alias("seed"), (F.col("n_nationkey") * 2).cast("double").alias("pos"), F.when(F.col("n_nationkey") != 4, (F.col("n_nationkey") + 1).cast("double")).alias("value"))
+    seeds = t(spark, d, "nation").select(F.col("n_nationkey").alias("seed"), (F.col("n_nationkey") * 2).cast("double").alias("pos"), F.when(F.col("n_nationkey") != 4, (F.col("n_nationkey") + 1).cast("double")).alias("value"))
     part = t(spark, d, "part").select(F.col("p_partkey").alias("cell"), "p_size")
-    return part, seeds.select("seed", "value"), part.crossJoin(F.broadcast(seeds.select("seed", "pos"))).select("seed", "cell", F.abs(F.col("p_size") - F.col("pos")).alias("distance"))  # 11 seeds
+    return part, seeds.select("seed", "value"), part.crossJoin(F.broadcast(seeds.select("seed", "pos"))).select("seed", "cell", F.abs(F.col("p_size") - F.col("pos")).alias("distance"))  # 25 seeds
 
 
 def kernel_query(spark, d, normalize):
@@ -144,18 +146,37 @@ def kernel_normalized(spark, d):
     return kernel_query(spark, d, True)
 
 
-@query("""with e as (select s_suppkey a, s_suppkey + 1 b, cast(1 + s_suppkey % 7 as double) w from supplier where s_suppkey < 60 union all select s_suppkey, s_suppkey + 10, cast(4 + s_suppkey % 5 as double) from supplier where s_suppkey <= 50),
-e2 as (select a, b, w from e union all select b, a, w from e)
-select cell, min(dd) distance from (with recursive g as (select 0::bigint cell, cast(0 as double) dd union select e2.b, dd + w from g join e2 on g.cell = e2.a where dd + w <= 40) select * from g) group by cell""")
-def water_distance(spark, d):
-    """The oracle's recursion keeps each (cell, length) once; lengths are whole numbers up to the cut-off."""
-    s = t(spark, d, "supplier").select("s_suppkey")
+WAYS = """with n as (select s_suppkey k from supplier),
+e as (select a.k a, b.k b, cast(1 + a.k % 7 as double) w from n a join n b on b.k = a.k + 1 union all select a.k, b.k, cast(4 + a.k % 5 as double) from n a join n b on b.k = a.k + 10),
+e2 as (select a, b, w from e union all select b, a, w from e),
+g0 as (select n_nationkey seed, min(s_suppkey) cell, cast(n_nationkey % 3 as double) dd from supplier join nation on n_nationkey = s_nationkey group by n_nationkey),
+g as (with recursive r as (select * from g0 union select seed, e2.b, dd + w from r join e2 on r.cell = e2.a where dd + w <= 25) select seed, cell, min(dd) distance from r group by seed, cell)"""
+
+
+def lattice(spark, d):
+    """Suppliers as cells, each beside the next one and the tenth; each nation starts at its first supplier."""
+    s = t(spark, d, "supplier").select("s_suppkey", "s_nationkey")
     k = F.col("s_suppkey")
-    step = s.where("s_suppkey < 60").select(k.alias("source"), (k + 1).alias("target"), ((1 + k % 7) * 1000.0).alias("distance_m"))
-    jump = s.where("s_suppkey <= 50").select(k.alias("source"), (k + 10).alias("target"), ((4 + k % 5) * 1000.0).alias("distance_m"))
-    edges = water.canonical_edges(step.unionByName(jump).withColumn("passable", F.lit(True)))
-    starts = spark.range(1).select(F.col("id").alias("seed"), F.col("id").alias("cell"), F.lit(0.0).alias("connector_km"))
-    return water.water_distances(edges, starts, cutoff_km=40.0).select("cell", "distance")
+    ways = s.select(k.alias("source"), F.explode(F.array(F.struct((k + 1).alias("target"), ((1 + k % 7) * 1000.0).alias("distance_m")), F.struct((k + 10).alias("target"), ((4 + k % 5) * 1000.0).alias("distance_m")))).alias("w"))
+    edges = water.canonical_edges(ways.select("source", "w.*", F.lit(True).alias("passable")), s.select(k.alias("cell")))
+    starts = t(spark, d, "nation").join(s, F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_nationkey").alias("seed")).agg(F.min(k).alias("cell"))
+    return edges, starts.select("seed", "cell", (F.col("seed") % 3).cast("double").alias("connector_km"))
+
+
+@query(WAYS + " select * from g")
+def water_distance(spark, d):
+    """The oracle's recursion keeps each (seed, cell, length) once; lengths are whole numbers up to the cut-off."""
+    edges, starts = lattice(spark, d)
+    return water.water_distances(edges, starts, cutoff_km=25.0).select("seed", "cell", "distance")
+
+
+@query(WAYS + """, c as (select n_nationkey * 7 + 1 cell, n_nationkey + 1 target, cast(n_nationkey as double) / 4 km from nation)
+select seed, cell, distance from g where cell not in (select cell from c) union all select seed, c.cell, distance + km from g join c on g.cell = c.target""")
+def water_connectors(spark, d):
+    """One hop from a terminal cell's target overrides the distance over the graph."""
+    edges, starts = lattice(spark, d)
+    hops = t(spark, d, "nation").selectExpr("n_nationkey * 7 + 1 cell", "n_nationkey + 1 target", "cast(n_nationkey as double) / 4 connector_km")
+    return water.water_distances(edges, starts, hops, 25.0).select("seed", "cell", "distance")
 
 
 @query("""with e as (select least(l_partkey, l_suppkey) a, greatest(l_partkey, l_suppkey) b, l_quantity w, l_returnflag <> 'R' p from lineitem)
@@ -199,10 +220,10 @@ def roster_left_join(spark, d):
     return t(spark, d, "nation").select("n_nationkey").join(first, "n_nationkey", "left").select("n_nationkey", "s_suppkey", "s_name")
 
 
-@query("""with s as (select cast(ts as date) dt, hour(ts) h, sum(value) v, count(*) c from events where event_type = 'click' and user_id < 20 group by 1, 2)
+@query("""with s as (select cast(ts as date) dt, hour(ts) h, sum(value) v, count(*) c from events where event_type = 'click' group by 1, 2)
 select cast(dt as varchar) dt, cast(h as int) "hour", round(v + 3e-6, 4) + 0.0 "value" from (select distinct dt from s) cross join (select unnest(generate_series(0, 23)) h) left join s using (dt, h)""")
 def hourly_reindex(spark, d):
-    s = t(spark, d, "events").where("event_type = 'click' and user_id < 20").groupBy(F.to_date("ts").alias("dt"), F.hour("ts").alias("hour")).agg(F.sum("value").alias("value"))
+    s = t(spark, d, "events").where("event_type = 'click'").groupBy(F.to_date("ts").alias("dt"), F.hour("ts").alias("hour")).agg(F.sum("value").alias("value"))
     hours = spark.range(24).select(F.col("id").cast("int").alias("hour"))
     return comparison.on_spine(hours, s, ["dt"]).select(text("dt"), "hour", r4(F.col("value")).alias("value"))
 
@@ -334,3 +355,155 @@ def tide_range(spark, d):
     hours = spark.range(24).select(F.col("id").cast("double").alias("hours"))
     speeds = spark.range(1).select(F.lit("M2").alias("constituent"), F.lit(harmonics.SPEEDS["M2"]).alias("speed"), F.lit(1.0).alias("f"), F.lit(0.0).alias("v"))
     return harmonics.daily_range(harmonics.predict(c, hours, speeds)).select("point", r6(F.col("hourly_range")).alias("hourly_range"))
+
+
+@query(CHILDREN + """ select r, round(sum(case when area > 0 then area * n end) / sum(case when area > 0 then area end) + 3e-8, 6) + 0.0 mean_n, round(sum(case when area > 0 then m * area end) / nullif(sum(case when area > 0 and m is not null then area end), 0) + 3e-8, 6) + 0.0 mean_m from ch group by r""")
+def rollup_diagnostics(spark, d):
+    """Means of diagnostics over children that have one and an area."""
+    out = spatial.gated_roll_up(children(spark, d).withColumn("d", F.col("m")), "r", "m", diagnostics=("n", "d"))
+    return out.select("r", r6(F.col("mean_n")).alias("mean_n"), r6(F.col("mean_d")).alias("mean_m"))
+
+
+UPSCALED = """with f as (select o_custkey % 40 k, cast(o_orderdate as date) dt, o_totalprice area, case when o_orderkey % 3 > 0 then cast(o_orderkey % 10 as double) end v from orders),
+u as (select k, dt, sum(case when v is not null then area else 0 end) / sum(area) frac, sum(v * area) / nullif(sum(case when v is not null then area end), 0) m from f group by k, dt)"""
+
+
+@query(UPSCALED + """ select k, round(case when frac >= 0.5 then m end + 3e-8, 6) + 0.0 regional, cast(dt as varchar) dt from u""")
+def gated_upscale(spark, d):
+    """Regional cells at the broader resolution, day by day, without a source gate."""
+    o = t(spark, d, "orders").select(F.struct((F.col("o_custkey") % 40).alias("k"), F.to_date("o_orderdate").alias("dt")).alias("key"), F.col("o_totalprice").alias("area"), F.when(F.col("o_orderkey") % 3 > 0, (F.col("o_orderkey") % 10).cast("double")).alias("v"))
+    return spatial.gated_roll_up(o, "key", "v").select("key.*", "v").select("k", text("dt"), r6(F.col("v")).alias("regional"))
+
+
+@query("""with c as (select p_partkey k, (1::bigint << 59) | (6::bigint << 52) | ((p_partkey % 20)::bigint << 30) | ((p_partkey % 7)::bigint << 27) | 134217727 cell from part),
+v as (select (1::bigint << 59) | (5::bigint << 52) | (n_nationkey::bigint << 30) | 1073741823 cell, n_name from nation where n_regionkey <> 2)
+select k, n_name from c left join v on v.cell = (c.cell & ~(15::bigint << 52)) | (5::bigint << 52) | (511::bigint << 21)""")
+def parent_values(spark, d):
+    """Cells with their parent's value. Digits of resolution 6 sit at bit 27."""
+    k = F.col("p_partkey")
+    cell = F.lit((1 << 59) | (6 << 52) | 134217727).bitwiseOR(F.shiftleft((k % 20).cast("long"), 30)).bitwiseOR(F.shiftleft((k % 7).cast("long"), 27))
+    coarse = t(spark, d, "nation").where("n_regionkey <> 2").select(F.lit((1 << 59) | (5 << 52) | 1073741823).bitwiseOR(F.shiftleft(F.col("n_nationkey").cast("long"), 30)).alias("cell"), "n_name")
+    return comparison.with_parent_value(t(spark, d, "part").select(k.alias("k"), cell.alias("cell")), coarse, "n_name", 6, 5).select("k", "n_name")
+
+
+@query("""select p_partkey % 50 x, p_partkey // 50 y, p_size u, p_size * 2 + p_partkey % 50 v from part""")
+def aligned_rasters(spark, d):
+    """Two rasters whose coordinates are the same."""
+    g = t(spark, d, "part").selectExpr("p_partkey % 50 x", "p_partkey div 50 y", "p_size u")
+    return grid.aligned(g, g.selectExpr("x", "y", "u * 2 + x v"), ["x", "y"]).select("x", "y", "u", "v")
+
+
+@query("""with c as (select s_suppkey k from supplier where s_acctbal > 0) select least(l_partkey, l_suppkey) a, greatest(l_partkey, l_suppkey) b, round(min(l_quantity) / 1000 + 3e-8, 6) + 0.0 km from lineitem
+where l_returnflag <> 'R' and l_partkey in (select k from c) and l_suppkey in (select k from c) group by 1, 2""")
+def supported_edges(spark, d):
+    """Only edges with both ends in the support."""
+    e = t(spark, d, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target"), F.col("l_quantity").alias("distance_m"), (F.col("l_returnflag") != "R").alias("passable"))
+    return water.canonical_edges(e, t(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("cell"))).select("a", "b", r6(F.col("km")).alias("km"))
+
+
+@query("""select s_suppkey from supplier where case when s_suppkey % 4 = 0 then null else s_acctbal > 0 end and s_suppkey % 3 > 0""")
+def eligible_nodes(spark, d):
+    """P10: a missing eligibility is no."""
+    n = t(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 4 != 0, F.col("s_acctbal") > 0).alias("eligible"), (F.col("s_suppkey") % 3).alias("degree"))
+    return water.graph_nodes(n).select("s_suppkey")
+
+
+@query("""select p_partkey from part where coalesce(p_size % 2 = 0, false)""")
+def wet_cells(spark, d):
+    """P8."""
+    return spatial.wet(t(spark, d, "part").select("p_partkey", (F.col("p_size") % 2 == 0).alias("overlap")), "overlap").select("p_partkey")
+
+
+@query("""select event_id, strftime(ts, '%Y%m%d') compact from events where cast(ts as date) = date '2024-01-03'""")
+def same_day(spark, d):
+    """Samples of one day, with its date in the providers' compact form."""
+    return grid.on_day(t(spark, d, "events"), "2024-01-03").select("event_id", trailing.compact_day(F.col("ts")).alias("compact"))
+
+
+@query("""select o_custkey, o_orderkey from (select o_custkey, o_orderkey, o_totalprice v, lag(o_totalprice) over (partition by o_custkey order by o_orderkey) b from orders) where v >= b""")
+def rising_axis(spark, d):
+    """V4: places where an axis that should fall does not."""
+    return quality.falling(t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_orderkey", "o_totalprice").select("o_custkey", "o_orderkey")
+
+
+@query("""with p as (select p_partkey k, radians(46 + cast(p_size as double) / 10) phi, radians(-126 + cast(p_partkey % 60 as double) / 10 + 123) lam, 1 / cast(298.257223563 as double) f from part),
+c as (select *, f / (2 - f) n from p), e as (select *, 2 * sqrt(n) / (1 + n) ec, 6378137.0 / (1 + n) * (1 + n * n / 4 + n ** 4 / 64) a, n / 2 - 2 * n * n / 3 + 5 * n ** 3 / 16 a1, 13 * n * n / 48 - 3 * n ** 3 / 5 a2, 61 * n ** 3 / 240 a3 from c),
+t as (select *, sinh(atanh(sin(phi)) - ec * atanh(ec * sin(phi))) tt from e), x as (select *, atan2(tt, cos(lam)) xi, atanh(sin(lam) / sqrt(1 + tt * tt)) eta from t)
+select k, round(500000 + 0.9996 * a * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)) + 3e-3, 2) + 0.0 east,
+round(0.9996 * a * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)) + 3e-3, 2) + 0.0 north from x""")
+def utm_coordinates(spark, d):
+    """F28."""
+    p = t(spark, d, "part").select("p_partkey", (46 + F.col("p_size").cast("double") / 10).alias("lat"), (-126 + (F.col("p_partkey") % 60).cast("double") / 10).alias("lon"))
+    east, north = water.utm10(F.col("lon"), F.col("lat"))
+    r2 = lambda c: F.round(c + F.lit(3e-3), 2) + F.lit(0.0)
+    return p.select(F.col("p_partkey").alias("k"), r2(east).alias("east"), r2(north).alias("north"))
+
+
+@query("""select p_partkey k, round(p_size * cos(radians(cast(p_partkey % 360 as double))) + 3e-8, 6) + 0.0 re, round(-p_size * sin(radians(cast(p_partkey % 360 as double))) + 3e-8, 6) + 0.0 im from part""")
+def polar_form(spark, d):
+    """F10."""
+    re, im = harmonics.from_polar(F.col("p_size").cast("double"), (F.col("p_partkey") % 360).cast("double"))
+    return t(spark, d, "part").select(F.col("p_partkey").alias("k"), r6(re).alias("re"), r6(im).alias("im"))
+
+
+@query("""select p_partkey, metric, v from (select p_partkey, cast(p_size as double) size, p_retailprice price from part) unpivot (v for metric in (size, price))""")
+def long_metrics(spark, d):
+    """P25."""
+    return grid.wide_to_long(t(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price")), ["p_partkey"], ["size", "price"], "metric", "v")
+
+
+@query("""select l_orderkey, l_quantity from lineitem where l_linenumber = 1""")
+def surface_level(spark, d):
+    """The level with index 0."""
+    return grid.surface(t(spark, d, "lineitem").select("l_orderkey", "l_quantity", (F.col("l_linenumber") - 1).alias("depth_index"))).select("l_orderkey", "l_quantity")
+
+
+@query("""select n_nationkey lat, r_regionkey lon from nation, region""")
+def flat_axes(spark, d):
+    """P24, J18."""
+    return grid.flatten(t(spark, d, "nation").select(F.col("n_nationkey").alias("lat")), t(spark, d, "region").select(F.col("r_regionkey").alias("lon")))
+
+
+@query("""select c_custkey, coalesce(n_name, 'open sea') n_name from customer left join (select * from nation where n_regionkey > 1) on n_nationkey = c_nationkey""")
+def default_lookup(spark, d):
+    """J20."""
+    names = t(spark, d, "nation").where("n_regionkey > 1").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return rosters.lookup(t(spark, d, "customer").select("c_custkey", "c_nationkey"), names, "c_nationkey", "n_name", "open sea").select("c_custkey", "n_name")
+
+
+@query("""select n_nationkey, round(v + 3e-6, 4) + 0.0 v from nation left join (select s_nationkey, sum(s_acctbal) v from supplier where s_nationkey % 3 > 0 group by 1) on s_nationkey = n_nationkey""")
+def roster_features(spark, d):
+    """One feature a roster row at most."""
+    f = t(spark, d, "supplier").where("s_nationkey % 3 > 0").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.sum("s_acctbal").alias("v"))
+    return rosters.roster_values(t(spark, d, "nation").select("n_nationkey"), f, ["n_nationkey"]).select("n_nationkey", r4(F.col("v")).alias("v"))
+
+
+@query("""select s_suppkey, n_name from supplier join nation on n_nationkey = s_nationkey""")
+def inventory_join(spark, d):
+    """Every supplier's nation is in the inventory."""
+    return rosters.require_inventory(t(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n_nationkey")), t(spark, d, "nation").select("n_nationkey", "n_name"), ["n_nationkey"]).select("s_suppkey", "n_name")
+
+
+@query("""select s_suppkey, case when s_suppkey % 2 = 0 or s_acctbal > 0 then 'available' else 'unavailable' end "FEATURE_STATUS", '2024-07-01' "DATE", cast(6 as int) "CELL_RESOLUTION" from supplier""")
+def feature_status(spark, d):
+    """P21-P23, A.13: what all feature tables share; counts of pixels are no metrics."""
+    s = t(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, 1.0).alias("SST_MEAN_C"), F.when(F.col("s_acctbal") > 0, 2.0).alias("SST_MAX_C"), F.lit(1).alias("SST_MEAN_C_VALID_PIXELS"))
+    return tables.decorate(s, "ocean_temperature", "2024-07-01", 6, tables.metric_columns(s, ("SST_",)), "CELL_RESOLUTION").select("s_suppkey", "FEATURE_STATUS", "DATE", "CELL_RESOLUTION")
+
+
+@query("""with c as (select p_partkey // 20 g, p_partkey % 5 x, p_partkey // 5 % 4 y from part), s as (select distinct * from c),
+e as (select g, unnest([x || ' ' || y || ' ' || (x + 1) || ' ' || y, x || ' ' || (y + 1) || ' ' || (x + 1) || ' ' || (y + 1), x || ' ' || y || ' ' || x || ' ' || (y + 1), (x + 1) || ' ' || y || ' ' || (x + 1) || ' ' || (y + 1)]) seg from s)
+select g, seg from e group by g, seg having count(*) = 1""")
+def dissolved_outline(spark, d):
+    """Outlines of groups of unit squares."""
+    p = t(spark, d, "part").selectExpr("p_partkey div 20 g", "p_partkey % 5 x", "p_partkey div 5 % 4 y").distinct()
+    corner = lambda i, j: F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y"))
+    out = water.dissolve(p.select("g", F.array(*(corner(*c) for c in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0)))).alias("ring")), "g")
+    return out.select("g", F.concat_ws(" ", "a.x", "a.y", "b.x", "b.y").alias("seg"))
+
+
+@query("""with s as (select user_id u, count(distinct event_type) k, count(*) n from events group by 1) select u, n, case when u % 7 = 0 then 'outside_or_ambiguous_native_mesh' when k < 5 then 'reference_incomplete' else 'compared' end status from s""")
+def station_states(spark, d):
+    """A.12."""
+    s = t(spark, d, "events").groupBy(F.col("user_id").alias("u")).agg(F.count_distinct("event_type").alias("k"), F.count(F.lit(1)).alias("n"))
+    return s.select("u", "n", comparison.station_status(F.when(F.col("u") % 7 == 0, harmonics.OUTSIDE).otherwise(1), F.col("k") >= 5).alias("status"))

@@ -22,9 +22,9 @@ def metric_columns(df: DataFrame, prefixes: tuple[str, ...]) -> list[str]:
     return [c for c in df.columns if c.startswith(prefixes) and not c.endswith("_VALID_PIXELS") and not c.startswith(DIAGNOSTICS)]
 
 
-def decorate(df: DataFrame, family: str, day: str, resolution: int, metrics: list[str]) -> DataFrame:
+def decorate(df: DataFrame, family: str, day: str, resolution: int, metrics: list[str], resolution_name: str = "H3_RESOLUTION") -> DataFrame:
     """A.13: the columns that all feature tables share."""
-    return df.withColumns({"family": F.lit(family), "DATE": F.lit(day), "H3_RESOLUTION": F.lit(resolution), "AVAILABILITY_MODE": F.lit("retrospective"),
+    return df.withColumns({"family": F.lit(family), "DATE": F.lit(day), resolution_name: F.lit(resolution), "AVAILABILITY_MODE": F.lit("retrospective"),
                            "AVAILABLE_AT_UTC": F.lit(None).cast("timestamp"), "FEATURE_STATUS": any_present(*(F.col(m) for m in metrics))})
 
 
