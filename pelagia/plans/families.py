@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, timedelta
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import masks
-from ..operators import grid, kernel, spatial, trailing
+from ..functions import masks, units
+from ..operators import grid, harmonics, kernel, quality, rosters, spatial, trailing
+from ..operators import water as water_graph
 
 FAMILIES = ("tides", "river_discharge", "currents", "ocean_temperature", "productivity", "offshore_currents", "tidal_model")
 
@@ -20,8 +22,14 @@ def days_of(family: str, start: str, end: str, window: int = 7) -> list[str]:
     return [str(first + timedelta(days=k)) for k in range((date.fromisoformat(end) - first).days + 1)]
 
 
+def water(support: DataFrame) -> DataFrame:
+    """P8, where the support tells which cells touch water."""
+    return spatial.wet(support) if "has_water_overlap" in support.columns else support
+
+
 def ocean_temperature(pixels: DataFrame, support: DataFrame, index: Callable[[Column, Column], Column], least_quality: int = 4) -> DataFrame:
     """pixels: lat, lon, sst, quality."""
+    support = water(support)
     sst = masks.physical(masks.quality_band(masks.present(F.col("sst")), F.col("quality"), least_quality))
     layer = pixels.select("lat", "lon", sst.alias("SST_MEAN_C"), index(F.col("lat"), F.col("lon")).alias("cell"))
     return spatial.aggregate_pixels(layer, support, ["SST_MEAN_C"])
@@ -29,6 +37,7 @@ def ocean_temperature(pixels: DataFrame, support: DataFrame, index: Callable[[Co
 
 def productivity(pixels: DataFrame, support: DataFrame, index: Callable[[Column, Column], Column]) -> DataFrame:
     """pixels: lat, lon, chlorophyll. The mean of logs is no log of the mean."""
+    support = water(support)
     x = masks.positive(masks.present(F.col("chlorophyll")))
     layer = pixels.select("lat", "lon", x.alias("CHLOROPHYLL_MEAN_MG_M3"), F.ln(x).alias("CHLOROPHYLL_LOG_MEAN"), index(F.col("lat"), F.col("lon")).alias("cell"))
     return spatial.aggregate_pixels(layer, support, ["CHLOROPHYLL_MEAN_MG_M3", "CHLOROPHYLL_LOG_MEAN"])
@@ -39,14 +48,16 @@ def productivity_composite(daily: DataFrame, support: DataFrame, days: DataFrame
 
 
 def currents(raster: DataFrame, support: DataFrame, index: Callable[[Column, Column], Column], interval_hours: int = 4) -> DataFrame:
-    """raster: t, y, x, lat, lon, u, v, depth."""
+    """raster: t, y, x, lat, lon, u, v, depth; a repeated place (V10) is an error."""
+    quality.require_unique(raster, ["t", "y", "x"])
     u, v = masks.magnitude(masks.present(F.col("u"))), masks.magnitude(masks.present(F.col("v")))
     speed = grid.collocated_speed(raster.withColumns({"u": u, "v": v}), wet=F.col("depth") > 0)
     return _speeds(speed, support, index, 24 // interval_hours, "CURRENT_SPEED_SAMPLE_MEAN_MS", "CURRENT_SPEED_SAMPLE_MAX_MEAN_MS")
 
 
 def offshore_currents(samples: DataFrame, support: DataFrame, index: Callable[[Column, Column], Column]) -> DataFrame:
-    """samples: t, y, x, lat, lon, u, v at eight three-hourly times."""
+    """samples: t, y, x, lat, lon, u, v at eight three-hourly times (V2)."""
+    quality.require_hours(samples.select(F.timestamp_seconds(F.col("t") * 10800).alias("ts")))
     speed = samples.withColumn("speed", F.hypot(masks.present(F.col("u")), masks.present(F.col("v")))).withColumn("lon", masks.longitude_180(F.col("lon")))
     return _speeds(speed, support, index, 8, "OFFSHORE_CURRENT_SPEED_SAMPLE_MEAN_MS", "OFFSHORE_CURRENT_SPEED_SAMPLE_MAX_MEAN_MS")
 
@@ -70,9 +81,45 @@ def influence_features(fine: DataFrame, coarse: DataFrame, distances: DataFrame,
     return out
 
 
+def tides(samples: DataFrame, day: str, fine: DataFrame, coarse: DataFrame, distances: DataFrame, scales: list[float], minimum: int, parent: Callable[[Column], Column], cutoff: float = 3.0) -> tuple[DataFrame, DataFrame]:
+    """A.4, A.7, A.8: (features, stations). samples: seed, ts, value; the weighted mean of the stations' daily ranges."""
+    own = quality.require_unique(grid.on_day(samples, day), ["seed", "ts"])
+    stations = grid.station_range(own.withColumn("value", masks.present(F.col("value"))), ["seed"], "value", minimum)
+    stations = samples.select("seed").distinct().join(stations, "seed", "left").fillna(0, ["sample_count"])
+    values = stations.select("seed", F.col("value_range").alias("value"))
+    return influence_features(fine, coarse, distances, values, "TIDE_RANGE", scales, parent, cutoff, normalize=True), stations.withColumnRenamed("value_range", "TIDE_HOURLY_RANGE_M")
+
+
+def river_discharge(records: DataFrame, gauges: DataFrame, day: str, fine: DataFrame, coarse: DataFrame, distances: DataFrame, scales: list[float], parent: Callable[[Column], Column], cutoff: float = 3.0) -> tuple[DataFrame, DataFrame]:
+    """A.5, A.7, A.8: (features, stations). records: seed, station, day, value (text), unit; gauges: seed, gauge. A gauge without a record has no value."""
+    value = units.discharge_m3_s(units.checked(units.number(F.col("value")), station=(F.col("station"), F.col("gauge")), day=(F.col("day").cast("string"), F.lit(day))), F.col("unit"))
+    own = records.join(gauges, "seed").select("seed", value.alias("DISCHARGE_M3_S"))
+    stations = rosters.roster_values(gauges, own, ["seed"])
+    values = stations.select("seed", F.col("DISCHARGE_M3_S").alias("value"))
+    return influence_features(fine, coarse, distances, values, "RIVER_DISCHARGE", scales, parent, cutoff), stations
+
+
+def tidal_model(points: DataFrame, nodes: DataFrame, elements: DataFrame, constituents: DataFrame, speeds: DataFrame, support: DataFrame, step: float = 0.25) -> tuple[DataFrame, DataFrame]:
+    """A.10, A.11: (features, heights). points: cell, lat, lon; the daily range of 24 predicted hours on every cell of the support."""
+    if not constituents.join(nodes, "node", "left_anti").isEmpty():  # V12
+        raise quality.CheckError("a constituent has nodes that the mesh lacks")
+    at = harmonics.interpolate(points.withColumnRenamed("cell", "point"), nodes, elements, constituents, step)
+    hours = points.sparkSession.range(24).select(F.col("id").cast("double").alias("hours"))
+    heights = harmonics.predict(at.drop("triangle"), hours, speeds)
+    where = at.groupBy("point").agg(F.min("triangle").alias("NATIVE_TRIANGLE"))
+    ranges = where.join(harmonics.daily_range(heights), "point", "left").select(F.col("point").alias("cell"), "NATIVE_TRIANGLE", F.col("hourly_range").alias("HARMONIC_TIDE_RANGE_M"))
+    return support.join(ranges, "cell", "left"), heights
+
+
+def seed_distances(seeds: DataFrame, coast: DataFrame, nodes: DataFrame, edges: DataFrame, limit_km: float = 8.0, tolerance_m: float = 100.0, cutoff_km: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """A.6: (distances, mapping) from seeds (seed, x, y, coast_limit_m), the water around each, graph nodes (cell, x, y) and edges (a, b, km)."""
+    mapping = water_graph.snap_seeds(seeds, nodes, coast, limit_km, tolerance_m)
+    return water_graph.water_distances(edges, mapping.where("status = 'mapped'").select("seed", "cell", "connector_km"), cutoff_km=cutoff_km), mapping
+
+
 def contained(build: Callable[[], DataFrame], support: DataFrame, columns: dict[str, str]) -> tuple[DataFrame, str | None]:
     """A family that fails gives its support with NULLs, and the reason."""
     try:
         return build(), None
-    except (ValueError, KeyError, OSError) as e:
+    except (ValueError, KeyError, OSError, PySparkException) as e:
         return support.withColumns({c: F.lit(None).cast(kind) for c, kind in columns.items()}), str(e)

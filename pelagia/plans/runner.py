@@ -1,7 +1,8 @@
-"""From daily layers to feature tables, manifests and reports (S18, K1, V7, V8, L1, L2, R2, R4, section 3.2).
+"""From daily layers to feature tables, manifests, comparison and reports (S18, K1, K2, V7, V8, L1-L3, U7, R2, R4, section 3.2).
 
-Layers are long-form Parquet, ``<root>/<family>/DATE=<day>``. Each (family, day) is built, written as its
-own partition and told by a manifest after the data; a family that fails gives a partition of NULLs.
+``<layers>/<family>/DATE=<day>`` is what was collected (long-form Parquet, published with a manifest), ``<out>/<family>`` the
+features, ``<out>/layers`` and ``<out>/stations`` what lies between. Each (family, day) is built, written as its own partition and
+told by a manifest after the data; a family that fails, while it is planned or while it runs, gives a partition of NULLs.
 """
 
 from __future__ import annotations
@@ -9,88 +10,240 @@ from __future__ import annotations
 import argparse
 import json
 from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import partial
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import cells
-from ..operators import comparison, quality, trailing
+from ..functions import cells, masks
+from ..operators import comparison, harmonics, quality, trailing
+from ..operators.spatial import gated_roll_up
 from ..sinks import tables
 from ..sources import config
+from ..sources.cache import write_json
 from . import families
 
 Index = Callable[[Column, Column], Column]
 
-#: Builders of raster families, their metrics and resolutions. Station families need seeds and distances: ``families.influence_features``.
-RASTERS: dict[str, tuple[Callable, dict[str, str], int]] = {
-    "ocean_temperature": (families.ocean_temperature, {"SST_MEAN_C": "double"}, 6),
-    "productivity": (families.productivity, {"CHLOROPHYLL_MEAN_MG_M3": "double", "CHLOROPHYLL_LOG_MEAN": "double"}, 5),
-    "currents": (families.currents, {"CURRENT_SPEED_SAMPLE_MEAN_MS": "double", "CURRENT_SPEED_SAMPLE_MAX_MEAN_MS": "double"}, 6),
-    "offshore_currents": (families.offshore_currents, {"OFFSHORE_CURRENT_SPEED_SAMPLE_MEAN_MS": "double", "OFFSHORE_CURRENT_SPEED_SAMPLE_MAX_MEAN_MS": "double"}, 5),
+
+@dataclass
+class Region:
+    """What does not change from day to day. support: (cell, area) by resolution; fixed: tables of the station and mesh families by name."""
+
+    support: dict[int, DataFrame]
+    fixed: dict[str, DataFrame] = field(default_factory=dict)
+    settings: config.Settings = field(default_factory=config.Settings)
+    cells: str = "h3"
+
+    def index(self, res: int) -> Index:
+        return cells.indexer(res, self.cells)
+
+    @property
+    def cell_name(self) -> str:
+        """Only ids of H3 are called so."""
+        return "H3_INDEX" if self.cells == "h3" else "GRID_INDEX"
+
+
+@dataclass
+class Family:
+    """``make(layer, region, day)`` gives the features and, for station families, the stations."""
+
+    make: Callable[[DataFrame, Region, str], tuple[DataFrame, DataFrame | None]]
+    resolution: int
+    metrics: Callable[[config.Settings], list[str]]
+
+
+def _raster(f: Callable, res: int, *metrics: str) -> Family:
+    return Family(lambda layer, region, day: (f(layer, region.support[res], region.index(res)), None), res, lambda settings: list(metrics))
+
+
+def _parent(c: Column) -> Column:
+    return cells.parent(c, 8, 6)
+
+
+def _tides(layer: DataFrame, region: Region, day: str) -> tuple[DataFrame, DataFrame]:
+    s = region.settings
+    return families.tides(layer, day, region.support[8], region.support[6], region.fixed["tide_distances"], s.tide_decay_km, s.min_tide_samples, _parent, s.kernel_cutoff_multiples)
+
+
+def _rivers(layer: DataFrame, region: Region, day: str) -> tuple[DataFrame, DataFrame]:
+    s = region.settings
+    return families.river_discharge(layer, region.fixed["gauges"], day, region.support[8], region.support[6], region.fixed["river_distances"], s.river_decay_km, _parent, s.kernel_cutoff_multiples)
+
+
+def _tidal_model(layer: DataFrame, region: Region, day: str) -> tuple[DataFrame, DataFrame]:
+    """The layer holds the day's speeds, nodal factors and arguments of the constituents."""
+    f = region.fixed
+    made, heights = families.tidal_model(f["points"], f["mesh_nodes"], f["mesh_elements"], f["constituents"], layer, region.support[6])
+    return made, heights.withColumnRenamed("point", "cell")
+
+
+FAMILIES: dict[str, Family] = {
+    "ocean_temperature": _raster(families.ocean_temperature, 6, "SST_MEAN_C"),
+    "productivity": _raster(families.productivity, 5, "CHLOROPHYLL_MEAN_MG_M3", "CHLOROPHYLL_LOG_MEAN"),
+    "currents": _raster(families.currents, 6, "CURRENT_SPEED_SAMPLE_MEAN_MS", "CURRENT_SPEED_SAMPLE_MAX_MEAN_MS"),
+    "offshore_currents": _raster(families.offshore_currents, 5, "OFFSHORE_CURRENT_SPEED_SAMPLE_MEAN_MS", "OFFSHORE_CURRENT_SPEED_SAMPLE_MAX_MEAN_MS"),
+    "tides": Family(_tides, 6, lambda s: [masks.scale_name("TIDE_RANGE", x) for x in s.tide_decay_km]),
+    "river_discharge": Family(_rivers, 6, lambda s: [masks.scale_name("RIVER_DISCHARGE", x) for x in s.river_decay_km]),
+    "tidal_model": Family(_tidal_model, 6, lambda s: ["HARMONIC_TIDE_RANGE_M"]),
 }
+#: A comparison needs all of these.
+COMPARED = ("tides", "currents", "tidal_model", "offshore_currents", "productivity")
+
 
+def publish_layer(rows: DataFrame, layers: str, family: str, day: str, config_sha256: str, bbox: dict, errors: list[str] | None = None) -> None:
+    """K1: what was collected for a day, then its manifest."""
+    rows.write.mode("overwrite").parquet(f"{layers}/{family}/DATE={day}")
+    write_json(Path(layers) / "manifests" / f"{family}-{day}.json", {"family": family, "day": day, "config_sha256": config_sha256, "bbox": bbox, "errors": errors or [],
+                                                                     "sha256": tables.partition_digest(rows.sparkSession, f"{layers}/{family}/DATE={day}")})
 
-def layer(spark: SparkSession, root: str, family: str, day: str) -> DataFrame:
+
+def collected(spark: SparkSession, layers: str, family: str, day: str, config_sha256: str, bbox: dict) -> tuple[DataFrame, dict]:
+    """A day's layer and manifest, if they belong together and to this configuration."""
+    path = Path(layers) / "manifests" / f"{family}-{day}.json"
+    if not path.exists():
+        raise OSError(f"no layer of {family} on {day}")
+    told = json.loads(path.read_text())
+    if told["bbox"] != bbox:
+        raise quality.CheckError("collected for another area")
+    if told["config_sha256"] != config_sha256:
+        raise quality.CheckError("collected under another configuration")
+    if told["sha256"] != tables.partition_digest(spark, f"{layers}/{family}/DATE={day}"):
+        raise quality.CheckError("the layer is not what was published")
     try:
-        return spark.read.parquet(f"{root}/{family}/DATE={day}")
+        return spark.read.parquet(f"{layers}/{family}/DATE={day}"), told
     except AnalysisException as e:
         raise OSError(f"no layer of {family} on {day}") from e
 
 
-def build(spark: SparkSession, layers: str, support: dict[int, DataFrame], out: str, start: str, end: str, wanted: tuple[str, ...] = tuple(RASTERS),
-          index: Callable[[int], Index] = cells.indexer, config_sha256: str = "") -> list[dict]:
-    """Manifests of all (family, day) built. support: (cell, area) by resolution."""
+def partition(out: str, family: str, day: str) -> str:
+    return f"{out}/{family}/family={family}/DATE={day}"
+
+
+def verified(spark: SparkSession, out: str, family: str, days: list[str]) -> DataFrame:
+    """V7: a family's features, if each day's files are those that its manifest tells of."""
+    for day in days:
+        told = json.loads((Path(out) / "manifests" / f"{family}-{day}.json").read_text())
+        if told["feature_sha256"] != tables.partition_digest(spark, partition(out, family, day)):
+            raise quality.CheckError(f"features of {family} on {day} are not those of the manifest")
+    return spark.read.parquet(f"{out}/{family}").where(F.col("DATE").cast("string").isin(days))
+
+
+def build(spark: SparkSession, layers: str, region: Region, out: str, start: str, end: str, wanted: tuple[str, ...] = tuple(FAMILIES), config_sha256: str = "") -> list[dict]:
+    """Manifests of all (family, day) built: available, partial (the source told errors) or unavailable."""
     quality.require_interval(start, end)
+    if unknown := sorted(set(wanted) - set(FAMILIES)):
+        raise quality.CheckError(f"unknown families: {unknown}")
+    lineage = {"code_sha256": tables.code_digest(), "support_sha256": {str(r): tables.table_digest(s) for r, s in region.support.items()}, "config_sha256": config_sha256}
     told = []
     for family in wanted:
-        make, metrics, res = RASTERS[family]
+        kind, metrics = FAMILIES[family], FAMILIES[family].metrics(region.settings)
+        support = region.support[kind.resolution]
+
+        def written(rows: DataFrame, day: str) -> None:
+            named = rows.withColumn(region.cell_name, cells.to_text(F.col("cell")))  # noqa: B023
+            done = tables.decorate(named, family, day, kind.resolution, metrics, region.cell_name.replace("INDEX", "RESOLUTION"))  # noqa: B023
+            tables.write_features(done, f"{out}/{family}", region.cell_name)  # noqa: B023
+
+        def make(day: str) -> tuple[DataFrame, list]:
+            layer, source = collected(spark, layers, family, day, config_sha256, region.settings.bbox.model_dump())  # noqa: B023
+            rows, stations = kind.make(layer, region, day)  # noqa: B023
+            if stations is not None:  # K2
+                stations.write.mode("overwrite").parquet(f"{out}/stations/{family}/DATE={day}")  # noqa: B023
+            written(rows, day)
+            return rows, source["errors"]
+
         for day in families.days_of(family, start, end):
-            rows, why = families.contained(lambda: make(layer(spark, layers, family, day), support[res], index(res)), support[res], metrics)  # noqa: B023
-            rows = rows.withColumn("H3_INDEX", cells.to_text(F.col("cell")))
-            done = tables.decorate(rows, family, day, res, list(metrics))
-            tables.write_features(done, f"{out}/{family}")
-            written = spark.read.parquet(f"{out}/{family}").where((F.col("family") == family) & (F.col("DATE") == day))
-            path = Path(out) / "manifests" / f"{family}-{day}.json"
-            told.append(tables.write_manifest(path, written, list(metrics), "area", family=family, day=day, status="unavailable" if why else "available", error=why, config_sha256=config_sha256))
+            errors: list[str] = []
+
+            def attempt(day: str = day, errors: list[str] = errors) -> DataFrame:
+                rows, found = make(day)  # noqa: B023
+                errors += found
+                return rows
+
+            rows, why = families.contained(attempt, support, dict.fromkeys(metrics, "double"))
+            if why:
+                written(rows, day)
+            status = "unavailable" if why else "partial" if errors else "available"
+            told.append(tables.write_manifest(Path(out) / "manifests" / f"{family}-{day}.json", spark.read.parquet(partition(out, family, day)), metrics, "area", family=family, day=day, status=status, error=why,
+                                              source_errors=errors, feature_sha256=tables.partition_digest(spark, partition(out, family, day)), **lineage))
     if "productivity" in wanted:
-        composites(spark, f"{out}/productivity", support[5], start, end)
+        told += composites(spark, out, families.water(region.support[5]), start, end, region.settings.productivity_window_days, region.settings.productivity_min_valid_days)
     return told
 
 
-def composites(spark: SparkSession, path: str, support: DataFrame, start: str, end: str, window: int = 7, minimum: int = 1) -> None:
-    """Second pass: trailing columns of the days asked for; look-back days only feed them."""
+def composites(spark: SparkSession, out: str, support: DataFrame, start: str, end: str, window: int = 7, minimum: int = 1) -> list[dict]:
+    """Second pass: trailing columns of the days asked for, from verified look-back days that only feed them. Manifests tell which days were missing (L2, L3)."""
     first = families.days_of("productivity", start, start, window)[0]
-    rows = spark.read.parquet(path)
+    every = families.days_of("productivity", start, end, window)
+    lost = [d for d in every if json.loads((Path(out) / "manifests" / f"productivity-{d}.json").read_text())["status"] == "unavailable"]
+    rows = verified(spark, out, "productivity", every)
     daily = rows.select("cell", F.to_date("DATE").alias("day"), "CHLOROPHYLL_MEAN_MG_M3")
-    days = trailing.date_spine(spark, first, end)
-    made = families.productivity_composite(daily, support, days, window, minimum).where(F.col("day") >= F.to_date(F.lit(start)))
+    made = families.productivity_composite(daily, support, trailing.date_spine(spark, first, end), window, minimum).where(F.col("day") >= F.to_date(F.lit(start)))
     names = {"trailing_mean": "CHLOROPHYLL_TRAILING_7D_MEAN_MG_M3", "trailing_log_mean": "CHLOROPHYLL_TRAILING_7D_LOG_MEAN", "trailing_2plus_mean": "CHLOROPHYLL_TRAILING_7D_2PLUS_MEAN_MG_M3",
              "valid_days": "COMPOSITE_VALID_DAYS", "newest_age": "COMPOSITE_NEWEST_AGE_DAYS", "oldest_age": "COMPOSITE_OLDEST_AGE_DAYS", "window_days": "COMPOSITE_WINDOW_DAYS"}
     made = made.select("cell", F.date_format("day", "yyyy-MM-dd").alias("DATE"), *(F.col(a).alias(b) for a, b in names.items()))
-    own = rows.where(F.col("DATE").between(start, end)).drop(*names.values())
-    tables.write_features(own.withColumn("DATE", F.col("DATE").cast("string")).join(made, ["cell", "DATE"]), f"{path}_with_composites")
+    own = rows.where(F.col("DATE").between(start, end)).drop(*names.values()).withColumn("DATE", F.col("DATE").cast("string"))
+    path = f"{out}/productivity_with_composites"
+    tables.write_features(own.join(made, ["cell", "DATE"]), path, next(c for c in own.columns if c.endswith("_INDEX")))
+    told = []
+    for day in (d for d in every if d >= start):
+        back = [d for d in lost if families.days_of("productivity", day, day, window)[0] <= d <= day]
+        features = spark.read.parquet(f"{path}/family=productivity/DATE={day}")
+        told.append(tables.write_manifest(Path(out) / "manifests" / f"productivity_with_composites-{day}.json", features, ["CHLOROPHYLL_TRAILING_7D_MEAN_MG_M3"], "area", family="productivity_with_composites", day=day,
+                                          status="partial" if back else "available", missing_days=back, feature_sha256=tables.partition_digest(spark, f"{path}/family=productivity/DATE={day}")))
+    return told
 
 
 def compare_currents(fine: DataFrame, coarse: DataFrame, fine_value: str, coarse_value: str) -> DataFrame:
     """Regional cells rolled up to the broader resolution (gated at half the area), against the broader source, day by day."""
-    from ..operators.spatial import gated_roll_up
-
     up = fine.withColumn("__key", F.struct(cells.parent(F.col("cell"), 6, 5).alias("cell"), F.col("DATE")))
     up = gated_roll_up(up, "__key", fine_value).select("__key.cell", "__key.DATE", F.col(fine_value).alias("regional"))
     both = up.join(coarse.select("cell", "DATE", F.col(coarse_value).alias("broader")), ["cell", "DATE"])
     return comparison.agreement(both, ["DATE"], "regional", "broader")
 
 
+def compare_tides(observed: DataFrame, heights: DataFrame, triangles: DataFrame) -> DataFrame:
+    """R4, A.12: hourly predictions of the mesh against stations. observed: station, hour, value; heights: station, hour, height; triangles: station, triangle."""
+    hours = observed.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
+    spine = comparison.on_spine(hours, observed, ["station"]).join(heights, ["station", "hour"], "left")
+    full = spine.groupBy("station").agg((F.count("value") == 24).alias("complete"))
+    found = comparison.agreement(spine, ["station"], "value", "height")
+    told = triangles.join(full, "station", "left").withColumn("status", comparison.station_status(F.col("triangle"), F.coalesce("complete", F.lit(False))))
+    told = told.join(found, "station", "left")
+    measures = ("n", "mae", "demeaned_rmse", "correlation", "range_error")
+    return told.select("station", "status", *(F.when(F.col("status") == "compared", F.col(c)).alias(c) for c in measures))
+
+
+def compare(spark: SparkSession, out: str, start: str, end: str) -> dict[str, list[dict]]:
+    """Currents and coverage of the two sources over verified days; sources are never blended."""
+    quality.require_interval(start, end)
+    days = families.days_of("currents", start, end)
+    if lacking := [f for f in COMPARED for d in days if not (Path(out) / "manifests" / f"{f}-{d}.json").exists()]:
+        raise quality.CheckError(f"a comparison needs {sorted(set(lacking))} as well")
+    read = partial(verified, spark, out, days=days)
+    fine, coarse = (read(family=f).withColumn("DATE", F.col("DATE").cast("string")) for f in ("currents", "offshore_currents"))
+    a, b = FAMILIES["currents"].metrics(config.Settings())[0], FAMILIES["offshore_currents"].metrics(config.Settings())[0]
+    both = comparison.with_parent_value(fine.select("cell", "DATE", "area", a), coarse.select("cell", b).groupBy("cell").agg(F.max(b).alias(b)), b, 6, 5)
+    shares = comparison.complementary(both, F.col(a).isNotNull(), F.col(b).isNotNull(), keys=("DATE",))
+    ranges = read(family="tides").select("cell", "DATE", "area").join(read(family="tidal_model").select("cell", "DATE", "HARMONIC_TIDE_RANGE_M"), ["cell", "DATE"])
+    modelled = ranges.groupBy(F.col("DATE").cast("string").alias("DATE")).agg(F.count("HARMONIC_TIDE_RANGE_M").alias("cells"), F.avg("HARMONIC_TIDE_RANGE_M").alias("mean_range_m"))
+    listed = lambda df: [r.asDict() for r in df.orderBy("DATE").collect()]  # noqa: E731  a row a day
+    return {"currents": listed(compare_currents(fine, coarse, a, b)), "coverage": listed(shares), "tidal_model": listed(modelled)}
+
+
 def main(argv: list[str] | None = None) -> int:
-    """``init`` writes a configuration that isn't there yet; ``build`` and ``inspect`` work on a workspace. 1 if a family failed."""
+    """``init`` writes a configuration that isn't there yet; ``build``, ``compare`` and ``inspect`` work on a workspace. 1 if a family failed."""
     p = argparse.ArgumentParser(prog="pelagia")
-    p.add_argument("command", choices=("init", "build", "inspect"))
+    p.add_argument("command", choices=("init", "build", "compare", "inspect"))
     p.add_argument("--workspace")
     p.add_argument("--start")
     p.add_argument("--end")
-    p.add_argument("--families", nargs="*", default=list(RASTERS))
+    p.add_argument("--families", nargs="*", default=list(FAMILIES))
+    p.add_argument("--cells", default="h3", choices=("h3", "grid"))
     a = p.parse_args(argv)
     root = config.workspace(a.workspace)
     if a.command == "init":
@@ -100,16 +253,24 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("pelagia").getOrCreate()
     out = str(root / settings.feature_dir)
     if a.command == "build":
-        support = {r: spark.read.parquet(str(root / "support" / f"r{r}")) for r in (5, 6)}
-        told = build(spark, str(root / "layers"), support, out, a.start, a.end, tuple(a.families), config_sha256=config.fingerprint(document))
-        return int(any(m["status"] != "available" for m in told))
+        have = {p.name: spark.read.parquet(str(p)) for p in sorted((root / "support").iterdir())}
+        region = Region({int(k[1:]): v for k, v in have.items() if k[:1] == "r" and k[1:].isdigit()}, {k: v for k, v in have.items() if not k[1:].isdigit()}, settings, a.cells)
+        told = build(spark, str(root / "layers"), region, out, a.start, a.end, tuple(a.families), config.fingerprint(document))
+        return int(any(m["status"] == "unavailable" for m in told))
+    if a.command == "compare":
+        write_json(root / "comparison.json", compare(spark, out, a.start, a.end))
+        return 0
     quality.require_interval(a.start, a.end, 31)
     for family in a.families:
-        rows = spark.read.parquet(f"{out}/{family}").where(F.col("DATE").between(a.start, a.end))
-        tables.report(rows.select(F.col("H3_INDEX").alias("cell"), F.col("DATE").alias("day"), *RASTERS[family][1]), root / f"{family}.html", family, list(RASTERS[family][1]))
-        (root / f"{family}.catalog.json").write_text(json.dumps(tables.catalog(rows, {}), indent=2))
+        rows, metrics = verified(spark, out, family, families.days_of("", a.start, a.end)), FAMILIES[family].metrics(settings)
+        index = next(c for c in rows.columns if c.endswith("_INDEX"))
+        tables.report(rows.select(F.col(index).alias("cell"), F.col("DATE").alias("day"), *metrics), root / f"{family}.html", family, metrics)
+        (root / f"{family}.catalog.json").write_text(json.dumps(tables.catalog(rows, {m: f"{family}, resolution {FAMILIES[family].resolution}" for m in metrics}), indent=2))
     return 0
 
 
+#: The constituents' speeds with plain harmonic sums (nodal factor 1, argument 0), as a day's layer of ``tidal_model``.
+PLAIN_SPEEDS = [(name, speed, 1.0, 0.0) for name, speed in harmonics.SPEEDS.items()]
+
 if __name__ == "__main__":
     raise SystemExit(main())

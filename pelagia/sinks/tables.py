@@ -7,7 +7,7 @@ import html
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.masks import any_present
@@ -43,6 +43,23 @@ def digest(paths: list[Path]) -> str:
     return h.hexdigest()
 
 
+def partition_digest(spark: SparkSession, path: str) -> str:
+    """V7: SHA-256 over names and contents of a partition's files (one a partition), wherever they lie."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha")).collect()
+    return hashlib.sha256("\n".join(sorted(f"{r.name} {r.sha}" for r in rows)).encode()).hexdigest()
+
+
+def table_digest(df: DataFrame) -> str:
+    """L1: of a table's rows, whatever their order and files."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")).alias("s")).first()
+    return hashlib.sha256(f"{sorted(df.columns)} {r.n} {r.s}".encode()).hexdigest()
+
+
+def code_digest() -> str:
+    """L1: of this package's modules."""
+    return digest([p for p in Path(__file__).parents[1].rglob("*.py") if "llm" not in p.parts])
+
+
 def write_manifest(path: str | Path, features: DataFrame, metrics: list[str], area: str, **lineage) -> dict:
     """Coverage and lineage of one partition, after the data: a reader that finds it finds the data too."""
     found = [r.asDict() for r in coverage(features, metrics, area).collect()]  # one row a metric

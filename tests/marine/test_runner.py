@@ -2,31 +2,93 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pelagia.functions import cells
+from pelagia.operators import quality
 from pelagia.plans import runner
+from pelagia.sources import config
 from pyspark.sql import functions as F
 
+DAY = "2024-07-01"
 
-def test_build_inspect(spark, tmp_path):
+
+def workspace(spark, root):
+    """Two places; the second has no data."""
+    assert runner.main(["init", "--workspace", str(root)]) == 0
     place = spark.createDataFrame([(48.5, -123.5), (20.0, 10.0)], "lat double, lon double")
-    for res in (5, 6):
-        place.select(cells.grid_cell(F.col("lat"), F.col("lon"), res).alias("cell"), F.lit(2.0).alias("area")).write.parquet(f"{tmp_path}/support/r{res}")
-    sea = spark.createDataFrame([(48.5, -123.5, 11.0, 5)], "lat double, lon double, sst double, quality int")
-    sea.write.parquet(f"{tmp_path}/layers/ocean_temperature/DATE=2024-07-01")
-    for day, x in (("2024-06-26", 2.0), ("2024-07-01", 4.0)):
-        spark.createDataFrame([(48.5, -123.5, x)], "lat double, lon double, chlorophyll double").write.parquet(f"{tmp_path}/layers/productivity/DATE={day}")
-    assert runner.main(["init", "--workspace", str(tmp_path)]) == 0
-    asked = ["--workspace", str(tmp_path), "--start", "2024-07-01", "--end", "2024-07-02", "--families", "ocean_temperature", "productivity"]
-    assert runner.main(["build", *asked]) == 1  # days without layers are there, but unavailable
+    for res in (5, 6, 8):
+        place.select(cells.grid_cell(F.col("lat"), F.col("lon"), res).alias("cell"), F.lit(2.0).alias("area"), F.lit(True).alias("has_water_overlap")).write.parquet(f"{root}/support/r{res}")
+    fine = place.select(cells.grid_cell(F.col("lat"), F.col("lon"), 8).alias("cell"))
+    for name in ("tide_distances", "river_distances"):
+        fine.limit(1).select(F.lit("s1").alias("seed"), "cell", F.lit(0.0).alias("distance")).write.parquet(f"{root}/support/{name}")
+    spark.createDataFrame([("s1", "G1"), ("s2", "G2")], "seed string, gauge string").write.parquet(f"{root}/support/gauges")
+    place.select(cells.grid_cell(F.col("lat"), F.col("lon"), 6).alias("cell"), "lat", "lon").write.parquet(f"{root}/support/points")
+    spark.createDataFrame([(1, -124.0, 48.0), (2, -123.0, 48.0), (3, -123.5, 49.0)], "node int, lon double, lat double").write.parquet(f"{root}/support/mesh_nodes")
+    spark.createDataFrame([(1, 1, 2, 3)], "tri int, n0 int, n1 int, n2 int").write.parquet(f"{root}/support/mesh_elements")
+    spark.createDataFrame([(k, "S2", 1.0, 0.0) for k in (1, 2, 3)], "node int, constituent string, re double, im double").write.parquet(f"{root}/support/constituents")
+    document, settings = config.load(root / "pelagia.yaml")
+    told = (config.fingerprint(document), settings.bbox.model_dump())
+
+    def publish(family, rows, schema, day=DAY, errors=None):
+        runner.publish_layer(spark.createDataFrame(rows, schema), f"{root}/layers", family, day, *told, errors)
+
+    publish("ocean_temperature", [(48.5, -123.5, 11.0, 5)], "lat double, lon double, sst double, quality int")
+    for day, x in (("2024-06-26", 2.0), (DAY, 4.0)):
+        publish("productivity", [(48.5, -123.5, x)], "lat double, lon double, chlorophyll double", day)
+    publish("currents", [(t, y, x, 48.5, -123.5, 3.0, 4.0, 9.0) for t in range(6) for y in range(2) for x in range(2)], "t int, y int, x int, lat double, lon double, u double, v double, depth double", errors=["one file late"])
+    publish("offshore_currents", [(t, 0, 0, 48.5, 236.5, 3.0, 4.0) for t in range(8)], "t int, y int, x int, lat double, lon double, u double, v double")
+    hours = [("s1", f"{DAY} {h:02d}:00:00", float(h)) for h in range(24)] + [("s1", "2024-07-02 00:00:00", 99.0)]
+    runner.publish_layer(spark.createDataFrame(hours, "seed string, ts string, value double").withColumn("ts", F.to_timestamp("ts")), f"{root}/layers", "tides", DAY, *told)
+    publish("river_discharge", [("s1", "G1", DAY, "100", "ft^3/s")], "seed string, station string, day string, value string, unit string")
+    publish("tidal_model", [("S2", 30.0, 1.0, 0.0)], "constituent string, speed double, f double, v double")
+    return publish
+
+
+def test_build_compare_inspect(spark, tmp_path):
+    publish = workspace(spark, tmp_path)
+    asked = ["--workspace", str(tmp_path), "--start", DAY, "--end", DAY, "--cells", "grid"]
+    assert runner.main(["build", *asked]) == 1  # look-back days without layers are there, but unavailable
     out = f"{tmp_path}/data/features"
-    sst = spark.read.parquet(f"{out}/ocean_temperature")
-    assert {(str(r.DATE), r.SST_MEAN_C, r.FEATURE_STATUS) for r in sst.collect()} == {("2024-07-01", 11.0, "available"), ("2024-07-01", None, "unavailable"), ("2024-07-02", None, "unavailable")}
-    assert sst.count() == 4
+    told = {p.stem: json.loads(p.read_text()) for p in (tmp_path / "data/features/manifests").iterdir()}
+    status = {f: told[f"{f}-{DAY}"]["status"] for f in runner.FAMILIES}
+    assert status == {**dict.fromkeys(runner.FAMILIES, "available"), "currents": "partial"}, [m["error"] for m in told.values() if m.get("error")]
+    assert told[f"currents-{DAY}"]["source_errors"] == ["one file late"] and len(told[f"currents-{DAY}"]["code_sha256"]) == 64
+    assert told["productivity-2024-06-27"]["status"] == "unavailable" and "no layer" in told["productivity-2024-06-27"]["error"]
+    assert told[f"productivity_with_composites-{DAY}"]["missing_days"] == ["2024-06-25", "2024-06-27", "2024-06-28", "2024-06-29", "2024-06-30"]
+
+    def values(family, column):
+        return {round(r[0], 6) if isinstance(r[0], float) else r[0] for r in spark.read.parquet(f"{out}/{family}").where(F.col("DATE") == DAY).select(column).collect()}
+
+    assert values("ocean_temperature", "SST_MEAN_C") == {11.0, None} and values("ocean_temperature", "FEATURE_STATUS") == {"available", "unavailable"}
+    assert values("tides", "TIDE_RANGE_20KM") == {23.0, None} and values("tides", "MEAN_EXPECTED_SOURCES_40KM") == {1.0, 0.0}
+    assert values("river_discharge", "RIVER_DISCHARGE_10KM") == {2.831685, None}
+    assert values("tidal_model", "HARMONIC_TIDE_RANGE_M") == {2.0, None} and values("tidal_model", "NATIVE_TRIANGLE") == {1, -1}
     chl = spark.read.parquet(f"{out}/productivity_with_composites").where("COMPOSITE_VALID_DAYS > 0").collect()
-    assert {(str(r.DATE), r.CHLOROPHYLL_TRAILING_7D_MEAN_MG_M3, r.COMPOSITE_OLDEST_AGE_DAYS) for r in chl} == {("2024-07-01", 3.0, 5), ("2024-07-02", 3.0, 6)}
-    told = json.loads((tmp_path / "data/features/manifests/ocean_temperature-2024-07-02.json").read_text())
-    assert told["status"] == "unavailable" and told["coverage"][0]["valid_cells"] == 0 and "no layer" in told["error"]
-    assert runner.main(["inspect", *asked[:-1]]) == 0 and (tmp_path / "ocean_temperature.html").exists()
+    assert {(str(r.DATE), r.CHLOROPHYLL_TRAILING_7D_MEAN_MG_M3, r.COMPOSITE_OLDEST_AGE_DAYS) for r in chl} == {(DAY, 3.0, 5)}
+    rivers = spark.read.parquet(f"{out}/stations/river_discharge/DATE={DAY}").collect()
+    assert sorted((r.seed, r.DISCHARGE_M3_S is None) for r in rivers) == [("s1", False), ("s2", True)]
+
+    assert runner.main(["compare", *asked]) == 0
+    found = json.loads((tmp_path / "comparison.json").read_text())
+    assert found["currents"][0]["mae"] == 0.0 and found["coverage"][0]["either_fraction"] == 0.5 and found["tidal_model"][0]["cells"] == 1
+    assert runner.main(["inspect", *asked, "--families", "ocean_temperature"]) == 0 and (tmp_path / "ocean_temperature.html").exists()
+
+    # Another area, repeated places, and features that are not what was published.
+    publish("currents", [(0, 0, 0, 48.5, -123.5, 3.0, 4.0, 9.0)] * 2, "t int, y int, x int, lat double, lon double, u double, v double, depth double")
+    publish("river_discharge", [("s1", "G1", DAY, "100", "furlong")], "seed string, station string, day string, value string, unit string")
+    path = tmp_path / f"layers/manifests/tides-{DAY}.json"
+    path.write_text(path.read_text().replace("-125.8", "-125.9"))
+    assert runner.main(["build", *asked, "--families", "tides", "currents", "river_discharge"]) == 1
+    errors = {f: json.loads((tmp_path / f"data/features/manifests/{f}-{DAY}.json").read_text())["error"] for f in ("tides", "currents", "river_discharge")}
+    assert "another area" in errors["tides"] and "repeated" in errors["currents"] and "unknown unit" in errors["river_discharge"]
+    assert values("river_discharge", "RIVER_DISCHARGE_10KM") == {None}
+    next((tmp_path / f"data/features/ocean_temperature/family=ocean_temperature/DATE={DAY}").glob("*.parquet")).unlink()
+    with pytest.raises(quality.CheckError):
+        runner.main(["inspect", *asked, "--families", "ocean_temperature"])
+    with pytest.raises(quality.CheckError):
+        runner.build(spark, "x", runner.Region({}), "y", DAY, DAY, ("waves",))
+    with pytest.raises(quality.CheckError):
+        runner.compare(spark, f"{tmp_path}/none", DAY, DAY)
 
 
 def test_compare_currents(spark):
@@ -35,3 +97,12 @@ def test_compare_currents(spark):
     coarse = place.select(cells.grid_cell(F.col("lat"), F.col("lon"), 5).alias("cell"), F.lit("2024-07-01").alias("DATE"), F.lit(0.75).alias("b"))
     r = runner.compare_currents(fine, coarse, "a", "b").first()
     assert (r.n, r.mae, r.mean_observed) == (1, 0.25, 0.5)
+
+
+def test_compare_tides(spark):
+    rows = [(s, h, float(h % 6), float(h % 6) + 1) for s in ("a", "b", "c") for h in range(24) if (s, h) != ("b", 5)]
+    both = spark.createDataFrame(rows, "station string, hour int, value double, height double")
+    at = spark.createDataFrame([("a", 4), ("b", 4), ("c", -1), ("d", 7)], "station string, triangle int")
+    got = {r.station: r for r in runner.compare_tides(both.select("station", "hour", "value"), both.select("station", "hour", "height"), at).collect()}
+    assert (got["a"].status, got["a"].n, got["a"].mae, round(got["a"].correlation, 9)) == ("compared", 24, 1.0, 1.0)
+    assert [got[k].status for k in "bcd"] == ["reference_incomplete", "outside_or_ambiguous_native_mesh", "reference_incomplete"] and got["b"].n is None
