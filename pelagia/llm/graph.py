@@ -31,7 +31,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     edges = links.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     edges = scratch.table(edges, f"{name}-0")
     before, k, links = None, 0, edges.count()
-    while True:
+    while links:
         k += 1
         parts: list[str] = []
 

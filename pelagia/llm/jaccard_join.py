@@ -332,12 +332,17 @@ def near_groups(spark: SparkSession, docs: DataFrame, size: int = 5, percent: in
     pairs = near.repartition("key", "salt").sortWithinPartitions("key", "salt", "order").mapInArrow(run_pairs(percent), "x long, y long").distinct()
     links = verified(spark, docs, scratch.table(pairs, "pairs"), size, percent, scratch, "near").unionByName(scratch.table(bridges, "bridges"))
 
-    for name, best in (("best", True), ("far", False)):
-        known = scratch.table(components(links, scratch, f"{name}-stars"), f"{name}-components")
-        met = scratch.table(long_runs(match.where(F.col("df") > run), known, percent, best, scratch, name), f"{name}-pairs")
-        if not met.isEmpty():
-            links = links.unionByName(verified(spark, docs, met, size, percent, scratch, name))
-    groups = scratch.table(components(links, scratch, "all-stars").select(F.col("node").alias("doc"), "component"), "groups")
+    known = scratch.table(components(links, scratch, "near-stars"), "near-components")
+    if not shared.where(F.col("df") > run).isEmpty():
+        for name, best in (("best", True), ("far", False)):
+            met = scratch.table(long_runs(match.where(F.col("df") > run), known, percent, best, scratch, name), f"{name}-pairs")
+            if met.isEmpty():  # then no two components share enough, so the next time round finds nothing either
+                break
+            more = verified(spark, docs, met, size, percent, scratch, name)
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                known = scratch.table(components(links, scratch, f"{name}-stars"), f"{name}-components")
+    groups = known.select(F.col("node").alias("doc"), "component")
     of = members.join(groups, "doc", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "doc")).alias("component_id"))
     return rows.join(of, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
