@@ -1,16 +1,19 @@
 """Hierarchical cells.
 
 ``parent`` is the public bit layout of H3 ids as Column arithmetic: the resolution is the nibble at
-bit 52, the digit of resolution r sits at bit 3 (15 - r), unused digits are 7. ``latlng_to_cell`` needs
-the h3 package (an Arrow UDF); without it ``grid_cell`` gives a latitude-longitude quadtree in the same
-bit layout, which shares ``parent`` but is not H3.
+bit 52, the digit of resolution r sits at bit 3 (15 - r), unused digits are 7. ``hex_cell`` computes the ids, an Arrow
+batch at a time. ``grid_cell`` gives a latitude-longitude quadtree in the same bit layout, which shares ``parent`` but is not H3.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .hexagons import cell_centres, cell_ids
+
 RESOLUTION_BITS = 15 << 52
 
 
@@ -47,15 +50,35 @@ def grid_cell(lat: Column, lon: Column, res: int) -> Column:
     return F.when(lat.between(-90, 90) & lon.isNotNull(), out)
 
 
-def indexer(res: int, system: str = "grid"):
-    """A function (lat, lon) -> cell Column. ``h3`` needs the h3 package on the executors."""
-    if system == "grid":
-        return lambda lat, lon: grid_cell(lat, lon, res)
-    import h3
-    import pandas as pd
+def hex_cell(lat: Column, lon: Column, res: int) -> Column:
+    """the H3 id of a place; NULL where latitude or longitude is absent, not finite, or the latitude beyond 90 degrees."""
+    if not 0 <= res <= 15:
+        raise ValueError("resolutions are 0 to 15")
 
     @F.pandas_udf("long")
     def cell(lat: pd.Series, lon: pd.Series) -> pd.Series:
-        return pd.Series([None if a != a or b != b else int(h3.latlng_to_cell(a, b, res), 16) for a, b in zip(lat, lon, strict=True)], dtype="Int64")
+        y, x = lat.to_numpy(float), lon.to_numpy(float)
+        good = np.isfinite(y) & np.isfinite(x) & (np.abs(y) <= 90)
+        out = np.zeros(len(y), np.int64)
+        out[good] = cell_ids(y[good], x[good], res)
+        return pd.Series(pd.arrays.IntegerArray(out, ~good))
+
+    return cell(lat.cast("double"), lon.cast("double"))
+
+
+def hex_centre(cell: Column) -> Column:
+    """Centre of an H3 cell as a struct (lat, lon) in degrees; NULL stays NULL."""
 
-    return cell
+    @F.pandas_udf("struct<lat:double,lon:double>")
+    def centre(cell: pd.Series) -> pd.DataFrame:
+        good = cell.notna().to_numpy()
+        out = np.full((len(cell), 2), np.nan)
+        out[good] = np.stack(cell_centres(cell[good].to_numpy(np.int64)), 1)
+        return pd.DataFrame(out, columns=["lat", "lon"])
+
+    return F.when(cell.isNotNull(), centre(cell))
+
+
+def indexer(res: int, system: str = "grid"):
+    """A function (lat, lon) -> cell Column, of H3 (``h3``) or of the quadtree (``grid``)."""
+    return lambda lat, lon: (hex_cell if system == "h3" else grid_cell)(lat, lon, res)

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import cells, masks, units
+from ..functions import cells, hexagons, masks, units
 from ..operators import comparison, grid, harmonics, kernel, quality, rosters, spatial, trailing, water
 from ..sinks import tables
 
@@ -106,6 +107,45 @@ def cell_parent_bits(spark, d):
     return t(spark, d, "part").select(k.alias("k"), cells.parent(cell, 8, 6).alias("parent6"), cells.parent(cell, 8, 5).alias("parent5"))
 
 
+def _hex_sql(places: str, res: int) -> str:
+    """DuckDB: (k, lat, lon) of ``places`` to (k, cell), from the same lattice: nearest face, nearest point, a digit a resolution, the table of cells of resolution 0."""
+    centre, north, east, axis = hexagons._frames()
+    faces = ", ".join(f"({f}, {', '.join(repr(float(x)) for x in (*centre[f], *north[f], *east[f], axis[f].real, axis[f].imag))})" for f in range(20))
+    own = hexagons.solid().table
+    base = ", ".join(f"({f}, {a - hexagons.REACH}, {b - hexagons.REACH}, {', '.join(map(str, own[f, a, b]))})" for f, a, b in zip(*np.nonzero(own[..., 0] >= 0), strict=True))
+    turns = [hexagons.turned(np.arange(7), r).tolist() for r in range(6)]
+    by, steps, last = complex(hexagons.scale(res)), "", "l"
+    for k in range(res, 0, -1):
+        remainder = f"((a + {hexagons.ROOT[k % 2]} * b) % 7 + 7) % 7 + 1"
+        d, da, db = (f"({hexagons._digit_tables()[k % 2][:, c].tolist()})[{remainder}]" for c in range(3))
+        up = ("(3 * x - y) // 7 a, (x + 2 * y) // 7 b" if k % 2 else "(2 * x + y) // 7 a, (3 * y - x) // 7 b")
+        steps += f"s{k} as (select k, f, list_prepend(d, digits) digits, {up} from (select k, f, digits, {d} d, a - {da} x, b - {db} y from {last})),\n"
+        last = f"s{k}"
+    return f"""q as (select k, cos(radians(lat)) * cos(radians(lon)) x, cos(radians(lat)) * sin(radians(lon)) y, sin(radians(lat)) z from {places}),
+faces(f, cx, cy, cz, nx, ny, nz, ex, ey, ez, ax, ay) as (values {faces}),
+near as (select k, first(f order by x * cx + y * cy + z * cz desc) f from q, faces group by k),
+flat as (select k, f, (x * nx + y * ny + z * nz) / (x * cx + y * cy + z * cz) n, (x * ex + y * ey + z * ez) / (x * cx + y * cy + z * cz) e, ax, ay from q join near using (k) join faces using (f)),
+lat0 as (select k, f, (ax * n + ay * e) / {hexagons.STEP!r} zr, (ay * n - ax * e) / {hexagons.STEP!r} zi from flat),
+latr as (select k, f, zr * {by.real!r} - zi * {by.imag!r} zr, zr * {by.imag!r} + zi * {by.real!r} zi from lat0),
+cube as (select k, f, zr - zi / {float(hexagons.W.imag)!r} / 2 q, zi / {float(hexagons.W.imag)!r} r from latr),
+near3 as (select *, round(q) x, round(r) y, round(-q - r) s, abs(round(q) - q) dx, abs(round(r) - r) dy, abs(round(-q - r) + q + r) ds from cube),
+l as (select k, f, []::bigint[] digits, cast(case when dx >= dy and dx >= ds then -s when dy >= ds then -s else x + y end as bigint) a, cast(case when dx >= dy and dx >= ds then y when dy >= ds then -x - s else y end as bigint) b from near3),
+{steps}own(f, a, b, base, turns, outwards) as (values {base}),
+u as (select k, base, outwards, list_transform(digits, lambda d: ({turns})[turns + 1][d + 1]) digits from {last} join own using (f, a, b)),
+v as (select k, base, case when outwards > 0 and list_filter(digits, lambda d: d > 0)[1] = {hexagons.K} then list_transform(digits, lambda d: ({turns})[outwards + 1][d + 1]) else digits end digits from u),
+cells as (select k, (1::bigint << 59) | ({res}::bigint << 52) | {(1 << 3 * (15 - res)) - 1} | (base::bigint << 45) | list_sum(list_transform(range(1, {res + 1}), lambda i: digits[i]::bigint << (3 * (15 - i))))::bigint cell from v)"""
+
+
+_PLACES = "pl as (select o_orderkey k, (o_orderkey * 7919 % 17993)::double / 100 - 89.97 lat, (o_orderkey * 104729 % 35993)::double / 100 - 179.97 lon from orders)"
+
+
+@query(f"with {_PLACES}, {_hex_sql('pl', 8)} select k, cell, (cell & ~(15::bigint << 52)) | (5::bigint << 52) | (511::bigint << 21) parent5 from cells")
+def hex_cells(spark, d):
+    k = F.col("o_orderkey")
+    cell = cells.hex_cell((k * 7919 % 17993).cast("double") / 100 - 89.97, (k * 104729 % 35993).cast("double") / 100 - 179.97, 8)
+    return t(spark, d, "orders").select(k.alias("k"), cell.alias("cell")).withColumn("parent5", cells.parent(F.col("cell"), 8, 5))
+
+
 @query("""with d as (select user_id u, cast(ts as date) dt, avg(case when value > 20 then value end) x from events group by 1, 2),
 sp as (select u, dt from (select distinct u from d) a cross join (select distinct dt from d) b),
 j as (select sp.u u, sp.dt dt, datediff('day', date '1970-01-01', sp.dt) n, d.x x from sp left join d on sp.u = d.u and sp.dt = d.dt),
