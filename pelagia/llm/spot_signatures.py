@@ -30,6 +30,7 @@ le la les un une des du et est que qui en dans pour par sur au aux
 der die das und ein eine den dem ist von zu mit im auf nicht
 el los las una unos y es de del al con por para se""".split())
 CHAIN, GAP = 2, 1
+HALF = 1 << 31
 WORD, OTHER = r"[\p{L}\p{N}]+", r"\S+"
 
 
@@ -115,12 +116,16 @@ def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, text, found (its signatures), part and next (of the next document: as many first characters as half the text has, and its signatures) of each row of ``docs`` (doc_id, text)."""
     scratch = Scratch(spark, "spots")
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5("text")))
-    after = successors(keyed.select("doc_id", "key", F.length("text").cast("long").alias("n")), scratch)
+    # The key holds doc_id too, so both joins below read the same two columns, and Spark deals the texts out once for both.
+    keyed = docs.select(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), F.md5(text)).alias("key"), text.alias("text"))
+    doc_id = F.nullif(F.substring_index("key", ":", 1), F.lit("")).cast("long").alias("doc_id")
+    after = successors(keyed.select(doc_id, "key", F.length("text").cast("long").alias("n")), scratch)
     repeated = not after.where("times > 1").isEmpty()
-    parts = keyed.join(after, "key").select(F.col("before").alias("key"), F.substring(F.col("text"), F.lit(1), F.col("half").cast("int")).alias("part"), signatures(F.col("text")).alias("next"))
+    small = F.transform(signatures(F.col("text")), lambda x: (x - HALF).cast("int"))  # four bytes each on their way
+    parts = keyed.join(after.hint("merge"), "key").select(F.col("before").alias("key"), F.substring(F.col("text"), F.lit(1), F.col("half").cast("int")).alias("part"), small.alias("next"))
     parts = parts.dropDuplicates(["key"]) if repeated else parts  # rows that repeat a document give the same part
-    return keyed.join(parts, "key").select("doc_id", "text", signatures(F.col("text")).alias("found"), "part", "next")
+    found = keyed.join(parts.hint("merge"), "key").select(doc_id, "text", signatures(F.col("text")).alias("found"), "part", "next")
+    return found.withColumn("next", F.transform("next", lambda x: x.cast("long") + HALF))
 
 
 def op13_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
