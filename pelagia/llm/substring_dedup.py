@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import BASE, WORD_PATTERN, Scratch, by_ids, list_array, mix, read_table, signed, slices, split_words, texts_of, window_hashes, word_hashes
+from .textkit import BASE, Scratch, by_ids, list_array, mix, read_table, signed, slices, split_words, texts_of, window_hashes, word_hashes
 
 WINDOW, ROUNDS = 20, 2
 LEFT, RIGHT, RUN_SALT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -149,7 +149,7 @@ def joined(texts: pa.Array) -> list[bytes]:
 
 
 #: anchors: each once; inner: those that the text has at two places or more.
-FIRST = "doc_id long, n_words long, sha string, anchors array<long>, inner array<long>"
+FIRST = "doc_id long, n_words long, sha string, tag long, anchors array<long>, inner array<long>"
 
 
 def first_pass(window: int):
@@ -157,7 +157,8 @@ def first_pass(window: int):
         for batch in slices(batches, "text", 1 << 20):
             texts = texts_of(batch)
             words, off = split_words(texts)
-            start, anchor, place = anchors(word_hashes(words), off, window)
+            h = word_hashes(words)
+            start, anchor, place = anchors(h, off, window)
             new = np.append(True, place[1:] != place[:-1])[: len(place)]
             text = np.searchsorted(off, start[new], side="right") - 1
             tagged = anchor[new] + mix(np.arange(batch.num_rows, dtype=np.uint64) + np.uint64(1))[text]
@@ -168,7 +169,7 @@ def first_pass(window: int):
                 return list_array(signed(anchor[new][at]), np.concatenate([[0], np.cumsum(np.bincount(text[at], minlength=batch.num_rows))]), pa.int64())  # noqa: B023
 
             sha = [hashlib.sha256(x).hexdigest() for x in joined(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(off), pa.int64()), pa.array(sha, pa.string()), lists(at), lists(at[times > 1])], ["doc_id", "n_words", "sha", "anchors", "inner"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(off), pa.int64()), pa.array(sha, pa.string()), pa.array(text_tags(h, off)), lists(at), lists(at[times > 1])], ["doc_id", "n_words", "sha", "tag", "anchors", "inner"])
 
     return run
 
@@ -239,8 +240,8 @@ def drop_words(window: int):
         for batch in slices(batches, "text"):
             words, off = split_words(texts_of(batch))
             n, h = np.diff(off), word_hashes(words)
-            edge = np.zeros(len(h) + 1, np.int64)
-            first, many = in_text(off, np.arange(batch.num_rows), text_tags(h, off), batch.column("marks"))
+            edge, tags = np.zeros(len(h) + 1, np.int64), text_tags(h, off)
+            first, many = in_text(off, np.arange(batch.num_rows), tags, batch.column("marks"))
             np.add.at(edge, first, 1)
             np.add.at(edge, first + many + window - 1, -1)
             removed = np.cumsum(edge)[:-1] > 0
@@ -248,7 +249,7 @@ def drop_words(window: int):
             total = np.concatenate([[0], np.cumsum(~removed)])[off]
             out = pc.binary_join(pa.ListArray.from_arrays(pa.array(total, pa.int32()), kept), " ").to_pylist()
             sha = [hashlib.sha256((x or "").encode()).hexdigest() for x in out]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(n - np.diff(total), pa.int64()), pa.array(sha, pa.string()), pa.array(out, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(n - np.diff(total), pa.int64()), pa.array(sha, pa.string()), pa.array(out, pa.string()), pa.array(tags)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "tag"])
 
     return run
 
@@ -260,11 +261,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, t
     first = scratch.table(docs.mapInArrow(first_pass(window), FIRST), "first")
     rows = scratch.table(first.drop("anchors", "inner"), "rows")
     full = first.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
+    row = ["doc_id", "tag"]  # rows that share a doc_id may hold different texts
     # Minima and counts are written before they are joined: Spark splits hot keys only where both sides come straight from a shuffle.
     firsts = scratch.table(full.groupBy("sha", "n_words").agg(F.min("doc_id").alias("doc")), "firsts")
-    copies = scratch.table(full.select("doc_id", "sha", "n_words").join(firsts, ["sha", "n_words"]).where("doc_id > doc").select("doc_id").distinct(), "copies")
+    copies = scratch.table(full.select("doc_id", "tag", "sha", "n_words").join(firsts, ["sha", "n_words"]).where("doc_id > doc").select(*row).distinct(), "copies")
 
-    own = by_ids(full.select("doc_id", "anchors", "inner"), copies, "left_anti").select("doc_id", F.explode(F.concat("anchors", "inner")).alias("anchor"))
+    own = by_ids(full.select(*row, "anchors", "inner"), copies, "left_anti", row).select("doc_id", F.explode(F.concat("anchors", "inner")).alias("anchor"))
     twice = scratch.table(own.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor"), "twice")
     again = scratch.table(own.join(twice, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("again")), "again")
     ids = scratch.table(again.select("doc_id"), "again-ids")
@@ -285,22 +287,19 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, t
     single = windows.join(first_at, ["w1", "w2"]).where("doc_id > first.doc_id or doc_id = first.doc_id and start > first.start").select("doc_id", "start", F.lit(1).alias("n"), "tag")
     marks = scratch.table(later.unionByName(single).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "tag")).alias("marks")), "marks")
     scratch.drop("windows", "passages", "named")
-    kept = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+    kept = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, tag long"
     done = suspects.select("doc_id", "text").join(marks, "doc_id", "left").mapInArrow(drop_words(window), kept)
 
-    settled = scratch.table(copies.unionByName(ids).distinct(), "settled")
     nothing = hashlib.sha256(b"").hexdigest()
     out = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-    whole = by_ids(rows, settled, "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
-    gone = by_ids(rows, copies, "left_semi").select("doc_id", "n_words", F.when(F.col("n_words") >= window, F.col("n_words")).otherwise(0).cast("long").alias("n_removed"),
-                                                   F.when(F.col("n_words") >= window, nothing).otherwise(F.col("sha")).alias("kept_sha256"))
-    done = by_ids(done, copies, "left_anti")
-    result = whole.unionByName(gone).unionByName(done.select(*out))
+    whole = by_ids(by_ids(rows, ids, "left_anti"), copies, "left_anti", row).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
+    gone = by_ids(rows, copies, "left_semi", row).select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(nothing).alias("kept_sha256"))
+    done = by_ids(done, copies, "left_anti", row)
     if not texts:
-        return result
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN), F.lit(0))
-    plain = by_ids(docs, settled, "left_anti").select("doc_id", F.size(words).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.sha2(F.array_join(words, " "), 256).alias("kept_sha256"), F.array_join(words, " ").alias("kept"))
-    return plain.unionByName(gone.withColumn("kept", F.lit(""))).unionByName(done.select(*out, "kept"))
+        return whole.unionByName(gone).unionByName(done.select(*out))
+    no_marks = F.array().cast("array<struct<start:int,n:int,tag:bigint>>").alias("marks")
+    plain = by_ids(by_ids(docs, ids, "left_anti").select("doc_id", "text", no_marks).mapInArrow(drop_words(window), kept), copies, "left_anti", row)
+    return plain.select(*out, "kept").unionByName(gone.withColumn("kept", F.lit(""))).unionByName(done.select(*out, "kept"))
 
 
 def op8_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

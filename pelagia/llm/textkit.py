@@ -268,7 +268,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 BROADCAST_IDS = 1_000_000
 
 
-def by_ids(df: DataFrame, ids: DataFrame, how: str, column: str = "doc_id") -> DataFrame:
+def by_ids(df: DataFrame, ids: DataFrame, how: str, column: str | list[str] = "doc_id") -> DataFrame:
     """``left_semi`` or ``left_anti`` join with a written table of ids; it is broadcast only if a count shows it to be small."""
     from pyspark.sql import functions as F
 

@@ -142,6 +142,17 @@ def test_passages_with_other_words_around_them(spark):
     assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 70, 0), (4, 43, 40), (4, 50, 0)]
 
 
+def test_copy_under_an_id_with_another_text(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")
+    rows = [(1, a), (5, a), (5, b), (7, f"x {b}"), (7, f"x {b}"), (9, b), (9, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [(1, 30, 0), (5, 30, 0), (5, 30, 30), (7, 31, 30), (7, 31, 30), (9, 1, 0), (9, 30, 30)]
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(spark, docs).collect()) == want
+    full = substring_dedup.remove_repeats(spark, docs, texts=True).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in full) == want
+    assert sorted((r.doc_id, r.kept) for r in full) == sorted([(1, a), (5, ""), (5, b), (7, "x"), (7, "x"), (9, ""), (9, "short")])
+
+
 def test_no_rows_to_cut(spark, nothing):
     assert substring_dedup.remove_repeats(spark, nothing).count() == 0
 
