@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import masks, units
 from ..operators import grid, harmonics, kernel, quality, rosters, spatial, trailing
+from ..operators import tides as tides_of
 from ..operators import water as water_graph
 
 FAMILIES = ("tides", "river_discharge", "currents", "ocean_temperature", "productivity", "offshore_currents", "tidal_model")
@@ -99,13 +100,14 @@ def river_discharge(records: DataFrame, gauges: DataFrame, day: str, fine: DataF
     return influence_features(fine, coarse, distances, values, "RIVER_DISCHARGE", scales, parent, cutoff), stations
 
 
-def tidal_model(points: DataFrame, nodes: DataFrame, elements: DataFrame, constituents: DataFrame, speeds: DataFrame, support: DataFrame, step: float = 0.25) -> tuple[DataFrame, DataFrame]:
+def tidal_model(points: DataFrame, nodes: DataFrame, elements: DataFrame, constituents: DataFrame, day: str, support: DataFrame, step: float = 0.25) -> tuple[DataFrame, DataFrame]:
     """A.10, A.11: (features, heights). points: cell, lat, lon; the daily range of 24 predicted hours on every cell of the support."""
     if not constituents.join(nodes, "node", "left_anti").isEmpty():  # V12
         raise quality.CheckError("a constituent has nodes that the mesh lacks")
     at = harmonics.interpolate(points.withColumnRenamed("cell", "point"), nodes, elements, constituents, step)
-    hours = points.sparkSession.range(24).select(F.col("id").cast("double").alias("hours"))
-    heights = harmonics.predict(at.drop("triangle"), hours, speeds)
+    hours = tides_of.hours_of(points.sparkSession, day)
+    places = points.select(F.col("cell").alias("point"), "lat")
+    heights = tides_of.heights(at.drop("triangle").join(places, "point"), hours.select("ts")).join(F.broadcast(hours), "ts").select("point", "hour", "height")
     where = at.groupBy("point").agg(F.min("triangle").alias("NATIVE_TRIANGLE"))
     ranges = where.join(harmonics.daily_range(heights), "point", "left").select(F.col("point").alias("cell"), "NATIVE_TRIANGLE", F.col("hourly_range").alias("HARMONIC_TIDE_RANGE_M"))
     return support.join(ranges, "cell", "left"), heights

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cells, hexagons, masks, units
-from ..operators import comparison, grid, harmonics, kernel, quality, rosters, spatial, trailing, water
+from ..operators import comparison, grid, harmonics, kernel, quality, rosters, spatial, tides, trailing, water
 from ..sinks import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -397,6 +397,31 @@ def tide_range(spark, d):
     return harmonics.daily_range(harmonics.predict(c, hours, speeds)).select("point", r6(F.col("hourly_range")).alias("hourly_range"))
 
 
+def _tides_sql() -> str:
+    angle = lambda c: f"({c[0]} + {c[1]} * d + {c[2]} * pow(d / 10000, 2) + {c[3]} * pow(d / 10000, 3)) / 360"
+    lines = [f"('{name}', {', '.join(map(str, (*own, phase)))})" for name, (own, phase, _) in tides.CONSTITUENTS.items()]
+    beside = [f"('{name}', {', '.join(map(str, s))})" for name, (_, _, more) in tides.CONSTITUENTS.items() for s in more]
+    return f"""with lines(c, m0, m1, m2, m3, m4, m5, ph) as (values {", ".join(lines)}), beside(c, p, n, q, ph, ratio, kind) as (values {", ".join(beside)}),
+h as (select unnest(range(24)) h), e as (select h, (epoch(timestamp '2024-07-01') + 3600 * h) / 86400.0 + {tides.EPOCH} d, h / 24.0 f from h),
+a as (select h, f + {angle(tides.SUN)} - {angle(tides.MOON)} a0, {angle(tides.MOON)} a1, {angle(tides.SUN)} a2, {angle(tides.PERIGEE)} a3, {angle(tides.NODE)} a4, {angle(tides.SUN_PERIGEE)} a5 from e),
+v as (select h, c, 2 * pi() * (m0 * a0 + m1 * a1 + m2 * a2 + m3 * a3 + m4 * a4 + m5 * a5 + ph) v from a, lines),
+p as (select p_partkey k, cast(p_partkey % 170 - 85 as double) lat, cast(p_size as double) / 25 amp from part),
+s as (select k, sin(radians(case when abs(lat) < 5 then case when lat < 0 then -5 else 5 end else lat end)) s from p),
+g as (select k, h, c, 1 + sum(r * cos(w)) gr, sum(r * sin(w)) gi from (select k, h, c, ratio * case kind when 1 then {tides.DIURNAL} * (1 - 5 * s * s) / s when 2 then {tides.SEMIDIURNAL} * s else 1 end r, 2 * pi() * (p * a3 + n * a4 + q * a5 + ph) w from s, a, beside) group by all),
+t as (select k, h, sum(sqrt(gr * gr + gi * gi) * amp / (1 + length(c) + ascii(c)) * cos(v + atan2(gi, gr) - radians(cast(k * 37 % 360 + ascii(c) as double)))) y from g join v using (h, c) join p using (k) group by k, h)"""
+
+
+@query(_tides_sql() + " select k, round(max(y) - min(y) + 3e-6, 4) + 0.0 tide_range, round(avg(y) + 3e-6, 4) + 0.0 mean_height from t group by k")
+def nodal_tides(spark, d):
+    """Eight constituents at each part's latitude on one day."""
+    names = F.explode(F.array(*(F.lit(n) for n in tides.CONSTITUENTS))).alias("constituent")
+    each = t(spark, d, "part").select(F.col("p_partkey").alias("point"), (F.col("p_partkey") % 170 - 85).cast("double").alias("lat"), "p_size", names)
+    amplitude = F.col("p_size").cast("double") / 25 / (1 + F.length("constituent") + F.ascii("constituent"))
+    re, im = harmonics.from_polar(amplitude, (F.col("point") * 37 % 360 + F.ascii("constituent")).cast("double"))
+    made = tides.heights(each.select("point", "lat", "constituent", re.alias("re"), im.alias("im")), tides.hours_of(spark, "2024-07-01"))
+    return made.groupBy(F.col("point").alias("k")).agg(r4(F.max("height") - F.min("height")).alias("tide_range"), r4(F.avg("height")).alias("mean_height"))
+
+
 @query(CHILDREN + """ select r, round(sum(case when area > 0 then area * n end) / sum(case when area > 0 then area end) + 3e-8, 6) + 0.0 mean_n, round(sum(case when area > 0 then m * area end) / nullif(sum(case when area > 0 and m is not null then area end), 0) + 3e-8, 6) + 0.0 mean_m from ch group by r""")
 def rollup_diagnostics(spark, d):
     """Means of diagnostics over children that have one and an area."""

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cells, masks
-from ..operators import comparison, harmonics, quality, trailing
+from ..operators import comparison, quality, trailing
 from ..operators.spatial import gated_roll_up
 from ..sinks import tables
 from ..sources import config
@@ -54,6 +54,7 @@ class Family:
     make: Callable[[DataFrame, Region, str], tuple[DataFrame, DataFrame | None]]
     resolution: int
     metrics: Callable[[config.Settings], list[str]]
+    collected: bool = True  # a model needs no layer of the day
 
 
 def _raster(f: Callable, res: int, *metrics: str) -> Family:
@@ -74,10 +75,9 @@ def _rivers(layer: DataFrame, region: Region, day: str) -> tuple[DataFrame, Data
     return families.river_discharge(layer, region.fixed["gauges"], day, region.support[8], region.support[6], region.fixed["river_distances"], s.river_decay_km, _parent, s.kernel_cutoff_multiples)
 
 
-def _tidal_model(layer: DataFrame, region: Region, day: str) -> tuple[DataFrame, DataFrame]:
-    """The layer holds the day's speeds, nodal factors and arguments of the constituents."""
+def _tidal_model(layer: None, region: Region, day: str) -> tuple[DataFrame, DataFrame]:
     f = region.fixed
-    made, heights = families.tidal_model(f["points"], f["mesh_nodes"], f["mesh_elements"], f["constituents"], layer, region.support[6])
+    made, heights = families.tidal_model(f["points"], f["mesh_nodes"], f["mesh_elements"], f["constituents"], day, region.support[6])
     return made, heights.withColumnRenamed("point", "cell")
 
 
@@ -88,7 +88,7 @@ FAMILIES: dict[str, Family] = {
     "offshore_currents": _raster(families.offshore_currents, 5, "OFFSHORE_CURRENT_SPEED_SAMPLE_MEAN_MS", "OFFSHORE_CURRENT_SPEED_SAMPLE_MAX_MEAN_MS"),
     "tides": Family(_tides, 6, lambda s: [masks.scale_name("TIDE_RANGE", x) for x in s.tide_decay_km]),
     "river_discharge": Family(_rivers, 6, lambda s: [masks.scale_name("RIVER_DISCHARGE", x) for x in s.river_decay_km]),
-    "tidal_model": Family(_tidal_model, 6, lambda s: ["HARMONIC_TIDE_RANGE_M"]),
+    "tidal_model": Family(_tidal_model, 6, lambda s: ["HARMONIC_TIDE_RANGE_M"], collected=False),
 }
 #: A comparison needs all of these.
 COMPARED = ("tides", "currents", "tidal_model", "offshore_currents", "productivity")
@@ -149,7 +149,7 @@ def build(spark: SparkSession, layers: str, region: Region, out: str, start: str
             tables.write_features(done, f"{out}/{family}", region.cell_name)  # noqa: B023
 
         def make(day: str) -> tuple[DataFrame, list]:
-            layer, source = collected(spark, layers, family, day, config_sha256, region.settings.bbox.model_dump())  # noqa: B023
+            layer, source = collected(spark, layers, family, day, config_sha256, region.settings.bbox.model_dump()) if kind.collected else (None, {"errors": []})  # noqa: B023
             rows, stations = kind.make(layer, region, day)  # noqa: B023
             if stations is not None:  # K2
                 stations.write.mode("overwrite").parquet(f"{out}/stations/{family}/DATE={day}")  # noqa: B023
@@ -269,8 +269,5 @@ def main(argv: list[str] | None = None) -> int:
     return 0
 
 
-#: The constituents' speeds with plain harmonic sums (nodal factor 1, argument 0), as a day's layer of ``tidal_model``.
-PLAIN_SPEEDS = [(name, speed, 1.0, 0.0) for name, speed in harmonics.SPEEDS.items()]
-
 if __name__ == "__main__":
     raise SystemExit(main())

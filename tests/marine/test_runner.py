@@ -17,12 +17,12 @@ def workspace(spark, root):
     assert runner.main(["init", "--workspace", str(root)]) == 0
     place = spark.createDataFrame([(48.5, -123.5), (20.0, 10.0)], "lat double, lon double")
     for res in (5, 6, 8):
-        place.select(cells.grid_cell(F.col("lat"), F.col("lon"), res).alias("cell"), F.lit(2.0).alias("area"), F.lit(True).alias("has_water_overlap")).write.parquet(f"{root}/support/r{res}")
-    fine = place.select(cells.grid_cell(F.col("lat"), F.col("lon"), 8).alias("cell"))
+        place.select(cells.hex_cell(F.col("lat"), F.col("lon"), res).alias("cell"), F.lit(2.0).alias("area"), F.lit(True).alias("has_water_overlap")).write.parquet(f"{root}/support/r{res}")
+    fine = place.select(cells.hex_cell(F.col("lat"), F.col("lon"), 8).alias("cell"))
     for name in ("tide_distances", "river_distances"):
         fine.limit(1).select(F.lit("s1").alias("seed"), "cell", F.lit(0.0).alias("distance")).write.parquet(f"{root}/support/{name}")
     spark.createDataFrame([("s1", "G1"), ("s2", "G2")], "seed string, gauge string").write.parquet(f"{root}/support/gauges")
-    place.select(cells.grid_cell(F.col("lat"), F.col("lon"), 6).alias("cell"), "lat", "lon").write.parquet(f"{root}/support/points")
+    place.select(cells.hex_cell(F.col("lat"), F.col("lon"), 6).alias("cell"), "lat", "lon").write.parquet(f"{root}/support/points")
     spark.createDataFrame([(1, -124.0, 48.0), (2, -123.0, 48.0), (3, -123.5, 49.0)], "node int, lon double, lat double").write.parquet(f"{root}/support/mesh_nodes")
     spark.createDataFrame([(1, 1, 2, 3)], "tri int, n0 int, n1 int, n2 int").write.parquet(f"{root}/support/mesh_elements")
     spark.createDataFrame([(k, "S2", 1.0, 0.0) for k in (1, 2, 3)], "node int, constituent string, re double, im double").write.parquet(f"{root}/support/constituents")
@@ -40,13 +40,13 @@ def workspace(spark, root):
     hours = [("s1", f"{DAY} {h:02d}:00:00", float(h)) for h in range(24)] + [("s1", "2024-07-02 00:00:00", 99.0)]
     runner.publish_layer(spark.createDataFrame(hours, "seed string, ts string, value double").withColumn("ts", F.to_timestamp("ts")), f"{root}/layers", "tides", DAY, *told)
     publish("river_discharge", [("s1", "G1", DAY, "100", "ft^3/s")], "seed string, station string, day string, value string, unit string")
-    publish("tidal_model", [("S2", 30.0, 1.0, 0.0)], "constituent string, speed double, f double, v double")
+
     return publish
 
 
 def test_build_compare_inspect(spark, tmp_path):
     publish = workspace(spark, tmp_path)
-    asked = ["--workspace", str(tmp_path), "--start", DAY, "--end", DAY, "--cells", "grid"]
+    asked = ["--workspace", str(tmp_path), "--start", DAY, "--end", DAY, "--cells", "h3"]
     assert runner.main(["build", *asked]) == 1  # look-back days without layers are there, but unavailable
     out = f"{tmp_path}/data/features"
     told = {p.stem: json.loads(p.read_text()) for p in (tmp_path / "data/features/manifests").iterdir()}
@@ -62,7 +62,8 @@ def test_build_compare_inspect(spark, tmp_path):
     assert values("ocean_temperature", "SST_MEAN_C") == {11.0, None} and values("ocean_temperature", "FEATURE_STATUS") == {"available", "unavailable"}
     assert values("tides", "TIDE_RANGE_20KM") == {23.0, None} and values("tides", "MEAN_EXPECTED_SOURCES_40KM") == {1.0, 0.0}
     assert values("river_discharge", "RIVER_DISCHARGE_10KM") == {2.831685, None}
-    assert values("tidal_model", "HARMONIC_TIDE_RANGE_M") == {2.0, None} and values("tidal_model", "NATIVE_TRIANGLE") == {1, -1}
+    assert values("tidal_model", "HARMONIC_TIDE_RANGE_M") == {2.004316, None}  # twice the nodal factor of S2 on that day
+    assert values("tidal_model", "NATIVE_TRIANGLE") == {1, -1}
     chl = spark.read.parquet(f"{out}/productivity_with_composites").where("COMPOSITE_VALID_DAYS > 0").collect()
     assert {(str(r.DATE), r.CHLOROPHYLL_TRAILING_7D_MEAN_MG_M3, r.COMPOSITE_OLDEST_AGE_DAYS) for r in chl} == {(DAY, 3.0, 5)}
     rivers = spark.read.parquet(f"{out}/stations/river_discharge/DATE={DAY}").collect()
