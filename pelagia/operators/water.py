@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+import heapq
+import math
+from collections.abc import Callable, Iterable
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import covers_segment, nearest_on
+from ..sinks.scratch import Scratch
+
 
 def canonical_edges(edges: DataFrame, support: DataFrame | None = None) -> DataFrame:
     """Passable edges with both ends in the support, once each, with the least length in km."""
@@ -38,12 +44,14 @@ def utm10(lon: Column, lat: Column) -> tuple[Column, Column]:
     return 500000.0 + 0.9996 * a * east, 0.9996 * a * north
 
 
-def nearest_nodes(seeds: DataFrame, nodes: DataFrame, k: int = 30, limit_km: float | None = None) -> DataFrame:
-    """Up to ``k`` nearest nodes of each seed (x, y in metres), nearest first; ties go to the smaller cell.
+def nearest_nodes(seeds: DataFrame, nodes: DataFrame, k: int, limit_km: float) -> DataFrame:
+    """Up to ``k`` nearest nodes within ``limit_km`` of each seed (x, y in metres), nearest first; ties go to the smaller cell.
 
     Nodes and seeds meet in grid squares of the limit's size, so a seed sees the nine squares around it.
     """
-    size = (limit_km or 8.0) * 1000.0
+    if not limit_km > 0:
+        raise ValueError("the limit is a length")
+    size = limit_km * 1000.0
     square = lambda c: F.floor(F.col(c) / size)
     near = F.sequence(F.lit(-1), F.lit(1))
     tour = seeds.withColumn("__gx", F.explode(F.transform(near, lambda d: square("x") + d))).withColumn("__gy", F.explode(F.transform(near, lambda d: square("y") + d)))
@@ -77,28 +85,166 @@ def dissolve(cells: DataFrame, parent: str, ring: str = "ring") -> DataFrame:
     return each.groupBy(parent, "a", "b").agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
 
 
-def water_distances(edges: DataFrame, starts: DataFrame, connectors: DataFrame | None = None, cutoff_km: float | None = None) -> DataFrame:
+#: A graph of at most this many edges is searched whole in each seed's task; 24 bytes each.
+CORE = 100_000
+#: Cells of more neighbours stay: taking out one of three or fewer never adds edges.
+MOST_NEIGHBOURS = 3
+#: Seeds that are searched together in one block.
+SEEDS = 64
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select("a", "b", "km").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "km"))
+
+
+def _apart(ways: DataFrame, number: int) -> DataFrame:
+    """Cells (a) of few neighbours of which no two are neighbours: those that come before all of theirs by degree, then by a hash; then the same among what is left."""
+    degree = ways.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= MOST_NEIGHBOURS)
+    rank = degree.select("a", F.struct("n", F.xxhash64("a", F.lit(number)).alias("h"), F.col("a").alias("at")).alias("own"))
+    known = ways.select("a", "b").join(rank, "a").join(rank.select(F.col("a").alias("b"), F.col("own").alias("other")), "b", "left")
+    first = known.groupBy("a").agg(F.first("own").alias("own"), F.min("other").alias("least")).where("least is null or own < least").select("a")
+    beside = ways.join(first, "a", "left_semi").select(F.col("b").alias("a")).unionByName(first).distinct()
+    left = known.join(beside, "a", "left_anti").join(beside.withColumnRenamed("a", "b"), "b", "left_anti")
+    alone = rank.join(beside, "a", "left_anti").join(left.groupBy("a").agg(F.min("other").alias("least")), "a", "left").where("least is null or own < least").select("a")
+    return first.unionByName(alone)
+
+
+def contract(edges: DataFrame, scratch: Scratch, core: int = CORE, cutoff_km: float | None = None) -> tuple[list[DataFrame], DataFrame, int]:
+    """Takes cells out of a graph until ``core`` edges are left, without changing a distance between those that stay.
+
+    Each round takes out cells that are no neighbours and joins the neighbours of each by a way through it. Given back are, by round, the taken
+    cells' ways (cell, up, km) to what was still there, then the edges (a, b, km) that are left, and their number. It ends early where hardly any cell has few enough neighbours.
+    """
+    now = scratch.table(edges.where("a <> b and km is not null").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("km").alias("km")), "edges-0")
+    levels: list[DataFrame] = []
+    many = now.count()
+    while many > core:
+        k = len(levels) + 1
+        ways = _both_ways(now)
+        out = scratch.table(_apart(ways, k), f"taken-{k}")
+        up = scratch.table(ways.join(out, "a").select(F.col("a").alias("cell"), F.col("b").alias("up"), "km"), f"up-{k}")
+        kept = now.join(out, "a", "left_anti").join(out.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b", "km")
+        other = up.select("cell", F.col("up").alias("b"), F.col("km").alias("rest"))
+        through = up.join(other, "cell").where("up < b").select(F.col("up").alias("a"), "b", (F.col("km") + F.col("rest")).alias("km"))
+        through = through if cutoff_km is None else through.where(F.col("km") <= cutoff_km)
+        now = scratch.table(kept.unionByName(through).groupBy("a", "b").agg(F.min("km").alias("km")), f"edges-{k}")
+        levels.append(up)
+        before, many = many, now.count()
+        if many > before * 0.98:
+            break
+    return levels, now, many
+
+
+def _nearer(beside: dict, best: dict, queue: list[tuple]) -> dict:
+    """Shortest ways over a small graph from the (distance, cell) in ``queue``; gives what came nearer than ``best`` and keeps it there."""
+    came: dict = {}
+    for d, cell in queue:
+        if d < best.get(cell, math.inf):
+            best[cell] = came[cell] = d
+    heapq.heapify(queue)
+    while queue:
+        d, cell = heapq.heappop(queue)
+        if d > best[cell]:
+            continue
+        for other, km in beside.get(cell, ()):
+            if d + km < best.get(other, math.inf):
+                best[other] = came[other] = d + km
+                heapq.heappush(queue, (d + km, other))
+    return came
+
+
+def _neighbours(edges: Iterable[tuple]) -> dict[object, list[tuple[object, float]]]:
+    beside: dict[object, list[tuple[object, float]]] = {}
+    for a, b, km in edges:
+        beside.setdefault(a, []).append((b, km))
+        beside.setdefault(b, []).append((a, km))
+    return beside
+
+
+def _searched(core: list[tuple]) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Shortest ways from a seed's cells over a small graph."""
+    beside = _neighbours(core)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        came = _nearer(beside, {}, list(zip(rows["distance"].tolist(), rows["cell"].tolist(), strict=True)))
+        return pd.DataFrame({"seed": key[0], "cell": list(came), "distance": list(came.values())})
+
+    return run
+
+
+def _by_blocks(edges: DataFrame, found: DataFrame, block: Callable[[Column], Column], scratch: Scratch, cutoff_km: float | None) -> DataFrame:
+    """Distances over a graph too large for one task. A round searches whole blocks of cells that something came nearer in, and hands the improved
+    cells on over the edges between blocks: rounds follow the blocks that a way crosses, and what moves is the rows of blocks that changed."""
+    kinds = {f.name: f.dataType.simpleString() for f in found.schema}
+    inside = F.col("block") == F.col("other")
+    told = edges.select("a", "b", "km", block(F.col("a")).alias("block"), block(F.col("b")).alias("other"))
+    inner = scratch.table(told.where(inside).select("block", "a", "b", "km"), "inner")
+    cross = scratch.table(_both_ways(told.where(~inside)).withColumnRenamed("a", "cell"), "cross")
+    parts = max(1, -(-found.select("seed").distinct().count() // SEEDS))
+    part = F.pmod(F.xxhash64("seed"), F.lit(parts))
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        beside, out = _neighbours(right[["a", "b", "km"]].itertuples(index=False, name=None)), []
+        for seed, rows in left.groupby("seed", sort=False):
+            old, new = rows[~rows["fresh"]], rows[rows["fresh"]]
+            came = _nearer(beside, dict(zip(old["cell"], old["distance"], strict=True)), list(zip(new["distance"].tolist(), new["cell"].tolist(), strict=True)))
+            out.append(pd.DataFrame({"seed": seed, "cell": list(came), "distance": list(came.values())}))
+        return pd.concat(out) if out else left[["seed", "cell", "distance"]].iloc[:0]
+
+    least = lambda df: df.groupBy("seed", "cell").agg(F.min("distance").alias("distance"))
+    come, held = scratch.table(found, "come-0"), []
+    while not come.isEmpty():
+        k = len(held) + 1
+        fresh = come.select("seed", "cell", "distance", block(F.col("cell")).alias("block"), F.lit(True).alias("fresh"))
+        touched = scratch.table(fresh.select("block").distinct(), f"touched-{k}")
+        rows = fresh
+        if held:
+            before = reduce(DataFrame.unionByName, held).withColumn("block", block(F.col("cell"))).join(touched, "block", "left_semi")
+            rows = rows.unionByName(before.groupBy("seed", "cell", "block").agg(F.min("distance").alias("distance")).withColumn("fresh", F.lit(False)))
+        ways = inner.join(touched, "block", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        got = rows.withColumn("part", part).groupBy("block", "part").cogroup(ways.groupBy("block", "part")).applyInPandas(search, f"seed {kinds['seed']}, cell {kinds['cell']}, distance double")
+        held.append(scratch.table(got if cutoff_km is None else got.where(F.col("distance") <= cutoff_km), f"held-{k}"))
+        step = held[-1].join(cross, "cell").select("seed", F.col("b").alias("cell"), (F.col("distance") + F.col("km")).alias("distance"))
+        step = least(step if cutoff_km is None else step.where(F.col("distance") <= cutoff_km))
+        known = least(reduce(DataFrame.unionByName, held).join(step.select("cell").distinct(), "cell", "left_semi")).withColumnRenamed("distance", "old")
+        come = scratch.table(step.join(known, ["seed", "cell"], "left").where("old is null or distance < old").drop("old"), f"come-{k}")
+    return least(reduce(DataFrame.unionByName, held)) if held else found
+
+
+def water_distances(edges: DataFrame, starts: DataFrame, connectors: DataFrame | None = None, cutoff_km: float | None = None, core: int = CORE, block: Callable[[Column], Column] | None = None) -> DataFrame:
     """(seed, cell, distance) of every reachable cell: the shortest way from the seed's nodes plus their connector lengths.
 
-    ``edges`` (a, b, km), ``starts`` (seed, cell, connector_km). Each round joins the cells that came nearer with their edges; it is written
-    below ``spark.checkpoint.dir``, and the last is the one that brings none nearer. ``connectors`` (cell, target, connector_km) override the graph distance by one hop (J15).
+    ``edges`` (a, b, km), ``starts`` (seed, cell, connector_km). The graph is contracted first, for all seeds at once (``contract``): rounds grow with the
+    logarithm of its chains, not with the longest way. Seeds climb from their cells to those that are left, ways among these are found in a task a seed, and distances
+    come back down, each level from the ones above it. A graph that is still of more than ``core`` edges (a wide plane of cells) is searched by ``block``s: a function of a
+    cell that puts neighbours together, such as an ancestor some levels up; each cell is its own block by default. ``connectors`` (cell, target, connector_km) override the graph distance by one hop (J15).
     """
-    context = edges.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pelagia-water-"))
-    ways = edges.select("a", "b", "km").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "km")).withColumnRenamed("a", "cell").checkpoint()
+    spark = edges.sparkSession
+    scratch = Scratch(spark, "water")
+    within = lambda df: df if cutoff_km is None else df.where(F.col("distance") <= cutoff_km)
+    least = lambda df: df.groupBy("seed", "cell").agg(F.min("distance").alias("distance"))
+    levels, left, many = contract(edges, scratch, core, cutoff_km)
     first = F.coalesce(F.col("connector_km").cast("double"), F.lit(0.0))
-    found = starts.select("seed", "cell", first.alias("distance")).groupBy("seed", "cell").agg(F.min("distance").alias("distance")).checkpoint()
-    nearer = found
-    while not nearer.isEmpty():
-        step = nearer.join(ways, "cell").select("seed", F.col("b").alias("cell"), (F.col("distance") + F.col("km")).alias("distance"))
-        step = step.where(F.col("distance").isNotNull() if cutoff_km is None else F.col("distance") <= cutoff_km)
-        both = found.withColumn("old", F.col("distance")).unionByName(step.withColumn("old", F.lit(None).cast("double")))
-        both = both.groupBy("seed", "cell").agg(F.min("distance").alias("distance"), F.min("old").alias("old")).checkpoint()
-        found = both.drop("old")
-        nearer = both.where(F.col("old").isNull() | (F.col("distance") < F.col("old"))).drop("old")
+    found = scratch.table(least(within(starts.select("seed", "cell", first.alias("distance")))), "climbed-0")
+    for k, up in enumerate(levels, 1):
+        step = found.join(up, "cell").select("seed", F.col("up").alias("cell"), (F.col("distance") + F.col("km")).alias("distance"))
+        found = scratch.table(least(within(found.unionByName(step))), f"climbed-{k}")
+    if many <= max(core, CORE):
+        graph = [(r.a, r.b, r.km) for r in left.toLocalIterator()]  # CORE edges at most
+        kinds = {f.name: f.dataType.simpleString() for f in found.schema}
+        done = within(found.groupBy("seed").applyInPandas(_searched(graph), f"seed {kinds['seed']}, cell {kinds['cell']}, distance double"))
+    else:
+        done = _by_blocks(left, found, block or (lambda cell: cell), scratch, cutoff_km)
+    taken = [up.select("cell").distinct() for up in levels]
+    parts = [scratch.table(reduce(lambda rows, cells: rows.join(cells, "cell", "left_anti"), taken, done).select("seed", "cell", "distance"), "core")]
+    for k in range(len(levels), 0, -1):
+        above = reduce(DataFrame.unionByName, parts).withColumnRenamed("cell", "up")
+        via = levels[k - 1].join(above, "up").select("seed", "cell", (F.col("km") + F.col("distance")).alias("distance"))
+        own = found.join(taken[k - 1], "cell", "left_semi").select("seed", "cell", "distance")
+        parts.append(scratch.table(least(within(via.unionByName(own))), f"down-{k}"))
+    done = reduce(DataFrame.unionByName, parts)
     if connectors is None:
-        return found
+        return done
     hop = connectors.select(F.col("cell").alias("__end"), F.col("target").alias("cell"), F.col("connector_km").alias("__km"))
-    ends = found.join(hop, "cell").select("seed", F.col("__end").alias("cell"), (F.col("distance") + F.col("__km")).alias("distance"))
-    return found.join(connectors.select("cell"), "cell", "left_anti").select("seed", "cell", "distance").unionByName(ends)
+    ends = done.join(hop, "cell").select("seed", F.col("__end").alias("cell"), (F.col("distance") + F.col("__km")).alias("distance"))
+    return done.join(connectors.select("cell"), "cell", "left_anti").select("seed", "cell", "distance").unionByName(ends)
