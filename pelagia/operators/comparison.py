@@ -31,9 +31,10 @@ def station_status(triangle: Column, complete: Column) -> Column:
     return F.when(triangle < 0, "outside_or_ambiguous_native_mesh").when(~complete, "reference_incomplete").otherwise("compared")
 
 
-def with_parent_value(cells: DataFrame, coarse: DataFrame, value: str, child_resolution: int, parent_resolution: int) -> DataFrame:
-    """Each cell with the value of its parent."""
-    return cells.withColumn("__parent", parent(F.col("cell"), child_resolution, parent_resolution)).join(coarse.select(F.col("cell").alias("__parent"), F.col(value)), "__parent", "left").drop("__parent")
+def with_parent_value(cells: DataFrame, coarse: DataFrame, value: str, child_resolution: int, parent_resolution: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Each cell with the value of its parent, where ``keys`` (a day) agree too."""
+    up = coarse.select(F.col("cell").alias("__parent"), *keys, F.col(value))
+    return cells.withColumn("__parent", parent(F.col("cell"), child_resolution, parent_resolution)).join(up, ["__parent", *keys], "left").drop("__parent")
 
 
 def complementary(cells: DataFrame, original: Column, broader: Column, area: str = "area", keys: tuple[str, ...] = ()) -> DataFrame:

@@ -572,3 +572,22 @@ def station_states(spark, d):
     """A.12."""
     s = t(spark, d, "events").groupBy(F.col("user_id").alias("u")).agg(F.count_distinct("event_type").alias("k"), F.count(F.lit(1)).alias("n"))
     return s.select("u", "n", comparison.station_status(F.when(F.col("u") % 7 == 0, harmonics.OUTSIDE).otherwise(1), F.col("k") >= 5).alias("status"))
+
+
+@query("""with c as (select distinct o_custkey % 60 k, o_orderdate dt, (1::bigint << 59) | (6::bigint << 52) | ((o_custkey % 60 % 7)::bigint << 45) | ((o_custkey % 60)::bigint << 27) | 134217727 cell from orders where o_orderkey % 2 = 0),
+f as (select cell, c.dt, k, cast(1 + k % 5 as double) area, max(case when o_orderkey % 3 > 0 then o_totalprice end) v from c join orders on o_custkey % 60 = k and o_orderdate = c.dt and o_orderkey % 2 = 0 group by all),
+b as (select distinct (1::bigint << 59) | (5::bigint << 52) | ((o_custkey % 60 % 7)::bigint << 45) | (((o_custkey % 60)::bigint << 27) & ~((1::bigint << 30) - 1)) | 1073741823 cell, o_orderdate dt from orders where o_orderkey % 5 = 0),
+j as (select f.dt, area, v is not null o, b.cell is not null w from f left join b on b.dt = f.dt and b.cell = (f.cell & ~(15::bigint << 52)) | (5::bigint << 52) | (7::bigint << 27))
+select cast(dt as varchar) "DATE", round(sum(case when o then area else 0 end) / sum(area) + 3e-8, 6) + 0.0 original_fraction, round(sum(case when w then area else 0 end) / sum(area) + 3e-8, 6) + 0.0 broader_fraction,
+       round(sum(case when o or w then area else 0 end) / sum(area) + 3e-8, 6) + 0.0 either_fraction from j group by dt""")
+def daily_coverage(spark, d):
+    """A23 by day: fine cells with a value, broader cells with one on the same day, and either."""
+    from . import runner
+
+    orders = t(spark, d, "orders").select(F.col("o_custkey") % 60, "o_orderdate", "o_orderkey", "o_totalprice").toDF("k", "DATE", "key", "price")
+    base = lambda res: F.lit((1 << 59) | (res << 52)).bitwiseOR(F.shiftleft((F.col("k") % 7).cast("long"), 45)).bitwiseOR(F.shiftleft(F.col("k").cast("long"), 27))
+    own = orders.where("key % 2 = 0").groupBy("k", "DATE").agg(F.max(F.when(F.col("key") % 3 > 0, F.col("price"))).alias("fine"))
+    own = own.select(base(6).bitwiseOR(F.lit(134217727)).alias("cell"), "DATE", (1 + F.col("k") % 5).cast("double").alias("area"), "fine")
+    broader = orders.where("key % 5 = 0").select(cells.parent(base(6).bitwiseOR(F.lit(134217727)), 6, 5).alias("cell"), "DATE").distinct().withColumn("broader", F.lit(1.0))
+    got = runner.source_coverage(own, broader, "fine", "broader", 6, 5)
+    return got.select(text("DATE"), *(r6(F.col(c)).alias(c) for c in ("original_fraction", "broader_fraction", "either_fraction")))

@@ -8,22 +8,19 @@ told by a manifest after the data; a family that fails, while it is planned or w
 from __future__ import annotations
 
 import argparse
-import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import partial
-from pathlib import Path
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cells, masks
-from ..operators import comparison, quality, trailing
+from ..operators import comparison, harmonics, quality, tides, trailing
 from ..operators.spatial import gated_roll_up
-from ..sinks import tables
+from ..sinks import store, tables
 from ..sources import config
-from ..sources.cache import write_json
 from . import families
 
 Index = Callable[[Column, Column], Column]
@@ -97,21 +94,20 @@ COMPARED = ("tides", "currents", "tidal_model", "offshore_currents", "productivi
 def publish_layer(rows: DataFrame, layers: str, family: str, day: str, config_sha256: str, bbox: dict, errors: list[str] | None = None) -> None:
     """K1: what was collected for a day, then its manifest."""
     rows.write.mode("overwrite").parquet(f"{layers}/{family}/DATE={day}")
-    write_json(Path(layers) / "manifests" / f"{family}-{day}.json", {"family": family, "day": day, "config_sha256": config_sha256, "bbox": bbox, "errors": errors or [],
-                                                                     "sha256": tables.partition_digest(rows.sparkSession, f"{layers}/{family}/DATE={day}")})
+    store.write_json(rows.sparkSession, manifest(layers, family, day), {"family": family, "day": day, "config_sha256": config_sha256, "bbox": bbox, "errors": errors or [],
+                                                                        "sha256": store.folder_digest(rows.sparkSession, f"{layers}/{family}/DATE={day}")})
 
 
-def collected(spark: SparkSession, layers: str, family: str, day: str, config_sha256: str, bbox: dict) -> tuple[DataFrame, dict]:
+def collected(spark: SparkSession, layers: str, family: str, day: str, config_sha256: str | None, bbox: dict) -> tuple[DataFrame, dict]:
     """A day's layer and manifest, if they belong together and to this configuration."""
-    path = Path(layers) / "manifests" / f"{family}-{day}.json"
-    if not path.exists():
+    if not store.exists(spark, manifest(layers, family, day)):
         raise OSError(f"no layer of {family} on {day}")
-    told = json.loads(path.read_text())
+    told = store.read_json(spark, manifest(layers, family, day))
     if told["bbox"] != bbox:
         raise quality.CheckError("collected for another area")
-    if told["config_sha256"] != config_sha256:
+    if config_sha256 is not None and told["config_sha256"] != config_sha256:
         raise quality.CheckError("collected under another configuration")
-    if told["sha256"] != tables.partition_digest(spark, f"{layers}/{family}/DATE={day}"):
+    if told["sha256"] != store.folder_digest(spark, f"{layers}/{family}/DATE={day}"):
         raise quality.CheckError("the layer is not what was published")
     try:
         return spark.read.parquet(f"{layers}/{family}/DATE={day}"), told
@@ -119,6 +115,11 @@ def collected(spark: SparkSession, layers: str, family: str, day: str, config_sh
         raise OSError(f"no layer of {family} on {day}") from e
 
 
+def manifest(root: str, family: str, day: str) -> str:
+    """Manifests lie beside the data, in whatever store that is."""
+    return f"{root}/manifests/{family}-{day}.json"
+
+
 def partition(out: str, family: str, day: str) -> str:
     return f"{out}/{family}/family={family}/DATE={day}"
 
@@ -126,8 +127,8 @@ def partition(out: str, family: str, day: str) -> str:
 def verified(spark: SparkSession, out: str, family: str, days: list[str]) -> DataFrame:
     """V7: a family's features, if each day's files are those that its manifest tells of."""
     for day in days:
-        told = json.loads((Path(out) / "manifests" / f"{family}-{day}.json").read_text())
-        if told["feature_sha256"] != tables.partition_digest(spark, partition(out, family, day)):
+        told = store.read_json(spark, manifest(out, family, day))
+        if told["feature_sha256"] != store.folder_digest(spark, partition(out, family, day)):
             raise quality.CheckError(f"features of {family} on {day} are not those of the manifest")
     return spark.read.parquet(f"{out}/{family}").where(F.col("DATE").cast("string").isin(days))
 
@@ -168,8 +169,8 @@ def build(spark: SparkSession, layers: str, region: Region, out: str, start: str
             if why:
                 written(rows, day)
             status = "unavailable" if why else "partial" if errors else "available"
-            told.append(tables.write_manifest(Path(out) / "manifests" / f"{family}-{day}.json", spark.read.parquet(partition(out, family, day)), metrics, "area", family=family, day=day, status=status, error=why,
-                                              source_errors=errors, feature_sha256=tables.partition_digest(spark, partition(out, family, day)), **lineage))
+            told.append(tables.write_manifest(manifest(out, family, day), spark.read.parquet(partition(out, family, day)), metrics, "area", family=family, day=day, status=status, error=why,
+                                              source_errors=errors, feature_sha256=store.folder_digest(spark, partition(out, family, day)), **lineage))
     if "productivity" in wanted:
         told += composites(spark, out, families.water(region.support[5]), start, end, region.settings.productivity_window_days, region.settings.productivity_min_valid_days)
     return told
@@ -179,7 +180,7 @@ def composites(spark: SparkSession, out: str, support: DataFrame, start: str, en
     """Second pass: trailing columns of the days asked for, from verified look-back days that only feed them. Manifests tell which days were missing (L2, L3)."""
     first = families.days_of("productivity", start, start, window)[0]
     every = families.days_of("productivity", start, end, window)
-    lost = [d for d in every if json.loads((Path(out) / "manifests" / f"productivity-{d}.json").read_text())["status"] == "unavailable"]
+    lost = [d for d in every if store.read_json(spark, manifest(out, "productivity", d))["status"] == "unavailable"]
     rows = verified(spark, out, "productivity", every)
     daily = rows.select("cell", F.to_date("DATE").alias("day"), "CHLOROPHYLL_MEAN_MG_M3")
     made = families.productivity_composite(daily, support, trailing.date_spine(spark, first, end), window, minimum).where(F.col("day") >= F.to_date(F.lit(start)))
@@ -193,8 +194,8 @@ def composites(spark: SparkSession, out: str, support: DataFrame, start: str, en
     for day in (d for d in every if d >= start):
         back = [d for d in lost if families.days_of("productivity", day, day, window)[0] <= d <= day]
         features = spark.read.parquet(f"{path}/family=productivity/DATE={day}")
-        told.append(tables.write_manifest(Path(out) / "manifests" / f"productivity_with_composites-{day}.json", features, ["CHLOROPHYLL_TRAILING_7D_MEAN_MG_M3"], "area", family="productivity_with_composites", day=day,
-                                          status="partial" if back else "available", missing_days=back, feature_sha256=tables.partition_digest(spark, f"{path}/family=productivity/DATE={day}")))
+        told.append(tables.write_manifest(manifest(out, "productivity_with_composites", day), features, ["CHLOROPHYLL_TRAILING_7D_MEAN_MG_M3"], "area", family="productivity_with_composites", day=day,
+                                          status="partial" if back else "available", missing_days=back, feature_sha256=store.folder_digest(spark, f"{path}/family=productivity/DATE={day}")))
     return told
 
 
@@ -207,32 +208,60 @@ def compare_currents(fine: DataFrame, coarse: DataFrame, fine_value: str, coarse
 
 
 def compare_tides(observed: DataFrame, heights: DataFrame, triangles: DataFrame) -> DataFrame:
-    """R4, A.12: hourly predictions of the mesh against stations. observed: station, hour, value; heights: station, hour, height; triangles: station, triangle."""
+    """R4, A.12: hourly predictions of the mesh against stations, day by day. observed: station, DATE, hour, value; heights: station, DATE, hour, height; triangles: station, DATE, triangle."""
+    keys = ["station", "DATE"]
     hours = observed.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
-    spine = comparison.on_spine(hours, observed, ["station"]).join(heights, ["station", "hour"], "left")
-    full = spine.groupBy("station").agg((F.count("value") == 24).alias("complete"))
-    found = comparison.agreement(spine, ["station"], "value", "height")
-    told = triangles.join(full, "station", "left").withColumn("status", comparison.station_status(F.col("triangle"), F.coalesce("complete", F.lit(False))))
-    told = told.join(found, "station", "left")
+    spine = comparison.on_spine(hours, observed, keys).join(heights, [*keys, "hour"], "left")
+    full = spine.groupBy(*keys).agg((F.count("value") == 24).alias("complete"))
+    found = comparison.agreement(spine, keys, "value", "height")
+    told = triangles.join(full, keys, "left").withColumn("status", comparison.station_status(F.col("triangle"), F.coalesce("complete", F.lit(False))))
+    told = told.join(found, keys, "left")
     measures = ("n", "mae", "demeaned_rmse", "correlation", "range_error")
-    return told.select("station", "status", *(F.when(F.col("status") == "compared", F.col(c)).alias(c) for c in measures))
+    return told.select(*keys, "triangle", "status", *(F.when(F.col("status") == "compared", F.col(c)).alias(c) for c in measures))
+
+
+def tide_checks(observed: DataFrame, stations: DataFrame, region: Region, days: list[str]) -> DataFrame:
+    """The mesh's predictions at the stations (seed, lat, lon) of all ``days`` against what was collected (seed, ts, value). No station is moved to a triangle."""
+    spark, f = observed.sparkSession, region.fixed
+    places = stations.select(F.col("seed").alias("point"), "lat", "lon")
+    at = harmonics.interpolate(places, f["mesh_nodes"], f["mesh_elements"], f["constituents"])
+    hours = reduce(DataFrame.unionByName, (tides.hours_of(spark, day).withColumn("DATE", F.lit(day)) for day in days))
+    heights = tides.heights(at.drop("triangle").join(places.select("point", "lat"), "point"), hours.select("ts")).join(F.broadcast(hours), "ts").select(F.col("point").alias("station"), "DATE", "hour", "height")
+    triangles = at.groupBy(F.col("point").alias("station")).agg(F.min("triangle").alias("triangle")).crossJoin(F.broadcast(hours.select("DATE").distinct()))  # days asked for
+    own = observed.select(F.col("seed").alias("station"), F.date_format("ts", "yyyy-MM-dd").alias("DATE"), F.hour("ts").alias("hour"), masks.present(F.col("value")).alias("value"), F.minute("ts").alias("minute"))
+    own = own.where(F.col("DATE").isin(days) & (F.col("minute") == 0)).drop("minute")
+    return compare_tides(own, heights, triangles)
+
+
+def source_coverage(fine: DataFrame, broader: DataFrame, fine_value: str, broader_value: str, fine_resolution: int = 6, broader_resolution: int = 6) -> DataFrame:
+    """By day, shares of the area of ``fine`` (cell, DATE, area) that its own source, the broader one on the same day, or either covers."""
+    if fine_resolution == broader_resolution:
+        both = fine.join(broader.select("cell", "DATE", broader_value), ["cell", "DATE"], "left")
+    else:
+        both = comparison.with_parent_value(fine, broader, broader_value, fine_resolution, broader_resolution, ("DATE",))
+    return comparison.complementary(both, F.col(fine_value).isNotNull(), F.col(broader_value).isNotNull(), keys=("DATE",))
 
 
-def compare(spark: SparkSession, out: str, start: str, end: str) -> dict[str, list[dict]]:
-    """Currents and coverage of the two sources over verified days; sources are never blended."""
+def compare(spark: SparkSession, out: str, start: str, end: str, layers: str | None = None, region: Region | None = None) -> dict[str, list[dict]]:
+    """Overlap of currents, coverage of both pairs of sources and, with the layers and the region, checks of the tidal model at the stations, over verified days; sources are never blended."""
     quality.require_interval(start, end)
     days = families.days_of("currents", start, end)
-    if lacking := [f for f in COMPARED for d in days if not (Path(out) / "manifests" / f"{f}-{d}.json").exists()]:
+    if lacking := [f for f in COMPARED for d in days if not store.exists(spark, manifest(out, f, d))]:
         raise quality.CheckError(f"a comparison needs {sorted(set(lacking))} as well")
-    read = partial(verified, spark, out, days=days)
-    fine, coarse = (read(family=f).withColumn("DATE", F.col("DATE").cast("string")) for f in ("currents", "offshore_currents"))
-    a, b = FAMILIES["currents"].metrics(config.Settings())[0], FAMILIES["offshore_currents"].metrics(config.Settings())[0]
-    both = comparison.with_parent_value(fine.select("cell", "DATE", "area", a), coarse.select("cell", b).groupBy("cell").agg(F.max(b).alias(b)), b, 6, 5)
-    shares = comparison.complementary(both, F.col(a).isNotNull(), F.col(b).isNotNull(), keys=("DATE",))
-    ranges = read(family="tides").select("cell", "DATE", "area").join(read(family="tidal_model").select("cell", "DATE", "HARMONIC_TIDE_RANGE_M"), ["cell", "DATE"])
-    modelled = ranges.groupBy(F.col("DATE").cast("string").alias("DATE")).agg(F.count("HARMONIC_TIDE_RANGE_M").alias("cells"), F.avg("HARMONIC_TIDE_RANGE_M").alias("mean_range_m"))
-    listed = lambda df: [r.asDict() for r in df.orderBy("DATE").collect()]  # noqa: E731  a row a day
-    return {"currents": listed(compare_currents(fine, coarse, a, b)), "coverage": listed(shares), "tidal_model": listed(modelled)}
+    read = {f: verified(spark, out, f, days).withColumn("DATE", F.col("DATE").cast("string")) for f in COMPARED}
+    settings = region.settings if region else config.Settings()
+    a, b = (FAMILIES[f].metrics(settings)[0] for f in ("currents", "offshore_currents"))
+    tide = FAMILIES["tides"].metrics(settings)[-1]
+    listed = lambda df, *keys: [r.asDict() for r in df.orderBy(*keys).collect()]  # noqa: E731  a row a day, or a day and station
+    shares = [{"family": f, **r} for f, df in (("currents", source_coverage(read["currents"], read["offshore_currents"], a, b, 6, 5)), ("tides", source_coverage(read["tides"], read["tidal_model"], tide, "HARMONIC_TIDE_RANGE_M"))) for r in listed(df, "DATE")]
+    ranges = read["tides"].select("cell", "DATE").join(read["tidal_model"].select("cell", "DATE", "HARMONIC_TIDE_RANGE_M"), ["cell", "DATE"])
+    modelled = ranges.groupBy("DATE").agg(F.count("HARMONIC_TIDE_RANGE_M").alias("cells"), F.avg("HARMONIC_TIDE_RANGE_M").alias("mean_range_m"))
+    found = {"currents": listed(compare_currents(read["currents"], read["offshore_currents"], a, b), "DATE"), "coverage": shares, "tidal_model": listed(modelled, "DATE"), "automatic_blending": False,
+             "families": [{"family": f, "DATE": d, "coverage": store.read_json(spark, manifest(out, f, d))["coverage"]} for f in COMPARED for d in days]}
+    if layers and region and "tide_stations" in region.fixed:
+        observed = reduce(DataFrame.unionByName, (collected(spark, layers, "tides", d, None, region.settings.bbox.model_dump())[0] for d in days))
+        found["tide_checks"] = listed(tide_checks(observed, region.fixed["tide_stations"], region, days), "DATE", "station")
+    return found
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -252,20 +281,22 @@ def main(argv: list[str] | None = None) -> int:
     document, settings = config.load(root / "pelagia.yaml")
     spark = SparkSession.builder.appName("pelagia").getOrCreate()
     out = str(root / settings.feature_dir)
+    have = {p.name: spark.read.parquet(str(p)) for p in sorted((root / "support").iterdir())} if a.command in ("build", "compare") else {}
+    region = Region({int(k[1:]): v for k, v in have.items() if k[:1] == "r" and k[1:].isdigit()}, {k: v for k, v in have.items() if not k[1:].isdigit()}, settings, a.cells)
     if a.command == "build":
-        have = {p.name: spark.read.parquet(str(p)) for p in sorted((root / "support").iterdir())}
-        region = Region({int(k[1:]): v for k, v in have.items() if k[:1] == "r" and k[1:].isdigit()}, {k: v for k, v in have.items() if not k[1:].isdigit()}, settings, a.cells)
         told = build(spark, str(root / "layers"), region, out, a.start, a.end, tuple(a.families), config.fingerprint(document))
         return int(any(m["status"] == "unavailable" for m in told))
     if a.command == "compare":
-        write_json(root / "comparison.json", compare(spark, out, a.start, a.end))
+        store.write_json(spark, f"{root}/comparison.json", compare(spark, out, a.start, a.end, str(root / "layers"), region))
         return 0
     quality.require_interval(a.start, a.end, 31)
     for family in a.families:
         rows, metrics = verified(spark, out, family, families.days_of("", a.start, a.end)), FAMILIES[family].metrics(settings)
         index = next(c for c in rows.columns if c.endswith("_INDEX"))
-        tables.report(rows.select(F.col(index).alias("cell"), F.col("DATE").alias("day"), *metrics), root / f"{family}.html", family, metrics)
-        (root / f"{family}.catalog.json").write_text(json.dumps(tables.catalog(rows, {m: f"{family}, resolution {FAMILIES[family].resolution}" for m in metrics}), indent=2))
+        shown = rows.select(F.col(index).alias("cell"), F.col("DATE").alias("day"), *metrics, *([cells.hex_centre(F.col("cell")).alias("centre")] if index.startswith("H3") else []))
+        shown = shown.select("cell", "day", *metrics, "centre.lat", "centre.lon") if "centre" in shown.columns else shown
+        tables.report(shown, str(root), family, metrics)
+        store.write_json(spark, f"{root}/{family}.catalog.json", tables.catalog(rows, {m: f"{family}, resolution {FAMILIES[family].resolution}" for m in metrics}))
     return 0
 
 

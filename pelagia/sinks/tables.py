@@ -7,12 +7,13 @@ import html
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.masks import any_present
 from ..operators.spatial import coverage
-from ..sources.cache import write_json
+from . import store
 
 DIAGNOSTICS = ("INPUT_PIXEL_COUNT", "EXPECTED_", "AVAILABLE_", "SOURCE_", "MEAN_EXPECTED", "MEAN_AVAILABLE", "MEAN_SOURCE", "MEAN_NEAREST", "SUPPORTED_", "COMPOSITE_")
 
@@ -29,8 +30,8 @@ def decorate(df: DataFrame, family: str, day: str, resolution: int, metrics: lis
 
 
 def write_features(df: DataFrame, path: str, cell: str = "H3_INDEX") -> None:
-    """K3, K6: replaces the (family, DATE) partitions that ``df`` holds and no others, one file each, sorted by cell."""
-    (df.repartition("family", "DATE").sortWithinPartitions("family", "DATE", cell).write.mode("overwrite")
+    """K3, K6: replaces the (family, DATE) partitions that ``df`` holds and no others, in ranges of cells: a day of many cells is several tasks and files, a small one is one."""
+    (df.repartitionByRange("family", "DATE", cell).sortWithinPartitions("family", "DATE", cell).write.mode("overwrite")
        .option("partitionOverwriteMode", "dynamic").partitionBy("family", "DATE").parquet(path))
 
 
@@ -43,12 +44,6 @@ def digest(paths: list[Path]) -> str:
     return h.hexdigest()
 
 
-def partition_digest(spark: SparkSession, path: str) -> str:
-    """V7: SHA-256 over names and contents of a partition's files (one a partition), wherever they lie."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha")).collect()
-    return hashlib.sha256("\n".join(sorted(f"{r.name} {r.sha}" for r in rows)).encode()).hexdigest()
-
-
 def table_digest(df: DataFrame) -> str:
     """L1: of a table's rows, whatever their order and files."""
     r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")).alias("s")).first()
@@ -60,31 +55,51 @@ def code_digest() -> str:
     return digest([p for p in Path(__file__).parents[1].rglob("*.py") if "llm" not in p.parts])
 
 
-def write_manifest(path: str | Path, features: DataFrame, metrics: list[str], area: str, **lineage) -> dict:
+def write_manifest(path: str, features: DataFrame, metrics: list[str], area: str, **lineage) -> dict:
     """Coverage and lineage of one partition, after the data: a reader that finds it finds the data too."""
     found = [r.asDict() for r in coverage(features, metrics, area).collect()]  # one row a metric
     value = {"coverage": found, "lookahead": False, **lineage}
-    write_json(Path(path), value)
+    store.write_json(features.sparkSession, path, value)
     return value
 
 
-PAGE = """<!doctype html><meta charset="utf-8"><title>{title}</title><h1>{title}</h1><select id="metric"></select><table id="rows"></table>
-<script>const data={payload};const s=document.getElementById("metric"),t=document.getElementById("rows");
+PAGE = """<!doctype html><meta charset="utf-8"><title>{title}</title><h1>{title}</h1><select id="metric"></select><svg id="map" width="600" height="600"></svg><table id="rows"></table>
+<script>const data={payload};const s=document.getElementById("metric"),t=document.getElementById("rows"),map=document.getElementById("map"),put=data.rows.filter(r=>r.lat!=null);
 for(const m of data.metrics){{const o=document.createElement("option");o.textContent=m;s.append(o)}}
-function draw(){{const m=s.value,v=data.rows.map(r=>r[m]).filter(x=>x!=null),a=Math.min(...v),b=Math.max(...v),log=a>=0&&b>50*Math.max(a,1e-9);
-const f=x=>log?Math.log1p(x):x;t.replaceChildren(...data.rows.map(r=>{{const e=document.createElement("tr"),k=r[m]==null?null:(f(r[m])-f(a))/((f(b)-f(a))||1);
-for(const x of [r.cell,r.day,r[m]??"missing"]){{const d=document.createElement("td");d.textContent=x;e.append(d)}}
-e.style.background=k==null?"#ccc":`hsl(${{220-220*k}} 70% 75%)`;return e}}))}}s.onchange=draw;draw()</script>"""
-
-
-def report(df: DataFrame, path: str | Path, title: str, metrics: list[str], most: int = 100_000) -> int:
-    """A page of a bounded table (a model area of some days); larger ones are refused."""
-    rows = df.select("cell", F.col("day").cast("string").alias("day"), *metrics).orderBy("day", "cell").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows; choose fewer days")
-    payload = json.dumps({"metrics": sorted(metrics), "rows": [r.asDict() for r in rows]}, allow_nan=False, default=str).replace("<", "\\u003c")
-    Path(path).write_text(PAGE.format(title=html.escape(title), payload=payload))
-    return len(rows)
+const xs=put.map(r=>r.lon*Math.cos(r.lat*Math.PI/180)),ys=put.map(r=>-r.lat),edge=Math.max(Math.max(...xs)-Math.min(...xs),Math.max(...ys)-Math.min(...ys))||1;
+if(put.length)map.setAttribute("viewBox",[Math.min(...xs)-edge/20,Math.min(...ys)-edge/20,edge*1.1,edge*1.1].join(" "));else map.remove();
+function draw(){{const m=s.value,[a,b]=data.ranges[m],log=a>=0&&b>50*Math.max(a,1e-9);
+const f=x=>log?Math.log1p(x):x,k=r=>r[m]==null?null:(f(r[m])-f(a))/((f(b)-f(a))||1),colour=r=>k(r)==null?"#ccc":`hsl(${{220-220*k(r)}} 70% 75%)`;
+t.replaceChildren(...data.rows.map(r=>{{const e=document.createElement("tr");
+for(const x of [r.cell,r[m]??"missing"]){{const d=document.createElement("td");d.textContent=x;e.append(d)}}
+e.style.background=colour(r);return e}}));
+map.replaceChildren(...put.map((r,n)=>{{const c=document.createElementNS("http://www.w3.org/2000/svg","circle");c.setAttribute("cx",xs[n]);c.setAttribute("cy",ys[n]);c.setAttribute("r",edge/(2*Math.sqrt(put.length)+2));c.setAttribute("fill",colour(r));
+const h=document.createElementNS("http://www.w3.org/2000/svg","title");h.textContent=`${{r.cell}}: ${{r[m]??"missing"}}`;c.append(h);return c}}))}}s.onchange=draw;draw()</script>"""
+
+
+def report(df: DataFrame, folder: str, title: str, metrics: list[str]) -> int:
+    """A page a day of a table (cell, day, metrics and, for a map, lat and lon), each written by the task that holds the day's rows, and an index
+    of the pages; gives their number. Colours follow each metric's range over all days."""
+    spark, shown = df.sparkSession, sorted(metrics)
+    places = [c for c in ("lat", "lon") if c in df.columns]
+    days = df.select(F.col("cell").cast("string").alias("cell"), F.col("day").cast("string").alias("day"), *places, *shown)
+    ends = days.agg(*(f(m).alias(f"{name}{m}") for m in shown for name, f in (("low ", F.min), ("high ", F.max)))).first().asDict()
+    ranges = {m: [ends[f"low {m}"], ends[f"high {m}"]] for m in shown}
+    name = lambda day: f"{title}-{day}.html"
+
+    def page(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        kept = rows.sort_values("cell").astype(object).where(rows.sort_values("cell").notna(), None)
+        payload = json.dumps({"metrics": shown, "ranges": ranges, "rows": kept.to_dict("records")}, allow_nan=False, default=str).replace("<", "\\u003c")
+        return pd.DataFrame({"day": [key[0]], "value": [PAGE.format(title=html.escape(f"{title}, {key[0]}"), payload=payload)]})
+
+    pages = days.groupBy("day").applyInPandas(page, "day string, value string")
+    pages.repartition("day").write.mode("overwrite").partitionBy("day").text(f"{folder}/{title}.pages")
+    told = sorted(r.day for r in days.select("day").distinct().collect())  # a row a day
+    for day in told:
+        store.move_only_file(spark, f"{folder}/{title}.pages/day={day}", f"{folder}/{name(day)}")
+    links = "".join(f'<li><a href="{html.escape(name(day))}">{html.escape(day)}</a>' for day in told)
+    store.write_text(spark, f"{folder}/{title}.html", f'<!doctype html><meta charset="utf-8"><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><ul>{links}</ul>')
+    return len(told)
 
 
 def catalog(features: DataFrame, descriptions: dict[str, str]) -> list[dict]:

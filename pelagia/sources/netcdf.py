@@ -18,9 +18,10 @@ from datetime import UTC, datetime, timedelta
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+from ..sinks.store import opened
+
 # The format's tags, its types and the values of cells that were never written.
 DIMENSION, VARIABLE, ATTRIBUTE, STREAMING = 10, 11, 12, 0xFFFFFFFF
 TYPES = {1: "i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: "u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
@@ -53,11 +54,6 @@ class Header:
         return [self.dims[d] for d in self.variables[variable].dims]
 
 
-def opened(path: str) -> pa.NativeFile:
-    system, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-    return system.open_input_file(name)
-
-
 def header(f: pa.NativeFile) -> Header:
     """The header of a file; more of it is read until it is whole."""
     size, total = 1 << 14, f.size()

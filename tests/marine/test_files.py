@@ -11,7 +11,7 @@ from pathlib import Path
 import pytest
 from pelagia.operators import quality
 from pelagia.plans import families
-from pelagia.sinks import tables
+from pelagia.sinks import store, tables
 from pelagia.sources import cache, config, readers
 from pelagia.streaming import live
 from pydantic import ValidationError
@@ -95,7 +95,8 @@ def test_config(tmp_path, monkeypatch):
     document, settings = config.load(tmp_path / "own.yaml")
     assert (settings.current_interval_hours, settings.tide_decay_km, settings.raw_dir, settings.feature_dir) == (6, [5], "data/here", "data/here")
     assert settings.bbox.west == -125.80
-    for bad in ({"unknown": 1}, {"raw_dir": "../elsewhere"}, {"tide_decay_km": [5, 5]}, {"tide_decay_km": [101]}, {"current_interval_hours": 5}):
+    for bad in ({"unknown": 1}, {"raw_dir": "../elsewhere"}, {"tide_decay_km": [5, 5]}, {"tide_decay_km": [101]}, {"current_interval_hours": 5}, {"min_tide_samples": 900}, {"seed_snap_max_km": 11}, {"kernel_cutoff_multiples": 6}, {"seed_shore_tolerance_m": 201},
+                {"mouth_coast_snap_max_m": 1501}, {"tide_coast_snap_max_m": 301}, {"productivity_window_days": 8}, {"productivity_min_valid_days": 8}, {"tides": [{"provider": "X", "station": "1"}]}, {"rivers": [{"provider": "USGS", "station": "1"}]}):
         with pytest.raises(ValidationError):
             config.Settings(**bad)
     (tmp_path / "loop.yaml").write_text("extends: loop.yaml\n")
@@ -123,16 +124,57 @@ def test_feature_tables(tmp_path, spark):
     got, gone = readers.partitions(spark, path, "ocean_temperature", "2024-06-30", "2024-07-02")
     assert gone == ["2024-06-30"] and got.where("DATE = '2024-07-01'").count() == 2 and got.where("DATE = '2024-07-02'").count() == 1
     assert {r.H3_INDEX: r.FEATURE_STATUS for r in got.where("DATE = '2024-07-01'").collect()} == {"c1": "unavailable", "c2": "available"}
-    told = tables.write_manifest(tmp_path / "m.json", rows, ["SST_MEAN_C"], "area", config_sha256="x")
+    told = tables.write_manifest(str(tmp_path / "m.json"), rows, ["SST_MEAN_C"], "area", config_sha256="x")
     assert json.loads((tmp_path / "m.json").read_text()) == told and told["coverage"][0]["valid_area_fraction"] == 0.4
     files = sorted(Path(path).rglob("*.parquet"))
     assert tables.digest(files) == tables.digest(files[::-1]) and len(tables.digest(files)) == 64
     page = rows.select(F.concat(F.lit("</script>"), "H3_INDEX").alias("cell"), F.lit("2024-07-01").alias("day"), "SST_MEAN_C")
-    assert tables.report(page, tmp_path / "r.html", "a <b>", ["SST_MEAN_C"]) == 2
-    text = (tmp_path / "r.html").read_text()
-    assert "a &lt;b&gt;" in text and text.count("</script>") == 1
+    page = page.unionByName(page.withColumn("day", F.lit("2024-07-02")).withColumn("SST_MEAN_C", F.col("SST_MEAN_C") * 5)).withColumns({"lat": F.lit(48.5), "lon": F.lit(-123.5)})
+    assert tables.report(page, str(tmp_path / "pages"), "a <b>", ["SST_MEAN_C"]) == 2
+    index = (tmp_path / "pages/a <b>.html").read_text()
+    assert "a &lt;b&gt;" in index and index.count("<li>") == 2
+    for day in ("2024-07-01", "2024-07-02"):
+        text = (tmp_path / f"pages/a <b>-{day}.html").read_text()
+        assert f"a &lt;b&gt;, {day}" in text and text.count("</script>") == 1 and '"ranges": {"SST_MEAN_C": [1.0, 5.0]}' in text and '"SST_MEAN_C": null' in text
+
+
+def test_store(spark, tmp_path):
+    path = f"{tmp_path}/deep/er/a.json"
+    assert not store.exists(spark, path)
+    for value in ({"b": 1, "a": ["é"]}, {"b": 2}):
+        store.write_json(spark, path, value)
+        assert store.exists(spark, path) and store.read_json(spark, path) == value
+    assert [p.name for p in Path(path).parent.iterdir()] == ["a.json"]
     with pytest.raises(ValueError):
-        tables.report(page, tmp_path / "r.html", "t", ["SST_MEAN_C"], most=1)
+        store.write_json(spark, path, float("nan"))
+    many = spark.range(2000).selectExpr("id", "repeat('x', 2000) || id v").repartition(5)
+    many.write.parquet(f"{tmp_path}/rows")
+    told = store.folder_digest(spark, f"{tmp_path}/rows")
+    assert told == store.folder_digest(spark, f"{tmp_path}/rows")
+    part = next(Path(f"{tmp_path}/rows").glob("*.parquet"))
+    part.write_bytes(part.read_bytes()[:-1] + b"?")
+    assert told != store.folder_digest(spark, f"{tmp_path}/rows")
+
+
+def test_a_large_day_is_several_files(spark, tmp_path):
+    rows = spark.range(60_000).selectExpr("format_string('c%06d', id) H3_INDEX", "rand(1) SST_MEAN_C", "double(1) area")
+    names = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    old = [spark.conf.get(n) for n in names]
+    for n in names:
+        spark.conf.set(n, "300k")
+    try:
+        tables.write_features(tables.decorate(rows, "ocean_temperature", "2024-07-01", 6, ["SST_MEAN_C"]), str(tmp_path / "f"))
+    finally:
+        for n, value in zip(names, old, strict=True):
+            spark.conf.set(n, value)
+    files = sorted((tmp_path / "f").rglob("*.parquet"))
+    assert len(files) > 1
+    ends = sorted((r.a, r.b) for f in files for r in spark.read.parquet(str(f)).selectExpr("min(H3_INDEX) a", "max(H3_INDEX) b").collect())
+    assert all(b < c for (_, b), (c, _) in zip(ends, ends[1:], strict=False)) and spark.read.parquet(str(tmp_path / "f")).count() == 60_000
+
+
+def test_rest_of_feature_tables(spark):
+    rows = spark.createDataFrame([("c2", 1.0, 2.0)], "H3_INDEX string, SST_MEAN_C double, area double")
     assert tables.catalog(rows, {"area": "m2"})[2] == {"name": "area", "type": "double", "description": "m2"}
 
 

@@ -23,6 +23,7 @@ def workspace(spark, root):
         fine.limit(1).select(F.lit("s1").alias("seed"), "cell", F.lit(0.0).alias("distance")).write.parquet(f"{root}/support/{name}")
     spark.createDataFrame([("s1", "G1"), ("s2", "G2")], "seed string, gauge string").write.parquet(f"{root}/support/gauges")
     place.select(cells.hex_cell(F.col("lat"), F.col("lon"), 6).alias("cell"), "lat", "lon").write.parquet(f"{root}/support/points")
+    spark.createDataFrame([("s1", 48.4, -123.5), ("far", 10.0, 10.0), ("dry", 48.3, -123.4)], "seed string, lat double, lon double").write.parquet(f"{root}/support/tide_stations")
     spark.createDataFrame([(1, -124.0, 48.0), (2, -123.0, 48.0), (3, -123.5, 49.0)], "node int, lon double, lat double").write.parquet(f"{root}/support/mesh_nodes")
     spark.createDataFrame([(1, 1, 2, 3)], "tri int, n0 int, n1 int, n2 int").write.parquet(f"{root}/support/mesh_elements")
     spark.createDataFrame([(k, "S2", 1.0, 0.0) for k in (1, 2, 3)], "node int, constituent string, re double, im double").write.parquet(f"{root}/support/constituents")
@@ -71,7 +72,11 @@ def test_build_compare_inspect(spark, tmp_path):
 
     assert runner.main(["compare", *asked]) == 0
     found = json.loads((tmp_path / "comparison.json").read_text())
-    assert found["currents"][0]["mae"] == 0.0 and found["coverage"][0]["either_fraction"] == 0.5 and found["tidal_model"][0]["cells"] == 1
+    assert found["currents"][0]["mae"] == 0.0 and found["tidal_model"][0]["cells"] == 1 and found["automatic_blending"] is False
+    assert [(r["family"], r["DATE"], r["original_fraction"], r["broader_fraction"], r["either_fraction"]) for r in found["coverage"]] == [("currents", DAY, 0.5, 0.5, 0.5), ("tides", DAY, 0.5, 0.5, 0.5)]
+    checks = {r["station"]: r for r in found["tide_checks"]}
+    assert checks["s1"]["status"] == "compared" and checks["s1"]["n"] == 24 and checks["s1"]["range_error"] == pytest.approx(2.004316 - 23, abs=1e-6)
+    assert checks["far"]["status"] == "outside_or_ambiguous_native_mesh" and checks["far"]["mae"] is None and checks["dry"]["status"] == "reference_incomplete"
     assert runner.main(["inspect", *asked, "--families", "ocean_temperature"]) == 0 and (tmp_path / "ocean_temperature.html").exists()
 
     # Another area, repeated places, and features that are not what was published.
@@ -101,9 +106,22 @@ def test_compare_currents(spark):
 
 
 def test_compare_tides(spark):
-    rows = [(s, h, float(h % 6), float(h % 6) + 1) for s in ("a", "b", "c") for h in range(24) if (s, h) != ("b", 5)]
-    both = spark.createDataFrame(rows, "station string, hour int, value double, height double")
-    at = spark.createDataFrame([("a", 4), ("b", 4), ("c", -1), ("d", 7)], "station string, triangle int")
-    got = {r.station: r for r in runner.compare_tides(both.select("station", "hour", "value"), both.select("station", "hour", "height"), at).collect()}
-    assert (got["a"].status, got["a"].n, got["a"].mae, round(got["a"].correlation, 9)) == ("compared", 24, 1.0, 1.0)
-    assert [got[k].status for k in "bcd"] == ["reference_incomplete", "outside_or_ambiguous_native_mesh", "reference_incomplete"] and got["b"].n is None
+    rows = [(s, d, h, float(h % 6), float(h % 6) + 1) for s in ("a", "b", "c") for d in ("d1", "d2") for h in range(24) if (s, d, h) != ("b", "d2", 5)]
+    both = spark.createDataFrame(rows, "station string, DATE string, hour int, value double, height double")
+    at = spark.createDataFrame([(s, d, t) for s, t in (("a", 4), ("b", 4), ("c", -1), ("d", 7)) for d in ("d1", "d2")], "station string, DATE string, triangle int")
+    got = {(r.station, r.DATE): r for r in runner.compare_tides(both.drop("height"), both.drop("value"), at).collect()}
+    for d in ("d1", "d2"):
+        assert (got["a", d].status, got["a", d].n, got["a", d].mae, round(got["a", d].correlation, 9)) == ("compared", 24, 1.0, 1.0)
+    assert [got["b", d].status for d in ("d1", "d2")] == ["compared", "reference_incomplete"] and got["b", "d2"].n is None
+    assert [got[k, "d1"].status for k in "cd"] == ["outside_or_ambiguous_native_mesh", "reference_incomplete"]
+
+
+def test_coverage_day_by_day(spark):
+    """A day on which the broader source has no value is not covered by its other days."""
+    place = spark.createDataFrame([(48.5, -123.5), (20.0, 10.0)], "lat double, lon double")
+    fine = place.select(cells.hex_cell(F.col("lat"), F.col("lon"), 6).alias("cell"), "lat").crossJoin(spark.createDataFrame([("d1",), ("d2",), ("d3",)], "DATE string"))
+    fine = fine.withColumns({"area": F.when(F.col("lat") > 40, 1.0).otherwise(3.0), "a": F.when((F.col("lat") > 40) & (F.col("DATE") == "d2"), 1.0)})
+    coarse = place.select(cells.hex_cell(F.col("lat"), F.col("lon"), 5).alias("cell"), "lat").crossJoin(spark.createDataFrame([("d1",), ("d2",)], "DATE string"))
+    coarse = coarse.withColumn("b", F.when((F.col("lat") < 40) & (F.col("DATE") == "d1"), 2.0))
+    got = {r.DATE: (r.original_fraction, r.broader_fraction, r.either_fraction) for r in runner.source_coverage(fine, coarse, "a", "b", 6, 5).collect()}
+    assert got == {"d1": (0.0, 0.75, 0.75), "d2": (0.25, 0.0, 0.25), "d3": (0.0, 0.0, 0.0)}
