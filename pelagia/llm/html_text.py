@@ -1,10 +1,11 @@
 """Operator 3, main text of web pages: a linear-chain conditional random field over DOM leaf blocks.
 
 A page is cut into leaf blocks (text between edges of block elements). Each block has features of
-its ancestors' tags, classes and roles and of its text; a two-state chain (article or not),
-trained on labelled pages and decoded by Viterbi, picks the blocks of the article.
+its ancestors' tags, classes and roles, of the nearest ancestor that says what it is for, and of its text; an element that
+holds half of the page's text or more counts as another kind than a small one of the same name, as a ``sidebar`` around
+everything is none. A two-state chain (article or not), trained on labelled pages and decoded by Viterbi, picks the blocks of the article.
 The labelled pages come from ``labelled_pages``: seeded layouts (menus, adverts, notices,
-sidebars, forms, comments, footers around an article) whose blocks are labelled as they are made.
+sidebars, forms, comments, footers around, inside and beside an article, under wrappers whose names mislead) whose blocks are labelled as they are made.
 
 Pages are read as browsers read them: scripts, styles, titles, comments and what stands in for media that can't be shown
 (inside canvas, video, object, ...) are no text and no edges of blocks; a head ends at the first thing that can't be
@@ -22,6 +23,7 @@ import random
 import re
 from collections import Counter
 from collections.abc import Container, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -156,24 +158,38 @@ def skipped_ends(found: list[Tag], n: int) -> dict[int, int]:
     return {at: n for own, at in stack if own in SKIPPED} | ends
 
 
+#: Share of the page's text from which on an element is wide.
+WIDE = 0.5
+#: Elements that say what they are for by their name.
+SECTIONS = frozenset("article aside footer form header main nav section".split())
+
+
+def base_of(feature: str) -> str:
+    """What an element's own feature is called before its size and place are told."""
+    return feature.removeprefix("by=").removeprefix("wide:")
+
+
 def blocks(page: str, known: Container[str] | None = None) -> list[Block]:
-    """Leaf blocks in page order, with those features of their ancestors that are ``known`` (all by default)."""
-    out: list[Block] = []
-    stack: list[tuple[str, list[str], int]] = []  # name, features, nearest element at or above that is not inline
+    """Leaf blocks in page order, with those features of their ancestors whose base is ``known`` (all by default)."""
+    stack: list[tuple[str, int, int]] = []  # name, number of the element, nearest element at or above that is not inline
     opened: Counter = Counter()
-    active: Counter = Counter()  # features of all open elements
     parts: list[str] = []
     linked = 0
     found = tags(page)
     ends = skipped_ends(found, len(page)) if any(t[3] in SKIPPED and t[3] not in RAW for t in found) else {}
+    steps: list[tuple | int | None] = []  # a block, an element that opens, or the last one open that ends
+    own: list[list[str]] = []  # features of each element
+    share: list[float] = []  # characters before it, then those inside it
+    total = 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, total
         if parts:
             text = " ".join("".join(parts).split())
             if text:
                 at = stack[-1][2] if stack else -1
-                out.append((text, (*active, f"leaf={stack[at][0] if at >= 0 else ''}"), linked))
+                steps.append((text, stack[at][0] if at >= 0 else "", linked))
+                total += len(text)
             parts.clear()
         linked = 0
 
@@ -186,12 +202,10 @@ def blocks(page: str, known: Container[str] | None = None) -> list[Block]:
                 linked += len(text.strip())
 
     def pop() -> str:
-        name, own, _ = stack.pop()
+        name, number, _ = stack.pop()
         opened[name] -= 1
-        for f in own:
-            active[f] -= 1
-            if not active[f]:
-                del active[f]
+        share[number] = total - share[number]
+        steps.append(None)
         return name
 
     pos = 0
@@ -226,44 +240,87 @@ def blocks(page: str, known: Container[str] | None = None) -> list[Block]:
             while cut is not None and len(stack) > cut:
                 pop()
         if name not in VOID and not empty:
-            own = [f for f in (f"in={name}", *(f"is={w}" for w in dict.fromkeys(_WORD.findall(told.lower())))) if known is None or f in known]
-            stack.append((name, own, len(stack) if name not in INLINE else stack[-1][2] if stack else -1))
+            own.append([f for f in (f"in={name}", *(f"is={w}" for w in dict.fromkeys(_WORD.findall(told.lower())))) if known is None or f in known])
+            stack.append((name, len(own) - 1, len(stack) if name not in INLINE else stack[-1][2] if stack else -1))
             opened[name] += 1
-            active.update(own)
+            share.append(total)
+            steps.append(len(own) - 1)
     add(page[pos:])
     flush()
+    while stack:
+        pop()
+    return _told(steps, own, share, total)
+
+
+def _told(steps: list, own: list[list[str]], share: list[float], total: int) -> list[Block]:
+    """Blocks with the features of what was open around them."""
+    out: list[Block] = []
+    active: Counter = Counter()  # features of all open elements
+    stack: list[list[str]] = []
+    marks: list[tuple[int, list[str]]] = []  # open elements that say what they are for: depth, features
+    for step in steps:
+        if step is None:
+            for f in stack.pop():
+                active[f] -= 1
+                if not active[f]:
+                    del active[f]
+            if marks and marks[-1][0] > len(stack):
+                marks.pop()
+        elif isinstance(step, int):
+            wide = share[step] >= WIDE * total
+            named = [f"wide:{f}" for f in own[step]] if wide else own[step]
+            stack.append(named)
+            active.update(named)
+            if telling := [f"by={f}" for f in named if "is=" in f or f.rsplit("=", 1)[1] in SECTIONS]:
+                marks.append((len(stack), telling))
+        else:
+            text, leaf, linked = step
+            out.append((text, (*active, *(marks[-1][1] if marks else ("by=",)), f"leaf={leaf}"), linked))
     return out
 
 
+# Words of short labels around articles.
+_SAYS = frozenset("about advertisement comment comments contact cookie cookies copyright email home login menu more newsletter password popular privacy related replies reply search share sponsored subscribe tags terms trending".split())
+
+
 def features(found: list[Block]) -> list[list[str]]:
     """Of each block: its ancestors, what its text looks like, and its place."""
     out = []
     for k, (text, path, linked) in enumerate(found):
         n = len(text)
+        short = n < 40 and not _SAYS.isdisjoint(_WORD.findall(text.lower())[:4])
         out.append([*path, "bias", f"length={min(7, n.bit_length() - 2)}", f"linked={round(4 * min(1, linked / n))}", f"end={text[-1] if text[-1] in '.!?:»”' else 'w'}",
-                    f"stops={min(3, text.count('. ') + text.count(', '))}", f"signs={any(c in text for c in '©®|»›')}", f"first={k == 0}", f"last={k == len(found) - 1}"])
+                    f"stops={min(3, text.count('. ') + text.count(', '))}", f"signs={any(c in text for c in '©®|»›')}", f"first={k == 0}", f"last={k == len(found) - 1}", f"says={short}"])
     return out
 
 
 # ---- labelled pages
 
-_ROLES = {  # fixed values: how layouts mark what is not the article
-    "menu": (("nav", ""), ("ul", "menu"), ("div", "nav"), ("div", "navbar"), ("div", "breadcrumb"), ("div", "navigation")),
-    "header": (("header", ""), ("div", "header"), ("div", "masthead"), ("div", "banner"), ("div", "top")),
-    "footer": (("footer", ""), ("div", "footer"), ("div", "copyright"), ("div", "bottom")),
-    "side": (("aside", ""), ("div", "sidebar"), ("div", "related"), ("section", "widget"), ("div", "share social"), ("aside", "sidebar")),
-    "notice": (("div", "cookie notice"), ("div", "consent banner"), ("div", "popup modal"), ("div", "newsletter"), ("div", "notice"), ("div", "alert")),
-    "advert": (("div", "ad"), ("div", "ads"), ("div", "advert"), ("div", "sponsored promo"), ("aside", "advertisement"), ("ins", "adsbygoogle")),
-    "form": (("form", ""), ("form", "search"), ("div", "subscribe"), ("form", "login")),
-    "comments": (("div", "comments"), ("section", "comments"), ("ol", "commentlist"), ("div", "comment reply"), ("section", "responses")),
+# How layouts mark what is not the article, and what such parts say.
+_ROLES = {
+    "menu": ("nav", "menu", "nav", "navbar", "breadcrumb", "breadcrumbs", "navigation", "toc", "topbar"),
+    "header": ("header", "header", "masthead", "banner", "top", "logo"),
+    "footer": ("footer", "footer", "copyright", "bottom", "colophon", "legal"),
+    "side": ("aside", "sidebar", "related posts", "related", "widget", "share social", "recommended", "popular", "trending", "tags", "more stories", "rail"),
+    "notice": ("div", "cookie notice", "consent banner", "popup modal", "newsletter", "notice", "alert", "gdpr", "paywall"),
+    "advert": ("div", "ad", "ads", "advert", "sponsored promo", "advertisement", "adsbygoogle", "sponsor"),
+    "form": ("form", "search", "subscribe", "login", "signup", "contact form", "poll"),
+    "comments": ("div", "comments", "commentlist", "comment reply", "responses", "disqus thread", "user reviews", "discussion", "respond", "replies"),
 }
-_MAIN = (("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "post body"), ("div", "article text"), ("div", "entry"), ("section", "story"))
+_MAIN = (("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "post body"), ("div", "article text"), ("div", "entry"), ("section", "story"), ("div", "main"), ("div", ""))
+_PHRASES = {
+    "menu": ("Home", "News", "About us", "Contact", "Menu"), "header": ("Search", "Login", "Home"), "footer": ("Privacy", "Terms", "Copyright"), "side": ("Related", "Most popular", "Share this", "Tags", "More stories", "Trending"),
+    "notice": ("We use cookies", "Subscribe to our newsletter"), "advert": ("Advertisement", "Sponsored"), "form": ("Search", "Your email", "Password", "Subscribe", "Login"), "comments": ("Comments", "3 comments", "Leave a reply", "Replies"),
+}
+#: What names of wrappers and of parts are joined with.
+_JOINED = ("{}-open", "{}-fixed", "has-{}", "{}-free", "with-{}", "{}-enabled", "no-{}", "right-{}", "{}", "{}_on")
 
 
 def labelled_pages(n: int, seed: int = 17) -> Iterator[tuple[str, list[int]]]:
     """Pages and, for each leaf block in page order, 1 if it is of the article."""
     rng = random.Random(seed)
     letters = "aeiounrstlmdch"
+    every = [w for names in _ROLES.values() for x in names[1:] for w in x.split()]
 
     def words(a: int, b: int) -> str:
         return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(a, b)))
@@ -274,82 +331,140 @@ def labelled_pages(n: int, seed: int = 17) -> Iterator[tuple[str, list[int]]]:
     def prose(a: int, b: int) -> str:
         return " ".join(sentence() for _ in range(rng.randint(a, b)))
 
+    def misleading() -> str:
+        """Attributes of a wrapper: names of parts, which say nothing here."""
+        held = [rng.choice(_JOINED).format(rng.choice(every)) for _ in range(rng.randint(1, 4))] + rng.sample(["page", "home", "wrapper", "container", "layout", "single"], rng.randint(0, 2))
+        rng.shuffle(held)
+        return f' {rng.choice(["class", "class", "id"])}="{" ".join(held)}"' if rng.random() < 0.7 else rng.choice(["", ' id="main"', ' id="wrapper"', ' class="container"'])
+
     for _ in range(n):
-        out: list[str] = ["<!DOCTYPE html><html><head><title>", words(2, 6), "</title><style>p{}</style></head><body>"]
+        out: list[str] = []
         labels: list[int] = []
 
+        def put(text: str, label: int) -> None:
+            out.append(text)  # noqa: B023
+            labels.append(label)  # noqa: B023
+
         def block(tag: str, text: str, label: int) -> None:
             closing = "" if tag in ("p", "li") and rng.random() < 0.15 else f"</{tag}>"
-            out.append(f"<{tag}>{text}{closing}")  # noqa: B023
-            labels.append(label)  # noqa: B023
+            put(f"<{tag}>{text}{closing}", label)
+
+        def heading(role: str) -> str:
+            return rng.choice(_PHRASES[role]) if rng.random() < 0.5 else words(1, 4).capitalize()
 
         def extra(role: str) -> None:
-            tag, name = rng.choice(_ROLES[role])
-            if name and rng.random() < 0.5:  # names say more than tags
-                tag = rng.choice(("div", "section", "aside"))
-            marked = f' {rng.choice(["class", "id"])}="{rng.choice(['', '', 'site ', 'page '])}{name}"' if name else ""
+            plain, *names = _ROLES[role]
+            tag, marked = plain, ""
+            if plain == "div" or rng.random() < 0.6:
+                name = rng.choice(names)
+                tag = rng.choice((plain, "div", "div", "section", "aside", "ul" if role in ("menu", "side") else "div"))
+                joined = rng.choice(["{}", "{}", "site {}", "page {}", "{}-wrapper", "block-{}", "{}-inner", "main {}"]).format(rng.choice(["-", "_", " "]).join(name.split()))
+                marked = f' {rng.choice(["class", "class", "id"])}="{joined}"'
+            if role in ("comments", "side") and rng.random() < 0.2:  # its heading stands before it
+                block(rng.choice(["h2", "h3"]), rng.choice(_PHRASES[role]), 0)
             out.append(f"<{tag}{marked}>")  # noqa: B023
-            if role in ("menu", "side") and rng.random() < 0.7:
-                out.append("<ul>")  # noqa: B023
-                for _ in range(rng.randint(1, 8)):
-                    block("li", f'<a href="/">{words(1, 4)}</a>', 0)
-                out.append("</ul>")  # noqa: B023
+            if role in ("menu", "side", "header") and rng.random() < 0.75:
+                if role == "side" and rng.random() < 0.6:
+                    block(rng.choice(["h2", "h3", "h4", "div"]), heading(role), 0)
+                links = [f'<a href="/">{heading(role)}</a>' for _ in range(rng.choice([1, 2, 2, 3, 5, 8]))]
+                if tag != "ul" and rng.random() < 0.4:
+                    put(rng.choice([" ", " | ", "\n", " &raquo; "]).join(links), 0)
+                else:
+                    out.append("" if tag == "ul" else "<ul>")  # noqa: B023
+                    for x in links:
+                        block("li", x, 0)
+                    out.append("" if tag == "ul" else "</ul>")  # noqa: B023
+            elif role == "form":
+                if rng.random() < 0.5:
+                    block(rng.choice(["h3", "legend", "div"]), heading(role), 0)
+                if rng.random() < 0.7:
+                    put(f"<label>{heading(role)}</label> <input type=text>", 0)
+                block("button", heading(role), 0)
             elif role == "comments":
+                if rng.random() < 0.6:
+                    block(rng.choice(["h2", "h3", "h4", "p"]), heading(role), 0)
                 for _ in range(rng.randint(1, 5)):
                     block(rng.choice(["p", "li", "div"]), prose(1, 4), 0)
-            elif rng.random() < 0.5:
-                out.append(prose(1, 3) if role != "footer" else "&copy; " + prose(1, 2))  # noqa: B023
-                labels.append(0)  # noqa: B023
+            elif role == "notice" and rng.random() < 0.4:
+                put(heading(role), 0)
+                block("button", rng.choice(["OK", "Accept", words(1, 2)]), 0)
+            elif rng.random() < 0.6:
+                put(("&copy; " if role == "footer" and rng.random() < 0.6 else "") + (heading(role) if rng.random() < 0.4 else prose(1, 3)), 0)
             else:
                 for _ in range(rng.randint(1, 3)):
-                    block(rng.choice(["p", "div", "h3"]), prose(1, 3), 0)
+                    block(rng.choice(["p", "div", "h3"]), heading(role) if rng.random() < 0.3 else prose(1, 3), 0)
             out.append(f"</{tag}>")  # noqa: B023
 
-        for role in ("header", "menu", "notice", "advert", "side"):
-            if rng.random() < (0.8 if role == "menu" else 0.4):
-                extra(role)
-        tag, name = rng.choice(_MAIN)
-        out.append(f'<{tag} class="{name}">' if name else f"<{tag}>")
-        if rng.random() < 0.85:
-            block(rng.choice(["h1", "h1", "h2"]), words(2, 10).capitalize(), 1)
-        for _ in range(rng.randint(1, 9)):
-            kind = rng.random()
-            if kind < 0.08:
-                block("h2", words(1, 5).capitalize(), 1)
-            elif kind < 0.16:
-                out.append("<ul>")
-                for _ in range(rng.randint(1, 4)):
-                    block("li", words(2, 12), 1)
-                out.append("</ul>")
-            elif kind < 0.22:
-                extra(rng.choice(["advert", "side", "form", "notice"]))
-            elif kind < 0.3:
-                block("blockquote", prose(1, 2), 1)
-            elif kind < 0.4:
-                block("p", f'{sentence()} <a href="/">{words(1, 4)}</a> {prose(0, 3)}', 1)
-            else:
-                block("p", rng.choice(["", "<b>", "<em>"]) + rng.choice([words(1, 3) + ".", prose(1, 8), prose(2, 10)]) + rng.choice(["", "<br>"]), 1)
-        out.append(f"</{tag}>")
-        for role in ("comments", "side", "advert", "form", "menu", "footer"):
-            if rng.random() < (0.8 if role == "footer" else 0.35):
-                extra(role)
+        def some(roles: tuple[str, ...], often: dict[str, float]) -> None:
+            for role in roles:
+                if rng.random() < often.get(role, 0.35):
+                    extra(role)
+
+        def article() -> None:
+            tag, name = rng.choice(_MAIN)
+            noise = " " + rng.choice(_JOINED).format(rng.choice(every)) if rng.random() < 0.1 else ""
+            out.append(f'<{tag} {rng.choice(["class", "class", "id"])}="{name}{noise}">' if name or noise else f"<{tag}>")  # noqa: B023
+            if rng.random() < 0.85:
+                top = rng.random() < 0.15
+                out.append("<header>" if top else "")  # noqa: B023
+                block(rng.choice(["h1", "h1", "h2"]), words(2, 10).capitalize(), 1)
+                out.append("</header>" if top else "")  # noqa: B023
+            inner = rng.random() < 0.3
+            out.append(rng.choice(['<div class="entry-content">', '<div class="body">', "<div>", '<section class="text">']) if inner else "")  # noqa: B023
+            opened = out[-1]  # noqa: B023
+            for _ in range(rng.randint(1, 9)):
+                kind = rng.random()
+                if kind < 0.08:
+                    block(rng.choice(["h2", "h3"]), words(1, 5).capitalize(), 1)
+                elif kind < 0.16:
+                    out.append("<ul>")  # noqa: B023
+                    for _ in range(rng.randint(1, 4)):
+                        block("li", words(2, 12), 1)
+                    out.append("</ul>")  # noqa: B023
+                elif kind < 0.25:
+                    extra(rng.choice(["advert", "side", "form", "form", "notice"]))
+                elif kind < 0.33:
+                    block("blockquote", prose(1, 2), 1)
+                elif kind < 0.36:
+                    block("figcaption", sentence(), 1)
+                elif kind < 0.46:
+                    block("p", f'{sentence()} <a href="/">{words(1, 4)}</a> {prose(0, 3)}', 1)
+                else:
+                    block("p", rng.choice(["", "<b>", "<em>"]) + rng.choice([words(1, 3) + ".", prose(1, 8), prose(2, 10)]) + rng.choice(["", "<br>"]), 1)
+            out.append("</section>" if opened.startswith("<section") else "</div>" if inner else "")  # noqa: B023
+            if rng.random() < 0.15:
+                extra(rng.choice(["comments", "side", "form"]))
+            out.append(f"</{tag}>")  # noqa: B023
+
+        out += ["<!DOCTYPE html><html><head><title>", words(2, 6), "</title><style>p{}</style></head>", f"<body{misleading()}>"]
+        wrappers = [(rng.choice(["div", "div", "div", "form", "main", "section", "center"]), misleading()) for _ in range(rng.choice([0, 0, 1, 2]))]
+        out += [f"<{tag}{marks}>" for tag, marks in wrappers]
+        some(("header", "menu", "notice", "advert", "side"), {"menu": 0.75})
+        around = (rng.choice(["div", "div", "main"]), misleading()) if rng.random() < 0.4 else None
+        out.append(f"<{around[0]}{around[1]}>" if around else "")
+        if around:
+            some(("menu", "side"), {"menu": 0.15, "side": 0.25})
+        if rng.random() < 0.97:
+            article()
+        if around:
+            some(("comments", "side", "form"), {"comments": 0.25, "side": 0.3, "form": 0.15})
+            out.append(f"</{around[0]}>")
+        some(("comments", "side", "advert", "form", "menu", "footer"), {"footer": 0.6, "menu": 0.2})
+        out += [f"</{tag}>" for tag, _ in wrappers[::-1]]
         out.append(rng.choice(["</body></html>", ""]))
-        yield "".join(out), labels
+        if labels:
+            yield "".join(out), labels
 
 
 # ---- the chain
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
-
-
 class Chain:
     """Two-state linear-chain CRF: a weight for each feature and state, and for each pair of neighbour states."""
 
     def __init__(self, names: dict[str, int], weights: np.ndarray, moves: np.ndarray):
         self.names, self.weights, self.moves = names, weights, moves
+        self.bases = frozenset(map(base_of, names))
 
     def rows(self, feats: list[list[str]]) -> list[np.ndarray]:
         return [np.fromiter((k for f in own if (k := self.names.get(f)) is not None), np.int64) for own in feats]
@@ -358,19 +473,29 @@ class Chain:
         return np.array([self.weights[r].sum(0) for r in rows])
 
     def gradient(self, rows: list[np.ndarray], labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Of the log-likelihood: by the scores of each block, and by the moves."""
+        """Of the log-likelihood: by the scores of each block, and by the moves. Forwards and backwards with sums scaled to one."""
         s, n = self.scores(rows), len(rows)
-        ahead, back = s.copy(), np.zeros_like(s)
-        for k in range(1, n):
-            ahead[k] += _logsum(ahead[k - 1][:, None] + self.moves, 0)
-        for k in range(n - 2, -1, -1):
-            back[k] = _logsum(self.moves + (s[k + 1] + back[k + 1])[None, :], 1)
-        whole = _logsum(ahead[-1], 0)
-        unary, pair = -np.exp(ahead + back - whole), np.zeros((2, 2))
+        weight = np.exp(s - s.max(1, keepdims=True)).tolist()
+        (aa, ab), (ba, bb) = np.exp(self.moves - self.moves.max()).tolist()
+        ahead, x, y = [], 1.0, 1.0
+        for k, (p, q) in enumerate(weight):
+            x, y = (p, q) if k == 0 else ((x * aa + y * ba) * p, (x * ab + y * bb) * q)
+            x, y = x / (x + y), y / (x + y)
+            ahead.append((x, y))
+        unary, pair, x, y = np.empty((n, 2)), np.zeros((2, 2)), 1.0, 1.0
+        for k in range(n - 1, -1, -1):
+            p, q = ahead[k][0] * x, ahead[k][1] * y
+            unary[k] = -p / (p + q), -q / (p + q)
+            if k:
+                x, y = x * weight[k][0], y * weight[k][1]
+                f, g = ahead[k - 1]
+                both = (f * aa * x, f * ab * y, g * ba * x, g * bb * y)
+                whole = sum(both)
+                pair -= np.array(both).reshape(2, 2) / whole
+                pair[labels[k - 1], labels[k]] += 1
+                x, y = aa * x + ab * y, ba * x + bb * y
+                x, y = x / (x + y), y / (x + y)
         unary[np.arange(n), labels] += 1
-        for k in range(n - 1):
-            pair -= np.exp(ahead[k][:, None] + self.moves + (s[k + 1] + back[k + 1])[None, :] - whole)
-            pair[labels[k], labels[k + 1]] += 1
         return unary, pair
 
     def decode(self, feats: list[list[str]]) -> list[int]:
@@ -418,14 +543,20 @@ def train(pages: Iterator[tuple[str, list[int]]], epochs: int = 8, rate: float =
     return chain
 
 
+@cache
+def trained(pages: int = 600, seed: int = 17) -> Chain:
+    """The chain that ``extract`` uses: trained once a session, on that many labelled pages."""
+    return train(labelled_pages(pages, seed))
+
+
 def main_text(page: str | None, chain: Chain) -> str:
-    found = blocks(page or "", chain.names)
+    found = blocks(page or "", chain.bases)
     return "\n".join(b[0] for b, keep in zip(found, chain.decode(features(found)), strict=True) if keep)
 
 
 def extract(spark: SparkSession, pages: DataFrame, column: str = "html", keep: tuple[str, ...] = ("page_id", "url"), chain: Chain | None = None) -> DataFrame:
     """The ``keep`` columns, text and n_chars of each page."""
-    chain = chain or train(labelled_pages(400))
+    chain = chain or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__html"):
