@@ -21,6 +21,7 @@ from ..operators import comparison, harmonics, quality, tides, trailing
 from ..operators.spatial import gated_roll_up
 from ..sinks import store, tables
 from ..sources import config
+from . import collect as collecting
 from . import families
 
 Index = Callable[[Column, Column], Column]
@@ -265,13 +266,14 @@ def compare(spark: SparkSession, out: str, start: str, end: str, layers: str | N
 
 
 def main(argv: list[str] | None = None) -> int:
-    """``init`` writes a configuration that isn't there yet; ``build``, ``compare`` and ``inspect`` work on a workspace. 1 if a family failed."""
+    """``init`` writes a configuration that isn't there yet; ``collect``, ``build``, ``compare`` and ``inspect`` work on a workspace. 1 if a family failed."""
     p = argparse.ArgumentParser(prog="pelagia")
-    p.add_argument("command", choices=("init", "build", "compare", "inspect"))
+    p.add_argument("command", choices=("init", "collect", "build", "compare", "inspect"))
     p.add_argument("--workspace")
     p.add_argument("--start")
     p.add_argument("--end")
     p.add_argument("--families", nargs="*", default=list(FAMILIES))
+    p.add_argument("--offline", action="store_true")
     p.add_argument("--cells", default="h3", choices=("h3", "grid"))
     a = p.parse_args(argv)
     root = config.workspace(a.workspace)
@@ -281,6 +283,11 @@ def main(argv: list[str] | None = None) -> int:
     document, settings = config.load(root / "pelagia.yaml")
     spark = SparkSession.builder.appName("pelagia").getOrCreate()
     out = str(root / settings.feature_dir)
+    if a.command == "collect":
+        quality.require_interval(a.start, a.end)
+        told = collecting.collect(spark, str(root / "layers"), str(root / settings.cache_dir), settings, config.fingerprint(document), a.families, lambda f: families.days_of(f, a.start, a.end), publish_layer, a.offline)
+        store.write_json(spark, f"{root}/collected.json", told)
+        return int(any(t["failed"] for t in told))
     have = {p.name: spark.read.parquet(str(p)) for p in sorted((root / "support").iterdir())} if a.command in ("build", "compare") else {}
     region = Region({int(k[1:]): v for k, v in have.items() if k[:1] == "r" and k[1:].isdigit()}, {k: v for k, v in have.items() if not k[1:].isdigit()}, settings, a.cells)
     if a.command == "build":

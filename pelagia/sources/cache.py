@@ -42,7 +42,7 @@ def write_json(path: Path, value) -> None:
 
 
 def fetch(url: str) -> bytes:
-    """Again after 1, 2, ... seconds where the server says that it may help."""
+    """Again after 1, 2, ... seconds where the server says that it may help, or where it can't be reached."""
     for attempt in range(RETRIES + 1):
         try:
             with urllib.request.urlopen(url, timeout=TIMEOUT) as answer:
@@ -50,6 +50,9 @@ def fetch(url: str) -> bytes:
         except urllib.error.HTTPError as e:
             if e.code not in RETRIED or attempt == RETRIES:
                 raise
+        except (urllib.error.URLError, TimeoutError, ConnectionError):
+            if attempt == RETRIES:
+                raise
         time.sleep(2**attempt)
     raise AssertionError
 

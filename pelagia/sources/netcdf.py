@@ -1,15 +1,16 @@
 """Format ``marine_netcdf``: classic NetCDF files (versions 1, 2 and 5) as long rows.
 
 A file's header is read first, alone; what it tells decides the columns: the variables' dimensions in order, then the variables.
-A partition is a block of cells, so many tasks read one file, each only its own bytes. Filters on coordinates
-(``spark.sql.python.filterPushdown.enabled``) become index ranges, so what they rule out is never read. Files are opened through Arrow's
+A partition is a block of cells, so many tasks read one file, each only its own bytes. Limits of coordinates (``limited``) become
+index ranges, so what they rule out is never read. Files are opened through Arrow's
 file systems, on this machine or in a store. Fill and missing values and NaN become NULL; scale and offset are applied;
 a time axis ("hours since ...") becomes a timestamp. Options: ``path`` (files, comma-separated), ``variables`` (of the same
-dimensions), ``cells`` (of a partition, a million by default). Files that are not of one shape in names and units are an error.
+dimensions), ``cells`` (of a partition, a million by default), ``limits``. Files that are not of one shape in names and units are an error.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import struct
 from collections.abc import Iterator
@@ -18,7 +19,9 @@ from datetime import UTC, datetime, timedelta
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql import DataFrame, DataFrameReader
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..sinks.store import opened
 
@@ -206,12 +209,28 @@ class Block(InputPartition):
         self.path, self.ranges = path, ranges
 
 
+def told_limits(options: dict) -> dict[str, tuple]:
+    return {k: tuple(v) for k, v in json.loads(options.get("limits", "{}")).items()}
+
+
+def limited(reader: DataFrameReader, **limits: tuple) -> DataFrame:
+    """What ``reader`` loads within limits (low, high; both belong to it) of coordinates, known to the source before it reads: numbers, or moments with a zone.
+
+    They are an option, not filters that Spark pushes down: Spark 4.1 keeps a Python source's pushed filters with the relation, so a later query of it would miss rows.
+    """
+    told = {k: [x.isoformat() if isinstance(x, datetime) else float(x) for x in v] for k, v in limits.items()}
+    rows = reader.option("limits", json.dumps(told)).load()
+    for k, (low, high) in limits.items():
+        rows = rows.where(F.col(k).between(F.lit(low), F.lit(high)))
+    return rows
+
+
 class NetcdfReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = [p.strip() for p in options["path"].split(",")]
         self.variables = [v.strip() for v in options["variables"].split(",")]
         self.cells = int(options.get("cells", 1 << 20))
-        self.limits: list[tuple[str, str, object]] = []
+        self.limits = told_limits(options)
         with opened(self.paths[0]) as f:
             self.dims, self.times, self.told = self.form(header(f))
         self.shown = [v for v in self.variables if v not in self.dims]  # a coordinate is there already
@@ -227,23 +246,12 @@ class NetcdfReader(DataSourceReader):
     def schema(self) -> str:
         return ", ".join([*(f"`{d}` {'timestamp' if d in self.times else 'double'}" for d in self.dims), *(f"`{v}` double" for v in self.shown)])
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Limits of coordinates are kept here; Spark still tests the rows, which are few by then."""
-        kinds = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<=", In: "in"}
-        for f in filters:
-            if type(f) in kinds and len(f.attribute) == 1 and f.attribute[0] in self.dims:
-                self.limits.append((f.attribute[0], kinds[type(f)], f.value))
-            yield f
-
     def kept(self, dim: str, at: np.ndarray, time: bool) -> list[tuple[int, int]]:
         """Runs of indexes whose coordinates are within the limits."""
         good = np.ones(len(at), bool)
-        for own, kind, value in self.limits:
-            if own != dim:
-                continue
-            number = lambda x: round(x.timestamp() * 1e6) if time else x
-            x = [number(v) for v in value] if kind == "in" else number(value)
-            good &= {"=": lambda: at == x, ">": lambda: at > x, ">=": lambda: at >= x, "<": lambda: at < x, "<=": lambda: at <= x, "in": lambda: np.isin(at, x)}[kind]()  # noqa: B023
+        if dim in self.limits:
+            low, high = (round(datetime.fromisoformat(x).timestamp() * 1e6) if time else x for x in self.limits[dim])
+            good = (at >= low) & (at <= high)
         edge = np.flatnonzero(np.diff(np.concatenate([[0], good.astype(np.int8), [0]])))
         return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
@@ -265,17 +273,20 @@ class NetcdfReader(DataSourceReader):
         if partition is None:  # Spark's stand-in where there are no partitions
             return
         with opened(partition.path) as f:
-            h = header(f)
-            shape = [b - a for a, b in partition.ranges]
-            columns = []
-            for k, (dim, (a, b)) in enumerate(zip(self.dims, partition.ranges, strict=True)):
-                at, time = axis(f, h, dim)
-                grid = np.broadcast_to(at[a:b].reshape([-1 if k == j else 1 for j in range(len(shape))]), shape).ravel()
-                columns.append(pa.array(grid, pa.timestamp("us", tz="UTC") if time else pa.float64()))
-            for v in self.shown:
-                got, there = decoded(values(f, h, v, partition.ranges), h.variables[v])
-                columns.append(pa.array(got, mask=~there))
-        yield pa.RecordBatch.from_arrays(columns, [*self.dims, *self.shown])
+            yield rows(f, header(f), self.dims, self.shown, partition.ranges)
+
+
+def rows(f: pa.NativeFile, h: Header, dims: list[str], variables: list[str], ranges: list[tuple[int, int]]) -> pa.RecordBatch:
+    """A block of cells as rows: coordinates, then variables."""
+    shape, columns = [b - a for a, b in ranges], []
+    for k, (dim, (a, b)) in enumerate(zip(dims, ranges, strict=True)):
+        at, time = axis(f, h, dim)
+        grid = np.broadcast_to(at[a:b].reshape([-1 if k == j else 1 for j in range(len(shape))]), shape).ravel()
+        columns.append(pa.array(grid, pa.timestamp("us", tz="UTC") if time else pa.float64()))
+    for v in variables:
+        got, there = decoded(values(f, h, v, ranges), h.variables[v])
+        columns.append(pa.array(got, mask=~there))
+    return pa.RecordBatch.from_arrays(columns, [*dims, *variables])
 
 
 def cut(block: list[tuple[int, int]], cells: int) -> list[list[tuple[int, int]]]:

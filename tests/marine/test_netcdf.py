@@ -82,9 +82,7 @@ def grid(path, version=1, unlimited="time", streaming=False, hours=5, start=0):
 @pytest.fixture(scope="module")
 def source(spark):
     spark.dataSource.register(netcdf.NetcdfSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    yield lambda path, variables, **more: spark.read.format("marine_netcdf").options(path=path, variables=variables, **more).load()
-    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    return lambda path, variables, limits=None, **more: netcdf.limited(spark.read.format("marine_netcdf").options(path=path, variables=variables, **more), **(limits or {}))
 
 
 @pytest.mark.parametrize(("version", "unlimited", "streaming", "cells"), [(1, "time", False, 1000), (2, "time", True, 7), (5, "time", False, 1), (1, None, False, 50), (5, "time", True, 1 << 20)])
@@ -113,21 +111,20 @@ def test_single_record_variable_is_not_padded(source, tmp_path):
     assert sorted(tuple(r) for r in source(path, "x", cells=4).collect()) == [(float(a), float(b), float(x[a, b])) for a in range(5) for b in range(3)]
 
 
-def test_filters_become_index_ranges(source, spark, tmp_path):
+def test_limits_become_index_ranges(source, spark, tmp_path):
     paths = []
     for k in range(2):
         paths.append(f"{tmp_path}/{k}.nc")
         grid(paths[-1], hours=5, start=5 * k)
     df = source(",".join(paths), "u", cells=10)
-    assert df.count() == 240 and df.rdd.getNumPartitions() == 40  # two rows of six each, of 5 hours in 2 files
-    near = df.where("latitude <= 49.5 and latitude > 48.5 and longitude in (-125.0, -124.5) and time >= timestamp'2024-07-01 20:00:00Z'")
-    assert near.count() == 2 * 2 * 5 and near.rdd.getNumPartitions() < 20
-    reader = netcdf.NetcdfReader({"path": paths[0], "variables": "u"})
-    assert len(list(reader.pushFilters([netcdf.EqualTo(("latitude",), 49.0), netcdf.LessThan(("u",), 0.0)]))) == 2
+    assert df.count() == 240 and df.rdd.getNumPartitions() == 40  # a row of six each, of 4 rows, 5 hours and 2 files
+    late = datetime.fromisoformat("2024-07-01T20:00:00+00:00"), datetime.fromisoformat("2024-08-01T00:00:00+00:00")
+    near = source(",".join(paths), "u", {"latitude": (49.0, 49.5), "longitude": (-125.0, -124.5), "time": late}, cells=10)
+    assert near.count() == 2 * 2 * 5 and near.rdd.getNumPartitions() < 20 and df.count() == 240
+    reader = netcdf.NetcdfReader({"path": paths[0], "variables": "u", "limits": '{"latitude": [48.9, 49.1]}'})
     assert [p.ranges for p in reader.partitions()] == [[(0, 5), (2, 3), (0, 6)]]
-    assert source(paths[0], "u").where("latitude > 60").count() == 0
-    noon = source(paths[0], "u").where(F.col("time") == F.lit(datetime(2024, 7, 1, 4, 30)).cast("timestamp"))
-    assert noon.count() == 24
+    assert source(paths[0], "u", {"latitude": (60, 70)}).count() == 0
+    assert source(paths[0], "u").where(F.col("time") == F.lit(datetime(2024, 7, 1, 4, 30)).cast("timestamp")).count() == 24
 
 
 def test_no_rows_and_wrong_files(source, tmp_path):
