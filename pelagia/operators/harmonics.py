@@ -18,13 +18,13 @@ def from_polar(amplitude: Column, phase_degrees: Column) -> tuple[Column, Column
 
 
 def corners(elements: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Triangles with the coordinates of their nodes (longitudes in 0-360); slivers are dropped."""
+    """Triangles with the coordinates of their nodes (longitudes in 0-360); slivers and those with a place that is no number are dropped."""
     out = elements
     for k in range(3):
         place = nodes.select(F.col("node").alias(f"n{k}"), F.pmod("lon", F.lit(360.0)).alias(f"x{k}"), F.col("lat").alias(f"y{k}"))
         out = out.join(place, f"n{k}")
     det = (F.col("x1") - F.col("x0")) * (F.col("y2") - F.col("y0")) - (F.col("x2") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    return out.withColumn("det", det).where(F.abs("det") / 2 > LEAST_AREA)
+    return out.withColumn("det", det).where((F.abs("det") / 2 > LEAST_AREA) & ~F.isnan("det"))  # NaN is above all numbers
 
 
 def points_in_triangles(points: DataFrame, triangles: DataFrame, step: float = 0.25) -> DataFrame:

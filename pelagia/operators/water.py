@@ -85,6 +85,43 @@ def dissolve(cells: DataFrame, parent: str, ring: str = "ring") -> DataFrame:
     return each.groupBy(parent, "a", "b").agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
 
 
+def outlines(cells: DataFrame, parent: str, ring: str = "ring") -> DataFrame:
+    """Closed rings of each parent's outline: (parent, part, points, area, hole). Rings of ``cells`` run counter-clockwise; so do outer rings here, holes the other way.
+
+    Sides of cells are directed; those inside a parent are there in both directions and go. Each other side points to the one that goes on from its end (the
+    leftmost where parts touch in a point). Rings are named by their smallest side, and sides numbered within them, by pointers that double each round, so rounds follow the logarithm of the longest ring.
+    """
+    scratch = Scratch(cells.sparkSession, "outlines")
+    pairs = F.arrays_zip(F.slice(ring, F.lit(1), F.size(ring) - 1).alias("a"), F.slice(ring, F.lit(2), F.size(ring) - 1).alias("b"))
+    each = cells.select(F.col(parent).alias("parent"), F.explode(pairs).alias("s")).select("parent", "s.a", "s.b")
+    once = each.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).groupBy("parent", "lo", "hi").agg(F.sum(F.when(F.col("a") == F.col("lo"), 1).otherwise(-1)).alias("way")).where("way <> 0")
+    sides = once.select("parent", F.when(F.col("way") > 0, F.col("lo")).otherwise(F.col("hi")).alias("a"), F.when(F.col("way") > 0, F.col("hi")).otherwise(F.col("lo")).alias("b"))
+    sides = scratch.table(sides.withColumn("id", F.monotonically_increasing_id()), "sides")
+    heading = F.atan2(F.col("b.y") - F.col("a.y"), F.col("b.x") - F.col("a.x"))
+    on = sides.select("parent", F.col("a").alias("b"), F.col("id").alias("next"), heading.alias("out"))
+    turn = F.pmod(F.col("out") - F.col("into") + F.pi(), 2 * F.pi())
+    going = sides.select("parent", "b", "id", heading.alias("into")).join(on, ["parent", "b"]).groupBy("id").agg(F.max_by("next", turn).alias("next"))
+    now, k = scratch.table(going.select("id", "next", F.least("id", "next").alias("least")), "rings-0"), 0
+    first = now.select("id", F.col("next").alias("step"))
+    while True:
+        k += 1
+        ahead = now.select(F.col("id").alias("next"), F.col("next").alias("far"), F.col("least").alias("other"))
+        now = scratch.table(now.join(ahead, "next").select("id", F.col("far").alias("next"), F.least("least", "other").alias("least"), (F.col("other") < F.col("least")).alias("moved")), f"rings-{k}")
+        if now.where("moved").isEmpty():
+            break
+        now = now.drop("moved")
+    named = now.select("id", "least").join(first, "id").withColumn("next", F.when(F.col("step") != F.col("least"), F.col("step")))  # a ring ends before its smallest side
+    now, k = scratch.table(named.select("id", "least", "next", F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("left")), "places-0"), 0
+    while not now.where("next is not null").isEmpty():
+        k += 1
+        ahead = now.select(F.col("id").alias("next"), F.col("next").alias("far"), F.col("left").alias("more"))
+        now = scratch.table(now.join(ahead, "next", "left").select("id", "least", F.col("far").alias("next"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")), f"places-{k}")
+    placed = sides.join(now.select("id", "least", "left"), "id")
+    rings = placed.groupBy("parent", "least").agg(F.array_sort(F.collect_list(F.struct((-F.col("left")).alias("at"), "a"))).alias("s"), (F.sum(F.col("a.x") * F.col("b.y") - F.col("b.x") * F.col("a.y")) / 2).alias("area"))
+    part = F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("area"), "least"))
+    return rings.select(F.col("parent").alias(parent), part.alias("part"), F.concat(F.col("s.a"), F.slice("s.a", 1, 1)).alias("points"), "area", (F.col("area") < 0).alias("hole"))
+
+
 #: A graph of at most this many edges is searched whole in each seed's task; 24 bytes each.
 CORE = 100_000
 #: Cells of more neighbours stay: taking out one of three or fewer never adds edges.

@@ -567,6 +567,22 @@ def dissolved_outline(spark, d):
     return out.select("g", F.concat_ws(" ", "a.x", "a.y", "b.x", "b.y").alias("seg"))
 
 
+
+@query("""with recursive c as (select distinct p_partkey // 60 g, p_partkey % 9 x, p_partkey // 9 % 9 y from part where p_size % 3 > 0),
+d as (select g, unnest([[x, y, x + 1, y], [x + 1, y, x + 1, y + 1], [x + 1, y + 1, x, y + 1], [x, y + 1, x, y]]) s from c),
+e as (select g, s, row_number() over (order by g, s) id from d a where not exists (select 1 from d b where b.g = a.g and b.s = [a.s[3], a.s[4], a.s[1], a.s[2]])),
+n as (select a.id, arg_max(b.id, ((b.s[3] - b.s[1]) * (a.s[4] - a.s[2]) - (b.s[4] - b.s[2]) * (a.s[3] - a.s[1])) * -1) nx from e a join e b on a.g = b.g and b.s[1] = a.s[3] and b.s[2] = a.s[4] group by a.id),
+w as (select id, nx h from n union select w.id, n.nx from w join n on n.id = w.h),
+r as (select e.g, e.s, e.id, least(e.id, min(w.h)) ring from e join w on w.id = e.id group by e.g, e.s, e.id)
+select g, count(*) sides, sum(s[1] * s[4] - s[3] * s[2]) / 2.0 area from r group by g, ring""")
+def outline_rings(spark, d):
+    """Rings of groups of unit squares with gaps: parts, holes and corners that touch."""
+    p = t(spark, d, "part").where("p_size % 3 > 0").selectExpr("p_partkey div 60 g", "p_partkey % 9 x", "p_partkey div 9 % 9 y").distinct()
+    corner = lambda i, j: F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y"))
+    out = water.outlines(p.select("g", F.array(*(corner(*c) for c in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0)))).alias("ring")), "g")
+    return out.select("g", (F.size("points") - 1).cast("long").alias("sides"), F.col("area").cast("double").alias("area"))
+
+
 @query("""with s as (select user_id u, count(distinct event_type) k, count(*) n from events group by 1) select u, n, case when u % 7 = 0 then 'outside_or_ambiguous_native_mesh' when k < 5 then 'reference_incomplete' else 'compared' end status from s""")
 def station_states(spark, d):
     """A.12."""

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..sinks.store import opened
+
 CONSTITUENTS = ("M2", "S2", "N2", "K2", "K1", "O1", "P1", "Q1")
 
 
@@ -57,8 +59,8 @@ class GridReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         box = [float(self.options.get(k, d)) for k, d in (("west", -360), ("south", -90), ("east", 360), ("north", 90))]
         step = int(self.options.get("step", 1))
-        with open(partition.value.removeprefix("file://")) as f:
-            table = json.load(f)["table"]
+        with opened(partition.value) as f:
+            table = json.loads(f.read())["table"]
         at = {n: k for k, n in enumerate(table["columnNames"])}
         for r in table["rows"]:
             t, lat, lon = r[at["time"]], r[at["latitude"]], r[at["longitude"]]
