@@ -9,10 +9,11 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import masks, units
+from ..functions import geometry, masks, units
 from ..operators import grid, harmonics, kernel, quality, rosters, spatial, trailing
 from ..operators import tides as tides_of
 from ..operators import water as water_graph
+from ..sources.config import Settings
 
 FAMILIES = ("tides", "river_discharge", "currents", "ocean_temperature", "productivity", "offshore_currents", "tidal_model")
 
@@ -113,10 +114,22 @@ def tidal_model(points: DataFrame, nodes: DataFrame, elements: DataFrame, consti
     return support.join(ranges, "cell", "left"), heights
 
 
-def seed_distances(seeds: DataFrame, coast: DataFrame, nodes: DataFrame, edges: DataFrame, limit_km: float = 8.0, tolerance_m: float = 100.0, cutoff_km: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """A.6: (distances, mapping) from seeds (seed, x, y, coast_limit_m), the water around each, graph nodes (cell, x, y) and edges (a, b, km)."""
-    mapping = water_graph.snap_seeds(seeds, nodes, coast, limit_km, tolerance_m)
-    return water_graph.water_distances(edges, mapping.where("status = 'mapped'").select("seed", "cell", "connector_km"), cutoff_km=cutoff_km), mapping
+def seed_distances(seeds: DataFrame, polygon: DataFrame, support: DataFrame, edges: DataFrame, settings: Settings, block: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """A.6: (distances, mapping) of seeds (seed, kind, lat, lon) over the water graph.
+
+    polygon: one row, the water in degrees (wkb). support: cells with lat, lon, eligible, degree and, for terminal cells, connection = 'terminal_connector', connector_target and connector_m.
+    edges: source, target, distance_m, passable. A river's mouth may lie farther from the water than a tide station. A seed that can't be mapped has no distances.
+    """
+    box = settings.bbox
+    water_here = F.broadcast(polygon.limit(1).select(geometry.projected(geometry.clipped("wkb", (box.west - 0.1, box.south - 0.1, box.east + 0.1, box.north + 0.1))).alias("water")))  # one row
+    place = lambda df: df.withColumns(dict(zip(("x", "y"), water_graph.utm10(F.col("lon"), F.col("lat")), strict=True)))
+    limit = F.when(F.col("kind") == "river_mouth", settings.mouth_coast_snap_max_m).otherwise(settings.tide_coast_snap_max_m).cast("double")
+    placed = place(seeds).select("seed", "x", "y", limit.alias("coast_limit_m"))
+    nodes = place(water_graph.graph_nodes(support)).select("cell", "x", "y")
+    mapping = water_graph.snap_seeds(placed, nodes, placed.select("seed").join(water_here), settings.seed_snap_max_km, settings.seed_shore_tolerance_m)
+    terminal = support.where("connection = 'terminal_connector' and connector_target is not null").select("cell", F.col("connector_target").alias("target"), (F.col("connector_m") / 1000).alias("connector_km"))
+    starts = mapping.where("status = 'mapped'").select("seed", "cell", "connector_km")
+    return water_graph.water_distances(water_graph.canonical_edges(edges, support), starts, terminal, block=block), mapping
 
 
 def contained(build: Callable[[], DataFrame], support: DataFrame, columns: dict[str, str]) -> tuple[DataFrame, str | None]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -139,6 +139,8 @@ def build(spark: SparkSession, layers: str, region: Region, out: str, start: str
     quality.require_interval(start, end)
     if unknown := sorted(set(wanted) - set(FAMILIES)):
         raise quality.CheckError(f"unknown families: {unknown}")
+    if {"tides", "river_discharge"} & set(wanted):
+        region = with_distances(spark, region, out)
     lineage = {"code_sha256": tables.code_digest(), "support_sha256": {str(r): tables.table_digest(s) for r, s in region.support.items()}, "config_sha256": config_sha256}
     told = []
     for family in wanted:
@@ -177,6 +179,22 @@ def build(spark: SparkSession, layers: str, region: Region, out: str, start: str
     return told
 
 
+def with_distances(spark: SparkSession, region: Region, out: str) -> Region:
+    """A.6 once for all days: where the region holds ``seeds``, ``water`` and ``edges`` but no distances, they are computed and written to ``<out>/distances``, with what became of each seed."""
+    have = region.fixed
+    lacking = [f"{k}_distances" for k in ("tide", "river") if f"{k}_distances" not in have]
+    if not lacking or not {"seeds", "water", "edges"} <= set(have):
+        return region
+    block = (lambda c: cells.parent(c, 8, 3)) if region.cells == "h3" else None  # some 17,000 cells of resolution 8
+    found, mapping = families.seed_distances(have["seeds"], have["water"], region.support[8], have["edges"], region.settings, block)
+    told = mapping.join(have["seeds"].select("seed", "kind"), "seed")
+    told.write.mode("overwrite").parquet(f"{out}/distances/mapping")
+    found.join(F.broadcast(have["seeds"].select("seed", "kind")), "seed").write.mode("overwrite").partitionBy("kind").parquet(f"{out}/distances/ways")  # seeds: tens
+    ways = spark.read.parquet(f"{out}/distances/ways")
+    kinds = {"tide_distances": "kind <> 'river_mouth'", "river_distances": "kind = 'river_mouth'"}
+    return replace(region, fixed=have | {name: ways.where(kinds[name]).drop("kind") for name in lacking})
+
+
 def composites(spark: SparkSession, out: str, support: DataFrame, start: str, end: str, window: int = 7, minimum: int = 1) -> list[dict]:
     """Second pass: trailing columns of the days asked for, from verified look-back days that only feed them. Manifests tell which days were missing (L2, L3)."""
     first = families.days_of("productivity", start, start, window)[0]

@@ -110,3 +110,17 @@ def test_outlines(spark):
         assert points[0] == points[-1] and all(abs(a - c) + abs(b - d) == 1 for (a, b), (c, d) in zip(points, points[1:], strict=False))
         assert r.area == pytest.approx(sum(a * d - c * b for (a, b), (c, d) in zip(points, points[1:], strict=False)) / 2)
     assert [r.part for r in sorted(got, key=lambda r: (r.p, r.part))] == [1, 2, 3, 4, 1] and water.outlines(cells.limit(0), "p").count() == 0
+
+
+def test_projection_and_back(spark):
+    rng = np.random.default_rng(2)
+    lon, lat = rng.uniform(-126.5, -119.5, 500), rng.uniform(0, 80, 500)
+    east, north = g.to_utm(lon, lat)
+    back = g.from_utm(east, north)
+    assert np.abs(back[0] - lon).max() < 1e-9 and np.abs(back[1] - lat).max() < 1e-9  # a tenth of a millimetre
+    e, n = water.utm10(F.col("lon"), F.col("lat"))
+    got = spark.createDataFrame(list(zip(lon.tolist(), lat.tolist(), strict=True))[:50], "lon double, lat double").select(e.alias("e"), n.alias("n")).collect()
+    assert max(abs(r.e - x) + abs(r.n - y) for r, x, y in zip(got, east, north, strict=False)) < 1e-3
+    one = spark.createDataFrame([(bytearray(g.to_wkb([np.array([[-123, 48], [-122, 48], [-122, 49], [-123, 48]], float)])),), (None,)], "w binary")
+    moved = [r.w for r in one.select(g.projected(g.projected("w"), back=True).alias("w")).collect()]
+    assert np.abs(g.rings(bytes(moved[0]))[0] - [[-123, 48], [-122, 48], [-122, 49], [-123, 48]]).max() < 1e-9 and moved[1] is None

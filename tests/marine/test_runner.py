@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pytest
 from pelagia.functions import cells
 from pelagia.operators import quality
@@ -125,3 +126,27 @@ def test_coverage_day_by_day(spark):
     coarse = coarse.withColumn("b", F.when((F.col("lat") < 40) & (F.col("DATE") == "d1"), 2.0))
     got = {r.DATE: (r.original_fraction, r.broader_fraction, r.either_fraction) for r in runner.source_coverage(fine, coarse, "a", "b", 6, 5).collect()}
     assert got == {"d1": (0.0, 0.75, 0.75), "d2": (0.25, 0.0, 0.25), "d3": (0.0, 0.0, 0.0)}
+
+
+def test_distances_in_build(spark, tmp_path):
+    """Seeds to distances: a station on the water, a mouth a little inland, one too far, one whose connector crosses land."""
+    from pelagia.functions import geometry as g
+
+    lon = [-123.50 + 0.02 * k for k in range(8)]
+    rows = spark.createDataFrame([(48.5, x, k != 7, 0 if k == 6 else 2, "terminal_connector" if k == 7 else "graph") for k, x in enumerate(lon)], "lat double, lon double, eligible boolean, degree int, connection string")
+    support = rows.withColumn("cell", cells.hex_cell(F.col("lat"), F.col("lon"), 8)).orderBy("lon")
+    ids = [r.cell for r in support.collect()]
+    assert len(set(ids)) == 8
+    support = support.withColumns({"area": F.lit(1.0), "connector_target": F.when(F.col("connection") == "terminal_connector", F.lit(ids[5])), "connector_m": F.when(F.col("connection") == "terminal_connector", 250.0)})
+    edges = spark.createDataFrame([(ids[k], ids[k + 1], 600.0, k != 3) for k in range(6)] + [(ids[1], ids[0], 500.0, True), (ids[2], ids[4], 900.0, True)], "source long, target long, distance_m double, passable boolean")
+    water = np.array([[-123.6, 48.4], [-123.3, 48.4], [-123.3, 48.6], [-123.6, 48.6], [-123.6, 48.4]])
+    seeds = [("tide", "tide", 48.501, lon[0]), ("mouth", "river_mouth", 48.5, -123.606), ("far", "tide", 48.5, -123.606), ("none", "tide", 46.9, -125.0)]
+    fixed = {"seeds": spark.createDataFrame(seeds, "seed string, kind string, lat double, lon double"), "water": spark.createDataFrame([(bytearray(g.to_wkb([water])),)], "wkb binary"), "edges": edges}
+    region = runner.with_distances(spark, runner.Region({8: support}, fixed), str(tmp_path))
+    status = {r.seed: (r.status, r.cell) for r in spark.read.parquet(f"{tmp_path}/distances/mapping").collect()}
+    assert status == {"tide": ("mapped", ids[0]), "mouth": ("mapped", ids[0]), "far": ("unmapped", None), "none": ("unmapped", None)}
+    way = {r.cell: r.distance for r in region.fixed["tide_distances"].collect()}
+    start = way[ids[0]]
+    assert 0.1 < start < 0.12 and {ids.index(c): round(d - start, 6) for c, d in way.items()} == {0: 0.0, 1: 0.5, 2: 1.1, 3: 1.7, 4: 2.0, 5: 2.6, 6: 3.2, 7: 2.85}
+    assert {r.seed for r in region.fixed["river_distances"].collect()} == {"mouth"}
+    assert runner.with_distances(spark, region, "nowhere") is region
