@@ -15,6 +15,7 @@ are not read.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from functools import cache
 
@@ -36,7 +37,7 @@ UNKNOWN = "und"
 
 @cache
 def _letters() -> np.ndarray:
-    return np.array([chr(i).isalpha() for i in range(1 << 16)])
+    return np.array([chr(i).isalpha() for i in range(sys.maxunicode + 1)])
 
 
 def grams(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
@@ -45,8 +46,7 @@ def grams(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     joined = pc.binary_join_element_wise(pc.utf8_lower(texts), blank, "")
     size = pc.utf8_length(joined).to_numpy(zero_copy_only=False).astype(np.int64)
     code = np.frombuffer("".join(joined.to_pylist()).encode("utf-32-le"), np.uint32)
-    low = np.minimum(code, 0xFFFF)
-    code = np.where(_letters()[low] & (code < 0x10000), low, np.uint32(32))
+    code = np.where(_letters()[code], code, np.uint32(32))
     out, h = [], np.zeros(len(code), np.uint32)
     for k in range(ORDER):
         n = len(code) - k

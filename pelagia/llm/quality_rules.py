@@ -10,7 +10,7 @@ stratum loses more than ``max_false`` of its good documents to the rules. A stra
 (fewer than log(delta / strata) / log(1 - max_false)) holds no step and rejects nothing.
 
 Null texts have no words and fail the base rules; null and empty strata are one stratum; documents that
-have both labels count as bad; repeated rows are judged each; empty tables give no rows, or
+have both labels count as bad; copies of a text (told by 64 bits) are one document of the holdout, as they are rejected together; repeated rows are judged each; empty tables give no rows, or
 no cutoffs; other columns are not read.
 """
 
@@ -29,7 +29,7 @@ from .textkit import BROADCAST_IDS, Scratch, mix, read_table, slices, split_word
 
 REPEAT = 8
 SYMBOLS = b"#*$%&|<>"
-SIGNALS = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
+SIGNALS = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, tag long"
 
 
 def _sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -69,7 +69,7 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_lines = np.bincount(doc[full], minlength=batch.num_rows)
         distinct = np.bincount(np.unique(key) >> 32, minlength=batch.num_rows)
         columns = [batch.column("doc_id"), batch.column("stratum"), np.diff(off), _sums(pc.utf8_length(words).to_numpy(zero_copy_only=False), off),
-                   _sums(table[raw], ends), n_lines, n_lines - distinct, repeated_words(word_hashes(words), off)]
+                   _sums(table[raw], ends), n_lines, n_lines - distinct, repeated_words(word_hashes(words), off), batch.column("tag")]
         names = [x.strip().split(" ")[0] for x in SIGNALS.split(",")]
         yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(np.asarray(x, np.int64)) for x in columns], names)
 
@@ -126,9 +126,9 @@ def base_failed() -> Column:
 def thresholds(signals: DataFrame, labels: DataFrame, max_false: float, delta: float) -> DataFrame:
     """(own, held): how many steps of the path hold in each stratum that has labels, by counts over its good documents."""
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    tested = signals.where(~base_failed()).join(good, "doc_id", "left_semi")
-    counts = tested.groupBy(F.coalesce("stratum", F.lit("")).alias("own"), F.least(*(step_of(r) for r in RULES)).alias("step")).agg(F.count(F.lit(1)).alias("n"))
-    strata = tested.agg(F.count_distinct(F.coalesce("stratum", F.lit(""))).alias("strata"))  # one row
+    tested = signals.where(~base_failed()).join(good, "doc_id", "left_semi").withColumn("own", F.coalesce("stratum", F.lit(""))).dropDuplicates(["own", "tag"])
+    counts = tested.groupBy("own", F.least(*(step_of(r) for r in RULES)).alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    strata = tested.agg(F.count_distinct("own").alias("strata"))  # one row
 
     def test(group: pa.Table) -> pa.Table:
         by = dict(zip(group["step"].to_pylist(), group["n"].to_pylist(), strict=True))
@@ -141,13 +141,14 @@ def thresholds(signals: DataFrame, labels: DataFrame, max_false: float, delta: f
 
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, stratum: str = "lang", max_false: float = 0.02, delta: float = 0.05) -> DataFrame:
     """Signals of each row, base_failed, kept and the rules against it."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), "text", F.xxhash64("text").alias("tag"))
     scratch = Scratch(spark, "quality")
     signals = scratch.table(rows.mapInArrow(measure, SIGNALS), "signals")
     limits = scratch.table(thresholds(signals, labels, max_false, delta), "limits")
     held = F.coalesce("held", F.lit(0))
     against = F.array_compact(F.array(*(F.when(step_of(r) < held, F.lit(r)) for r in RULES)))
     judged = signals.withColumn("own", F.coalesce("stratum", F.lit(""))).join(F.broadcast(limits) if limits.count() <= BROADCAST_IDS else limits, "own", "left")
+    judged = judged.drop("tag")
     return judged.withColumns({"base_failed": base_failed(), "against": against}).withColumn("kept", ~F.col("base_failed") & (F.size("against") == 0)).drop("own", "held")
 
 
