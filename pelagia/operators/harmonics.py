@@ -27,15 +27,22 @@ def corners(elements: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.withColumn("det", det).where((F.abs("det") / 2 > LEAST_AREA) & ~F.isnan("det"))  # NaN is above all numbers
 
 
-def points_in_triangles(points: DataFrame, triangles: DataFrame, step: float = 0.25) -> DataFrame:
-    """(point, tri, w0, w1, w2), edges included. Points and bounding boxes meet in squares of ``step`` degrees, so the
-    range join is an equi-join and no product; the exact test is barycentric."""
-    square = lambda c: F.floor(c / step).cast("long")
+def points_in_triangles(points: DataFrame, triangles: DataFrame) -> DataFrame:
+    """(point, tri, w0, w1, w2), edges included; the exact test is barycentric.
+
+    Points and bounding boxes meet in squares, so the range join is an equi-join. A triangle's squares are as wide as the power of two above its
+    box, so it lies in four of them at most however large it is, and small triangles are in squares of their own size; a point looks into one square of each size that the mesh has.
+    """
     low, high = (lambda a: F.least(*(F.col(f"{a}{k}") for k in range(3)))), (lambda a: F.greatest(*(F.col(f"{a}{k}") for k in range(3))))
     boxes = triangles.where(high("x") - low("x") < 180.0)  # one that spans more crosses the meridian of its axis
+    extent = F.greatest(high("x") - low("x"), high("y") - low("y"), F.lit(1e-6))
+    boxes = boxes.withColumn("__level", F.ceil(F.log2(extent)).cast("int"))
+    square = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("__level"))).cast("long")
     boxes = boxes.withColumn("__gx", F.explode(F.sequence(square(low("x")), square(high("x"))))).withColumn("__gy", F.explode(F.sequence(square(low("y")), square(high("y")))))
-    placed = points.select("point", F.pmod("lon", F.lit(360.0)).alias("__x"), F.col("lat").alias("__y")).withColumns({"__gx": square(F.col("__x")), "__gy": square(F.col("__y"))})
-    met = placed.join(boxes, ["__gx", "__gy"])
+    levels = triangles.sparkSession.range(-20, 9).select(F.col("id").cast("int").alias("__level")).join(boxes.select("__level"), "__level", "left_semi")  # 29 at most
+    placed = points.select("point", F.pmod("lon", F.lit(360.0)).alias("__x"), F.col("lat").alias("__y")).crossJoin(F.broadcast(levels))
+    placed = placed.withColumns({"__gx": square(F.col("__x")), "__gy": square(F.col("__y"))})
+    met = placed.join(boxes, ["__level", "__gx", "__gy"])
     dx, dy = F.col("__x") - F.col("x0"), F.col("__y") - F.col("y0")
     w1 = (dx * (F.col("y2") - F.col("y0")) - dy * (F.col("x2") - F.col("x0"))) / F.col("det")
     w2 = (dy * (F.col("x1") - F.col("x0")) - dx * (F.col("y1") - F.col("y0"))) / F.col("det")
@@ -43,9 +50,9 @@ def points_in_triangles(points: DataFrame, triangles: DataFrame, step: float = 0
     return met.where((F.col("w0") >= -EDGE) & (F.col("w1") >= -EDGE) & (F.col("w2") >= -EDGE)).select("point", "tri", "n0", "n1", "n2", "w0", "w1", "w2")
 
 
-def interpolate(points: DataFrame, nodes: DataFrame, elements: DataFrame, harmonics: DataFrame, step: float = 0.25) -> DataFrame:
+def interpolate(points: DataFrame, nodes: DataFrame, elements: DataFrame, harmonics: DataFrame) -> DataFrame:
     """A.10: (point, constituent, re, im, triangle). triangle is -1 outside the mesh and -2 where triangles disagree, both without values; else the smallest triangle id."""
-    inside = points_in_triangles(points, corners(elements, nodes), step)
+    inside = points_in_triangles(points, corners(elements, nodes))
     each = inside.select("point", "tri", F.explode(F.array(*(F.struct(F.col(f"n{k}").alias("node"), F.col(f"w{k}").alias("w")) for k in range(3)))).alias("c"))
     values = each.join(harmonics.withColumnRenamed("node", "__node"), F.col("c.node") == F.col("__node"))
     values = values.groupBy("point", "tri", "constituent").agg(F.sum(F.col("c.w") * F.col("re")).alias("re"), F.sum(F.col("c.w") * F.col("im")).alias("im"))

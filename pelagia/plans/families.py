@@ -101,11 +101,11 @@ def river_discharge(records: DataFrame, gauges: DataFrame, day: str, fine: DataF
     return influence_features(fine, coarse, distances, values, "RIVER_DISCHARGE", scales, parent, cutoff), stations
 
 
-def tidal_model(points: DataFrame, nodes: DataFrame, elements: DataFrame, constituents: DataFrame, day: str, support: DataFrame, step: float = 0.25) -> tuple[DataFrame, DataFrame]:
+def tidal_model(points: DataFrame, nodes: DataFrame, elements: DataFrame, constituents: DataFrame, day: str, support: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A.10, A.11: (features, heights). points: cell, lat, lon; the daily range of 24 predicted hours on every cell of the support."""
     if not constituents.join(nodes, "node", "left_anti").isEmpty():  # V12
         raise quality.CheckError("a constituent has nodes that the mesh lacks")
-    at = harmonics.interpolate(points.withColumnRenamed("cell", "point"), nodes, elements, constituents, step)
+    at = harmonics.interpolate(points.withColumnRenamed("cell", "point"), nodes, elements, constituents)
     hours = tides_of.hours_of(points.sparkSession, day)
     places = points.select(F.col("cell").alias("point"), "lat")
     heights = tides_of.heights(at.drop("triangle").join(places, "point"), hours.select("ts")).join(F.broadcast(hours), "ts").select("point", "hour", "height")

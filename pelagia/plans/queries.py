@@ -298,7 +298,7 @@ def mesh(spark, d):
 @query(TRIANGLES + """ select point, tri, round(w0 + 3e-8, 6) + 0.0 w0, round(w1 + 3e-8, 6) + 0.0 w1, round(w2 + 3e-8, 6) + 0.0 w2 from hit""")
 def triangle_join(spark, d):
     points, nodes, elements = mesh(spark, d)
-    out = harmonics.points_in_triangles(points, harmonics.corners(elements, nodes), 2.0)
+    out = harmonics.points_in_triangles(points, harmonics.corners(elements, nodes))
     return out.select("point", "tri", *(r6(F.col(f"w{k}")).alias(f"w{k}") for k in range(3)))
 
 
@@ -309,7 +309,7 @@ select p_partkey point, cast(case when off > 1e-6 then -2 else coalesce(tri, -1)
 def harmonic_interpolation(spark, d):
     points, nodes, elements = mesh(spark, d)
     h = nodes.select("node", F.lit("M2").alias("constituent"), F.cos(F.col("node").cast("double")).alias("re"), F.sin(F.col("node").cast("double")).alias("im"))
-    out = harmonics.interpolate(points, nodes, elements, h, 2.0)
+    out = harmonics.interpolate(points, nodes, elements, h)
     return out.select("point", F.col("triangle").cast("int").alias("triangle"), r6(F.col("re")).alias("re"), r6(F.col("im")).alias("im"))
 
 
