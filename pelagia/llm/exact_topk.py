@@ -6,9 +6,10 @@ a candidate x every pivot p bounds d(q,x) from below by |d(q,p) - d(x,p)|; toget
 lie in the span of the pivots and how far off it, and so give the largest lower bound that follows from them:
 d(q,x)^2 >= |q' - x'|^2 + (|q - q'|  - |x - x'|)^2, with q' and x' the projections. That bounds the inner product
 (|q|^2 + |x|^2 - d^2) / 2 from above by q'.x' + |q - q'| |x - x'|. Candidates are scored in falling order of the
-bound until it is under the k-th best score found.
+bound until it is under the k-th best score found, or under the k-th best among the sampled vectors: those are candidates
+too, so it holds for the whole table, and each task knows it from the start.
 
-The table is dealt to files of ``CELL_ROWS`` vectors; queries come in batches of at most ``BATCH_QUERIES``, each
+The table is dealt to files of ``CELL_BYTES`` of vectors and distances; queries come in batches of at most ``BATCH_QUERIES``, each
 broadcast to the tasks that read the files, so vectors move once whatever the number of queries, and a task gives
 k rows a query at most. Ties go to the smaller vec_id.
 Null vectors, and those with null or non-finite components, take no part; shorter vectors count
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 
 from .textkit import Scratch, read_table
 
-CELL_ROWS, LEAST_CELLS, BATCH_QUERIES = 1 << 18, 12, 1 << 14
+CELL_BYTES, LEAST_CELLS, BATCH_QUERIES = 1 << 28, 12, 1 << 14
+#: Less than any score.
+NONE = -(1 << 62)
 #: Candidates scored first, and then at a time; bounds held at once.
 FIRST, STEP, CHUNK = 32, 32, 1 << 20
 FOUND = "query_id long, vec_id long, score long"
@@ -80,8 +83,10 @@ def squared(x: np.ndarray) -> np.ndarray:
     return (x.astype(float) ** 2).sum(1)
 
 
-def search(span: Span, ids: np.ndarray, x: np.ndarray, dx: np.ndarray, qids: np.ndarray, q: np.ndarray, dq: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(query ids, candidate ids, scores) of the k best of ``x`` for each query, and how many candidates were scored."""
+def search(span: Span, ids: np.ndarray, x: np.ndarray, dx: np.ndarray, qids: np.ndarray, q: np.ndarray, dq: np.ndarray, k: int,
+           floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query ids, candidate ids, scores) of the k best of ``x`` for each query, and how many candidates were scored. Candidates below a query's ``floor`` may be left out."""
+    floor = np.full(len(q), NONE) if floor is None else floor
     out, scored = [[], [], []], 0
     small = len(x) == 0 or float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, x.shape[1]) < 2**52
     nx, nq = squared(x), squared(q)
@@ -98,12 +103,12 @@ def search(span: Span, ids: np.ndarray, x: np.ndarray, dx: np.ndarray, qids: np.
             order = np.argpartition(bound, n - FIRST)[n - FIRST :] if n > FIRST else np.arange(n)
             got_id, got, done, size = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, STEP
             while True:
-                order = order[bound[order] > -np.inf]
+                order = order[bound[order] >= floor[i]]
                 scored += len(order)
                 got_id, got = np.append(got_id, ids[order]), np.append(got, _score(x[order], q[i], small))
                 best = np.lexsort((got_id, -got))[:k]
                 got_id, got = got_id[best], got[best]
-                least = got[-1] if len(got) == k else -1e300
+                least = max(got[-1], floor[i]) if len(got) == k else floor[i]
                 if not done:  # all that can still be among the best, once, in falling order of their bounds
                     bound[order] = -np.inf
                     rest = np.flatnonzero(bound >= least)
@@ -124,9 +129,11 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     """query_id, rank, vec_id, score. Both inputs: vec_id, vec (array<long>)."""
     scratch = Scratch(spark, "top-k")
     rows = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("w")).first()
-    width, cells = max(1, rows.w or 0), max(LEAST_CELLS, -(-rows.n // CELL_ROWS))
+    width = max(1, rows.w or 0)
+    cells = max(LEAST_CELLS, -(-rows.n * 8 * (width + pivots) // CELL_BYTES))
     drawn = vectors.orderBy(F.xxhash64(F.lit(5), F.col("vec_id")), "vec_id").limit(sample).toArrow()
-    pivot = farthest_first(matrix(drawn["vec"], width, np.int64), pivots)
+    known, some = drawn["vec_id"].to_numpy(), matrix(drawn["vec"], width, np.int64)
+    pivot = farthest_first(some, pivots)
 
     def measure(batches):
         for b in batches:
@@ -134,20 +141,30 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
             lists = pa.FixedSizeListArray.from_arrays(pa.array(d.ravel().astype(np.int64)), d.shape[1]).cast(pa.list_(pa.int64())) if d.size else pa.array([[]] * len(d), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("vec"), lists], ["vec_id", "vec", "squares"])
 
+    def sampled(batches):
+        """The k-th best score among the sampled vectors, for each query."""
+        for b in batches:
+            floor = np.full(b.num_rows, NONE)
+            for i, (own, q) in enumerate(zip(b.column("vec_id").to_pylist(), matrix(b.column("vec"), width, np.int64), strict=True)):
+                score = (some @ q)[known != own]
+                if len(score) >= k:
+                    floor[i] = np.partition(score, len(score) - k)[len(score) - k]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(floor)], [*b.schema.names, "floor"])
+
     table = "vec_id long, vec array<long>, squares array<long>"
     held = scratch.table(vectors.repartition(cells, "vec_id").mapInArrow(measure, table), "pivot-table")
-    asked = queries.groupBy("vec_id").agg(F.min("vec").alias("vec")).mapInArrow(measure, table)
+    asked = queries.groupBy("vec_id").agg(F.min("vec").alias("vec")).mapInArrow(measure, table).mapInArrow(sampled, f"{table}, floor long")
     batches = max(1, -(-asked.count() // BATCH_QUERIES)) if rows.n else 1
     asked = scratch.table(asked.withColumn("batch", F.pmod(F.xxhash64(F.lit(2), F.col("vec_id")), F.lit(batches))), "queries")
     span = Span(pivot)
 
     def ask(shared):
         def run(read):
-            qids, q, dq = shared.value
+            qids, q, dq, floor = shared.value
             read = [b for b in read if b.num_rows]
             if read:
                 t = pa.Table.from_batches(read)
-                *found, _ = search(span, t["vec_id"].to_numpy(), matrix(t["vec"], width, np.int64), matrix(t["squares"], len(pivot), float), qids, q, dq, k)
+                *found, _ = search(span, t["vec_id"].to_numpy(), matrix(t["vec"], width, np.int64), matrix(t["squares"], len(pivot), float), qids, q, dq, k, floor)
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], ["query_id", "vec_id", "score"])
 
         return run
@@ -155,7 +172,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     found = None
     for batch in range(batches):  # each is bounded: about BATCH_QUERIES rows
         own = asked.where(F.col("batch") == batch).toArrow()
-        shared = spark.sparkContext.broadcast((own["vec_id"].to_numpy(), matrix(own["vec"], width, np.int64), matrix(own["squares"], len(pivot), float)))
+        shared = spark.sparkContext.broadcast((own["vec_id"].to_numpy(), matrix(own["vec"], width, np.int64), matrix(own["squares"], len(pivot), float), own["floor"].to_numpy()))
         got = scratch.table(held.mapInArrow(ask(shared), FOUND), f"found-{batch}")
         shared.destroy()
         found = got if found is None else found.unionByName(got)
