@@ -31,9 +31,9 @@ def aggregate_pixels(pixels: DataFrame, support: DataFrame, metrics: list[str],
     return support.join(sums, cell, "left").fillna(0, counts)
 
 
-def roll_up(children: DataFrame, parent: str, area: str = "area") -> DataFrame:
-    """A4, A5: area sums by parent."""
-    return children.groupBy(parent).agg(F.sum(area).alias(area))
+def roll_up(children: DataFrame, parent: str, area: str = "area", counted: str | None = None) -> DataFrame:
+    """A4, A5: area sums by parent, and the number of children under the name ``counted``."""
+    return children.groupBy(parent).agg(F.sum(area).alias(area), *([F.count(F.lit(1)).alias(counted)] if counted else []))
 
 
 def gated_roll_up(children: DataFrame, parent: str, metric: str, area: str = "area", missing_source: Column | None = None, gate: float = GATE, diagnostics: tuple[str, ...] = ()) -> DataFrame:

@@ -89,7 +89,7 @@ def tides(samples: DataFrame, day: str, fine: DataFrame, coarse: DataFrame, dist
     stations = grid.station_range(own.withColumn("value", masks.present(F.col("value"))), ["seed"], "value", minimum)
     stations = samples.select("seed").distinct().join(stations, "seed", "left").fillna(0, ["sample_count"])
     values = stations.select("seed", F.col("value_range").alias("value"))
-    return influence_features(fine, coarse, distances, values, "TIDE_RANGE", scales, parent, cutoff, normalize=True), stations.withColumnRenamed("value_range", "TIDE_HOURLY_RANGE_M")
+    return influence_features(fine, coarse, distances, values, "TIDE_RANGE_PROXY_M", scales, parent, cutoff, normalize=True), stations.withColumnRenamed("value_range", "TIDE_HOURLY_RANGE_M")
 
 
 def river_discharge(records: DataFrame, gauges: DataFrame, day: str, fine: DataFrame, coarse: DataFrame, distances: DataFrame, scales: list[float], parent: Callable[[Column], Column], cutoff: float = 3.0) -> tuple[DataFrame, DataFrame]:
@@ -98,7 +98,7 @@ def river_discharge(records: DataFrame, gauges: DataFrame, day: str, fine: DataF
     own = records.join(gauges, "seed").select("seed", value.alias("DISCHARGE_M3_S"))
     stations = rosters.roster_values(gauges, own, ["seed"])
     values = stations.select("seed", F.col("DISCHARGE_M3_S").alias("value"))
-    return influence_features(fine, coarse, distances, values, "RIVER_DISCHARGE", scales, parent, cutoff), stations
+    return influence_features(fine, coarse, distances, values, "RIVER_DISCHARGE_INFLUENCE_M3_S", scales, parent, cutoff), stations
 
 
 def tidal_model(points: DataFrame, nodes: DataFrame, elements: DataFrame, constituents: DataFrame, day: str, support: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -110,7 +110,7 @@ def tidal_model(points: DataFrame, nodes: DataFrame, elements: DataFrame, consti
     places = points.select(F.col("cell").alias("point"), "lat")
     heights = tides_of.heights(at.drop("triangle").join(places, "point"), hours.select("ts")).join(F.broadcast(hours), "ts").select("point", "hour", "height")
     where = at.groupBy("point").agg(F.min("triangle").alias("NATIVE_TRIANGLE"))
-    ranges = where.join(harmonics.daily_range(heights), "point", "left").select(F.col("point").alias("cell"), "NATIVE_TRIANGLE", F.col("hourly_range").alias("HARMONIC_TIDE_RANGE_M"))
+    ranges = where.join(harmonics.daily_range(heights), "point", "left").select(F.col("point").alias("cell"), "NATIVE_TRIANGLE", F.col("hourly_range").alias("HARMONIC_TIDE_HOURLY_RANGE_M"))
     return support.join(ranges, "cell", "left"), heights
 
 

@@ -89,7 +89,7 @@ def children(spark, d):
 def hierarchy_rollup(spark, d):
     key = F.struct("r", "n").alias("key")
     level = spatial.roll_up(children(spark, d).select(key, "area"), "key").select("key.*", "area")
-    return spatial.roll_up(level, "r").join(level.groupBy("r").agg(F.count(F.lit(1)).alias("nations")), "r").select("r", r4(F.col("area")).alias("area"), "nations")
+    return spatial.roll_up(level, "r", counted="nations").select("r", r4(F.col("area")).alias("area"), "nations")
 
 
 @query(CHILDREN + """, g as (select r, sum(area) area, coalesce(sum(case when m is not null then area end), 0) va, sum(m * area) ma, bool_or(miss) miss from ch group by r)

@@ -84,9 +84,9 @@ FAMILIES: dict[str, Family] = {
     "productivity": _raster(families.productivity, 5, "CHLOROPHYLL_MEAN_MG_M3", "CHLOROPHYLL_LOG_MEAN"),
     "currents": _raster(families.currents, 6, "CURRENT_SPEED_SAMPLE_MEAN_MS", "CURRENT_SPEED_SAMPLE_MAX_MEAN_MS"),
     "offshore_currents": _raster(families.offshore_currents, 5, "OFFSHORE_CURRENT_SPEED_SAMPLE_MEAN_MS", "OFFSHORE_CURRENT_SPEED_SAMPLE_MAX_MEAN_MS"),
-    "tides": Family(_tides, 6, lambda s: [masks.scale_name("TIDE_RANGE", x) for x in s.tide_decay_km]),
-    "river_discharge": Family(_rivers, 6, lambda s: [masks.scale_name("RIVER_DISCHARGE", x) for x in s.river_decay_km]),
-    "tidal_model": Family(_tidal_model, 6, lambda s: ["HARMONIC_TIDE_RANGE_M"], collected=False),
+    "tides": Family(_tides, 6, lambda s: [masks.scale_name("TIDE_RANGE_PROXY_M", x) for x in s.tide_decay_km]),
+    "river_discharge": Family(_rivers, 6, lambda s: [masks.scale_name("RIVER_DISCHARGE_INFLUENCE_M3_S", x) for x in s.river_decay_km]),
+    "tidal_model": Family(_tidal_model, 6, lambda s: ["HARMONIC_TIDE_HOURLY_RANGE_M"], collected=False),
 }
 #: A comparison needs all of these.
 COMPARED = ("tides", "currents", "tidal_model", "offshore_currents", "productivity")
@@ -148,7 +148,7 @@ def build(spark: SparkSession, layers: str, region: Region, out: str, start: str
         support = region.support[kind.resolution]
 
         def written(rows: DataFrame, day: str) -> None:
-            named = rows.withColumn(region.cell_name, cells.to_text(F.col("cell")))  # noqa: B023
+            named = rows.withColumns({region.cell_name: cells.to_text(F.col("cell")), "WATER_AREA_M2": F.col("area")})  # noqa: B023
             done = tables.decorate(named, family, day, kind.resolution, metrics, region.cell_name.replace("INDEX", "RESOLUTION"))  # noqa: B023
             tables.write_features(done, f"{out}/{family}", region.cell_name)  # noqa: B023
 
@@ -272,9 +272,9 @@ def compare(spark: SparkSession, out: str, start: str, end: str, layers: str | N
     a, b = (FAMILIES[f].metrics(settings)[0] for f in ("currents", "offshore_currents"))
     tide = FAMILIES["tides"].metrics(settings)[-1]
     listed = lambda df, *keys: [r.asDict() for r in df.orderBy(*keys).collect()]  # noqa: E731  a row a day, or a day and station
-    shares = [{"family": f, **r} for f, df in (("currents", source_coverage(read["currents"], read["offshore_currents"], a, b, 6, 5)), ("tides", source_coverage(read["tides"], read["tidal_model"], tide, "HARMONIC_TIDE_RANGE_M"))) for r in listed(df, "DATE")]
-    ranges = read["tides"].select("cell", "DATE").join(read["tidal_model"].select("cell", "DATE", "HARMONIC_TIDE_RANGE_M"), ["cell", "DATE"])
-    modelled = ranges.groupBy("DATE").agg(F.count("HARMONIC_TIDE_RANGE_M").alias("cells"), F.avg("HARMONIC_TIDE_RANGE_M").alias("mean_range_m"))
+    shares = [{"family": f, **r} for f, df in (("currents", source_coverage(read["currents"], read["offshore_currents"], a, b, 6, 5)), ("tides", source_coverage(read["tides"], read["tidal_model"], tide, "HARMONIC_TIDE_HOURLY_RANGE_M"))) for r in listed(df, "DATE")]
+    ranges = read["tides"].select("cell", "DATE").join(read["tidal_model"].select("cell", "DATE", "HARMONIC_TIDE_HOURLY_RANGE_M"), ["cell", "DATE"])
+    modelled = ranges.groupBy("DATE").agg(F.count("HARMONIC_TIDE_HOURLY_RANGE_M").alias("cells"), F.avg("HARMONIC_TIDE_HOURLY_RANGE_M").alias("mean_range_m"))
     found = {"currents": listed(compare_currents(read["currents"], read["offshore_currents"], a, b), "DATE"), "coverage": shares, "tidal_model": listed(modelled, "DATE"), "automatic_blending": False,
              "families": [{"family": f, "DATE": d, "coverage": store.read_json(spark, manifest(out, f, d))["coverage"]} for f in COMPARED for d in days]}
     if layers and region and "tide_stations" in region.fixed:

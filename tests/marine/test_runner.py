@@ -62,9 +62,9 @@ def test_build_compare_inspect(spark, tmp_path):
         return {round(r[0], 6) if isinstance(r[0], float) else r[0] for r in spark.read.parquet(f"{out}/{family}").where(F.col("DATE") == DAY).select(column).collect()}
 
     assert values("ocean_temperature", "SST_MEAN_C") == {11.0, None} and values("ocean_temperature", "FEATURE_STATUS") == {"available", "unavailable"}
-    assert values("tides", "TIDE_RANGE_20KM") == {23.0, None} and values("tides", "MEAN_EXPECTED_SOURCES_40KM") == {1.0, 0.0}
-    assert values("river_discharge", "RIVER_DISCHARGE_10KM") == {2.831685, None}
-    assert values("tidal_model", "HARMONIC_TIDE_RANGE_M") == {2.004316, None}  # twice the nodal factor of S2 on that day
+    assert values("tides", "TIDE_RANGE_PROXY_M_20KM") == {23.0, None} and values("tides", "MEAN_EXPECTED_SOURCES_40KM") == {1.0, 0.0}
+    assert values("river_discharge", "RIVER_DISCHARGE_INFLUENCE_M3_S_10KM") == {2.831685, None}
+    assert values("tidal_model", "HARMONIC_TIDE_HOURLY_RANGE_M") == {2.004316, None}  # twice the nodal factor of S2 on that day
     assert values("tidal_model", "NATIVE_TRIANGLE") == {1, -1}
     chl = spark.read.parquet(f"{out}/productivity_with_composites").where("COMPOSITE_VALID_DAYS > 0").collect()
     assert {(str(r.DATE), r.CHLOROPHYLL_TRAILING_7D_MEAN_MG_M3, r.COMPOSITE_OLDEST_AGE_DAYS) for r in chl} == {(DAY, 3.0, 5)}
@@ -88,7 +88,7 @@ def test_build_compare_inspect(spark, tmp_path):
     assert runner.main(["build", *asked, "--families", "tides", "currents", "river_discharge"]) == 1
     errors = {f: json.loads((tmp_path / f"data/features/manifests/{f}-{DAY}.json").read_text())["error"] for f in ("tides", "currents", "river_discharge")}
     assert "another area" in errors["tides"] and "repeated" in errors["currents"] and "unknown unit" in errors["river_discharge"]
-    assert values("river_discharge", "RIVER_DISCHARGE_10KM") == {None}
+    assert values("river_discharge", "RIVER_DISCHARGE_INFLUENCE_M3_S_10KM") == {None}
     next((tmp_path / f"data/features/ocean_temperature/family=ocean_temperature/DATE={DAY}").glob("*.parquet")).unlink()
     with pytest.raises(quality.CheckError):
         runner.main(["inspect", *asked, "--families", "ocean_temperature"])
