@@ -262,7 +262,8 @@ def water_distances(edges: DataFrame, starts: DataFrame, connectors: DataFrame |
     least = lambda df: df.groupBy("seed", "cell").agg(F.min("distance").alias("distance"))
     levels, left, many = contract(edges, scratch, core, cutoff_km)
     first = F.coalesce(F.col("connector_km").cast("double"), F.lit(0.0))
-    found = scratch.table(least(within(starts.select("seed", "cell", first.alias("distance")))), "climbed-0")
+    begun = scratch.table(least(starts.select("seed", "cell", first.alias("distance"))), "begun")
+    found = within(begun)
     for k, up in enumerate(levels, 1):
         step = found.join(up, "cell").select("seed", F.col("up").alias("cell"), (F.col("distance") + F.col("km")).alias("distance"))
         found = scratch.table(least(within(found.unionByName(step))), f"climbed-{k}")
@@ -280,6 +281,8 @@ def water_distances(edges: DataFrame, starts: DataFrame, connectors: DataFrame |
         own = found.join(taken[k - 1], "cell", "left_semi").select("seed", "cell", "distance")
         parts.append(scratch.table(least(within(via.unionByName(own))), f"down-{k}"))
     done = reduce(DataFrame.unionByName, parts)
+    if cutoff_km is not None:  # a seed's own cell is its own however long the connector
+        done = done.unionByName(begun.where(F.col("distance") > cutoff_km).join(done.select("seed", "cell"), ["seed", "cell"], "left_anti"))
     if connectors is None:
         return done
     hop = connectors.select(F.col("cell").alias("__end"), F.col("target").alias("cell"), F.col("connector_km").alias("__km"))

@@ -28,6 +28,9 @@ def plain(edges: list[tuple], starts: list[tuple], cutoff: float | None) -> dict
             best[c] = d
             for o, km in beside.get(c, ()):
                 heapq.heappush(queue, (d + km, o))
+        for s, cell, first in sorted(starts, key=lambda x: -(x[2] or 0.0)):
+            if s == seed and cell not in best or s == seed and best[cell] > (first or 0.0):
+                best[cell] = first or 0.0  # its own cell, however far
         out |= {(seed, c): d for c, d in best.items()}
     return out
 
@@ -41,7 +44,7 @@ def test_contracted_graphs(spark, monkeypatch, core, cutoff):
     rng = random.Random(core)
     edges = [(a, b, float(rng.randint(1, 5))) for a in range(40) for b in range(a + 1, 40) if rng.random() < 0.09]
     edges += [(b, a, km + 1) for a, b, km in edges[:9]] + [(50, 51, 1.0), (60, 60, 1.0), (61, 62, None)] + [(100 + k, 101 + k, 1.0) for k in range(12)]
-    starts = [(1, 0, 0.5), (1, 7, 2.0), (2, 3, None), (3, 50, 1.0), (4, 99, 1.0), (5, 106, 0.0)]
+    starts = [(1, 0, 0.5), (1, 7, 2.0), (2, 3, None), (3, 50, 1.0), (4, 99, 1.0), (5, 106, 0.0), (6, 50, 30.0), (6, 51, 20.0)]
     got = water.water_distances(spark.createDataFrame(edges, EDGES), spark.createDataFrame(starts, STARTS), cutoff_km=cutoff, core=core).collect()
     assert {(r.seed, r.cell): r.distance for r in got} == plain(edges, starts, cutoff) and len({(r.seed, r.cell) for r in got}) == len(got)
 
