@@ -168,8 +168,9 @@ def list_array(values: np.ndarray, off: np.ndarray, kind: pa.DataType) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(values, kind))
 
 
-#: A letter with a symbol after it: always an end of a pre-token, apart from apostrophes.
-_EDGE = r"(\pL)([^\s\pL\pN'])"
+#: A letter with a punctuation mark after it: always an end of a pre-token, apart from apostrophes. The marks are told one by one, as what is no
+#: letter to one version of Unicode may be one to the tokenizer's.
+_EDGE = r"(\pL)([!-&(-/:-@\[-`{-~«»“”„…–—])"
 
 
 @cache

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pelagia.llm import textkit
 from pelagia.llm.packing import pack_documents, pack_sizes
@@ -33,6 +33,7 @@ def crc(ids):
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(max_size=30), max_size=6))
+@example(["A\U00013460", "é\U00001c89z", "A\U000105c0, b"])
 def test_encoder_equals_tokenizer(texts):
     ids, off = encoder(tokenizer_path())(pa.array(texts, pa.string()))
     tok = Tokenizer.from_file(tokenizer_path())
