@@ -14,7 +14,7 @@ import unicodedata
 import uuid
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -186,9 +186,10 @@ class WordEncoder:
 
     ``word_bpe_49k.json`` drops white space and merges inside pre-tokens only, so the ids of a
     text are those of its pieces, one after another, however it is cut at blanks, newlines and
-    ends of pre-tokens. Each piece is encoded by the tokenizer once and kept; ``keep`` bounds
-    what is kept. Pieces that normalisation leaves alone (lower-case Latin letters) go to the
-    tokenizer's model at once, all others through the whole tokenizer.
+    ends of pre-tokens. Each piece is encoded by the tokenizer once and kept; beyond ``keep``
+    pieces (or 32 bytes for each of them) only those of the latest texts stay. Pieces whose
+    lower case normalisation leaves alone (Latin letters) go to the tokenizer's model at once,
+    all others through the whole tokenizer.
     """
 
     def __init__(self, path: str, keep: int = 250_000):
@@ -196,12 +197,13 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
-        self.to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.to_bytes = {c: to_bytes(chr(c))[0][0] for c in range(0x80, 0x250) if chr(c).isalpha()}
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.pool, self.start = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+        self.pool, self.held = packed_ids([]), 0  # ids of each known piece, as bytes; bytes of the pieces
 
     @staticmethod
     def pieces(texts: pa.Array) -> pa.ListArray:
@@ -212,10 +214,13 @@ class WordEncoder:
     def ids_of(self, new: list[str]) -> list[list[int]]:
         out: list = [None] * len(new)
         rest = []
-        direct, normal = self.tokenizer.model.tokenize, unicodedata.is_normalized
+        direct, normal, to_bytes = self.tokenizer.model.tokenize, unicodedata.is_normalized, self.to_bytes
         for k, w in enumerate(new):
-            if w.isalpha() and (w.isascii() or max(w) < "\u0250" and normal("NFC", w)) and w == w.lower():
-                out[k] = [t.id for t in direct(w if w.isascii() else self.to_bytes(w)[0][0])]
+            low = w.lower() if w.isalpha() else ""
+            if low and w.isascii():
+                out[k] = [t.id for t in direct(low)]
+            elif low and max(low) < "\u0250" and low.isalpha() and normal("NFC", w):
+                out[k] = [t.id for t in direct(low.translate(to_bytes))]
             else:
                 rest.append(k)
         for k, e in zip(rest, self.tokenizer.encode_batch_fast([new[k] for k in rest], add_special_tokens=False), strict=True):
@@ -226,27 +231,38 @@ class WordEncoder:
         """Flat ids and, per text, where its ids start; n+1 entries."""
         lists = self.pieces(texts)
         coded, off = lists.flatten().dictionary_encode(), lists.offsets.to_numpy().astype(np.int64)
-        words = coded.dictionary.to_pylist()
-        if len(self.known) + len(words) > self.keep:
-            self.clear()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = self.known
-        new = [w for w in words if w not in known]
-        if new:
-            got = self.ids_of(new)
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            more = np.fromiter(chain.from_iterable(got), np.uint16, int(sizes.sum()))
-            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(sizes)])
-            self.pool = np.concatenate([self.pool, more])
-        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        idx = coded.indices.to_numpy() if len(words) else np.zeros(0, np.int64)
-        first, size = self.start[at].astype(np.int64), np.diff(self.start)[at]
-        first, size = first[idx], size[idx]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        place = np.arange(total, dtype=np.int64) + np.repeat(first - (ends - size), size)
-        word_ends = np.concatenate([[0], ends])
-        return self.pool[place], word_ends[off - off[0]]
+        at = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        fresh = np.flatnonzero(at < 0)
+        if len(fresh):
+            new = [words[k] for k in fresh.tolist()]
+            more = packed_ids(self.ids_of(new))
+            at[fresh] = np.arange(len(known), len(known) + len(new))
+            known.update(zip(new, at[fresh].tolist(), strict=True))
+            self.pool = pa.concat_arrays([self.pool, more])
+            self.held += pc.sum(pc.binary_length(coded.dictionary.take(pa.array(fresh)))).as_py()
+        own = self.pool.take(pa.array(at))
+        if self.full():
+            self.known, self.pool, self.held = dict(zip(words, range(len(words)), strict=True)), own, pc.sum(pc.binary_length(coded.dictionary)).as_py()
+            if self.full():
+                self.clear()
+        if not len(coded):
+            return np.zeros(0, np.uint16), off - off[0]
+        _, places, ids = own.take(coded.indices).buffers()
+        word_ends = np.frombuffer(places, np.int64, len(coded) + 1) // 2
+        return np.frombuffer(ids or b"", np.uint16, word_ends[-1]), word_ends[off - off[0]]
+
+    def full(self) -> bool:
+        return len(self.known) > self.keep or self.held > 32 * self.keep
+
+
+def packed_ids(ids: list[list[int]]) -> pa.Array:
+    """Each list of ids as the bytes of 16-bit numbers."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat = np.fromiter(chain.from_iterable(ids), np.uint16, int(sizes.sum()))
+    places = np.concatenate([np.zeros(1, np.int64), np.cumsum(2 * sizes)])
+    return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(places), pa.py_buffer(flat)])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -24,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .textkit import Scratch, encoder, read_table, slices, texts_of, tokenizer_path
+from .textkit import BATCH_BYTES, Scratch, encoder, read_table, slices, texts_of, tokenizer_path
 
 MAGIC = b"WVMX0002"
 HEAD = struct.Struct("<8sQQI")
 BLOCK = 512
-#: Tokens of a shard at least, but for the last of a partition; a longer document makes it longer.
+#: A shard ends with the document that brings it to so many tokens; the last of a partition may hold fewer.
 SHARD_TOKENS = 1 << 20
 
 
@@ -49,7 +49,7 @@ class WaveletMatrix:
             bit = (ids >> np.uint16(levels - 1 - k) & np.uint16(1)).astype(bool)
             packed = np.packbits(bit, bitorder="little")
             planes[k, : len(packed)] = packed
-            ids = np.concatenate([ids[~bit], ids[bit]])
+            ids = np.concatenate([ids.take(np.flatnonzero(~bit)), ids.take(np.flatnonzero(bit))])
         ones = np.bitwise_count(planes.reshape(levels, -1, BLOCK // 8)).sum(2, dtype=np.uint64)
         return cls(len(ids), planes, np.concatenate([np.zeros((levels, 1), np.uint64), np.cumsum(ones, 1, dtype=np.uint64)], 1).astype("<u4" if len(ids) < 2**32 else "<u8"))
 
@@ -61,8 +61,8 @@ class WaveletMatrix:
         ids = np.zeros(self.n, np.uint16)
         for k in reversed(range(self.levels)):
             bit, out = self._bits(k), np.empty(self.n, np.uint16)
-            out[~bit] = ids[: self.zeros[k]]
-            out[bit] = ids[self.zeros[k] :] | np.uint16(1 << (self.levels - 1 - k))
+            out[np.flatnonzero(~bit)] = ids[: self.zeros[k]]
+            out[np.flatnonzero(bit)] = ids[self.zeros[k] :] | np.uint16(1 << (self.levels - 1 - k))
             ids = out
         return ids
 
@@ -152,16 +152,21 @@ def token_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, levels: int =
             payload = dump(docs, np.concatenate(sizes), np.concatenate(parts), levels)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": [len(docs)], "n_tokens": [held], "payload": pa.array([payload], pa.binary())})
 
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", BATCH_BYTES):
             ids, off = encoder(tokenizer)(texts_of(batch))
             ids = np.insert(ids, off[1:], np.uint16(end_id))
-            docs += batch.column("doc_id").to_pylist()
-            sizes.append(np.diff(off) + 1)
-            parts.append(ids)
-            held += len(ids)
-            if held >= shard_tokens:
-                yield shard()
-                docs, sizes, parts, held, seq = [], [], [], 0, seq + 1
+            off += np.arange(len(off))
+            own, at = batch.column("doc_id").to_pylist(), 0
+            while at < len(own):
+                to = min(int(np.searchsorted(off, off[at] + shard_tokens - held)), len(own))
+                docs += own[at:to]
+                sizes.append(np.diff(off[at : to + 1]))
+                parts.append(ids[off[at] : off[to]])
+                held += len(parts[-1])
+                at = to
+                if held >= shard_tokens:
+                    yield shard()
+                    docs, sizes, parts, held, seq = [], [], [], 0, seq + 1
         if docs:
             yield shard()
 

@@ -53,6 +53,29 @@ def test_letters_with_symbols_after_them(tok):
     assert "İ,x" in [t for t, o in zip(texts, odd) if o]
 
 
+def test_latin_words_of_either_case(tok):
+    """Words of letters below U+0250 and of those that turn into such when they are lower-cased, at each place of a word."""
+    odd = [c for c in map(chr, range(0x20000)) if c.isalpha() and (c < "\u0250" or max(c.lower()) < "\u0250")]
+    words = [w for c in odd for w in (c, f"b{c}", f"{c}b", f"É{c}o", c * 3)]
+    got = textkit.WordEncoder(tokenizer_path()).ids_of(words)
+    assert got == [e.ids for e in tok.encode_batch(words, add_special_tokens=False)]
+
+
+def test_a_full_cache_keeps_the_latest_pieces():
+    """Once the cache is full, pieces of the last texts are not encoded again; nor do long pieces fill the memory."""
+    enc, encoded = textkit.WordEncoder(tokenizer_path(), keep=100), []
+    whole = enc.ids_of
+    enc.ids_of = lambda new: (encoded.append(len(new)), whole(new))[1]
+    first, second = ([" ".join(f"{a}{b}{c}" for b in "bcdf" for c in "klmnoprstuvwxyz")] for a in "ae")
+    want = [enc(pa.array(x)) for x in (first, second)]
+    assert encoded == [60, 60]
+    got = enc(pa.array(second))
+    assert encoded == [60, 60] and all((a == b).all() for a, b in zip(got, want[1]))
+    assert (enc(pa.array(first))[0] == want[0][0]).all() and encoded == [60, 60, 60]
+    enc(pa.array(["x" * 4000]))
+    assert len(enc.known) <= 1 and enc.held <= 32 * enc.keep
+
+
 def test_pieces_and_places(spark, tok):
     for shard_rows in (50_000, 2):
         got = pack_documents(spark, spark.createDataFrame(ROWS, SCHEMA).repartition(3), tokenizer_path(), shard_rows=shard_rows).collect()
@@ -120,6 +143,15 @@ def test_files_round_trip(spark, tok):
     assert got == want
 
 
+def test_shards_end_with_the_document_that_fills_them(spark):
+    docs = spark.createDataFrame([(i, "word " * (i % 7)) for i in range(60)], "doc_id long, text string").repartition(2)
+    shards = token_shards(docs, tokenizer_path(), shard_tokens=10).select("part", "seq", "n_docs", "n_tokens", "payload").collect()
+    last = {r.part: max(s.seq for s in shards if s.part == r.part) for r in shards}
+    for r in shards:
+        ids, off, _ = load(r.payload)
+        assert len(ids) == r.n_docs and off[-1] == r.n_tokens and off[-2] < 10 and (r.n_tokens >= 10 or r.seq == last[r.part])
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 40), min_size=1, max_size=1500))
 def test_wavelet_answers(values):
