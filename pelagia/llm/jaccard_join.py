@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, merged
 from .textkit import Scratch, by_ids, grouped_distinct, list_array, mix, read_table, signed, slices, split_words, texts_of, window_hashes, word_hashes
 
 #: Tokens kept as often seen, at most; 8 bytes each reach every task.
@@ -340,8 +340,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, size: int = 5, percent: in
                 break
             more = verified(spark, docs, met, size, percent, scratch, name)
             if not more.isEmpty():
-                links = links.unionByName(more)
-                known = scratch.table(components(links, scratch, f"{name}-stars"), f"{name}-components")
+                known = scratch.table(merged(known, more, scratch, f"{name}-stars"), f"{name}-components")
     groups = known.select(F.col("node").alias("doc"), "component")
     of = members.join(groups, "doc", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "doc")).alias("component_id"))
     return rows.join(of, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -91,6 +91,38 @@ def test_components_of_a_long_path(spark, monkeypatch, many):
     assert got == {**{k: 0 for k in range(n + 1)}, 100: 100, 101: 100}
 
 
+def test_stars_are_known_without_a_round(spark):
+    scratch = Scratch(spark, "t")
+    got = components(spark.createDataFrame([(k, k % 3) for k in range(30)], "x long, y long"), scratch, "c").collect()
+    assert {r.node: r.component for r in got} == {k: k % 3 for k in range(30)} and len(got) == 30
+    assert scratch.tables == 1
+
+
+@pytest.mark.parametrize("few, many", [(1 << 18, 1 << 20), (0, 1 << 20), (1 << 18, 0)])
+def test_merged_components_follow_the_new_links_only(spark, monkeypatch, few, many):
+    monkeypatch.setattr(graph, "FEW", few)
+    monkeypatch.setattr(graph, "MANY", many)
+    rng = random.Random(few + many)
+    old = [(k, k + 1) for k in range(20)] + [(rng.randrange(30, 90), rng.randrange(30, 90)) for _ in range(40)]
+    new = [(5, 95), (96, 95), (3, 4), *((rng.randrange(100), rng.randrange(100)) for _ in range(12))]
+    parent = list(range(100))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for x, y in old + new:
+        x, y = root(x), root(y)
+        parent[max(x, y)] = min(x, y)
+    want = {k: root(k) for link in old + new for k in link if link[0] != link[1]}
+    scratch, columns = Scratch(spark, "t"), "x long, y long"
+    known = scratch.table(components(spark.createDataFrame(old, columns), scratch, "old"), "known")
+    got = graph.merged(known, spark.createDataFrame(new, columns), scratch, "new").collect()
+    assert {r.node: r.component for r in got} == want and len(got) == len(want)
+    assert spark.read.parquet(f"{scratch.root}/new-found").count() <= 2 * len(new)
+
+
 def removed(rows, window=20):
     seen, out = {}, []
     order = sorted(range(len(rows)), key=lambda k: rows[k][0])
